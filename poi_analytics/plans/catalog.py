@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import fixtures as fx
-from . import home
+from . import home, pages, screen
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,3 +30,5 @@ def _register_marts(builders: dict, oracle: dict, prepare=None) -> None:
 
 
 _register_marts(home.BUILDERS, home.ORACLE)
+_register_marts(screen.BUILDERS, screen.ORACLE)
+_register_marts(pages.BUILDERS, pages.ORACLE, prepare=pages.prepare)
