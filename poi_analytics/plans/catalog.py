@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import clean, search
 from ..sources import fixtures as fx
 from . import home, pages, screen
 
@@ -32,3 +33,38 @@ def _register_marts(builders: dict, oracle: dict, prepare=None) -> None:
 _register_marts(home.BUILDERS, home.ORACLE)
 _register_marts(screen.BUILDERS, screen.ORACLE)
 _register_marts(pages.BUILDERS, pages.ORACLE, prepare=pages.prepare)
+
+
+# ---- DWD cleaning over the all-string ODS view --------------------------------
+
+def _register_clean() -> None:
+    for name, step in clean.STEPS.items():
+        def q(spark: SparkSession, sf_dir: str, step=step) -> DataFrame:
+            return step(fx.ods_attractions(spark, sf_dir))
+        QUERIES[name] = q
+        ORACLE[name] = fx.with_views(clean.ORACLE[name], "ods_attractions")
+
+
+_register_clean()
+
+
+# ---- search over the DWD-shaped attractions ----------------------------------
+
+def _dwd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.discount_rate(fx.attractions(spark, sf_dir))
+
+
+def _register_search() -> None:
+    for name, filters in search.CASES.items():
+        def q(spark: SparkSession, sf_dir: str, filters=filters) -> DataFrame:
+            return search.search_filter(_dwd(spark, sf_dir), filters).select(*search.SEARCH_COLUMNS)
+        QUERIES[name] = q
+    QUERIES["search_page"] = lambda spark, sf_dir: search.search_page(
+        _dwd(spark, sf_dir), search.PAGE_CASE, page=search.PAGE_NO)
+    QUERIES["search_count"] = lambda spark, sf_dir: search.search_count(_dwd(spark, sf_dir), search.PAGE_CASE)
+    QUERIES["poi_detail"] = lambda spark, sf_dir: search.poi_detail(_dwd(spark, sf_dir), search.DETAIL_ID)
+    for name, sql in search.ORACLE.items():
+        ORACLE[name] = fx.with_views(sql, "attractions")
+
+
+_register_search()
