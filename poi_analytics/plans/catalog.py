@@ -10,7 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import clean, search
+from pyspark.sql import functions as F
+
+from ..operators import behavior, clean, search
+from ..sources.tables import read_table
 from ..sources import fixtures as fx
 from . import home, pages, screen
 
@@ -68,3 +71,155 @@ def _register_search() -> None:
 
 
 _register_search()
+
+
+# ---- behaviour events and profiles --------------------------------------------
+
+INGEST_TIME = "2024-06-01 00:00:00"
+_REQUEST_COLS = {
+    "click": [],
+    "detail": ["stay_seconds", "from_click_id"],
+    "favorite": ["is_favorite"],
+    "comment": ["rating", "image_urls"],
+}
+
+
+def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return behavior.event_table(fx.behaviors(spark, sf_dir), kind)
+
+
+def _requests(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return (fx.behaviors(spark, sf_dir).where(F.col("kind") == kind)
+            .select("id", "user_id", "poi_id", "scene", "device", "occurred_at", *_REQUEST_COLS[kind]))
+
+
+def _deleted_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Profiles without an email are the ones removed in the delete scenarios.
+    return fx.profiles(spark, sf_dir).where(F.col("email") == "")
+
+
+def _register_behavior() -> None:
+    names = {"click": "ingest_click", "detail": "ingest_detail_view",
+             "favorite": "ingest_favorite", "comment": "ingest_comment"}
+    for kind, name in names.items():
+        def q(spark, sf_dir, kind=kind):
+            return behavior.ingest(_requests(spark, sf_dir, kind), fx.profiles(spark, sf_dir), kind,
+                                   ingest_time=F.lit(INGEST_TIME))
+        QUERIES[name] = q
+    QUERIES["favorite_state"] = lambda spark, sf_dir: behavior.favorite_state(_events(spark, sf_dir, "favorite"))
+    QUERIES["comment_feed"] = lambda spark, sf_dir: behavior.comment_feed(
+        _events(spark, sf_dir, "comment"), fx.profiles(spark, sf_dir))
+    QUERIES["detail_from_click"] = lambda spark, sf_dir: behavior.detail_from_click(
+        _events(spark, sf_dir, "detail"), _events(spark, sf_dir, "click"))
+    QUERIES["cascade_delete"] = lambda spark, sf_dir: behavior.cascade_delete(
+        _events(spark, sf_dir, "comment"), _deleted_profiles(spark, sf_dir))
+
+    def set_null(spark, sf_dir):
+        clicks = _events(spark, sf_dir, "click")
+        gone = clicks.join(_deleted_profiles(spark, sf_dir).select(F.col("id").alias("user_id")),
+                           "user_id", "left_semi")
+        return behavior.set_null_on_delete(_events(spark, sf_dir, "detail"), gone)
+    QUERIES["set_null_on_delete"] = set_null
+    QUERIES["profile_view"] = lambda spark, sf_dir: behavior.profile_view(fx.profiles(spark, sf_dir))
+
+    def registrations(spark, sf_dir):
+        sup = read_table(spark, sf_dir, "supplier").select(
+            F.col("s_name").alias("username"),
+            F.substring(F.md5("s_name"), 1, (F.col("s_suppkey") % 10).cast("int")).alias("password"),
+            F.when(F.col("s_suppkey") % 4 == 0, F.lit("bad-email"))
+            .otherwise(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@example.com")))
+            .alias("email"))
+        cus = read_table(spark, sf_dir, "customer").select(
+            F.col("c_name").alias("username"), F.lit("secret1").alias("password"), F.lit("").alias("email"))
+        return behavior.registration_check(sup.unionByName(cus), fx.profiles(spark, sf_dir))
+    QUERIES["registration_check"] = registrations
+
+    def audit(spark, sf_dir):
+        return behavior.constraint_audit(
+            fx.profiles(spark, sf_dir),
+            {f"user_{k}_behavior": _events(spark, sf_dir, k) for k in behavior.KINDS})
+    QUERIES["constraint_audit"] = audit
+
+    def behavior_search(spark, sf_dir):
+        return search.search_table(fx.profiles(spark, sf_dir), text="customer#00000001",
+                                   fields=["username", "nickname", "city"], facets={"gender": "male"},
+                                   columns=["id", "username", "nickname", "city", "gender"])
+    QUERIES["behavior_search"] = behavior_search
+
+    for name, sql in BEHAVIOR_ORACLE.items():
+        views = [v for v in ("behaviors", "profiles") if v in sql]
+        ORACLE[name] = fx.with_views(sql, *views)
+
+
+def _ingest_sql(kind: str, extras: str) -> str:
+    return f"""
+SELECT b.id, p.id AS user_id, b.poi_id, coalesce(b.scene, '{behavior.DEFAULTS[kind]['scene']}') AS scene,
+  coalesce(b.device, 'web') AS device, {extras}
+  coalesce(b.occurred_at, TIMESTAMP '{INGEST_TIME}') AS occurred_at,
+  (CASE WHEN b.poi_id IS NULL OR b.poi_id = 0 THEN 'missing_poi_id'
+        WHEN b.user_id IS NOT NULL AND b.user_id <> 0 AND p.id IS NULL THEN 'unknown_user' END) IS NULL AS accepted,
+  CASE WHEN b.poi_id IS NULL OR b.poi_id = 0 THEN 'missing_poi_id'
+       WHEN b.user_id IS NOT NULL AND b.user_id <> 0 AND p.id IS NULL THEN 'unknown_user' END AS reject_reason
+FROM behaviors b LEFT JOIN profiles p ON b.user_id IS NOT NULL AND b.user_id <> 0 AND p.id = b.user_id
+WHERE b.kind = '{kind}'"""
+
+
+_DELETED = "(SELECT id FROM profiles WHERE email = '')"
+BEHAVIOR_ORACLE = {
+    "ingest_click": _ingest_sql("click", "'' AS exposure_id,"),
+    "ingest_detail_view": _ingest_sql("detail", "coalesce(b.stay_seconds, 0) AS stay_seconds, b.from_click_id,"),
+    "ingest_favorite": _ingest_sql("favorite", "coalesce(b.is_favorite, true) AS is_favorite, "
+                                               "CAST(NULL AS VARCHAR) AS note,"),
+    "ingest_comment": _ingest_sql("comment", "coalesce(b.rating, 0) AS rating, '' AS content, "
+                                             "coalesce(b.image_urls, '[]') AS image_urls,"),
+    "favorite_state": """
+SELECT user_id, poi_id, is_favorite FROM (
+  SELECT user_id, poi_id, is_favorite,
+    row_number() OVER (PARTITION BY user_id, poi_id ORDER BY occurred_at DESC, id DESC) AS rn
+  FROM behaviors WHERE kind = 'favorite') WHERE rn = 1""",
+    "comment_feed": """
+SELECT c.id, c.poi_id, p.username AS "user", p.nickname, c.rating, '' AS content,
+  from_json(CASE WHEN c.image_urls IS NULL OR c.image_urls = '' THEN '[]' ELSE c.image_urls END, '["VARCHAR"]')
+    AS images, c.occurred_at
+FROM behaviors c JOIN profiles p ON p.id = c.user_id WHERE c.kind = 'comment'""",
+    "detail_from_click": """
+SELECT d.id, d.user_id, d.poi_id, d.stay_seconds, d.from_click_id, c.scene AS click_scene,
+  c.occurred_at AS click_occurred_at
+FROM behaviors d LEFT JOIN (SELECT * FROM behaviors WHERE kind = 'click') c ON c.id = d.from_click_id
+WHERE d.kind = 'detail'""",
+    "cascade_delete": f"""
+SELECT id, user_id, poi_id, scene, device, occurred_at, rating, '' AS content, image_urls
+FROM behaviors WHERE kind = 'comment' AND user_id NOT IN {_DELETED}""",
+    "set_null_on_delete": f"""
+SELECT d.id, d.user_id, d.poi_id, d.scene, d.device, d.occurred_at, d.stay_seconds,
+  CASE WHEN g.id IS NULL THEN d.from_click_id END AS from_click_id
+FROM behaviors d LEFT JOIN (SELECT id FROM behaviors WHERE kind = 'click' AND user_id IN {_DELETED}) g
+  ON g.id = d.from_click_id
+WHERE d.kind = 'detail'""",
+    "profile_view": """
+SELECT id, external_id, username, nickname, email, CAST(NULL AS VARCHAR) AS phone, gender, city,
+  CAST(NULL AS VARCHAR) AS avatar, CAST(NULL AS VARCHAR) AS created_at, CAST(NULL AS VARCHAR) AS updated_at
+FROM profiles""",
+    "registration_check": """
+WITH regs AS (
+  SELECT s_name AS username, substr(md5(s_name), 1, CAST(s_suppkey % 10 AS INTEGER)) AS password,
+    CASE WHEN s_suppkey % 4 = 0 THEN 'bad-email' ELSE 's' || CAST(s_suppkey AS VARCHAR) || '@example.com' END AS email
+  FROM supplier
+  UNION ALL SELECT c_name, 'secret1', '' FROM customer),
+checked AS (
+  SELECT r.username, coalesce(r.email, '') AS email, CAST(length(coalesce(r.password, '')) AS INTEGER) AS password_length,
+    CASE WHEN r.username IS NULL OR r.username = '' THEN 'username_required'
+         WHEN r.username IN (SELECT username FROM profiles) THEN 'username_taken'
+         WHEN length(r.username) > 150 THEN 'username_too_long'
+         WHEN length(coalesce(r.password, '')) < 6 THEN 'password_too_short'
+         WHEN coalesce(r.email, '') <> '' AND NOT regexp_matches(coalesce(r.email, ''), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')
+           THEN 'invalid_email' END AS reject_reason
+  FROM regs r)
+SELECT username, email, password_length, reject_reason IS NULL AS accepted, reject_reason FROM checked""",
+    "behavior_search": """
+SELECT id, username, nickname, city, gender FROM profiles
+WHERE (contains(lower(username), 'customer#00000001') OR contains(lower(nickname), 'customer#00000001')
+       OR contains(lower(city), 'customer#00000001')) AND gender = 'male'""",
+}
+
+_register_behavior()
