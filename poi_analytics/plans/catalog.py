@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import round_doubles
 from ..operators import behavior, clean, search
+from ..operators import interactions as inter
 from ..sources.tables import read_table
 from ..sources import fixtures as fx
 from . import home, pages, screen
@@ -223,3 +225,137 @@ WHERE (contains(lower(username), 'customer#00000001') OR contains(lower(nickname
 }
 
 _register_behavior()
+
+
+# ---- interactions for the recommenders ----------------------------------------
+
+def _interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = {k: _events(spark, sf_dir, k) for k in behavior.KINDS}
+    return inter.weighted_interactions(events)
+
+
+def _cf_parts(spark, sf_dir):
+    return inter.indexed_positives(_interactions(spark, sf_dir))
+
+
+def _ctr_parts(spark, sf_dir):
+    dwd = fx.attractions(spark, sf_dir)
+    kept = inter.interactions_with_items(_interactions(spark, sf_dir), dwd)
+    pos, users, items = inter.indexed_positives(kept)
+    return dwd, pos, users, items
+
+
+def _round6(df: DataFrame) -> DataFrame:
+    return round_doubles(df, 6)
+
+
+def _register_interactions() -> None:
+    QUERIES["weighted_interactions"] = _interactions
+    QUERIES["dense_index_users"] = lambda spark, sf_dir: inter.dense_index(
+        _interactions(spark, sf_dir), "user_id", "user_idx")
+    QUERIES["dense_index_items"] = lambda spark, sf_dir: inter.dense_index(
+        _interactions(spark, sf_dir), "poi_id", "item_idx")
+
+    def neg_cf(spark, sf_dir):
+        pos, users, items = _cf_parts(spark, sf_dir)
+        return inter.negative_samples(pos, users, items, ratio=inter.CF_NEG_RATIO, seed=42)
+    QUERIES["negative_samples_cf"] = neg_cf
+
+    def neg_ctr(spark, sf_dir):
+        _, pos, users, items = _ctr_parts(spark, sf_dir)
+        return inter.negative_samples(pos, users, items, ratio=inter.CTR_NEG_RATIO, seed=2024)
+    QUERIES["negative_samples_ctr"] = neg_ctr
+
+    def train_cf(spark, sf_dir):
+        pos, users, items = _cf_parts(spark, sf_dir)
+        return inter.training_set(pos, inter.negative_samples(pos, users, items, ratio=1, seed=42))
+    QUERIES["training_set_cf"] = train_cf
+    QUERIES["interactions_with_items"] = lambda spark, sf_dir: inter.interactions_with_items(
+        _interactions(spark, sf_dir), fx.attractions(spark, sf_dir))
+
+    def features(spark, sf_dir):
+        dwd, _, _, items = _ctr_parts(spark, sf_dir)
+        return inter.item_features(dwd, items)
+    QUERIES["item_features"] = features
+    QUERIES["zscore_features"] = lambda spark, sf_dir: _round6(inter.zscore(features(spark, sf_dir)))
+    QUERIES["district_index"] = lambda spark, sf_dir: inter.district_index(features(spark, sf_dir))
+
+    def ctr_frame(spark, sf_dir):
+        dwd, pos, users, items = _ctr_parts(spark, sf_dir)
+        neg = inter.negative_samples(pos, users, items, ratio=inter.CTR_NEG_RATIO, seed=2024)
+        return _round6(inter.ctr_training_frame(inter.training_set(pos, neg), inter.item_features(dwd, items)))
+    QUERIES["ctr_training_frame"] = ctr_frame
+    QUERIES["cold_start_items"] = lambda spark, sf_dir: inter.cold_start_items(features(spark, sf_dir))
+
+    for name, sql in INTERACTION_ORACLE.items():
+        views = [v for v in ("behaviors", "attractions") if v in sql]
+        ORACLE[name] = fx.with_views(sql, *views)
+
+
+_I_CTE = """WITH interactions AS (
+  SELECT id AS event_id, user_id, poi_id,
+    CAST(CASE kind WHEN 'click' THEN 1.0 WHEN 'detail' THEN 0.8 WHEN 'favorite' THEN 1.5 ELSE 2.0 END AS DOUBLE) AS weight
+  FROM behaviors WHERE user_id IS NOT NULL AND user_id <> 0 AND poi_id IS NOT NULL AND poi_id <> 0
+    AND (kind <> 'favorite' OR is_favorite = true)),
+kept AS (SELECT * FROM interactions WHERE poi_id IN (SELECT poiId FROM attractions)),"""
+
+
+def _index_ctes(src: str) -> str:
+    return f"""
+users AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM {src})),
+items AS (SELECT poi_id, dense_rank() OVER (ORDER BY poi_id) - 1 AS item_idx FROM (SELECT DISTINCT poi_id FROM {src})),
+pos AS (SELECT i.*, u.user_idx, t.item_idx FROM {src} i JOIN users u USING (user_id) JOIN items t USING (poi_id))"""
+
+
+def _neg_cte(ratio: int, seed: int) -> str:
+    def h(salt):
+        return (f"('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':' || CAST(k AS VARCHAR) || ':{seed}{salt}'), 1, 8))"
+                f"::BIGINT")
+    return f""",
+draws AS (SELECT event_id, CAST(unnest(range(0, {ratio})) AS INTEGER) AS k FROM pos),
+sampled AS (SELECT event_id, k, {h(':u')} % (SELECT count(*) FROM users) AS user_idx,
+                   {h(':i')} % (SELECT count(*) FROM items) AS item_idx FROM draws),
+neg AS (SELECT * FROM sampled s WHERE NOT EXISTS (
+          SELECT 1 FROM pos p WHERE p.user_idx = s.user_idx AND p.item_idx = s.item_idx))"""
+
+
+_FEATURES_CTE = """,
+feat AS (SELECT t.poi_id, t.item_idx, coalesce(a.price, 0.0) AS price, coalesce(a.heatScore, 0.0) AS heat,
+  coalesce(a.commentScore, 0.0) AS score,
+  CASE WHEN a.districtName IS NULL OR a.districtName = '' THEN '未知' ELSE a.districtName END AS district
+  FROM items t JOIN attractions a ON a.poiId = t.poi_id),
+zfeat AS (SELECT poi_id, item_idx, district,
+  (price - avg(price) OVER ()) / (stddev_pop(price) OVER () + 1e-6) AS price,
+  (heat - avg(heat) OVER ()) / (stddev_pop(heat) OVER () + 1e-6) AS heat,
+  (score - avg(score) OVER ()) / (stddev_pop(score) OVER () + 1e-6) AS score FROM feat),
+dist AS (SELECT district, dense_rank() OVER (ORDER BY district) - 1 AS district_idx FROM (SELECT DISTINCT district FROM feat))"""
+
+INTERACTION_ORACLE = {
+    "weighted_interactions": _I_CTE + " x AS (SELECT 1)\nSELECT * FROM interactions",
+    "dense_index_users": _I_CTE + _index_ctes("interactions") + "\nSELECT * FROM users",
+    "dense_index_items": _I_CTE + _index_ctes("interactions") + "\nSELECT * FROM items",
+    "negative_samples_cf": _I_CTE + _index_ctes("interactions") + _neg_cte(1, 42)
+    + "\nSELECT user_idx, item_idx, event_id, k FROM neg",
+    "negative_samples_ctr": _I_CTE + _index_ctes("kept") + _neg_cte(2, 2024)
+    + "\nSELECT user_idx, item_idx, event_id, k FROM neg",
+    "training_set_cf": _I_CTE + _index_ctes("interactions") + _neg_cte(1, 42)
+    + "\nSELECT user_idx, item_idx, 1.0::DOUBLE AS label FROM pos"
+      " UNION ALL SELECT user_idx, item_idx, 0.0::DOUBLE FROM neg",
+    "interactions_with_items": _I_CTE + " x AS (SELECT 1)\nSELECT * FROM kept",
+    "item_features": _I_CTE + _index_ctes("kept") + _FEATURES_CTE + "\nSELECT * FROM feat",
+    "zscore_features": _I_CTE + _index_ctes("kept") + _FEATURES_CTE
+    + "\nSELECT poi_id, item_idx, round(price, 6) AS price, round(heat, 6) AS heat, round(score, 6) AS score,"
+      " district FROM zfeat",
+    "district_index": _I_CTE + _index_ctes("kept") + _FEATURES_CTE + "\nSELECT * FROM dist",
+    "ctr_training_frame": _I_CTE + _index_ctes("kept") + _neg_cte(2, 2024) + _FEATURES_CTE + """,
+train AS (SELECT user_idx, item_idx, 1.0::DOUBLE AS label FROM pos
+          UNION ALL SELECT user_idx, item_idx, 0.0::DOUBLE FROM neg)
+SELECT tr.user_idx, tr.item_idx, d.district_idx, round(z.price, 6) AS price, round(z.heat, 6) AS heat,
+  round(z.score, 6) AS score, tr.label
+FROM train tr JOIN zfeat z ON z.item_idx = tr.item_idx JOIN dist d ON d.district = z.district""",
+    "cold_start_items": _I_CTE + _index_ctes("kept") + _FEATURES_CTE + """
+SELECT row_number() OVER (ORDER BY heat DESC, poi_id ASC) AS rank, poi_id FROM (
+  SELECT poi_id, heat FROM zfeat ORDER BY heat DESC, poi_id ASC LIMIT 10)""",
+}
+
+_register_interactions()
