@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_doubles
 from ..operators import behavior, clean, search
 from ..operators import interactions as inter
+from ..operators import similarity as sim
+from ..functions.jsoncols import poi_text
+from . import recommend as rec
 from ..sources.tables import read_table
 from ..sources import fixtures as fx
 from . import home, pages, screen
@@ -359,3 +362,88 @@ SELECT row_number() OVER (ORDER BY heat DESC, poi_id ASC) AS rank, poi_id FROM (
 }
 
 _register_interactions()
+
+
+# ---- content similarity and model pipelines -------------------------------------
+
+def _register_similarity() -> None:
+    def tags(spark, sf_dir):
+        return _round6(sim.tag_hash_vector(fx.attractions(spark, sf_dir)))
+    QUERIES["tag_hash_vector"] = tags
+
+    def cosine(spark, sf_dir):
+        return _round6(sim.cosine_top_k(read_table(spark, sf_dir, "embeddings"), k=10))
+    QUERIES["cosine_top_k"] = cosine
+
+    def text(spark, sf_dir):
+        a = fx.attractions(spark, sf_dir)
+        return a.select(F.col("poiId").alias("poi_id"),
+                        poi_text(F.col("poiName"), F.col("shortFeatures"), F.col("tagNameList")).alias("text"))
+    QUERIES["poi_text"] = text
+
+    def text_embeddings(spark, sf_dir):
+        return text(spark, sf_dir).select("poi_id", rec.embed_batch(F.col("text")).alias("vector"))
+    QUERIES["text_embeddings"] = text_embeddings
+
+    def multimodal(spark, sf_dir):
+        a = fx.attractions(spark, sf_dir)
+        emb = read_table(spark, sf_dir, "embeddings").select(
+            F.col("vec_id").alias("poi_id"), sim.as_double_array(F.col("embedding")).alias("image"))
+        txt = text_embeddings(spark, sf_dir).select("poi_id", sim.as_double_array(F.col("vector")).alias("text"))
+        tagv = sim.dense_tag_vector(sim.tag_hash_vector(a))
+        j = txt.join(emb, "poi_id", "left").join(tagv, "poi_id", "left")
+        dim = 64
+        return j.select("poi_id", sim.multimodal_vector(F.col("image"), F.col("text"), F.col("tags"), dim)
+                        .alias("vector"))
+    QUERIES["multimodal_vector"] = multimodal
+
+    def cf_recs(spark, sf_dir):
+        pos, users, items = _cf_parts(spark, sf_dir)
+        model = rec.cf_train(pos)
+        return rec.cf_recommend(model, users, items, k=10)
+    QUERIES["cf_recommend"] = cf_recs
+
+    def ctr_scores(spark, sf_dir):
+        dwd, pos, users, items = _ctr_parts(spark, sf_dir)
+        neg = inter.negative_samples(pos, users, items, ratio=inter.CTR_NEG_RATIO, seed=2024)
+        feats = inter.item_features(dwd, items)
+        frame = inter.ctr_training_frame(inter.training_set(pos, neg), feats)
+        factors = rec.cf_train(pos)
+        n_d = inter.district_index(feats).count()
+        model = rec.ctr_train(frame, factors, int(n_d))
+        return rec.ctr_score(model, frame, factors)
+    QUERIES["ctr_scores"] = ctr_scores
+
+    for name, sql in SIMILARITY_ORACLE.items():
+        views = [v for v in ("attractions",) if v in sql]
+        ORACLE[name] = fx.with_views(sql, *views) if views else sql
+
+
+_TEXT_PART = ("CASE WHEN {c} IS NULL OR {c} = '' THEN '' "
+              "WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN array_to_string(from_json({c}, '[\"VARCHAR\"]'), ' ') "
+              "WHEN NOT json_valid({c}) THEN {c} ELSE '' END")
+_TAG_LIST = ("CASE WHEN tagNameList IS NULL OR tagNameList = '' THEN ['unknown'] "
+             "WHEN json_valid(tagNameList) AND json_type(tagNameList) = 'ARRAY' THEN "
+             "CASE WHEN len(from_json(tagNameList, '[\"VARCHAR\"]')) = 0 THEN ['unknown'] "
+             "ELSE from_json(tagNameList, '[\"VARCHAR\"]') END ELSE [tagNameList] END")
+SIMILARITY_ORACLE = {
+    "tag_hash_vector": f"""
+WITH toks AS (SELECT poiId AS poi_id, unnest({_TAG_LIST}) AS t FROM attractions),
+counts AS (SELECT poi_id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % 512 AS INTEGER) AS bucket,
+  CAST(count(*) AS DOUBLE) AS n FROM toks GROUP BY 1, 2)
+SELECT poi_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY poi_id)), 6) AS value FROM counts""",
+    "cosine_top_k": """
+WITH u AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+nn AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS nrm FROM u),
+pairs AS (SELECT a.id AS query_id, b.id AS neighbor_id,
+  list_inner_product(a.e, b.e) / ((a.nrm + 1e-9) * (b.nrm + 1e-9)) AS score
+  FROM nn a JOIN nn b ON a.id <> b.id)
+SELECT query_id, rank, neighbor_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS rank FROM pairs)
+WHERE rank <= 10""",
+    "poi_text": f"""
+SELECT poiId AS poi_id, trim(concat_ws('. ', coalesce(poiName, ''), {_TEXT_PART.format(c='shortFeatures')},
+  {_TEXT_PART.format(c='tagNameList')})) AS text FROM attractions""",
+}
+
+_register_similarity()
