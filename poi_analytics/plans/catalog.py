@@ -18,6 +18,9 @@ from ..operators import interactions as inter
 from ..operators import similarity as sim
 from ..functions.jsoncols import poi_text
 from . import recommend as rec
+from ..sinks import writers
+from ..sources import landing
+from ..streaming import ingest as stream
 from ..sources.tables import read_table
 from ..sources import fixtures as fx
 from . import home, pages, screen
@@ -447,3 +450,89 @@ SELECT poiId AS poi_id, trim(concat_ws('. ', coalesce(poiName, ''), {_TEXT_PART.
 }
 
 _register_similarity()
+
+
+# ---- landing, summary and streaming ---------------------------------------------
+
+_CARD_FIELDS = ["poiId", "poiName", "price", "hasVideo", "tagNameList", "districtName", "geo"]
+
+
+def _register_landing() -> None:
+    def cards(spark, sf_dir):
+        a = fx.attractions(spark, sf_dir)
+        body = F.struct("poiId", "poiName", "price", "hasVideo", "tagNameList", "districtName",
+                        F.struct("districtId", "zoneName").alias("geo"))
+        raw = F.when(F.col("poiId") % 2 == 0, F.to_json(F.struct(body.alias("card")))).otherwise(F.to_json(body))
+        return landing.card_flatten(a.select(raw.alias("raw")), "raw", _CARD_FIELDS)
+    QUERIES["card_flatten"] = cards
+
+    QUERIES["crawl_stamp"] = lambda spark, sf_dir: landing.crawl_stamp(
+        fx.attractions(spark, sf_dir).select("poiId", "districtName"), 7, "")
+    QUERIES["crawl_stamp_named"] = lambda spark, sf_dir: landing.crawl_stamp(
+        fx.attractions(spark, sf_dir).select("poiId", "districtName"), 7, "杭州")
+
+    def union_append(spark, sf_dir):
+        old = fx.ods_attractions(spark, sf_dir)
+        new = fx.attractions(spark, sf_dir).select("poiId", "poiName", "heatScore", "districtName")
+        return landing.schema_union_append(old, new)
+    QUERIES["schema_union_append"] = union_append
+
+    QUERIES["summary_home"] = lambda spark, sf_dir: writers.summary_document(
+        home.build_all(fx.attractions(spark, sf_dir)), generated_at="2024-06-01T00:00:00+00:00")
+
+    def stream_ingest(spark, sf_dir):
+        schema = read_table(spark, sf_dir, "events").schema
+        src = stream.event_source(spark, sf_dir, "events.parquet", schema)
+        out = stream.ingest_events(stream.events_to_requests(src), fx.profiles(spark, sf_dir))
+        path = stream.scratch_path(spark, "stream-ingest")
+        stream.run_append(out, path + "/out", path + "/checkpoint")
+        return spark.read.parquet(path + "/out")
+    QUERIES["stream_ingest_events"] = stream_ingest
+
+    def stream_favorites(spark, sf_dir):
+        path = stream.scratch_path(spark, "stream-favorites")
+        fav = _events(spark, sf_dir, "favorite")
+        fav.write.parquet(path + "/in")
+        src = stream.event_source(spark, path + "/in", "*.parquet", spark.read.parquet(path + "/in").schema)
+        stream.run_state(stream.favorite_state_stream(src), path + "/state", path + "/checkpoint")
+        return spark.read.parquet(path + "/state")
+    QUERIES["stream_favorite_state"] = stream_favorites
+
+    for name, sql in LANDING_ORACLE.items():
+        views = [v for v in ("attractions", "ods_attractions", "behaviors", "profiles") if v in sql]
+        ORACLE[name] = fx.with_views(sql, *views) if views else sql
+
+
+_STREAM_REASON = """CASE WHEN kind IS NULL THEN 'unknown_kind'
+    WHEN poi_id IS NULL OR poi_id = 0 THEN 'missing_poi_id'
+    WHEN user_id0 IS NOT NULL AND user_id0 <> 0 AND pid IS NULL THEN 'unknown_user' END"""
+LANDING_ORACLE = {
+    "card_flatten": """
+SELECT CAST(poiId AS VARCHAR) AS poiId, poiName, CAST(price AS VARCHAR) AS price,
+  CAST(hasVideo AS VARCHAR) AS hasVideo, tagNameList, districtName,
+  CAST(json_object('districtId', districtId, 'zoneName', zoneName) AS VARCHAR) AS geo
+FROM attractions""",
+    "crawl_stamp": """
+SELECT poiId, districtName, CAST(7 AS BIGINT) AS crawlDistrictId, districtName AS crawlDistrictName
+FROM attractions""",
+    "crawl_stamp_named": """
+SELECT poiId, districtName, CAST(7 AS BIGINT) AS crawlDistrictId, '杭州' AS crawlDistrictName FROM attractions""",
+    "schema_union_append": """
+SELECT '' AS districtName, '' AS heatScore, marketPrice, poiId, poiName, price, "timestamp" FROM ods_attractions
+UNION ALL
+SELECT coalesce(districtName, NULL), CAST(heatScore AS VARCHAR), '', CAST(poiId AS VARCHAR), poiName, '', ''
+FROM attractions""",
+    "stream_ingest_events": f"""
+WITH r AS (
+  SELECT e.event_id AS id, CASE e.event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'detail' END AS kind,
+    e.user_id AS user_id0, TRY_CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS poi_id, e.ts AS occurred_at,
+    p.id AS pid
+  FROM events e LEFT JOIN profiles p ON e.user_id IS NOT NULL AND e.user_id <> 0 AND p.id = e.user_id)
+SELECT id, kind, pid AS user_id, poi_id,
+  CASE kind WHEN 'click' THEN 'attraction_list' WHEN 'detail' THEN 'detail_page' END AS scene, 'web' AS device,
+  occurred_at, ({_STREAM_REASON}) IS NULL AS accepted, {_STREAM_REASON} AS reject_reason
+FROM r""",
+    "stream_favorite_state": BEHAVIOR_ORACLE["favorite_state"],
+}
+
+_register_landing()
