@@ -173,6 +173,35 @@ WHERE b.kind = '{kind}'"""
 
 
 _DELETED = "(SELECT id FROM profiles WHERE email = '')"
+def _audit_sql() -> str:
+    parts = []
+    for col in ("username", "external_id"):
+        parts.append(f"SELECT 'unique_{col}' AS rule, 'user_profile' AS \"table\", CAST({col} AS VARCHAR) AS key, "
+                     f"CAST(count(*) AS VARCHAR) AS value FROM profiles WHERE {col} IS NOT NULL "
+                     f"GROUP BY {col} HAVING count(*) > 1")
+    genders = ", ".join(f"'{g}'" for g in behavior.GENDERS)
+    parts.append(f"SELECT 'gender_choice', 'user_profile', CAST(id AS VARCHAR), gender FROM profiles "
+                 f"WHERE gender IS NULL OR gender NOT IN ({genders})")
+    for col in ("username", "nickname", "city"):
+        parts.append(f"SELECT 'max_length_{col}', 'user_profile', CAST(id AS VARCHAR), CAST(length({col}) AS VARCHAR) "
+                     f"FROM profiles WHERE length({col}) > {behavior.MAX_LEN[col]}")
+    for kind in behavior.KINDS:
+        t = f"user_{kind}_behavior"
+        ev = f"(SELECT * FROM behaviors WHERE kind = '{kind}')"
+        parts.append(f"SELECT 'fk_user', '{t}', CAST(id AS VARCHAR), CAST(user_id AS VARCHAR) FROM {ev} b "
+                     f"WHERE NOT EXISTS (SELECT 1 FROM profiles p WHERE p.id = b.user_id)")
+        for col in ("scene", "device"):
+            parts.append(f"SELECT 'max_length_{col}', '{t}', CAST(id AS VARCHAR), CAST(length({col}) AS VARCHAR) "
+                         f"FROM {ev} b WHERE length({col}) > {behavior.MAX_LEN[col]}")
+        if kind == "comment":
+            parts.append(f"SELECT 'rating_range', '{t}', CAST(id AS VARCHAR), CAST(rating AS VARCHAR) FROM {ev} b "
+                         f"WHERE rating < 0 OR rating > 5")
+        if kind == "detail":
+            parts.append(f"SELECT 'stay_seconds_nonnegative', '{t}', CAST(id AS VARCHAR), CAST(stay_seconds AS VARCHAR) "
+                         f"FROM {ev} b WHERE stay_seconds < 0")
+    return "\nUNION ALL\n".join(parts)
+
+
 BEHAVIOR_ORACLE = {
     "ingest_click": _ingest_sql("click", "'' AS exposure_id,"),
     "ingest_detail_view": _ingest_sql("detail", "coalesce(b.stay_seconds, 0) AS stay_seconds, b.from_click_id,"),
@@ -224,6 +253,7 @@ checked AS (
            THEN 'invalid_email' END AS reject_reason
   FROM regs r)
 SELECT username, email, password_length, reject_reason IS NULL AS accepted, reject_reason FROM checked""",
+    "constraint_audit": _audit_sql(),
     "behavior_search": """
 SELECT id, username, nickname, city, gender FROM profiles
 WHERE (contains(lower(username), 'customer#00000001') OR contains(lower(nickname), 'customer#00000001')

@@ -78,19 +78,19 @@ def ctr_train(frame: DataFrame, factors: ALSModel, n_districts: int, max_iter: i
 def ctr_score(model: PipelineModel, frame: DataFrame, factors: ALSModel) -> DataFrame:
     """Click probability of each (user, item) row of ``frame``."""
     out = model.transform(ctr_features(frame, factors))
-    return out.select(*frame.columns, vector_to_array("probability")[1].alias("score"))
+    return out.select(*frame.columns, vector_to_array("probability")[1].alias("click_prob"))
 
 
 def ctr_rank(model: PipelineModel, candidates: DataFrame, factors: ALSModel, k: int = 10) -> DataFrame:
     """Rank the given (user, item) candidates per user by click probability, top k."""
     from pyspark.sql import Window
     scored = ctr_score(model, candidates, factors)
-    w = Window.partitionBy("user_idx").orderBy(F.desc("score"), F.asc("item_idx"))
+    w = Window.partitionBy("user_idx").orderBy(F.desc("click_prob"), F.asc("item_idx"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def auc(scored: DataFrame) -> float:
-    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC")
+    ev = BinaryClassificationEvaluator(rawPredictionCol="click_prob", labelCol="label", metricName="areaUnderROC")
     return ev.evaluate(scored)
 
 
