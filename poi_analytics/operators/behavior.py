@@ -128,14 +128,18 @@ def favorite_state(favorites: DataFrame, pairs: DataFrame | None = None) -> Data
 
 def comment_feed(comments: DataFrame, profiles: DataFrame, poi_id: int | None = None) -> DataFrame:
     """Comments with the author's username and nickname, images parsed
-    ('' or null -> []), newest first per poi."""
+    ('' or null -> []).
+
+    For one poi the rows come newest first; the all-poi table is left unsorted
+    (a global sort would add a range shuffle of the whole feed for nothing).
+    """
     c = comments if poi_id is None else comments.where(F.col("poi_id") == F.lit(int(poi_id)))
     p = profiles.select(F.col("id").alias("user_id"), F.col("username").alias("user"), "nickname")
     images = F.from_json(F.when(F.col("image_urls").isNull() | (F.col("image_urls") == ""), F.lit("[]"))
                          .otherwise(F.col("image_urls")), STRING_ARRAY)
-    return (c.join(p, "user_id", "inner")
-            .select("id", "poi_id", "user", "nickname", "rating", "content", images.alias("images"), "occurred_at")
-            .orderBy("poi_id", F.desc("occurred_at"), F.desc("id")))
+    out = (c.join(p, "user_id", "inner")
+           .select("id", "poi_id", "user", "nickname", "rating", "content", images.alias("images"), "occurred_at"))
+    return out if poi_id is None else out.orderBy(F.desc("occurred_at"), F.desc("id"))
 
 
 def detail_from_click(details: DataFrame, clicks: DataFrame) -> DataFrame:

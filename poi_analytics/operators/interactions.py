@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from ..sources.tables import truthy_id
 
 # The weight of each behaviour kind.
@@ -38,25 +39,55 @@ def weighted_interactions(events: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def dense_index(df: DataFrame, col: str, index_col: str) -> DataFrame:
+def weighted_interactions_log(log: DataFrame, kind_col: str = "kind") -> DataFrame:
+    """L1 over one mixed event log (a ``kind`` column): the same rows as
+    ``weighted_interactions`` in a single scan instead of one per kind."""
+    kind = F.col(kind_col)
+    weight = None
+    for k, w in WEIGHTS.items():
+        weight = F.when(kind == k, F.lit(w)) if weight is None else weight.when(kind == k, F.lit(w))
+    keep = (weight.isNotNull() & truthy_id(F.col("user_id")) & truthy_id(F.col("poi_id"))
+            & ((kind != "favorite") | (F.col("is_favorite") == F.lit(True))))
+    return log.where(keep).select(F.col("id").alias("event_id"), F.col("user_id").cast("bigint").alias("user_id"),
+                                  F.col("poi_id").cast("bigint").alias("poi_id"), weight.alias("weight"))
+
+
+def dense_index(df: DataFrame, col: str, index_col: str, partitions: int | None = None) -> DataFrame:
     """Ascending distinct values of ``col`` numbered 0..n-1.
 
-    The distinct values are range-partitioned and sorted by Spark; zipWithIndex
-    numbers them with one pass over the partition sizes.  No single-partition
-    window is involved, so it scales with the number of distinct ids.
+    The distinct values are range-partitioned (``repartitionByRange``) and the
+    partition id is written down with them (checkpointed, so every consumer sees
+    the same split).  Each range partition numbers its values locally; the
+    offset of a partition is the prefix sum of the partition sizes, a table of
+    one row per partition (a proven bound, so it is broadcast).  No
+    single-partition window over the values, and no Python.
     """
     spark = df.sparkSession
-    ordered = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
-    field = ordered.schema[col]
-    rdd = ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1]))
-    return spark.createDataFrame(rdd, f"`{col}` {field.dataType.simpleString()}, `{index_col}` bigint")
-
-
-def indexed_positives(interactions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Positives in index space plus the user and item index tables."""
-    users = dense_index(interactions, "user_id", "user_idx")
-    items = dense_index(interactions, "poi_id", "item_idx")
-    pos = interactions.join(users, "user_id").join(items, "poi_id")
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.select(col).where(F.col(col).isNotNull()).distinct()
+                          .repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id()))
+    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return local.join(F.broadcast(offsets), "_pid").select(
+        col, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(index_col))
+
+
+def indexed_positives(interactions: DataFrame, materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Positives in index space plus the user and item index tables.
+
+    With ``materialize`` the interactions are written to the shared checkpoint
+    folder first, so every later consumer (both index builds, the index joins,
+    negative sampling, the anti join, training) reads files instead of
+    recomputing the source scan, and a lost executor re-reads files instead of
+    replaying the lineage.  The index tables are small and rebuilt from their
+    own checkpointed range split.
+    """
+    src = checkpointed(interactions) if materialize else interactions
+    users = dense_index(src, "user_id", "user_idx")
+    items = dense_index(src, "poi_id", "item_idx")
+    pos = src.join(users, "user_id").join(items, "poi_id")
     return pos, users, items
 
 
@@ -107,9 +138,14 @@ def item_features(dwd: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def zscore(df: DataFrame, cols=("price", "heat", "score"), eps: float = STD_EPS) -> DataFrame:
-    """(x - mean) / (population std + eps); the moments are scalar subqueries."""
-    stats = {c: (df.agg(F.avg(c)).scalar(), df.agg(F.stddev_pop(c)).scalar()) for c in cols}
-    return df.withColumns({c: (F.col(c) - m) / (s + F.lit(eps)) for c, (m, s) in stats.items()})
+    """(x - mean) / (population std + eps).
+
+    All moments come from one aggregate, used as a single scalar subquery.
+    """
+    moments = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                              *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])).scalar()
+    return df.withColumns({c: (F.col(c) - moments.getField(f"m_{c}")) / (moments.getField(f"s_{c}") + F.lit(eps))
+                           for c in cols})
 
 
 def district_index(features: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import round_doubles
+from ..functions.columns import bucketize_sql, round_doubles
+from ..functions.regions import normalize_region_sql
+from ..sources import tables
 from ..operators import behavior, clean, search
 from ..operators import interactions as inter
 from ..operators import similarity as sim
@@ -266,8 +268,8 @@ _register_behavior()
 # ---- interactions for the recommenders ----------------------------------------
 
 def _interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = {k: _events(spark, sf_dir, k) for k in behavior.KINDS}
-    return inter.weighted_interactions(events)
+    # The behaviour view is one mixed log, so the single-scan form applies.
+    return inter.weighted_interactions_log(fx.behaviors(spark, sf_dir))
 
 
 def _cf_parts(spark, sf_dir):
@@ -566,3 +568,47 @@ FROM r""",
 }
 
 _register_landing()
+
+
+# ---- scans and options ------------------------------------------------------------
+
+def _register_scans() -> None:
+    QUERIES["item_feature_scan"] = lambda spark, sf_dir: tables.item_feature_scan(fx.attractions(spark, sf_dir))
+    QUERIES["content_scan"] = lambda spark, sf_dir: tables.content_scan(fx.attractions(spark, sf_dir))
+    QUERIES["behavior_scan"] = lambda spark, sf_dir: tables.behavior_scan(_events(spark, sf_dir, "click"))
+    QUERIES["screen_map_heat_merged"] = lambda spark, sf_dir: screen.screen_map_heat(
+        fx.attractions(spark, sf_dir), merge=True)
+    QUERIES["pages_media_distance_metric"] = lambda spark, sf_dir: pages.pages_media_distance(
+        pages.prepare(fx.attractions(spark, sf_dir), legacy_units=False))
+    QUERIES["summary_screen"] = lambda spark, sf_dir: writers.summary_document(
+        screen.build_all(fx.attractions(spark, sf_dir)), generated_at="2024-06-01T00:00:00+00:00")
+    QUERIES["summary_pages"] = lambda spark, sf_dir: writers.summary_document(
+        pages.build_all(fx.attractions(spark, sf_dir)), generated_at="2024-06-01T00:00:00+00:00")
+    for name, sql in SCAN_ORACLE.items():
+        views = [v for v in ("attractions", "behaviors") if v in sql]
+        ORACLE[name] = fx.with_views(sql, *views)
+
+
+_METRIC_DIST = ("CASE WHEN contains(lower(distanceStr), 'km') "
+                "THEN try_cast(regexp_extract(distanceStr, '([0-9.]+)', 1) AS DOUBLE) "
+                "WHEN contains(lower(distanceStr), 'm') "
+                "THEN try_cast(regexp_extract(distanceStr, '([0-9.]+)', 1) AS DOUBLE) / 1000 "
+                "ELSE try_cast(regexp_extract(distanceStr, '([0-9.]+)', 1) AS DOUBLE) END")
+SCAN_ORACLE = {
+    "item_feature_scan": "SELECT poiId, districtName, price, heatScore, commentScore, tagNameList FROM attractions",
+    "content_scan": """
+SELECT poiId, poiName, shortFeatures, tagNameList, coverImageUrl, detailUrl, districtName, heatScore, commentScore
+FROM attractions WHERE coverImageUrl IS NOT NULL AND coverImageUrl <> ''""",
+    "behavior_scan": """
+SELECT user_id, poi_id FROM behaviors
+WHERE kind = 'click' AND user_id IS NOT NULL AND user_id <> 0 AND poi_id IS NOT NULL AND poi_id <> 0""",
+    "screen_map_heat_merged": f"""
+SELECT {normalize_region_sql('crawlDistrictName')} AS name, count(DISTINCT poiId) AS value FROM attractions
+GROUP BY 1 ORDER BY value DESC, name ASC NULLS FIRST LIMIT {screen.MAP_LIMIT}""",
+    "pages_media_distance_metric": f"""
+SELECT {bucketize_sql('km', pages.DISTANCE_BUCKETS, pages.DISTANCE_DEFAULT)} AS bucket, count(*) AS count,
+  round(avg(heatScore), 4) AS avgHeat
+FROM (SELECT {_METRIC_DIST} AS km, heatScore FROM attractions) WHERE km IS NOT NULL GROUP BY 1""",
+}
+
+_register_scans()

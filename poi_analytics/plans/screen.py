@@ -129,7 +129,8 @@ def screen_top_table(df: DataFrame, limit: int = TOPN) -> DataFrame:
         optional_col(df, "description", DESC_COLUMNS, dtype="string"),
         *_image_inputs(df))
         .orderBy(F.desc_nulls_last("commentScore"), F.asc_nulls_first("poiId"))
-        .limit(limit))
+        .limit(limit)
+        .coalesce(1))  # keeps the top-k as TakeOrderedAndProject below the UDF
     return top.select("poiName", "commentScore", "commentCount", "price", "city", "description",
                       image_url(F.col("primaryImage"), F.col("primaryImageJson")).alias("imageUrl"),
                       "detailUrl")
@@ -147,6 +148,7 @@ def screen_recommendations(df: DataFrame, limit: int = RECOMMEND_LIMIT) -> DataF
         *_image_inputs(df))
         .orderBy(F.desc_nulls_last("score"), F.asc_nulls_first("poiId"))
         .limit(limit)
+        .coalesce(1)  # keeps the top-k as TakeOrderedAndProject below the UDF
         .where(F.col("poiId").isNotNull()))
     return top.select("poiId", "name", F.round("score", 2).alias("score"),
                       image_url(F.col("primaryImage"), F.col("primaryImageJson")).alias("imageUrl"),

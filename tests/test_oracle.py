@@ -26,7 +26,8 @@ def test_entry_runs(spark):
 
 def test_every_query_has_oracle_or_is_listed():
     rows_only = set(queries()) - set(ORACLES)
-    assert rows_only <= {"cf_recommend", "ctr_scores", "multimodal_vector", "summary_home", "text_embeddings"}
+    assert rows_only <= {"cf_recommend", "ctr_scores", "multimodal_vector", "summary_home", "summary_screen",
+                         "summary_pages", "text_embeddings"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
