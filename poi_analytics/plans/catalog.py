@@ -582,8 +582,8 @@ def _register_scans() -> None:
         pages.prepare(fx.attractions(spark, sf_dir), legacy_units=False))
     QUERIES["summary_screen"] = lambda spark, sf_dir: writers.summary_document(
         screen.build_all(fx.attractions(spark, sf_dir)), generated_at="2024-06-01T00:00:00+00:00")
-    QUERIES["summary_pages"] = lambda spark, sf_dir: writers.summary_document(
-        pages.build_all(fx.attractions(spark, sf_dir)), generated_at="2024-06-01T00:00:00+00:00")
+    QUERIES["summary_pages"] = lambda spark, sf_dir: writers.summary_rows(
+        pages.build_all(fx.attractions(spark, sf_dir)))
     for name, sql in SCAN_ORACLE.items():
         views = [v for v in ("attractions", "behaviors") if v in sql]
         ORACLE[name] = fx.with_views(sql, *views)

@@ -15,6 +15,11 @@ HOME_DESC_COLUMNS = ["shortDesc", "description", "shortFeatures"]
 HOME_PRICE_BUCKETS = [("<=", 0, "免费"), ("<", 100, "0-99"), ("<", 200, "100-199"), ("<", 300, "200-299")]
 HOME_PRICE_DEFAULT = "300+"
 
+# Every input column the home marts may read (missing ones are simply absent).
+INPUT_COLUMNS = sorted({"poiId", "poiName", "price", "heatScore", "commentScore", "commentCount", "categoryType",
+                        "tagName", "timestamp", "crawlDistrictName", "districtName", *TAG_COLUMNS,
+                        *HOME_IMAGE_COLUMNS, *HOME_DETAIL_COLUMNS, *HOME_DESC_COLUMNS})
+
 TOPN = 8
 CATEGORY_LIMIT = 10
 TREND_LIMIT = 12

@@ -21,6 +21,12 @@ SCREEN_PRICE_DEFAULT = "500+"
 HIGH_SCORE = 4.5
 TOP_SCORE_LABEL = "5分+"
 
+# Every input column the screen marts may read (missing ones are simply absent).
+INPUT_COLUMNS = sorted({"poiId", "poiName", "commentScore", "commentCount", "heatScore", "timestamp",
+                        "provinceName", "crawlDistrictName", "categoryName", "categoryType", "tagName",
+                        *DETAIL_COLUMNS, *CITY_COLUMNS, *DESC_COLUMNS, *PRICE_COLUMNS,
+                        *IMAGE_COLUMNS, *IMAGE_JSON_COLUMNS})
+
 TOPN = 10
 MAP_LIMIT = 34
 WORD_CLOUD_LIMIT = 60

@@ -49,12 +49,26 @@ def write_mart(df: DataFrame, target: str, schema: StructType | None = None, as_
         w.save(target)
 
 
+def summary_rows(marts: Mapping[str, DataFrame]) -> DataFrame:
+    """B3, distributed form: one (mart, row) line per mart row, the row as JSON.
+
+    Nothing is folded, so it holds for marts of any size.
+    """
+    out = None
+    for key, df in marts.items():
+        rows = df.select(F.lit(key).alias("mart"), F.to_json(F.struct(*df.columns)).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def summary_document(marts: Mapping[str, DataFrame], generated_at=None) -> DataFrame:
     """One row: ``generatedAt`` plus every mart as a JSON array under its key.
 
-    Each mart is folded to one (key, json) row by a global aggregate (marts are
-    bounded by their limits or by low-cardinality groups); the rows are unioned
-    and folded again into one map - no cross join, no driver round trip.
+    Each mart is folded into one JSON array inside one task, so this form is
+    for the marts' bounded outputs (top-k limits, bucket labels, small
+    categorical groups); ``summary_rows`` is the form for anything larger.
+    The folded rows are unioned and folded again into one map - no cross
+    join, no driver round trip.
     """
     parts = None
     for key, df in marts.items():

@@ -186,3 +186,58 @@ def test_embed_batch_whole_text(spark):
     v = [np.array(r[0]) for r in df.select(recommend.embed_batch(F.col("t"))).collect()]
     assert not np.allclose(v[0], v[1])  # a token past any 77-token window still counts
     assert abs(np.linalg.norm(v[0]) - 1) < 1e-5
+
+
+def test_mart_job_and_layers(spark, sf_dir):
+    from poi_analytics.plans import jobs
+    d = tempfile.mkdtemp(prefix="jobs-")
+    jobs.build_dwd(fx.ods_attractions(spark, sf_dir), d + "/dwd", repartition=2)
+    dwd = spark.read.parquet(d + "/dwd")
+    assert dwd.count() == clean.clean(fx.ods_attractions(spark, sf_dir)).count()
+    a = fx.attractions(spark, sf_dir)
+    targets = jobs.run_marts(a, "pages", d + "/marts")
+    assert len(targets) == len(pages.BUILDERS)
+    got = sorted(map(tuple, spark.read.parquet(targets["pages_filter_city"]).collect()))
+    want = sorted(map(tuple, pages.pages_filter_city(pages.prepare(a)).collect()))
+    assert got == want
+    jobs.run_summary(a, "home", d + "/summary")
+    rows = spark.read.json(d + "/summary")
+    assert rows.select("mart").distinct().count() == len(home.BUILDERS)
+
+
+def test_factor_and_model_writes(spark):
+    from pyspark.ml.recommendation import ALSModel
+    d = tempfile.mkdtemp(prefix="factors-")
+    rows = [(u * 10 + i, u, i, 1.0) for u in range(20) for i in range(5)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, poi_id long, weight double")
+    pos, users, items = inter.indexed_positives(df)
+    model = recommend.cf_train(pos, rank=4, max_iter=2)
+    writers.write_factors(model.itemFactors, d + "/items")
+    writers.save_model(model, d + "/als")
+    assert spark.read.parquet(d + "/items").count() == 5
+    assert ALSModel.load(d + "/als").rank == 4
+
+
+def test_account_view_and_decimals(spark):
+    from poi_analytics.functions.columns import decimals_to_double
+    acc = spark.createDataFrame([(1, "u", "e")], "id long, username string, email string")
+    assert behavior.account_view(acc).columns == behavior.ACCOUNT_FIELDS
+    dec = spark.createDataFrame([(1,)], "x int").selectExpr("CAST(1.25 AS DECIMAL(10,2)) AS p", "x")
+    out = decimals_to_double(dec)
+    assert dict(out.dtypes) == {"p": "double", "x": "int"} and out.first().p == 1.25
+
+
+def test_stream_ingest_resumes_from_checkpoint(spark, sf_dir):
+    from poi_analytics.streaming import ingest as stream
+    base = stream.scratch_path(spark, "resume")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev.where("event_id % 2 = 0").write.mode("append").parquet(base + "/in")
+    src = lambda: stream.event_source(spark, base + "/in", "*.parquet", ev.schema)
+    prof = fx.profiles(spark, sf_dir)
+    stream.run_append(stream.ingest_events(stream.events_to_requests(src()), prof), base + "/out", base + "/ck")
+    first = spark.read.parquet(base + "/out").count()
+    ev.where("event_id % 2 = 1").write.mode("append").parquet(base + "/in")
+    stream.run_append(stream.ingest_events(stream.events_to_requests(src()), prof), base + "/out", base + "/ck")
+    total = spark.read.parquet(base + "/out")
+    assert first == ev.where("event_id % 2 = 0").count()
+    assert total.count() == ev.count() and total.select("id").distinct().count() == ev.count()
