@@ -91,3 +91,23 @@ def test_presence_helpers(spark):
                     first_http(df, ["other", "coverImageUrl"]).alias("h"),
                     optional_col(df, "d", ["nope"], default="zz")).first()
     assert (row.c, row.h, row.d) == ("y", "http://x", "zz")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(-1000, 1000, allow_nan=False)), min_size=1, max_size=30))
+def test_bucketize_matches_python_rule(spark, values):
+    rules = [("<=", 0, "free"), ("<", 100, "a"), ("<", 200, "b"), ("<", 500, "c")]
+
+    def py(v):
+        if v is None:
+            return "top"
+        for op, bound, label in rules:
+            if (op == "<=" and v <= bound) or (op == "<" and v < bound):
+                return label
+        return "top"
+    got = _col(spark, values, "double", lambda c: bucketize(c, rules, "top"))
+    assert got == [py(v) for v in values]
