@@ -1,12 +1,13 @@
 """Vector and tag similarity.
 
 Vectors are ``array<double>`` columns.  Normalization and concatenation are
-native higher-order functions.  Exact top-k cosine neighbours are computed in
-blocks: queries and candidates are hashed into blocks, each (query block,
-candidate block) pair meets in one cogroup task that multiplies the two
-matrices with numpy and keeps only each query's best ``k``; a per-query
-WindowGroupLimit merges the partial lists.  No pair is ever emitted as a row,
-and the task size is set by the block count, not by the data.
+native higher-order functions.  Exact top-k by dot product (cosine after
+normalization, or factor scores) is computed in blocks: queries and
+candidates are hashed into blocks, each (query block, candidate block) pair
+meets in one cogroup task that multiplies the two matrices with numpy and
+keeps only each query's best ``k``; a per-query WindowGroupLimit merges the
+partial lists.  No pair is ever emitted as a row, no cross join is planned,
+and the task size is set by the block sizes, not by the data.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def multimodal_vector(image: Column, text: Column, tags: Column, dim: int) -> Co
     return l2_normalize(F.concat(img, l2_normalize(text), tags))
 
 
-def _block_topk(k: int):
+def _block_topk(k: int, exclude_self: bool):
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []})
@@ -91,7 +92,8 @@ def _block_topk(k: int):
         qid = q["id"].to_numpy()
         cid = c["id"].to_numpy()
         s = qv @ cv.T
-        s[qid[:, None] == cid[None, :]] = -np.inf
+        if exclude_self:
+            s[qid[:, None] == cid[None, :]] = -np.inf
         kk = min(k, cv.shape[0])
         # threshold = each row's kk-th best score; keep every candidate at or
         # above it so ties are resolved by the final (score, id) order.
@@ -101,30 +103,44 @@ def _block_topk(k: int):
     return run
 
 
+def _blocks_for(df: DataFrame) -> int:
+    return max(1, math.ceil(df.count() / TARGET_BLOCK_ROWS))
+
+
+def top_k_dot(queries: DataFrame, candidates: DataFrame, k: int = 10, exclude_self: bool = False,
+              blocks: tuple[int, int] | None = None) -> DataFrame:
+    """Exact top-k candidates per query by dot product; inputs are (id, v array<double>).
+
+    Queries and candidates are hashed into blocks; every (query block,
+    candidate block) pair meets in one cogroup task that multiplies the two
+    matrices and keeps each query's best ``k`` (ties kept); a per-query
+    WindowGroupLimit merges the partial lists.  Each candidate row is shipped
+    once per query block and each query row once per candidate block; no pair
+    is ever a row.  Output: query_id, rank (1..k), neighbor_id, score.
+    """
+    if blocks is None:
+        blocks = (_blocks_for(queries), _blocks_for(candidates))
+    qb, cb = blocks
+    qx = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"),
+                        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
+    cx = candidates.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(cb)).alias("cb"),
+                           F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    partial = (qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb"))
+               .applyInPandas(_block_topk(k, exclude_self), "query_id long, neighbor_id long, score double"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("neighbor_id"))
+    return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id", "score"))
+
+
 def cosine_top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
                  queries: DataFrame | None = None, blocks: tuple[int, int] | None = None) -> DataFrame:
     """Exact top-k cosine neighbours (self excluded) of every query.
 
     ``queries`` (a frame with ``id_col``) defaults to every vector.  Vectors are
-    normalized with +1e-9 as in the source.  ``blocks`` = (query blocks,
-    candidate blocks); by default about ``TARGET_BLOCK_ROWS`` rows per block.
-    Output: query_id, rank (1..k), neighbor_id, score.
+    normalized with +1e-9 as in the source, then ranked by ``top_k_dot``.
     """
     unit = vectors.select(F.col(id_col).alias("id"),
                           l2_normalize(as_double_array(F.col(vec_col)), NORM_EPS).alias("v"))
     q = unit if queries is None else unit.join(
         queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    if blocks is None:
-        n = vectors.count()
-        nb = max(1, math.ceil(n / TARGET_BLOCK_ROWS))
-        blocks = (nb, nb)
-    qb, cb = blocks
-    qx = q.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"),
-                  F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
-    cx = unit.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(cb)).alias("cb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    partial = (qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb"))
-               .applyInPandas(_block_topk(k), "query_id long, neighbor_id long, score double"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("neighbor_id"))
-    return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id", "score"))
+    return top_k_dot(q, unit, k=k, exclude_self=True, blocks=blocks)

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ..operators.similarity import as_double_array, top_k_dot
+
 CF_RANK = 32
 CF_ITERATIONS = 5
 CTR_HIDDEN = (64, 32)
@@ -42,17 +44,20 @@ def cf_train(positives: DataFrame, rank: int = CF_RANK, max_iter: int = CF_ITERA
 
 
 def cf_recommend(model: ALSModel, users: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
-    """Top-k items per requested user by factor dot product.
+    """Top-k items per requested user by factor dot product (ties by item).
 
     ``users`` holds (user_id, user_idx) of the requested known users; unknown
     users have no index and so get nothing.  Seen items are not excluded.
+    Scored with the blocked ``top_k_dot`` over the factor tables (exact, like
+    ALS's own recommendForUserSubset, but without its cross join of blocks).
     """
-    recs = model.recommendForUserSubset(users.select("user_idx"), k)
-    exploded = recs.select("user_idx", F.posexplode("recommendations").alias("pos", "r"))
-    return (exploded.join(users, "user_idx")
-            .join(items, exploded["r.item_idx"] == items["item_idx"])
-            .select("user_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "poi_id",
-                    F.col("r.rating").cast("double").alias("score")))
+    uf = model.userFactors.join(users.select(F.col("user_idx").alias("id")).distinct(), "id", "left_semi")
+    q = uf.select("id", as_double_array(F.col("features")).alias("v"))
+    c = model.itemFactors.select("id", as_double_array(F.col("features")).alias("v"))
+    top = top_k_dot(q, c, k=k)
+    return (top.join(users, top["query_id"] == users["user_idx"])
+            .join(items, top["neighbor_id"] == items["item_idx"])
+            .select("user_id", "rank", "poi_id", "score"))
 
 
 def ctr_features(frame: DataFrame, model: ALSModel) -> DataFrame:

@@ -250,3 +250,14 @@ def test_stream_ingest_resumes_from_checkpoint(spark, sf_dir):
     total = spark.read.parquet(base + "/out")
     assert first == ev.where("event_id % 2 = 0").count()
     assert total.count() == ev.count() and total.select("id").distinct().count() == ev.count()
+
+
+def test_no_cross_joins_or_row_udfs_in_any_plan(spark, sf_dir):
+    jvm = spark._jvm
+    bad = []
+    for name, q in sorted(queries().items()):
+        text = jvm.PythonSQLUtils.explainString(q(spark, sf_dir)._jdf.queryExecution(), "formatted")
+        hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if k in text]
+        if hits:
+            bad.append((name, hits))
+    assert bad == []
