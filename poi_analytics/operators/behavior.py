@@ -177,17 +177,24 @@ def account_view(accounts: DataFrame) -> DataFrame:
 def profile_get_or_create(profiles: DataFrame, accounts: DataFrame) -> DataFrame:
     """K7: every account username gets a profile; existing profiles are unchanged.
 
-    New profiles take the account email ('' when missing) and a null id (the
-    table assigns ids on write); the demo user gets its nickname.
+    New profiles take the account email ('' when missing) and ids after the
+    largest existing id, in username order (a distributed dense index plus a
+    scalar-subquery offset); the demo user gets its nickname.
     """
+    from .interactions import dense_index
+
     new = (accounts.select("username", F.coalesce(F.col("email"), F.lit("")).alias("email"))
-           .dropDuplicates(["username"])
-           .join(profiles.select("username"), "username", "left_anti")
-           .select(F.lit(None).cast("bigint").alias("id"), "username",
-                   F.when(F.col("username") == DEMO_USERNAME, F.lit(DEMO_NICKNAME)).otherwise(F.lit(""))
-                   .alias("nickname"), "email", F.lit("unknown").alias("gender"), F.lit("").alias("city")))
+           .where(F.col("username").isNotNull() & (F.col("username") != ""))
+           .groupBy("username").agg(F.min("email").alias("email"))
+           .join(profiles.select("username"), "username", "left_anti"))
+    start = profiles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    numbered = new.join(dense_index(new, "username", "_n"), "username")
+    created = numbered.select(
+        (start + F.col("_n") + 1).cast("bigint").alias("id"), "username",
+        F.when(F.col("username") == DEMO_USERNAME, F.lit(DEMO_NICKNAME)).otherwise(F.lit("")).alias("nickname"),
+        "email", F.lit("unknown").alias("gender"), F.lit("").alias("city"))
     base = profiles.select("id", "username", "nickname", "email", "gender", "city")
-    return base.unionByName(new)
+    return base.unionByName(created)
 
 
 def profile_update(profiles: DataFrame, updates: DataFrame, partial: bool = True) -> DataFrame:

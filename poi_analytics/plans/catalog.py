@@ -132,6 +132,26 @@ def _register_behavior() -> None:
     QUERIES["set_null_on_delete"] = set_null
     QUERIES["profile_view"] = lambda spark, sf_dir: behavior.profile_view(fx.profiles(spark, sf_dir))
 
+    def get_or_create(spark, sf_dir):
+        # Accounts: every supplier signs up (new), every customer logs in again (existing).
+        sup = read_table(spark, sf_dir, "supplier").select(
+            F.col("s_name").alias("username"),
+            F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@example.com")).alias("email"))
+        cus = read_table(spark, sf_dir, "customer").select(F.col("c_name").alias("username"),
+                                                           F.lit(None).cast("string").alias("email"))
+        return behavior.profile_get_or_create(fx.profiles(spark, sf_dir), sup.unionByName(cus))
+    QUERIES["profile_get_or_create"] = get_or_create
+
+    def updates(spark, sf_dir):
+        # Each customer's profile takes its market segment as city; nickname not sent.
+        return read_table(spark, sf_dir, "customer").select(
+            F.col("c_name").alias("username"), F.lit(None).cast("string").alias("nickname"),
+            F.lower("c_mktsegment").alias("city"))
+    QUERIES["profile_update_partial"] = lambda spark, sf_dir: behavior.profile_update(
+        fx.profiles(spark, sf_dir), updates(spark, sf_dir), partial=True)
+    QUERIES["profile_update_full"] = lambda spark, sf_dir: behavior.profile_update(
+        fx.profiles(spark, sf_dir), updates(spark, sf_dir), partial=False)
+
     def registrations(spark, sf_dir):
         sup = read_table(spark, sf_dir, "supplier").select(
             F.col("s_name").alias("username"),
@@ -256,6 +276,30 @@ checked AS (
   FROM regs r)
 SELECT username, email, password_length, reject_reason IS NULL AS accepted, reject_reason FROM checked""",
     "constraint_audit": _audit_sql(),
+    "profile_get_or_create": """
+WITH accounts AS (
+  SELECT s_name AS username, 's' || CAST(s_suppkey AS VARCHAR) || '@example.com' AS email FROM supplier
+  UNION ALL SELECT c_name, CAST(NULL AS VARCHAR) FROM customer),
+new AS (
+  SELECT username, min(coalesce(email, '')) AS email FROM accounts
+  WHERE username IS NOT NULL AND username <> '' AND username NOT IN (SELECT username FROM profiles)
+  GROUP BY username)
+SELECT id, username, nickname, email, gender, city FROM profiles
+UNION ALL
+SELECT CAST((SELECT coalesce(max(id), 0) FROM profiles) + row_number() OVER (ORDER BY username) AS BIGINT),
+  username, CASE WHEN username = 'demo_user' THEN '体验用户' ELSE '' END, email, 'unknown', ''
+FROM new""",
+    "profile_update_partial": """
+SELECT p.id, p.external_id, p.username, coalesce(u.nickname, p.nickname) AS nickname, p.email, p.gender,
+  coalesce(u.city, p.city) AS city
+FROM profiles p LEFT JOIN (SELECT c_name AS username, CAST(NULL AS VARCHAR) AS nickname,
+  lower(c_mktsegment) AS city FROM customer) u ON u.username = p.username""",
+    "profile_update_full": """
+SELECT p.id, p.external_id, p.username,
+  CASE WHEN u.username IS NOT NULL THEN coalesce(u.nickname, '') ELSE p.nickname END AS nickname, p.email, p.gender,
+  CASE WHEN u.username IS NOT NULL THEN coalesce(u.city, '') ELSE p.city END AS city
+FROM profiles p LEFT JOIN (SELECT c_name AS username, CAST(NULL AS VARCHAR) AS nickname,
+  lower(c_mktsegment) AS city FROM customer) u ON u.username = p.username""",
     "behavior_search": """
 SELECT id, username, nickname, city, gender FROM profiles
 WHERE (contains(lower(username), 'customer#00000001') OR contains(lower(nickname), 'customer#00000001')

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..operators.similarity import as_double_array, top_k_dot
+from ..session import checkpoint_dir
 
 CF_RANK = 32
 CF_ITERATIONS = 5
@@ -35,11 +36,16 @@ SEED = 42
 
 def cf_train(positives: DataFrame, rank: int = CF_RANK, max_iter: int = CF_ITERATIONS,
              reg: float = 0.1, alpha: float = 1.0, seed: int = SEED) -> ALSModel:
-    """Implicit ALS on (user_idx, item_idx, summed weight)."""
+    """Implicit ALS on (user_idx, item_idx, summed weight).
+
+    ALS checkpoints its factor lineage every few iterations into the shared
+    checkpoint folder, so a lost executor does not replay every iteration.
+    """
+    checkpoint_dir(positives.sparkSession)
     ratings = positives.groupBy("user_idx", "item_idx").agg(F.sum("weight").alias("weight"))
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
               userCol="user_idx", itemCol="item_idx", ratingCol="weight", seed=seed,
-              coldStartStrategy="drop", nonnegative=False)
+              coldStartStrategy="drop", nonnegative=False, checkpointInterval=2)
     return als.fit(ratings)
 
 
