@@ -570,8 +570,8 @@ def _register_landing() -> None:
         fav = _events(spark, sf_dir, "favorite")
         fav.write.parquet(path + "/in")
         src = stream.event_source(spark, path + "/in", "*.parquet", spark.read.parquet(path + "/in").schema)
-        stream.run_state(stream.favorite_state_stream(src), path + "/state", path + "/checkpoint")
-        return spark.read.parquet(path + "/state")
+        stream.run_state_updates(stream.favorite_state_stream(src), path + "/state", path + "/checkpoint")
+        return stream.latest_state(spark, path + "/state", ["user_id", "poi_id"])
     QUERIES["stream_favorite_state"] = stream_favorites
 
     for name, sql in LANDING_ORACLE.items():

@@ -94,13 +94,26 @@ def run_append(df: DataFrame, output: str, checkpoint: str) -> str:
     return output
 
 
-def run_state(df: DataFrame, output: str, checkpoint: str) -> str:
-    """Run an aggregating stream (complete mode) whose every micro-batch
-    overwrites the state table at ``output`` from the executors."""
+def run_state_updates(df: DataFrame, output: str, checkpoint: str) -> str:
+    """Run an aggregating stream in update mode: each micro-batch appends only
+    the keys it changed, under ``epoch=N`` of ``output``.
+
+    A retried epoch overwrites its own partition (idempotent); nothing else is
+    rewritten, so a batch costs what it changed, not the size of the state.
+    ``latest_state`` reads the current value per key.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(output)
+        batch.write.mode("overwrite").parquet(f"{output.rstrip('/')}/epoch={epoch}")
 
-    q = (df.writeStream.outputMode("complete").foreachBatch(write)
+    q = (df.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return output
+
+
+def latest_state(spark: SparkSession, output: str, keys: list[str]) -> DataFrame:
+    """The current state per key: the row from the highest epoch that changed it."""
+    log = spark.read.parquet(output)
+    values = [c for c in log.columns if c not in keys and c != "epoch"]
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("epoch")).alias("_v"))
+    return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])

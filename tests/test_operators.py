@@ -261,3 +261,19 @@ def test_no_cross_joins_or_row_udfs_in_any_plan(spark, sf_dir):
         if hits:
             bad.append((name, hits))
     assert bad == []
+
+
+def test_favorite_state_stream_updates_across_batches(spark, sf_dir):
+    from poi_analytics.streaming import ingest as stream
+    base = stream.scratch_path(spark, "fav-updates")
+    fav = behavior.event_table(fx.behaviors(spark, sf_dir), "favorite").cache()
+    cut = fav.approxQuantile("id", [0.5], 0.0)[0]
+    fav.where(F.col("id") <= cut).write.mode("append").parquet(base + "/in")
+    src = lambda: stream.event_source(spark, base + "/in", "*.parquet", fav.schema)
+    stream.run_state_updates(stream.favorite_state_stream(src()), base + "/state", base + "/ck")
+    fav.where(F.col("id") > cut).write.mode("append").parquet(base + "/in")
+    stream.run_state_updates(stream.favorite_state_stream(src()), base + "/state", base + "/ck")
+    got = sorted(map(tuple, stream.latest_state(spark, base + "/state", ["user_id", "poi_id"]).collect()))
+    want = sorted(map(tuple, behavior.favorite_state(fav).collect()))
+    assert got == want
+    fav.unpersist()
