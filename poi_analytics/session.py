@@ -11,6 +11,25 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings for a large cluster (hundreds of executors, tens of TB per job).
+# Shuffle partitions start high and AQE coalesces them to ~256 MB each, so no
+# reducer spills for lack of memory and small stages do not pay for 20k tasks.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "poi_analytics") -> SparkSession:
     """Local session with AQE on, the UI off and a UTC clock."""
