@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucketize, bucketize_sql, coalesce_present, first_present, resolve
+from ..functions.columns import bucketize, bucketize_sql, coalesce_present, first_present, optional_col, resolve
 from ..functions.jsoncols import TAG_COLUMNS, event_date, tag_tokens
 
 # Home candidate columns and price buckets.
@@ -90,7 +90,9 @@ def home_recent_trend(df: DataFrame, per_city: int = PER_CITY) -> DataFrame:
     """
     city = city_column(df)
     w = Window.partitionBy(city).orderBy(F.desc_nulls_last("commentScore"), F.asc_nulls_first("poiId"))
-    return (df.select(city, "poiId", "poiName", "commentScore", "commentCount", "price")
+    return (df.select(city, "poiId", "poiName", "commentScore",
+                      optional_col(df, "commentCount", ["commentCount"], dtype="bigint"),
+                      optional_col(df, "price", ["price"], dtype="double"))
             .withColumn("rn", F.row_number().over(w))
             .where(F.col("rn") <= per_city)
             .select(F.col(city).alias("city"), "poiName", "commentScore",

@@ -111,3 +111,16 @@ def test_bucketize_matches_python_rule(spark, values):
         return "top"
     got = _col(spark, values, "double", lambda c: bucketize(c, rules, "top"))
     assert got == [py(v) for v in values]
+
+
+def test_top_n_ties_break_by_id(spark):
+    from poi_analytics.plans import home
+    rows = [(i, f"p{i}", 5.0, 1.0, 9.0 if i in (3, 7, 11) else 1.0, "c") for i in range(20)]
+    df = spark.createDataFrame(rows, "poiId long, poiName string, commentScore double, price double, "
+                                     "heatScore double, crawlDistrictName string")
+    top = [r.poiId for r in home.home_featured(df, limit=4).collect()]
+    assert top == [3, 7, 11, 0]
+    per_city = [r.poiName for r in home.home_recent_trend(df, per_city=3).collect()]
+    assert sorted(per_city) == ["p0", "p1", "p2"]
+    cloud = [r.name for r in screen.screen_word_cloud(df.drop("crawlDistrictName"), limit=5).collect()]
+    assert cloud == ["p3", "p7", "p11", "p0", "p1"]
