@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TAG_BUCKETS = 512
+TEXT_DIM = 64
+TOKEN_SPLIT = r"[ \t\n\r]+"
 UNKNOWN_TAG = "unknown"
 NORM_EPS = 1e-9
 TARGET_BLOCK_ROWS = 50_000
@@ -69,11 +71,39 @@ def tag_hash_vector(df: DataFrame, id_col: str = "poiId", tag_col: str = "tagNam
     return counts.select("poi_id", "bucket", (F.col("n") / norm).alias("value"))
 
 
-def dense_tag_vector(sparse: DataFrame, buckets: int = TAG_BUCKETS) -> DataFrame:
-    """(poi_id, array<double>[buckets]) from the sparse rows (one group per poi)."""
+def dense_vector(sparse: DataFrame, size: int, out_col: str) -> DataFrame:
+    """(poi_id, array<double>[size]) from sparse (poi_id, bucket, value) rows.
+
+    One group per poi, holding at most ``size`` entries (a fixed bound)."""
     m = sparse.groupBy("poi_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
-    return m.select("poi_id", F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)),
-                                          lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("tags"))
+    return m.select("poi_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
+                                          lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias(out_col))
+
+
+def dense_tag_vector(sparse: DataFrame, buckets: int = TAG_BUCKETS) -> DataFrame:
+    """(poi_id, tags array<double>[buckets]) from the sparse tag rows."""
+    return dense_vector(sparse, buckets, "tags")
+
+
+def token_bucket(tok: Column, dim: int) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+
+
+def token_sign(tok: Column) -> Column:
+    bit = F.pmod(F.conv(F.substring(F.md5(tok), 9, 2), 16, 10).cast("bigint"), F.lit(2))
+    return F.when(bit == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def hashed_text_vector(df: DataFrame, id_col: str, text_col: str, dim: int = TEXT_DIM) -> DataFrame:
+    """Signed feature hashing of the whole text: sparse L2-normalized
+    (poi_id, bucket, value) rows; tokens are lower-cased whitespace runs."""
+    toks = (df.select(F.col(id_col).alias("poi_id"),
+                      F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT)).alias("tok"))
+            .where(F.col("tok") != ""))
+    counts = toks.groupBy("poi_id", token_bucket(F.col("tok"), dim).alias("bucket")).agg(
+        F.sum(token_sign(F.col("tok"))).alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("poi_id")))
+    return counts.select("poi_id", "bucket", F.when(norm > 0, F.col("n") / norm).otherwise(F.lit(0.0)).alias("value"))
 
 
 def multimodal_vector(image: Column, text: Column, tags: Column, dim: int) -> Column:

@@ -466,14 +466,15 @@ def _register_similarity() -> None:
 
     def multimodal(spark, sf_dir):
         a = fx.attractions(spark, sf_dir)
+        ids = a.select(F.col("poiId").alias("poi_id"))
         emb = read_table(spark, sf_dir, "embeddings").select(
             F.col("vec_id").alias("poi_id"), sim.as_double_array(F.col("embedding")).alias("image"))
-        txt = text_embeddings(spark, sf_dir).select("poi_id", sim.as_double_array(F.col("vector")).alias("text"))
+        txt = sim.dense_vector(sim.hashed_text_vector(text(spark, sf_dir), "poi_id", "text"), sim.TEXT_DIM, "text")
         tagv = sim.dense_tag_vector(sim.tag_hash_vector(a))
-        j = txt.join(emb, "poi_id", "left").join(tagv, "poi_id", "left")
-        dim = 64
-        return j.select("poi_id", sim.multimodal_vector(F.col("image"), F.col("text"), F.col("tags"), dim)
-                        .alias("vector"))
+        j = ids.join(emb, "poi_id", "left").join(txt, "poi_id", "left").join(tagv, "poi_id", "left")
+        zeros = F.array_repeat(F.lit(0.0), sim.TEXT_DIM)
+        vec = sim.multimodal_vector(F.col("image"), F.coalesce(F.col("text"), zeros), F.col("tags"), 64)
+        return j.select("poi_id", F.transform(vec, lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector"))
     QUERIES["multimodal_vector"] = multimodal
 
     def cf_recs(spark, sf_dir):
@@ -505,6 +506,15 @@ _TAG_LIST = ("CASE WHEN tagNameList IS NULL OR tagNameList = '' THEN ['unknown']
              "WHEN json_valid(tagNameList) AND json_type(tagNameList) = 'ARRAY' THEN "
              "CASE WHEN len(from_json(tagNameList, '[\"VARCHAR\"]')) = 0 THEN ['unknown'] "
              "ELSE from_json(tagNameList, '[\"VARCHAR\"]') END ELSE [tagNameList] END")
+_ZEROS64 = "list_transform(range(64), lambda k: CAST(0.0 AS DOUBLE))"
+
+
+def _dense_sql(src: str, size: int) -> str:
+    return (f"SELECT poi_id, list_transform(range({size}), lambda i: coalesce(list_sum(list_transform("
+            f"list_filter(e, lambda x: x.bucket = i), lambda x: x.value)), CAST(0.0 AS DOUBLE))) AS v "
+            f"FROM (SELECT poi_id, list({{'bucket': bucket, 'value': value}}) AS e FROM {src} GROUP BY poi_id)")
+
+
 SIMILARITY_ORACLE = {
     "tag_hash_vector": f"""
 WITH toks AS (SELECT poiId AS poi_id, unnest({_TAG_LIST}) AS t FROM attractions),
@@ -520,6 +530,34 @@ pairs AS (SELECT a.id AS query_id, b.id AS neighbor_id,
 SELECT query_id, rank, neighbor_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS rank FROM pairs)
 WHERE rank <= 10""",
+    "multimodal_vector": f"""
+WITH txt AS (SELECT poiId AS poi_id, trim(concat_ws('. ', coalesce(poiName, ''), {_TEXT_PART.format(c='shortFeatures')},
+  {_TEXT_PART.format(c='tagNameList')})) AS text FROM attractions),
+ttok AS (SELECT poi_id, unnest(string_split_regex(lower(text), '[ \t\n\r]+')) AS tok FROM txt),
+tcnt AS (SELECT poi_id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket,
+  sum(CASE WHEN ('0x' || substr(md5(tok), 9, 2))::BIGINT % 2 = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(-1.0 AS DOUBLE) END) AS n
+  FROM ttok WHERE tok <> '' GROUP BY 1, 2),
+tsp AS (SELECT poi_id, bucket, CASE WHEN nrm > 0 THEN n / nrm ELSE CAST(0.0 AS DOUBLE) END AS value
+  FROM (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY poi_id)) AS nrm FROM tcnt)),
+tg AS (SELECT poiId AS poi_id, unnest({_TAG_LIST}) AS t FROM attractions),
+gcnt AS (SELECT poi_id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % 512 AS INTEGER) AS bucket,
+  CAST(count(*) AS DOUBLE) AS n FROM tg GROUP BY 1, 2),
+gsp AS (SELECT poi_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY poi_id)) AS value FROM gcnt),
+tden AS ({_dense_sql('tsp', 64)}),
+gden AS ({_dense_sql('gsp', 512)}),
+img AS (SELECT vec_id AS poi_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+j AS (SELECT a.poiId AS poi_id, i.e AS image, coalesce(t.v, {_ZEROS64}) AS text, g.v AS tags
+  FROM attractions a LEFT JOIN img i ON i.poi_id = a.poiId LEFT JOIN tden t ON t.poi_id = a.poiId
+  LEFT JOIN gden g ON g.poi_id = a.poiId),
+n1 AS (SELECT *, sqrt(list_sum(list_transform(image, lambda x: x * x))) AS ni,
+  sqrt(list_sum(list_transform(text, lambda x: x * x))) AS nt FROM j),
+n2 AS (SELECT poi_id,
+  coalesce(CASE WHEN ni = 0 THEN image ELSE list_transform(image, lambda x: x / ni) END, {_ZEROS64}) AS img,
+  CASE WHEN nt = 0 THEN text ELSE list_transform(text, lambda x: x / nt) END AS txt, tags FROM n1),
+c AS (SELECT poi_id, list_concat(list_concat(img, txt), tags) AS v FROM n2),
+n3 AS (SELECT poi_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nv FROM c)
+SELECT poi_id, list_transform(CASE WHEN nv = 0 THEN v ELSE list_transform(v, lambda x: x / nv) END,
+  lambda x: round(x, 6) + 0.0) AS vector FROM n3""",
     "poi_text": f"""
 SELECT poiId AS poi_id, trim(concat_ws('. ', coalesce(poiName, ''), {_TEXT_PART.format(c='shortFeatures')},
   {_TEXT_PART.format(c='tagNameList')})) AS text FROM attractions""",

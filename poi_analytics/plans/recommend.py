@@ -108,25 +108,28 @@ def auc(scored: DataFrame) -> float:
 # ---- L17: batch embedding --------------------------------------------------------
 
 def hashing_text_encoder(dim: int = 64, max_tokens: int | None = None):
-    """Default model factory: a signed feature-hashing bag of words (no weights needed).
+    """Default model factory: signed feature hashing of lower-cased whitespace
+    tokens (md5 bucket and sign), L2-normalized - the same vectors as the
+    native ``similarity.hashed_text_vector``.  ``max_tokens`` mimics a model's
+    input window; None encodes the whole text."""
+    import hashlib
+    import re
 
-    ``max_tokens`` mimics a model's input window; None encodes the whole text.
-    """
-    import zlib
+    split = re.compile(r"[ \t\n\r]+")
 
     def predict(texts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
+        out = np.zeros((len(texts), dim), dtype=np.float64)
         for r, t in enumerate(texts):
-            toks = str(t).lower().split()
+            toks = [x for x in split.split(str(t).lower()) if x]
             if max_tokens:
                 toks = toks[:max_tokens]
             for tok in toks:
-                h = zlib.crc32(tok.encode("utf-8"))
-                out[r, h % dim] += 1.0 if (h >> 31) & 1 == 0 else -1.0
+                h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+                out[r, int(h[:8], 16) % dim] += 1.0 if int(h[8:10], 16) % 2 == 0 else -1.0
             n = np.linalg.norm(out[r])
             if n > 0:
                 out[r] /= n
-        return out
+        return out.astype(np.float32)
     return predict
 
 
