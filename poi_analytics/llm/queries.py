@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poi_analytics.llm import langid, simhash
+from poi_analytics.llm import decontaminate, langid, packing, simhash
 from poi_analytics.llm.shared import table
 
 
@@ -18,8 +18,18 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)
+
+
 QUERIES = {
     "op4_simhash_near_dedup": simhash_near_dedup,
+    "op5_decontamination": decontamination,
     "op6_language_id": language_id,
+    "op8_best_fit_packing": best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
