@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poi_analytics.llm import decontaminate, langid, packing, simhash
+from poi_analytics.llm import archives, ctph, decontaminate, langid, packing, simhash
 from poi_analytics.llm.shared import table
 
 
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(table(spark, sf_dir, "pages"), at_least=0)
+
+
+def fuzzy_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -27,6 +35,8 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_archives": warc_archives,
+    "op3_fuzzy_fingerprints": fuzzy_fingerprints,
     "op4_simhash_near_dedup": simhash_near_dedup,
     "op5_decontamination": decontamination,
     "op6_language_id": language_id,
