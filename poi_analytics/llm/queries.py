@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poi_analytics.llm import archives, ctph, decontaminate, langid, packing, simhash
+from poi_analytics.llm import archives, ctph, decontaminate, langid, packing, simhash, token_counts
 from poi_analytics.llm.shared import table
 
 
@@ -34,12 +34,17 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
+
+
 QUERIES = {
     "op1_warc_archives": warc_archives,
     "op3_fuzzy_fingerprints": fuzzy_fingerprints,
     "op4_simhash_near_dedup": simhash_near_dedup,
     "op5_decontamination": decontamination,
     "op6_language_id": language_id,
+    "op7_token_counts": tokenizer_counts,
     "op8_best_fit_packing": best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
