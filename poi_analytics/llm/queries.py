@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poi_analytics.llm import archives, ctph, decontaminate, langid, packing, simhash, token_counts
+from poi_analytics.llm import (
+    archives,
+    ctph,
+    decontaminate,
+    langid,
+    language_model,
+    packing,
+    simhash,
+    token_counts,
+)
 from poi_analytics.llm.shared import table
 
 
@@ -38,6 +47,10 @@ def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def recurrent_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_archives": warc_archives,
     "op3_fuzzy_fingerprints": fuzzy_fingerprints,
@@ -46,5 +59,6 @@ QUERIES = {
     "op6_language_id": language_id,
     "op7_token_counts": tokenizer_counts,
     "op8_best_fit_packing": best_fit_packing,
+    "op10_lm_scores": recurrent_lm_scores,
 }
 ORACLE: dict[str, str] = {}
