@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poi_analytics.llm.shared import rows_at_a_time, saved, texts_of
+from poi_analytics.llm.shared import WordHashes, rows_at_a_time, saved, texts_of
 
 LOG10 = np.log(10.0)
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds white space, so no word is the end token
@@ -49,20 +50,6 @@ class Settings:
 
 # --- token batches -----------------------------------------------------------------------------
 
-class _Digests(dict):
-    """Word -> its 64-bit hash as bytes, kept while there is room."""
-
-    KEEP = 500_000
-
-    def __missing__(self, word: bytes) -> bytes:
-        got = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
-        if len(word) <= 40:
-            if len(self) >= self.KEEP:
-                self.clear()
-            self[word] = got
-        return got
-
-
 def _packed(a: np.ndarray) -> bytes:
     return zlib.compress(a.tobytes(), 1)
 
@@ -94,15 +81,14 @@ def token_batches(docs: DataFrame, s: Settings) -> DataFrame:
                                           [f.split()[0] for f in BATCH.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        part, digest = str(TaskContext.get().partitionId()), _Digests()
+        part, words = str(TaskContext.get().partitionId()), WordHashes()
         ids, held, hashed, size, n = [], [], [], 0, 0
         for batch in rows_at_a_time(batches):
             for doc_id, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                          texts_of(batch.column(2))):
                 ids.append(doc_id)
                 held.append(out)
-                hashed.append(b"".join(map(digest.__getitem__, text.lower().split())) + end)
+                hashed.append(words.of(text.lower()) + end)
                 size += len(hashed[-1])
                 if len(ids) >= s.batch_docs or size >= s.batch_bytes:
                     yield batch_row(part, n, ids, held, hashed)

@@ -9,6 +9,7 @@ from poi_analytics.llm import (
     archives,
     ctph,
     decontaminate,
+    fm_index,
     langid,
     language_model,
     packing,
@@ -26,6 +27,10 @@ def fuzzy_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.digest(fm_index.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,6 +58,7 @@ def recurrent_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_archives": warc_archives,
+    "op2_substring_dedup": substring_dedup,
     "op3_fuzzy_fingerprints": fuzzy_fingerprints,
     "op4_simhash_near_dedup": simhash_near_dedup,
     "op5_decontamination": decontamination,

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,27 @@ def rows_at_a_time(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterat
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+class WordHashes(dict):
+    """Word -> its 64-bit hash as eight bytes, kept while there is room."""
+
+    KEEP, LONGEST = 500_000, 40
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.KEEP:
+                self.clear()
+            self[word] = got
+        return got
+
+    def of(self, text: bytes) -> bytes:
+        """The hashes of all words ``[^\\x20\\x09-\\x0D]+`` of a text (what bytes.split() gives)."""
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last index of each run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return edges[::2], edges[1::2]
