@@ -59,8 +59,8 @@ def item_sketches(items: DataFrame, width: int = WORDS, containment: float = CON
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WORDS,
                     containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment): items of which a document
-    holds at least ``containment`` of the distinct word shingles.
+    """(doc_id, key, item_id, n_shingles, n_shared, containment): items of which a document
+    holds at least ``containment`` of the distinct word shingles; ``key`` is the text's row key.
 
     ``items`` has item_id and text.  One row per distinct document (doc_id and text) and
     item row; repeated rows change nothing.  Null or wordless texts match nothing, ids may be
@@ -89,5 +89,14 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WORDS,
     shared = (held.join(wanted, "s").groupBy("doc_id", "key", "item_id", "item_key", "n_shingles")
               .agg(F.count("*").alias("n_shared")))
     return (shared.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * containment - 1e-9))
-            .select("doc_id", "item_id", "n_shingles", "n_shared",
+            .select("doc_id", "key", "item_id", "n_shingles", "n_shared",
                     (F.col("n_shared") / F.col("n_shingles")).alias("containment")))
+
+
+def without_items(docs: DataFrame, items: DataFrame, width: int = WORDS,
+                  containment: float = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item (see :func:`contained_items`)."""
+    found = contained_items(docs, items, width, containment)
+    found = saved(found.select(ordered_id().alias("oid"), "key").distinct(), "leaks")
+    same = (ordered_id() == found.oid) & (row_key() == found.key)
+    return docs.join(found, same, "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poi_analytics.llm.repeats import RangeHash, Search, cover, matched_table, with_spans
-from poi_analytics.llm.shared import WordHashes, rows_at_a_time
+from poi_analytics.llm.shared import WordHashes, rows_at_a_time, texts_of
 
 WINDOW, GRAM = 50, 8
 
@@ -188,11 +188,9 @@ def _symbols(text: bytes) -> np.ndarray:
 SEARCH = Search(window=WINDOW, gram=GRAM, earlier=True, symbols=_symbols, stored=_words.of, width=8,
                 match=match_shard, shard_symbols=1 << 20)
 
-REMOVED = "doc_id long, n_words long, n_removed long, kept string"
-
-
-def remove_repeats(docs: DataFrame, search: Search = SEARCH) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) per row of ``docs``: the words left, joined by one space.
+def remove_repeats(docs: DataFrame, search: Search = SEARCH, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` of every row of ``docs`` with n_words, n_removed and kept, the words left
+    joined by one space.
 
     A word goes if it lies in a run of ``WINDOW`` consecutive words of its document that also starts
     in a document with a smaller doc_id, both taken from the input.  Words are
@@ -201,24 +199,21 @@ def remove_repeats(docs: DataFrame, search: Search = SEARCH) -> DataFrame:
     words; other columns are ignored; an empty table gives an empty result.
     Words are told apart by 64-bit hashes.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches):
             out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                if spans:
-                    gone = cover(spans, len(words))
-                    out.append((len(words), int(gone.sum()), b" ".join(x for x, g in zip(words, gone) if not g)))
-                else:
-                    out.append((len(words), 0, b" ".join(words)))
+            for text, spans in zip(texts_of(batch.column("text")), batch.column("spans").to_pylist()):
+                words = text.split()
+                gone = cover(spans, len(words))
+                out.append((len(words), int(gone.sum()), b" ".join(x for x, g in zip(words, gone.tolist()) if not g)))
             n, removed, kept = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                [*(batch.column(c) for c in carry), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
+                 pa.array(kept, pa.binary()).cast(pa.string())], [*carry, "n_words", "n_removed", "kept"])
 
-    return with_spans(rows, search).select("doc_id", "text", "spans").mapInArrow(run, REMOVED)
+    rows = docs.select(*{*carry, "doc_id"}, F.col("text").cast("string").alias("text"))
+    schema = rows.select(*carry).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return with_spans(rows, search).select(*carry, "text", "spans").mapInArrow(run, schema)
 
 
 def digest(removed: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poi_analytics.llm.shared import row_key
+from poi_analytics.llm.shared import row_key, saved
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -91,13 +91,20 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, s: S
 
 
 def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden section on its logarithm."""
-    if not len(labels):
+    """The temperature with the least log loss, by golden section on its logarithm.
+
+    Targets are smoothed as in Platt scaling, (n + 1) / (n + 2) for the label, so that a sample
+    without errors does not ask for certainty.
+    """
+    n, n_labels = scores.shape if len(labels) else (0, 0)
+    if not n or n_labels < 2:
         return 1.0
+    target = np.full(scores.shape, 1 / (n + 2) / (n_labels - 1))
+    target[np.arange(n), labels] = (n + 1) / (n + 2)
 
     def loss(log_t: float) -> float:
         p = softmax(scores / np.exp(log_t))
-        return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-300)).mean()
+        return -(target * np.log(np.maximum(p, 1e-300))).sum(1).mean()
 
     low, high, ratio = -5.0, 3.0, (5 ** 0.5 - 1) / 2
     while high - low > 1e-3:
@@ -163,8 +170,12 @@ def train(rows: DataFrame, settings: Settings = Settings()) -> Model:
     idf = np.log((1.0 + n_rows) / (1.0 + df)) + 1.0
     if not n_rows:
         return Model([], np.zeros((1 << s.bits, 0)), idf, 1.0, s)
-    order = F.xxhash64(row_key(), "lang")
-    sample = (rows.withColumn("k", order)
+    # rows with small hashes, about twice as many per label as wanted, then exactly the smallest
+    sizes = saved(rows.groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("n")), "labels")
+    share = F.least(F.lit(1.0), (2.0 * s.sample_per_label + 100) / F.col("n"))
+    sample = (rows.withColumn("k", F.xxhash64(row_key(), "lang"))
+              .join(sizes, F.col("lang") == F.col("label"))
+              .where(F.pmod(F.col("k"), F.lit(1 << 30)) < share * (1 << 30))
               .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("k", "text")))
               .where(F.col("rank") <= s.sample_per_label).select("k", "text", "lang"))
 
@@ -218,6 +229,18 @@ def held_out(share: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % share == 0, F.lit(True))
 
 
+def with_language(docs: DataFrame, settings: Settings = Settings(), least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known.
+
+    Learned from the rows not held out.  A row is rejected if it has no letter, or if its best
+    label's calibrated probability is below ``least_score``.
+    """
+    model = train(docs.where(~held_out()), settings)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = predictions(docs.select(row, F.col("text").cast("string").alias("text")), model)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
+
+
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of ``docs``, learned from the rows not held out.
 

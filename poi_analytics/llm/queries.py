@@ -14,6 +14,7 @@ from poi_analytics.llm import (
     language_model,
     packing,
     simhash,
+    suffix_array,
     token_counts,
 )
 from poi_analytics.llm.shared import table
@@ -41,7 +42,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,10 @@ def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digest(suffix_array.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def recurrent_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op6_language_id": language_id,
     "op7_token_counts": tokenizer_counts,
     "op8_best_fit_packing": best_fit_packing,
+    "op9_suffix_array_dedup": byte_dedup,
     "op10_lm_scores": recurrent_lm_scores,
 }
 ORACLE: dict[str, str] = {}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poi_analytics.llm.components import components
-from poi_analytics.llm.shared import NO_ID, ordered_id, saved, texts_of
+from poi_analytics.llm.shared import NO_ID, ordered_id, row_key, saved, texts_of
 
 SEED = 42
 PARTS, PART_BITS = 4, 16  # population counts are taken of four 16-bit parts
@@ -30,14 +30,15 @@ def simhash(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp bigint) for every row of ``docs``; null and wordless texts have fp 0."""
+    """(doc_id, key, fp bigint) for every row of ``docs``; null and wordless texts have fp 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t, shingle) for t in texts_of(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([simhash(t, shingle) for t in texts_of(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
+                                             ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_key(), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, key long, fp long")
 
 
 def _near_cells(radius: int) -> list[list[int]]:
@@ -119,6 +120,15 @@ def links(fps: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
     return pairs.mapInArrow(compare, "a long, b long")
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and (fp, component): the component of every fingerprint."""
+    own = saved(fingerprints(docs, shingle), "simhash")
+    nodes = saved(own.select("fp").distinct(), "nodes")
+    joined = components(links(nodes, radius, tile))
+    return own, nodes.join(joined, nodes.fp == joined.node, "left").select(
+        F.col("fp").alias("k"), F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = 4096) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -129,13 +139,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: in
     group of null ids only has a null component_id.  Repeated rows give repeated result
     rows; other columns are ignored; an empty table gives an empty result.
     """
-    own = saved(fingerprints(docs, shingle), "simhash")
-    nodes = saved(own.groupBy("fp").agg(F.min(ordered_id()).alias("root")), "nodes")
-    # components run over fingerprints, then the smallest id of each is taken
-    joined = components(links(nodes.select("fp"), radius, tile))
-    group = (nodes.join(joined, nodes.fp == joined.node, "left")
-             .select("fp", "root", F.coalesce("component", "fp").alias("component")))
-    least = group.groupBy("component").agg(F.min("root").alias("component_id"))
-    roots = group.join(least, "component").select(F.col("fp").alias("k"), "component_id")
+    own, group = _grouped(docs, shingle, radius, tile)
+    first = own.groupBy("fp").agg(F.min(ordered_id()).alias("root"))
+    rooted = saved(group.join(first, group.k == first.fp).select("k", "component", "root"), "rooted")
+    least = rooted.groupBy("component").agg(F.min("root").alias("component_id"))
+    roots = rooted.join(least, "component").select("k", "component_id")
     return own.join(roots, own.fp == roots.k).select(
         "doc_id", "fp", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = 4096) -> DataFrame:
+    """The rows of ``docs``, all columns, with one left of each near-duplicate component.
+
+    The row with the smallest doc_id stays (then by a hash of the text); of rows that repeat it in
+    full, one.  Nulls count as in :func:`near_duplicates`.
+    """
+    own, group = _grouped(docs, shingle, radius, tile)
+    rows = own.select(ordered_id().alias("oid"), "key", "fp").groupBy("oid", "key", "fp").agg(F.count("*").alias("n"))
+    stay = (rows.join(group, rows.fp == group.k).groupBy("component")
+            .agg(F.min(F.struct("oid", "key", "n")).alias("s")).select("s.*"))
+    stay = saved(stay.withColumnsRenamed({"oid": "stay_oid", "key": "stay_key", "n": "stay_n"}), "stay")
+    same = (ordered_id() == F.col("stay_oid")) & (row_key() == F.col("stay_key"))
+    once, many = stay.where("stay_n = 1"), stay.where("stay_n > 1")
+    kept = docs.join(once, same, "left_semi")
+    if many.isEmpty():
+        return kept
+    packed = docs.join(many, same, "left_semi").select(
+        ordered_id().alias("oid"), row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return kept.unionByName(packed.dropDuplicates(["oid", "key"]).select("row.*"))
