@@ -229,16 +229,17 @@ def held_out(share: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % share == 0, F.lit(True))
 
 
-def with_language(docs: DataFrame, settings: Settings = Settings(), least_score: float = 0.5) -> DataFrame:
+def with_language(docs: DataFrame, settings: Settings = Settings(), above_chance: float = 0.1) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known.
 
     Learned from the rows not held out.  A row is rejected if it has no letter, or if its best
-    label's calibrated probability is below ``least_score``.
+    label's calibrated probability is less than ``above_chance`` above that of a guess.
     """
     model = train(docs.where(~held_out()), settings)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     found = predictions(docs.select(row, F.col("text").cast("string").alias("text")), model)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).select("row.*")
+    least = min(1 / max(len(model.labels), 1) + above_chance, 1.0 - 1e-9) if len(model.labels) > 1 else 0.0
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
