@@ -40,19 +40,19 @@ class WaveletMatrix:
             self.zeros.append(len(bit) - int(bit.sum()))
             rest = np.concatenate([rest[~bit], rest[bit]])
         # where each symbol's run begins once all bits are sorted
-        self.base = np.full(distinct, len(symbols))
-        first = np.flatnonzero(np.diff(rest, prepend=-1))
-        self.base[rest[first]] = first
+        self.base = self._trace(np.arange(distinct), np.zeros(distinct, np.int64))
 
     def rank(self, symbol: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """How often ``symbol`` occurs in the first ``stop`` places, for arrays of both."""
-        at = stop
+        return self._trace(symbol, stop) - self.base[symbol]
+
+    def _trace(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for i, level in enumerate(reversed(range(self.bits))):
             word = at >> 6
             mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
             ones = self.before[i][word] + np.bitwise_count(self.words[i][word] & mask)
             at = np.where(symbol >> level & 1, self.zeros[i] + ones, at - ones)
-        return at - self.base[symbol]
+        return at
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
