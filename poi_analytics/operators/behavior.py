@@ -8,9 +8,7 @@ path applies; look-ups become joins and aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsoncols import STRING_ARRAY
@@ -55,27 +53,59 @@ def event_table(events: DataFrame, kind: str) -> DataFrame:
         for c in cols])
 
 
+def with_demo_profile(profiles: DataFrame) -> DataFrame:
+    """K7 on ingest: the profiles, and the demo user's with the next id when there is none."""
+    defaults = {"username": F.lit(DEMO_USERNAME), "nickname": F.lit(DEMO_NICKNAME), "email": F.lit(""),
+                "gender": F.lit("unknown"), "city": F.lit("")}
+    found = profiles.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"),
+                         F.count_if(F.col("username") == DEMO_USERNAME).alias("n")).where("n = 0")
+    return profiles.unionByName(found.select(*[
+        (F.col("id") if f.name == "id" else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+        for f in profiles.schema.fields]))
+
+
 def resolve_profile(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """user_id wins, else username, else the demo profile; unknown -> rejected.
 
-    Adds ``profile_id`` and ``resolve_error``; 0 and '' count as missing.
-    Both look-ups are equi-joins against the profile table.
+    Adds ``profile_id`` and ``resolve_error``; 0 and '' count as missing.  The demo profile
+    is created when missing, so an accepted event always has a user.  Rows that need
+    no look-up carry a key of their own that no profile has, so neither nulls nor
+    one constant gather the log in one partition; a log without usernames is joined once.
     """
-    by_id = profiles.select(F.col("id").alias("_pid_by_id"))
-    by_name = profiles.select(F.col("id").alias("_pid_by_name"), F.col("username").alias("_uname"))
-    uid = F.col("user_id")
+    uid = F.col("user_id").cast("bigint")
     has_uid = truthy_id(uid)
-    has_name = F.col("username").isNotNull() & (F.col("username") != "") if "username" in requests.columns \
-        else F.lit(False)
-    name = F.col("username") if "username" in requests.columns else F.lit(None).cast("string")
-    r = requests.withColumn("_lookup_name", F.when(has_uid, F.lit(None).cast("string"))
-                            .when(has_name, name).otherwise(F.lit(DEMO_USERNAME)))
-    r = (r.join(by_id, has_uid & (uid == F.col("_pid_by_id")), "left")
-         .join(by_name, F.col("_lookup_name") == F.col("_uname"), "left"))
-    return (r.withColumn("profile_id", F.coalesce("_pid_by_id", "_pid_by_name"))
-            .withColumn("resolve_error", F.when(has_uid & F.col("_pid_by_id").isNull(), F.lit("unknown_user"))
-                        .when(~has_uid & has_name & F.col("_pid_by_name").isNull(), F.lit("unknown_user")))
-            .drop("_pid_by_id", "_pid_by_name", "_uname", "_lookup_name"))
+    known = with_demo_profile(profiles)
+    demo = known.where(F.col("username") == DEMO_USERNAME).agg(F.min("id")).scalar()
+    spread = F.xxhash64(*requests.columns)
+    by_id = known.select(F.col("id").alias("_by_id"))
+    r = requests.withColumn("_id_key", F.when(has_uid, uid).otherwise(-F.abs(F.shiftright(spread, 1)) - 1))
+    r = r.join(by_id, F.col("_id_key") == F.col("_by_id"), "left")
+    named = F.lit(False)
+    found = F.when(has_uid, F.col("_by_id"))
+    if "username" in requests.columns:
+        named = ~has_uid & F.col("username").isNotNull() & (F.col("username") != "")
+        by_name = known.groupBy(F.col("username").alias("_name")).agg(F.min("id").alias("_by_name"))
+        r = r.withColumn("_name_key", F.when(named, F.col("username"))
+                         .otherwise(F.concat(F.lit("\x00"), spread.cast("string"))))
+        r = r.join(by_name, F.col("_name_key") == F.col("_name"), "left")
+        found = found.when(named, F.col("_by_name"))
+    r = r.withColumn("profile_id", found.otherwise(demo))
+    return (r.withColumn("resolve_error", F.when(F.col("profile_id").isNull(), F.lit("unknown_user")))
+            .drop("_id_key", "_by_id", "_name_key", "_name", "_by_name"))
+
+
+def image_list_json(requests: DataFrame) -> Column:
+    """K4: the request's image list as JSON text; no list is ``[]``.
+
+    ``images`` (or ``image_urls``) may be an array, stored as JSON, or JSON text already.
+    """
+    texts = []
+    for name in ("images", "image_urls"):
+        if name in requests.columns:
+            c = F.col(name)
+            texts.append(F.to_json(c) if requests.schema[name].dataType.typeName() == "array"
+                         else F.nullif(c.cast("string"), F.lit("")))
+    return F.coalesce(*texts, F.lit("[]"))
 
 
 def ingest(requests: DataFrame, profiles: DataFrame, kind: str,
@@ -97,6 +127,9 @@ def ingest(requests: DataFrame, profiles: DataFrame, kind: str,
     for c in ["scene", "device"] + EXTRAS[kind]:
         d = DEFAULTS[kind].get(c)
         typ = EXTRA_TYPES.get(c, "string")
+        if c == "image_urls":
+            out.append(image_list_json(r).alias(c))
+            continue
         v = F.col(c).cast(typ) if c in present else F.lit(None).cast(typ)
         out.append((F.coalesce(v, F.lit(d).cast(typ)) if d is not None else v).alias(c))
     if "occurred_at" in present:
@@ -175,11 +208,11 @@ def account_view(accounts: DataFrame) -> DataFrame:
 
 
 def profile_get_or_create(profiles: DataFrame, accounts: DataFrame) -> DataFrame:
-    """K7: every account username gets a profile; existing profiles are unchanged.
+    """K7: every account username gets a profile; existing profiles keep every column.
 
     New profiles take the account email ('' when missing) and ids after the
     largest existing id, in username order (a distributed dense index plus a
-    scalar-subquery offset); the demo user gets its nickname.
+    scalar-subquery offset); the demo user gets its nickname; columns without a default are null.
     """
     from .interactions import dense_index
 
@@ -189,33 +222,35 @@ def profile_get_or_create(profiles: DataFrame, accounts: DataFrame) -> DataFrame
            .join(profiles.select("username"), "username", "left_anti"))
     start = profiles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
     numbered = new.join(dense_index(new, "username", "_n"), "username")
-    created = numbered.select(
-        (start + F.col("_n") + 1).cast("bigint").alias("id"), "username",
-        F.when(F.col("username") == DEMO_USERNAME, F.lit(DEMO_NICKNAME)).otherwise(F.lit("")).alias("nickname"),
-        "email", F.lit("unknown").alias("gender"), F.lit("").alias("city"))
-    base = profiles.select("id", "username", "nickname", "email", "gender", "city")
-    return base.unionByName(created)
+    made = {"id": start + F.col("_n") + 1, "username": F.col("username"), "email": F.col("email"),
+            "nickname": F.when(F.col("username") == DEMO_USERNAME, F.lit(DEMO_NICKNAME)).otherwise(F.lit("")),
+            "gender": F.lit("unknown"), "city": F.lit("")}
+    return profiles.unionByName(numbered.select(*[
+        made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in profiles.schema.fields]))
 
 
-def profile_update(profiles: DataFrame, updates: DataFrame, partial: bool = True) -> DataFrame:
+def profile_update(profiles: DataFrame, updates: DataFrame, partial: bool = True,
+                   order_col: str | None = None) -> DataFrame:
     """K8: apply updates keyed by username; read-only fields never change.
 
     ``partial``: a null field in the update keeps the stored value; otherwise
-    every writable field is replaced (a missing value becomes '').
+    every writable field is replaced (a missing value becomes '').  Of several updates of
+    one username the newest by ``order_col`` counts (ties and no column: the largest values).
     """
-    u = updates.select("username", F.lit(True).alias("_matched"),
-                       *[F.col(c).alias(f"_new_{c}") for c in PROFILE_WRITABLE if c in updates.columns])
+    writable = [c for c in PROFILE_WRITABLE if c in updates.columns]
+    latest = F.struct(*([F.col(order_col)] if order_col else []), *[F.col(c) for c in writable])
+    u = (updates.groupBy("username").agg(F.max_by(F.struct(*writable), latest).alias("_new"))
+         .withColumn("_matched", F.lit(True)))
     j = profiles.join(u, "username", "left")
     cols = []
     for c in profiles.columns:
-        if c in PROFILE_WRITABLE and f"_new_{c}" in j.columns:
-            new = F.col(f"_new_{c}")
-            if partial:
-                cols.append(F.coalesce(new, F.col(c)).alias(c))
-            else:
-                cols.append(F.when(F.col("_matched"), F.coalesce(new, F.lit(""))).otherwise(F.col(c)).alias(c))
-        else:
+        new = F.col(f"_new.{c}") if c in writable else None
+        if new is None:
             cols.append(F.col(c))
+        elif partial:
+            cols.append(F.coalesce(new, F.col(c)).alias(c))
+        else:
+            cols.append(F.when(F.col("_matched"), F.coalesce(new, F.lit(""))).otherwise(F.col(c)).alias(c))
     return j.select(*cols)
 
 
@@ -224,62 +259,81 @@ _EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 def registration_check(registrations: DataFrame, users: DataFrame) -> DataFrame:
     """K9: reject a taken username, a username over 150 chars, a password under
-    6 chars or a malformed email; passwords are reduced to their length."""
+    6 chars or a malformed email; passwords are reduced to their length.
+
+    Registrations are taken in the order of their ``id`` (without that column, of email and
+    password length), so of several valid ones of a username only the first is accepted.
+    """
     taken = users.select(F.col("username").alias("_taken")).distinct()
-    r = registrations.join(taken, registrations["username"] == taken["_taken"], "left")
     pw_len = F.char_length(F.coalesce(F.col("password"), F.lit("")))
     email = F.coalesce(F.col("email"), F.lit(""))
-    reason = (F.when(F.col("username").isNull() | (F.col("username") == ""), F.lit("username_required"))
+    name = F.col("username")
+    reason = (F.when(name.isNull() | (name == ""), F.lit("username_required"))
               .when(F.col("_taken").isNotNull(), F.lit("username_taken"))
-              .when(F.char_length("username") > 150, F.lit("username_too_long"))
+              .when(F.char_length(name) > 150, F.lit("username_too_long"))
               .when(pw_len < 6, F.lit("password_too_short"))
               .when((email != "") & ~email.rlike(_EMAIL), F.lit("invalid_email")))
-    return r.select("username", email.alias("email"), pw_len.alias("password_length"),
-                    reason.isNull().alias("accepted"), reason.alias("reject_reason"))
-
-
-def constraint_audit(profiles: DataFrame, events: Mapping[str, DataFrame]) -> DataFrame:
+    own = ["id"] if "id" in registrations.columns else []
+    r = (registrations.join(taken, registrations["username"] == taken["_taken"], "left")
+         .select(*own, name, email.alias("email"), pw_len.alias("password_length"), reason.alias("_reason")))
+    # rows that are refused anyway stay out of the ranking of their username
+    turn = F.struct(*own, "email", "password_length")
+    ok = r.where(F.col("_reason").isNull())
+    rank = F.row_number().over(Window.partitionBy("username").orderBy(turn))
+    late = F.when(rank > 1, F.lit("username_taken"))
+    out = ok.withColumn("_reason", late).unionByName(r.where(F.col("_reason").isNotNull()))
+    return out.select(*own, "username", "email", "password_length", F.col("_reason").isNull().alias("accepted"),
+                      F.col("_reason").alias("reject_reason"))
+
+
+def _violations(df: DataFrame, table: Column, checks: list[tuple[Column, Column, Column]]) -> DataFrame:
+    """(rule, table, key, value) of every check (rule name, condition, value) that a row fails, in one pass."""
+    found = F.array(*[F.when(bad, F.struct(rule.alias("rule"), value.cast("string").alias("value")))
+                      for rule, bad, value in checks])
+    return (df.select(table.alias("table"), F.col("id").cast("string").alias("key"),
+                      F.explode(F.array_compact(found)).alias("v"))
+            .select("v.rule", "table", "key", "v.value"))
+
+
+def _too_long(df: DataFrame, columns) -> list[tuple[Column, Column, Column]]:
+    return [(F.lit(f"max_length_{c}"), F.char_length(c) > MAX_LEN[c], F.char_length(c))
+            for c in columns if c in df.columns]
+
+
+def constraint_audit(profiles: DataFrame, events: DataFrame) -> DataFrame:
     """One table of violations (rule, table, key, value).
 
-    Uniqueness via group-by/having, foreign keys via anti-joins, ranges, choices
-    and lengths via predicates; every check is a distributed job.
+    ``events`` is the mixed event log (``kind`` names the table).  One pass over each table for the
+    row rules (choices, lengths, ranges), one aggregate for the unique columns, and one
+    anti join of the log against the profile ids.
     """
-    parts = []
-
-    def dup(df: DataFrame, col: str, table: str) -> DataFrame:
-        return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") > 1)
-                .select(F.lit(f"unique_{col}").alias("rule"), F.lit(table).alias("table"),
-                        F.col(col).cast("string").alias("key"), F.col("n").cast("string").alias("value")))
-
-    def check(df: DataFrame, table: str, rule: str, bad: Column, value: Column) -> DataFrame:
-        return df.where(bad).select(F.lit(rule).alias("rule"), F.lit(table).alias("table"),
-                                    F.col("id").cast("string").alias("key"), value.cast("string").alias("value"))
-
-    parts.append(dup(profiles, "username", "user_profile"))
-    if "external_id" in profiles.columns:
-        parts.append(dup(profiles, "external_id", "user_profile"))
-    parts.append(check(profiles, "user_profile", "gender_choice",
-                       F.col("gender").isNull() | ~F.col("gender").isin(*GENDERS), F.col("gender")))
-    for c in ("username", "nickname", "city"):
-        if c in profiles.columns:
-            parts.append(check(profiles, "user_profile", f"max_length_{c}",
-                               F.char_length(c) > MAX_LEN[c], F.char_length(c)))
-    ids = profiles.select(F.col("id").alias("user_id"))
-    for table, ev in events.items():
-        parts.append(ev.join(ids, "user_id", "left_anti").select(
-            F.lit("fk_user").alias("rule"), F.lit(table).alias("table"),
-            F.col("id").cast("string").alias("key"), F.col("user_id").cast("string").alias("value")))
-        for c in ("scene", "device", "exposure_id", "note"):
-            if c in ev.columns:
-                parts.append(check(ev, table, f"max_length_{c}", F.char_length(c) > MAX_LEN[c], F.char_length(c)))
-        if "rating" in ev.columns:
-            parts.append(check(ev, table, "rating_range", (F.col("rating") < 0) | (F.col("rating") > 5),
-                               F.col("rating")))
-        if "stay_seconds" in ev.columns:
-            parts.append(check(ev, table, "stay_seconds_nonnegative", F.col("stay_seconds") < 0,
-                               F.col("stay_seconds")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    table = F.lit("user_profile")
+    gender = F.col("gender")
+    own = _violations(profiles, table, [
+        (F.lit("gender_choice"), gender.isNull() | ~gender.isin(*GENDERS), gender),
+        *_too_long(profiles, ("username", "nickname", "phone", "city"))])
+    unique = F.array(*[F.struct(F.lit(f"unique_{c}").alias("rule"), F.col(c).cast("string").alias("key"))
+                       for c in ("username", "external_id") if c in profiles.columns])
+    repeated = (profiles.select(F.explode(unique).alias("u")).where(F.col("u.key").isNotNull())
+                .groupBy("u.rule", "u.key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+                .select("rule", table.alias("table"), "key", F.col("n").cast("string").alias("value")))
+    log = F.concat(F.lit("user_"), F.col("kind"), F.lit("_behavior"))
+    checks = _too_long(events, ("scene", "device", "exposure_id", "note"))
+    if "rating" in events.columns:
+        checks.append((F.lit("rating_range"), (F.col("kind") == "comment") & ~F.col("rating").between(0, 5), F.col("rating")))
+    if "stay_seconds" in events.columns:
+        checks.append((F.lit("stay_seconds_nonnegative"), (F.col("kind") == "detail") & (F.col("stay_seconds") < 0),
+                       F.col("stay_seconds")))
+    orphans = (events.join(profiles.select(F.col("id").alias("user_id")).distinct(), "user_id", "left_anti")
+               .select(F.lit("fk_user").alias("rule"), log.alias("table"), F.col("id").cast("string").alias("key"),
+                       F.col("user_id").cast("string").alias("value")))
+    return own.unionByName(repeated).unionByName(_violations(events, log, checks)).unionByName(orphans)
+
+
+def search_events(events: DataFrame, profiles: DataFrame, text: str | None = None, fields=("username", "poi_id"),
+                  facets=None, columns=None) -> DataFrame:
+    """D10 over an event table: 'contains' over the author's username and the table's own columns."""
+    from .search import search_table
+
+    names = profiles.select(F.col("id").alias("user_id"), "username")
+    return search_table(events.join(names, "user_id"), text, fields, facets, columns)

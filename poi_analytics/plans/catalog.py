@@ -6,10 +6,10 @@ Mart queries read the ``attractions`` view (DWD-shaped, derived from ``part``).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucketize_sql, round_doubles
@@ -90,7 +90,20 @@ _REQUEST_COLS = {
     "click": [],
     "detail": ["stay_seconds", "from_click_id"],
     "favorite": ["is_favorite"],
-    "comment": ["rating", "image_urls"],
+    "comment": ["rating", "images"],
+}
+# The columns each event table lists, and what its search looks at.
+_LISTED = {
+    "click": ["id", "username", "poi_id", "scene", "occurred_at"],
+    "detail": ["id", "username", "poi_id", "stay_seconds", "occurred_at"],
+    "favorite": ["id", "username", "poi_id", "is_favorite", "occurred_at"],
+    "comment": ["id", "username", "poi_id", "rating", "occurred_at"],
+}
+_SEARCHED = {
+    "click": ("17", ["username", "poi_id"], {"scene": "scene4"}),
+    "detail": ("00001", ["username", "poi_id"], {}),
+    "favorite": (None, [], {"is_favorite": True}),
+    "comment": ("9", ["username", "poi_id", "content"], {}),
 }
 
 
@@ -99,8 +112,9 @@ def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return (fx.behaviors(spark, sf_dir).where(F.col("kind") == kind)
-            .select("id", "user_id", "poi_id", "scene", "device", "occurred_at", *_REQUEST_COLS[kind]))
+    images = F.from_json(F.nullif(F.col("image_urls"), F.lit("")), "array<string>")
+    return (fx.view(spark, sf_dir, "requests").where(F.col("kind") == kind).withColumn("images", images)
+            .select("id", "user_id", "username", "poi_id", "scene", "device", "occurred_at", *_REQUEST_COLS[kind]))
 
 
 def _deleted_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +135,9 @@ def _register_behavior() -> None:
         _events(spark, sf_dir, "comment"), fx.profiles(spark, sf_dir))
     QUERIES["detail_from_click"] = lambda spark, sf_dir: behavior.detail_from_click(
         _events(spark, sf_dir, "detail"), _events(spark, sf_dir, "click"))
+    # the whole mixed log: the events of all four kinds go with their user
     QUERIES["cascade_delete"] = lambda spark, sf_dir: behavior.cascade_delete(
-        _events(spark, sf_dir, "comment"), _deleted_profiles(spark, sf_dir))
+        fx.behaviors(spark, sf_dir), _deleted_profiles(spark, sf_dir)).select("id", "kind", "user_id", "poi_id", "occurred_at")
 
     def set_null(spark, sf_dir):
         clicks = _events(spark, sf_dir, "click")
@@ -161,13 +176,12 @@ def _register_behavior() -> None:
             .alias("email"))
         cus = read_table(spark, sf_dir, "customer").select(
             F.col("c_name").alias("username"), F.lit("secret1").alias("password"), F.lit("").alias("email"))
-        return behavior.registration_check(sup.unionByName(cus), fx.profiles(spark, sf_dir))
+        again = sup.withColumn("email", F.lit("again@example.com"))  # a second try of every supplier
+        return behavior.registration_check(sup.unionByName(again).unionByName(cus), fx.profiles(spark, sf_dir))
     QUERIES["registration_check"] = registrations
 
     def audit(spark, sf_dir):
-        return behavior.constraint_audit(
-            fx.profiles(spark, sf_dir),
-            {f"user_{k}_behavior": _events(spark, sf_dir, k) for k in behavior.KINDS})
+        return behavior.constraint_audit(fx.view(spark, sf_dir, "bad_profiles"), fx.view(spark, sf_dir, "bad_behaviors"))
     QUERIES["constraint_audit"] = audit
 
     def behavior_search(spark, sf_dir):
@@ -175,62 +189,80 @@ def _register_behavior() -> None:
                                    fields=["username", "nickname", "city"], facets={"gender": "male"},
                                    columns=["id", "username", "nickname", "city", "gender"])
     QUERIES["behavior_search"] = behavior_search
+    for kind, (text, fields, facets) in _SEARCHED.items():
+        def search_kind(spark, sf_dir, kind=kind, text=text, fields=fields, facets=facets):
+            return behavior.search_events(_events(spark, sf_dir, kind), fx.profiles(spark, sf_dir), text, fields,
+                                          facets, _LISTED[kind])
+        QUERIES[f"behavior_search_{kind}"] = search_kind
 
     for name, sql in BEHAVIOR_ORACLE.items():
-        views = [v for v in ("behaviors", "profiles") if v in sql]
+        views = [v for v in ("behaviors", "requests", "bad_profiles", "bad_behaviors", "profiles")
+                 if re.search(rf"\b{v}\b", sql)]
         ORACLE[name] = fx.with_views(sql, *views)
 
 
 def _ingest_sql(kind: str, extras: str) -> str:
+    """From the write path's rules: an id must exist, else a name must exist, else the demo user's
+    profile, which gets the next id when there is none."""
+    demo = (f"coalesce((SELECT min(id) FROM profiles WHERE username = '{behavior.DEMO_USERNAME}'), "
+            f"(SELECT coalesce(max(id), 0) + 1 FROM profiles))")
     return f"""
-SELECT b.id, p.id AS user_id, b.poi_id, coalesce(b.scene, '{behavior.DEFAULTS[kind]['scene']}') AS scene,
-  coalesce(b.device, 'web') AS device, {extras}
-  coalesce(b.occurred_at, TIMESTAMP '{INGEST_TIME}') AS occurred_at,
-  (CASE WHEN b.poi_id IS NULL OR b.poi_id = 0 THEN 'missing_poi_id'
-        WHEN b.user_id IS NOT NULL AND b.user_id <> 0 AND p.id IS NULL THEN 'unknown_user' END) IS NULL AS accepted,
-  CASE WHEN b.poi_id IS NULL OR b.poi_id = 0 THEN 'missing_poi_id'
-       WHEN b.user_id IS NOT NULL AND b.user_id <> 0 AND p.id IS NULL THEN 'unknown_user' END AS reject_reason
-FROM behaviors b LEFT JOIN profiles p ON b.user_id IS NOT NULL AND b.user_id <> 0 AND p.id = b.user_id
-WHERE b.kind = '{kind}'"""
+WITH r AS (SELECT *, CASE
+    WHEN user_id IS NOT NULL AND user_id <> 0 THEN (SELECT min(p.id) FROM profiles p WHERE p.id = q.user_id)
+    WHEN username IS NOT NULL AND username <> '' THEN (SELECT min(p.id) FROM profiles p WHERE p.username = q.username)
+    ELSE {demo} END AS who
+  FROM requests q WHERE kind = '{kind}'),
+j AS (SELECT *, CASE WHEN poi_id IS NULL OR poi_id = 0 THEN 'missing_poi_id' WHEN who IS NULL THEN 'unknown_user' END AS why FROM r)
+SELECT id, who AS user_id, poi_id, coalesce(scene, '{behavior.DEFAULTS[kind]['scene']}') AS scene,
+  coalesce(device, 'web') AS device, {extras}
+  coalesce(occurred_at, TIMESTAMP '{INGEST_TIME}') AS occurred_at, why IS NULL AS accepted, why AS reject_reason
+FROM j"""
 
 
 _DELETED = "(SELECT id FROM profiles WHERE email = '')"
+
+
 def _audit_sql() -> str:
-    parts = []
-    for col in ("username", "external_id"):
-        parts.append(f"SELECT 'unique_{col}' AS rule, 'user_profile' AS \"table\", CAST({col} AS VARCHAR) AS key, "
-                     f"CAST(count(*) AS VARCHAR) AS value FROM profiles WHERE {col} IS NOT NULL "
-                     f"GROUP BY {col} HAVING count(*) > 1")
+    def rows(rule: str, table: str, key: str, value: str, source: str) -> str:
+        return (f"SELECT {rule} AS rule, {table} AS \"table\", CAST({key} AS VARCHAR) AS key, "
+                f"CAST({value} AS VARCHAR) AS value FROM {source}")
+
+    profile, log = "'user_profile'", "'user_' || kind || '_behavior'"
     genders = ", ".join(f"'{g}'" for g in behavior.GENDERS)
-    parts.append(f"SELECT 'gender_choice', 'user_profile', CAST(id AS VARCHAR), gender FROM profiles "
-                 f"WHERE gender IS NULL OR gender NOT IN ({genders})")
-    for col in ("username", "nickname", "city"):
-        parts.append(f"SELECT 'max_length_{col}', 'user_profile', CAST(id AS VARCHAR), CAST(length({col}) AS VARCHAR) "
-                     f"FROM profiles WHERE length({col}) > {behavior.MAX_LEN[col]}")
-    for kind in behavior.KINDS:
-        t = f"user_{kind}_behavior"
-        ev = f"(SELECT * FROM behaviors WHERE kind = '{kind}')"
-        parts.append(f"SELECT 'fk_user', '{t}', CAST(id AS VARCHAR), CAST(user_id AS VARCHAR) FROM {ev} b "
-                     f"WHERE NOT EXISTS (SELECT 1 FROM profiles p WHERE p.id = b.user_id)")
-        for col in ("scene", "device"):
-            parts.append(f"SELECT 'max_length_{col}', '{t}', CAST(id AS VARCHAR), CAST(length({col}) AS VARCHAR) "
-                         f"FROM {ev} b WHERE length({col}) > {behavior.MAX_LEN[col]}")
-        if kind == "comment":
-            parts.append(f"SELECT 'rating_range', '{t}', CAST(id AS VARCHAR), CAST(rating AS VARCHAR) FROM {ev} b "
-                         f"WHERE rating < 0 OR rating > 5")
-        if kind == "detail":
-            parts.append(f"SELECT 'stay_seconds_nonnegative', '{t}', CAST(id AS VARCHAR), CAST(stay_seconds AS VARCHAR) "
-                         f"FROM {ev} b WHERE stay_seconds < 0")
+    parts = [rows(f"'unique_{c}'", profile, c, "count(*)", f"bad_profiles WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1")
+             for c in ("username", "external_id")]
+    parts.append(rows("'gender_choice'", profile, "id", "gender",
+                      f"bad_profiles WHERE gender IS NULL OR gender NOT IN ({genders})"))
+    parts += [rows(f"'max_length_{c}'", profile, "id", f"length({c})", f"bad_profiles WHERE length({c}) > {behavior.MAX_LEN[c]}")
+              for c in ("username", "nickname", "phone", "city")]
+    parts += [rows(f"'max_length_{c}'", log, "id", f"length({c})", f"bad_behaviors WHERE length({c}) > {behavior.MAX_LEN[c]}")
+              for c in ("scene", "device", "exposure_id", "note")]
+    parts.append(rows("'rating_range'", log, "id", "rating", "bad_behaviors WHERE kind = 'comment' AND (rating < 0 OR rating > 5)"))
+    parts.append(rows("'stay_seconds_nonnegative'", log, "id", "stay_seconds",
+                      "bad_behaviors WHERE kind = 'detail' AND stay_seconds < 0"))
+    parts.append(rows("'fk_user'", log, "id", "user_id",
+                      "bad_behaviors b WHERE NOT EXISTS (SELECT 1 FROM bad_profiles p WHERE p.id = b.user_id)"))
     return "\nUNION ALL\n".join(parts)
 
 
+def _search_sql(kind: str) -> str:
+    text, fields, facets = _SEARCHED[kind]
+    source = ("(SELECT b.*, '' AS content, p.username FROM behaviors b JOIN profiles p ON p.id = b.user_id "
+              f"WHERE b.kind = '{kind}')")
+    where = [f"{c} = {repr(v).lower() if v is True else repr(v)}" for c, v in facets.items()]
+    if text:
+        where.append("(" + " OR ".join(f"contains(lower(CAST({f} AS VARCHAR)), '{text}')" for f in fields) + ")")
+    return f"SELECT {', '.join(_LISTED[kind])} FROM {source} e WHERE {' AND '.join(where)}"
+
+
 BEHAVIOR_ORACLE = {
     "ingest_click": _ingest_sql("click", "'' AS exposure_id,"),
-    "ingest_detail_view": _ingest_sql("detail", "coalesce(b.stay_seconds, 0) AS stay_seconds, b.from_click_id,"),
-    "ingest_favorite": _ingest_sql("favorite", "coalesce(b.is_favorite, true) AS is_favorite, "
+    "ingest_detail_view": _ingest_sql("detail", "coalesce(stay_seconds, 0) AS stay_seconds, from_click_id,"),
+    "ingest_favorite": _ingest_sql("favorite", "coalesce(is_favorite, true) AS is_favorite, "
                                                "CAST(NULL AS VARCHAR) AS note,"),
-    "ingest_comment": _ingest_sql("comment", "coalesce(b.rating, 0) AS rating, '' AS content, "
-                                             "coalesce(b.image_urls, '[]') AS image_urls,"),
+    "ingest_comment": _ingest_sql("comment", "coalesce(rating, 0) AS rating, '' AS content, "
+                                             "CASE WHEN image_urls = '' THEN '[]' ELSE image_urls END AS image_urls,"),
+    **{f"behavior_search_{kind}": _search_sql(kind) for kind in _SEARCHED},
     "favorite_state": """
 SELECT user_id, poi_id, is_favorite FROM (
   SELECT user_id, poi_id, is_favorite,
@@ -247,8 +279,7 @@ SELECT d.id, d.user_id, d.poi_id, d.stay_seconds, d.from_click_id, c.scene AS cl
 FROM behaviors d LEFT JOIN (SELECT * FROM behaviors WHERE kind = 'click') c ON c.id = d.from_click_id
 WHERE d.kind = 'detail'""",
     "cascade_delete": f"""
-SELECT id, user_id, poi_id, scene, device, occurred_at, rating, '' AS content, image_urls
-FROM behaviors WHERE kind = 'comment' AND user_id NOT IN {_DELETED}""",
+SELECT id, kind, user_id, poi_id, occurred_at FROM behaviors WHERE user_id NOT IN {_DELETED}""",
     "set_null_on_delete": f"""
 SELECT d.id, d.user_id, d.poi_id, d.scene, d.device, d.occurred_at, d.stay_seconds,
   CASE WHEN g.id IS NULL THEN d.from_click_id END AS from_click_id
@@ -264,6 +295,7 @@ WITH regs AS (
   SELECT s_name AS username, substr(md5(s_name), 1, CAST(s_suppkey % 10 AS INTEGER)) AS password,
     CASE WHEN s_suppkey % 4 = 0 THEN 'bad-email' ELSE 's' || CAST(s_suppkey AS VARCHAR) || '@example.com' END AS email
   FROM supplier
+  UNION ALL SELECT s_name, substr(md5(s_name), 1, CAST(s_suppkey % 10 AS INTEGER)), 'again@example.com' FROM supplier
   UNION ALL SELECT c_name, 'secret1', '' FROM customer),
 checked AS (
   SELECT r.username, coalesce(r.email, '') AS email, CAST(length(coalesce(r.password, '')) AS INTEGER) AS password_length,
@@ -274,7 +306,9 @@ checked AS (
          WHEN coalesce(r.email, '') <> '' AND NOT regexp_matches(coalesce(r.email, ''), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')
            THEN 'invalid_email' END AS reject_reason
   FROM regs r)
-SELECT username, email, password_length, reject_reason IS NULL AS accepted, reject_reason FROM checked""",
+SELECT username, email, password_length, why IS NULL AS accepted, why AS reject_reason FROM (
+  SELECT *, coalesce(reject_reason, CASE WHEN row_number() OVER (PARTITION BY username, reject_reason IS NULL
+    ORDER BY email, password_length) > 1 THEN 'username_taken' END) AS why FROM checked)""",
     "constraint_audit": _audit_sql(),
     "profile_get_or_create": """
 WITH accounts AS (
@@ -284,10 +318,10 @@ new AS (
   SELECT username, min(coalesce(email, '')) AS email FROM accounts
   WHERE username IS NOT NULL AND username <> '' AND username NOT IN (SELECT username FROM profiles)
   GROUP BY username)
-SELECT id, username, nickname, email, gender, city FROM profiles
+SELECT id, external_id, username, nickname, email, gender, city FROM profiles
 UNION ALL
 SELECT CAST((SELECT coalesce(max(id), 0) FROM profiles) + row_number() OVER (ORDER BY username) AS BIGINT),
-  username, CASE WHEN username = 'demo_user' THEN '体验用户' ELSE '' END, email, 'unknown', ''
+  CAST(NULL AS VARCHAR), username, CASE WHEN username = 'demo_user' THEN '体验用户' ELSE '' END, email, 'unknown', ''
 FROM new""",
     "profile_update_partial": """
 SELECT p.id, p.external_id, p.username, coalesce(u.nickname, p.nickname) AS nickname, p.email, p.gender,
@@ -642,8 +676,8 @@ WITH r AS (
     e.user_id AS user_id0, TRY_CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS poi_id, e.ts AS occurred_at,
     p.id AS pid
   FROM events e LEFT JOIN profiles p ON e.user_id IS NOT NULL AND e.user_id <> 0 AND p.id = e.user_id)
-SELECT id, kind, pid AS user_id, poi_id,
-  CASE kind WHEN 'click' THEN 'attraction_list' WHEN 'detail' THEN 'detail_page' END AS scene, 'web' AS device,
+SELECT id, kind, CASE WHEN user_id0 IS NULL OR user_id0 = 0 THEN (SELECT max(id) + 1 FROM profiles) ELSE pid END AS user_id,
+  poi_id, CASE kind WHEN 'click' THEN 'attraction_list' WHEN 'detail' THEN 'detail_page' END AS scene, 'web' AS device,
   occurred_at, ({_STREAM_REASON}) IS NULL AS accepted, {_STREAM_REASON} AS reject_reason
 FROM r""",
     "stream_favorite_state": BEHAVIOR_ORACLE["favorite_state"],

@@ -61,18 +61,34 @@ SELECT CASE WHEN p_partkey % 101 = 100 THEN 'N/A' ELSE CAST(p_partkey AS STRING)
 FROM ${part}"""
 ODS_ATTRACTIONS_SQL = "\nUNION ALL\n".join(_ODS_VERSION.replace("{v}", str(v)) for v in range(3))
 
+# Lines are numbered within their order, so ids are unique at any scale as long as an order has fewer
+# than 1,000 lines, and fit a bigint up to 9e15 orders.  The poi is the part itself, so the
+# item domain grows with ``part``; every 200th part stands for the missing id 0.
 BEHAVIORS_SQL = """
-SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id,
-  o_custkey AS user_id, l_partkey % 200 AS poi_id,
-  CASE l_linenumber % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'detail' WHEN 2 THEN 'favorite' ELSE 'comment' END AS kind,
-  l_shipdate AS occurred_at,
-  l_returnflag <> 'R' AS is_favorite,
-  CAST(l_quantity AS INT) % 6 AS rating,
-  CAST(l_quantity AS INT) * 3 AS stay_seconds,
-  CASE WHEN l_linenumber % 4 = 1 THEN min(CASE WHEN l_linenumber % 4 = 0 THEN ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey END) OVER (PARTITION BY l_orderkey) END AS from_click_id,
-  CASE WHEN l_linenumber = 3 THEN '' ELSE '["http://img.example.com/' || CAST(l_partkey AS STRING) || '.jpg"]' END AS image_urls,
-  'scene' || CAST(l_linenumber AS STRING) AS scene, 'web' AS device
-FROM ${lineitem} JOIN ${orders} ON o_orderkey = l_orderkey
+SELECT id, user_id, poi_id, kind, occurred_at, is_favorite, rating, stay_seconds,
+  CASE WHEN kind = 'detail' THEN min(CASE WHEN kind = 'click' THEN id END) OVER (PARTITION BY order_id) END AS from_click_id,
+  image_urls, scene, device
+FROM (
+  SELECT l_orderkey AS order_id,
+    l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey
+      ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS id,
+    o_custkey AS user_id, CASE WHEN l_partkey % 200 = 0 THEN 0 ELSE l_partkey END AS poi_id,
+    CASE l_linenumber % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'detail' WHEN 2 THEN 'favorite' ELSE 'comment' END AS kind,
+    l_shipdate AS occurred_at,
+    l_returnflag <> 'R' AS is_favorite,
+    CAST(l_quantity AS INT) % 6 AS rating,
+    CAST(l_quantity AS INT) * 3 AS stay_seconds,
+    CASE WHEN l_linenumber = 3 THEN '' ELSE '["http://img.example.com/' || CAST(l_partkey AS STRING) || '.jpg"]' END AS image_urls,
+    'scene' || CAST(l_linenumber AS STRING) AS scene, 'web' AS device
+  FROM ${lineitem} JOIN ${orders} ON o_orderkey = l_orderkey) lines
+"""
+
+# Requests as the write path gets them: by id, by username (known and unknown) or anonymous.
+REQUESTS_SQL = f"""
+SELECT id, poi_id, kind, scene, device, occurred_at, is_favorite, rating, stay_seconds, image_urls, from_click_id,
+  CASE WHEN id % 7 IN (3, 4, 5) THEN NULL WHEN id % 7 = 6 THEN 0 ELSE user_id END AS user_id,
+  CASE id % 7 WHEN 3 THEN 'Customer#' || lpad(CAST(user_id AS STRING), 9, '0') WHEN 4 THEN 'ghost' WHEN 5 THEN '' END AS username
+FROM ({BEHAVIORS_SQL}) b
 """
 
 PROFILES_SQL = """
@@ -84,7 +100,33 @@ SELECT c_custkey AS id, md5(c_name) AS external_id, c_name AS username,
 FROM ${customer} LEFT JOIN ${nation} ON n_nationkey = c_nationkey
 """
 
+# The same tables with every kind of constraint violated by some rows.
+BAD_PROFILES_SQL = f"""
+SELECT id,
+  CASE WHEN id % 50 = 7 THEN 'twin' || CAST(id % 100 AS STRING) ELSE external_id END AS external_id,
+  CASE WHEN id % 60 = 9 THEN 'same' || CAST(id % 120 AS STRING) WHEN id % 83 = 0 THEN repeat('u', 51) || CAST(id AS STRING)
+    ELSE username END AS username,
+  CASE WHEN id % 17 = 0 THEN repeat('n', 51) ELSE nickname END AS nickname,
+  CASE WHEN id % 11 = 0 THEN 'robot' WHEN id % 13 = 0 THEN NULL ELSE gender END AS gender,
+  CASE WHEN id % 19 = 0 THEN repeat('c', 60) ELSE city END AS city,
+  CASE WHEN id % 23 = 0 THEN repeat('1', 21) ELSE '123' END AS phone
+FROM ({PROFILES_SQL}) p
+"""
+BAD_BEHAVIORS_SQL = f"""
+SELECT id, kind, CASE WHEN id % 53 = 0 THEN user_id + 1000000000 ELSE user_id END AS user_id,
+  CASE WHEN id % 37 = 0 THEN repeat('s', 33) ELSE scene END AS scene,
+  CASE WHEN id % 41 = 0 THEN repeat('d', 40) ELSE device END AS device,
+  CASE WHEN kind = 'click' THEN CASE WHEN id % 43 = 0 THEN repeat('e', 65) ELSE '' END END AS exposure_id,
+  CASE WHEN kind = 'favorite' THEN CASE WHEN id % 47 = 0 THEN repeat('x', 201) ELSE '' END END AS note,
+  CASE WHEN kind = 'comment' THEN CASE id % 29 WHEN 0 THEN 9 WHEN 1 THEN -1 ELSE rating END END AS rating,
+  CASE WHEN kind = 'detail' THEN CASE WHEN id % 31 = 0 THEN -5 ELSE stay_seconds END END AS stay_seconds
+FROM ({BEHAVIORS_SQL}) b
+"""
+
 VIEWS = {
+    "requests": REQUESTS_SQL,
+    "bad_profiles": BAD_PROFILES_SQL,
+    "bad_behaviors": BAD_BEHAVIORS_SQL,
     "attractions": ATTRACTIONS_SQL,
     "ods_attractions": ODS_ATTRACTIONS_SQL,
     "behaviors": BEHAVIORS_SQL,
