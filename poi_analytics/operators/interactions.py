@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import materialized
 from ..sources.tables import truthy_id
 
 # The weight of each behaviour kind.
@@ -25,23 +25,25 @@ def weighted_interactions(events: dict[str, DataFrame]) -> DataFrame:
     """(event_id, user_id, poi_id, weight) of the four event tables.
 
     Only favorites with is_favorite = true count; null or 0 ids are dropped;
-    repeats are kept (union all).
+    repeats are kept (union all).  Each table numbers its own rows, so the event id carries
+    the table as well: id * 4 + the kind's place.
     """
     out = None
-    for kind, weight in WEIGHTS.items():
+    for place, (kind, weight) in enumerate(WEIGHTS.items()):
         ev = events[kind]
         if kind == "favorite":
             ev = ev.where(F.col("is_favorite") == F.lit(True))
         part = (ev.where(truthy_id(F.col("user_id")) & truthy_id(F.col("poi_id")))
-                .select(F.col("id").alias("event_id"), F.col("user_id").cast("bigint").alias("user_id"),
+                .select((F.col("id").cast("bigint") * len(WEIGHTS) + place).alias("event_id"),
+                        F.col("user_id").cast("bigint").alias("user_id"),
                         F.col("poi_id").cast("bigint").alias("poi_id"), F.lit(weight).alias("weight")))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def weighted_interactions_log(log: DataFrame, kind_col: str = "kind") -> DataFrame:
-    """L1 over one mixed event log (a ``kind`` column): the same rows as
-    ``weighted_interactions`` in a single scan instead of one per kind."""
+    """L1 over one mixed event log (a ``kind`` column, ids unique in the log): one scan
+    instead of one per kind."""
     kind = F.col(kind_col)
     weight = None
     for k, w in WEIGHTS.items():
@@ -55,17 +57,16 @@ def weighted_interactions_log(log: DataFrame, kind_col: str = "kind") -> DataFra
 def dense_index(df: DataFrame, col: str, index_col: str, partitions: int | None = None) -> DataFrame:
     """Ascending distinct values of ``col`` numbered 0..n-1.
 
-    The distinct values are range-partitioned (``repartitionByRange``) and the
-    partition id is written down with them (checkpointed, so every consumer sees
-    the same split).  Each range partition numbers its values locally; the
-    offset of a partition is the prefix sum of the partition sizes, a table of
-    one row per partition (a proven bound, so it is broadcast).  No
+    The distinct values are range-partitioned (``repartitionByRange``) and written down with
+    their partition id, so every consumer sees the same split.  Each range partition
+    numbers its values locally; the offset of a partition is the prefix sum of the partition
+    sizes, a table of one row per partition (a proven bound, so it is broadcast).  No
     single-partition window over the values, and no Python.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpointed(df.select(col).where(F.col(col).isNotNull()).distinct()
-                          .repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id()))
+    ranged = materialized(df.select(col).where(F.col(col).isNotNull()).distinct()
+                          .repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id()), f"index-{col}")
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,20 +75,18 @@ def dense_index(df: DataFrame, col: str, index_col: str, partitions: int | None
         col, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(index_col))
 
 
-def indexed_positives(interactions: DataFrame, materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def indexed_positives(interactions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Positives in index space plus the user and item index tables.
 
-    With ``materialize`` the interactions are written to the shared checkpoint
-    folder first, so every later consumer (both index builds, the index joins,
-    negative sampling, the anti join, training) reads files instead of
-    recomputing the source scan, and a lost executor re-reads files instead of
-    replaying the lineage.  The index tables are small and rebuilt from their
-    own checkpointed range split.
+    The interactions and the indexed positives are written to the shared folder once,
+    as Parquet: both index builds, negative sampling, the anti join and training
+    read files (pruned to their columns) instead of planning the source and the
+    index joins again, and a lost executor re-reads files.
     """
-    src = checkpointed(interactions) if materialize else interactions
+    src = materialized(interactions, "interactions")
     users = dense_index(src, "user_id", "user_idx")
     items = dense_index(src, "poi_id", "item_idx")
-    pos = src.join(users, "user_id").join(items, "poi_id")
+    pos = materialized(src.join(users, "user_id").join(items, "poi_id"), "positives")
     return pos, users, items
 
 
@@ -96,16 +95,16 @@ def _hash_mod(seed: Column, salt: str, n: Column) -> Column:
     return F.pmod(h, n)
 
 
-def negative_samples(positives: DataFrame, users: DataFrame, items: DataFrame, ratio: int = 1,
-                     seed: int = 42) -> DataFrame:
+def negative_samples(positives: DataFrame, ratio: int = 1, seed: int = 42) -> DataFrame:
     """``ratio`` uniform (user_idx, item_idx) draws per positive,
     minus the positive pairs (compared in index space), duplicates kept.
 
     Each draw is a hash of (event id, draw number, seed), so the sample does not
     depend on partitioning and survives recomputation after executor loss.
     """
-    n_users = users.agg(F.count(F.lit(1))).scalar()
-    n_items = items.agg(F.count(F.lit(1))).scalar()
+    # indexes are dense, so the largest one of the positives is the count (every value occurs there)
+    sizes = positives.agg(F.struct((F.max("user_idx") + 1).alias("u"), (F.max("item_idx") + 1).alias("i"))).scalar()
+    n_users, n_items = sizes.getField("u"), sizes.getField("i")
     draws = positives.select("event_id", F.explode(F.sequence(F.lit(0), F.lit(ratio - 1))).alias("k"))
     s = F.concat_ws(":", F.col("event_id").cast("string"), F.col("k").cast("string"), F.lit(str(seed)))
     sampled = draws.select("event_id", "k", _hash_mod(s, ":u", n_users).alias("user_idx"),
@@ -127,14 +126,14 @@ def interactions_with_items(interactions: DataFrame, dwd: DataFrame) -> DataFram
 
 def item_features(dwd: DataFrame, items: DataFrame) -> DataFrame:
     """Price, heat, score (null -> 0) and district (null/'' -> '未知') of the
-    interacting items only."""
+    interacting items only; written once, as moments, z-scores and districts all read it."""
     f = dwd.select(F.col("poiId").alias("poi_id"),
                    F.coalesce(F.col("price"), F.lit(0.0)).alias("price"),
                    F.coalesce(F.col("heatScore"), F.lit(0.0)).alias("heat"),
                    F.coalesce(F.col("commentScore"), F.lit(0.0)).alias("score"),
                    F.when(F.col("districtName").isNull() | (F.col("districtName") == ""),
                           F.lit(UNKNOWN_DISTRICT)).otherwise(F.col("districtName")).alias("district"))
-    return items.join(f, "poi_id", "inner")
+    return materialized(items.join(f, "poi_id", "inner"), "item-features")
 
 
 def zscore(df: DataFrame, cols=("price", "heat", "score"), eps: float = STD_EPS) -> DataFrame:
@@ -148,17 +147,27 @@ def zscore(df: DataFrame, cols=("price", "heat", "score"), eps: float = STD_EPS)
                            for c in cols})
 
 
+def _districts(features: DataFrame) -> DataFrame:
+    """One row: the sorted district names (a dimension of administrative names, not of rows)."""
+    return features.agg(F.array_sort(F.collect_set("district")).alias("names"))
+
+
 def district_index(features: DataFrame) -> DataFrame:
-    """Sorted distinct district names numbered 0.. (a small dimension)."""
-    return dense_index(features, "district", "district_idx")
+    """Sorted distinct district names numbered 0.., from one aggregate."""
+    return _districts(features).select(F.posexplode("names").alias("district_idx", "district")).select(
+        "district", F.col("district_idx").cast("bigint").alias("district_idx"))
+
+
+def ctr_item_features(features: DataFrame) -> DataFrame:
+    """L8 + L9 per item: item_idx, poi_id, district_idx and the z-scored price, heat and score."""
+    place = F.array_position(_districts(features).scalar(), F.col("district")) - 1
+    return zscore(features).select("item_idx", "poi_id", place.cast("bigint").alias("district_idx"),
+                                   "price", "heat", "score")
 
 
 def ctr_training_frame(train: DataFrame, features: DataFrame) -> DataFrame:
     """Each sample with the item's z-scored price, heat, score and district index."""
-    z = zscore(features)
-    d = district_index(features)
-    feats = z.join(d, "district").select("item_idx", "district_idx", "price", "heat", "score")
-    return train.join(feats, "item_idx", "inner").select(
+    return train.join(ctr_item_features(features).drop("poi_id"), "item_idx", "inner").select(
         "user_idx", "item_idx", "district_idx", "price", "heat", "score", "label")
 
 

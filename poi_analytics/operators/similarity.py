@@ -2,17 +2,17 @@
 
 Vectors are ``array<double>`` columns.  Normalization and concatenation are
 native higher-order functions.  Exact top-k by dot product (cosine after
-normalization, or factor scores) is computed in blocks: queries and
-candidates are hashed into blocks, each (query block, candidate block) pair
-meets in one cogroup task that multiplies the two matrices with numpy and
-keeps only each query's best ``k``; a per-query WindowGroupLimit merges the
-partial lists.  No pair is ever emitted as a row, no cross join is planned,
-and the task size is set by the block sizes, not by the data.
+normalization, or factor scores) has two forms: a few requested queries travel to the
+candidates, which are scanned once; a whole table of queries meets the candidates in hash
+blocks, one cogroup task a block pair.  Either multiplies tiles with numpy and keeps only
+each query's best ``k``; a per-query WindowGroupLimit merges the partial lists.  No pair is
+ever emitted as a row and no cross join is planned.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ TEXT_DIM = 64
 TOKEN_SPLIT = r"[ \t\n\r]+"
 UNKNOWN_TAG = "unknown"
 NORM_EPS = 1e-9
-TARGET_BLOCK_ROWS = 50_000
+QUERY_TILE, CANDIDATE_TILE = 1_000, 8_192
 
 
 def as_double_array(c: Column) -> Column:
@@ -113,28 +113,108 @@ def multimodal_vector(image: Column, text: Column, tags: Column, dim: int) -> Co
     return l2_normalize(F.concat(img, l2_normalize(text), tags))
 
 
-def _block_topk(k: int, exclude_self: bool):
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []})
-        qv = np.vstack(q["v"].to_numpy()).astype(np.float64)
-        cv = np.vstack(c["v"].to_numpy()).astype(np.float64)
-        qid = q["id"].to_numpy()
-        cid = c["id"].to_numpy()
-        s = qv @ cv.T
-        if exclude_self:
-            s[qid[:, None] == cid[None, :]] = -np.inf
-        kk = min(k, cv.shape[0])
-        # threshold = each row's kk-th best score; keep every candidate at or
-        # above it so ties are resolved by the final (score, id) order.
-        part = np.partition(s, cv.shape[0] - kk, axis=1)[:, cv.shape[0] - kk]
-        rows, cols = np.nonzero((s >= part[:, None]) & np.isfinite(s))
-        return pd.DataFrame({"query_id": qid[rows], "neighbor_id": cid[cols], "score": s[rows, cols]})
-    return run
-
-
-def _blocks_for(df: DataFrame) -> int:
-    return max(1, math.ceil(df.count() / TARGET_BLOCK_ROWS))
+def text_vector_dense(df: DataFrame, id_col: str, text_col: str, dim: int = TEXT_DIM) -> DataFrame:
+    """L17 natively: (poi_id, vector array<double>[dim]) of every row's whole text; no token gives zeros."""
+    dense = dense_vector(hashed_text_vector(df, id_col, text_col, dim), dim, "vector")
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return (df.select(F.col(id_col).alias("poi_id")).join(dense, "poi_id", "left")
+            .select("poi_id", F.coalesce("vector", zeros).alias("vector")))
+
+
+def multimodal_vectors(pois: DataFrame, images: DataFrame, texts: DataFrame, dim: int = TEXT_DIM) -> DataFrame:
+    """L16 over tables: (poi_id, vector) of every poi.
+
+    ``pois`` has poiId and tagNameList, ``images`` (poi_id, image array<double>), ``texts``
+    (poi_id, text).  A missing image or text counts as zeros.
+    """
+    text = text_vector_dense(texts, "poi_id", "text", dim).withColumnRenamed("vector", "text")
+    tags = dense_tag_vector(tag_hash_vector(pois))
+    j = (pois.select(F.col("poiId").alias("poi_id")).join(images, "poi_id", "left")
+         .join(text, "poi_id", "left").join(tags, "poi_id", "left"))
+    return j.select("poi_id", multimodal_vector(F.col("image"), F.col("text"), F.col("tags"), dim).alias("vector"))
+
+
+def _matrix(vectors: list, dim: int) -> np.ndarray:
+    return np.vstack(vectors).astype(np.float64) if len(vectors) else np.empty((0, dim))
+
+
+def _best(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: int,
+          exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of each query's best ``k`` by (score desc, id asc), in tiles.
+
+    A score matrix never exceeds QUERY_TILE x CANDIDATE_TILE.  Of a tile exactly the best k stay:
+    all above the k-th score, and of those equal to it the smallest ids; that cut is exact, so
+    ties cost nothing.
+    """
+    order = np.argsort(cid, kind="stable")
+    cid, cv = cid[order], cv[order]
+    found = []
+    for a in range(0, len(qid), QUERY_TILE):
+        q, ids = qv[a:a + QUERY_TILE], qid[a:a + QUERY_TILE]
+        parts = []
+        for b in range(0, len(cid), CANDIDATE_TILE):
+            c, names = cv[b:b + CANDIDATE_TILE], cid[b:b + CANDIDATE_TILE]
+            s = q @ c.T
+            s[np.isnan(s)] = -np.inf
+            if exclude_self:
+                s[ids[:, None] == names[None, :]] = -np.inf
+            n = min(k, len(names))
+            kth = np.partition(s, len(names) - n, axis=1)[:, [len(names) - n]]
+            above, equal = s > kth, s == kth
+            room = n - above.sum(1, keepdims=True)
+            rows, cols = np.nonzero((above | equal & (np.cumsum(equal, axis=1) <= room)) & (s > -np.inf))
+            parts.append((rows, names[cols], s[rows, cols]))
+        rows, names, s = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, int),) * 3
+        order = np.lexsort((names, -s, rows))
+        rows, names, s = rows[order], names[order], s[order]
+        first = np.searchsorted(rows, rows, "left")
+        keep = np.arange(len(rows)) - first < k
+        found.append((ids[rows[keep]], names[keep], s[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector is there and free of nulls and NaN; others have no neighbours and are none."""
+    return vectors.where(F.col("v").isNotNull()
+                         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))).select("id", "v")
+
+
+def _merge(partial: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("neighbor_id"))
+    return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id", "score"))
+
+
+PARTIAL = "query_id long, neighbor_id long, score double"
+
+
+def top_k_requested(queries: DataFrame, candidates: DataFrame, k: int = 10, exclude_self: bool = False,
+                    most: int = 10_000) -> DataFrame:
+    """Exact top-k of a few requested queries: one scan of the candidates, k rows per query and task.
+
+    ``queries`` may hold at most ``most`` rows (they travel to every task); more is an error, and
+    ``top_k_dot`` is the form for that.
+    """
+    asked = _usable(queries).limit(most + 1).toPandas()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} queries; use top_k_dot")
+    spark = candidates.sparkSession
+    shipped = spark.sparkContext.broadcast((asked["id"].to_numpy(), _matrix(list(asked["v"]), 0)))
+
+    def run(batches):
+        qid, qv = shipped.value
+        best = None
+        for pdf in batches:
+            if pdf.empty or not len(qid):
+                continue
+            got = pd.DataFrame(dict(zip(("query_id", "neighbor_id", "score"), _best(
+                qid, qv, pdf["id"].to_numpy(), _matrix(list(pdf["v"]), 0), k, exclude_self))))
+            best = got if best is None else pd.concat([best, got])
+            best = best.sort_values(["query_id", "score", "neighbor_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield best
+
+    return _merge(_usable(candidates).mapInPandas(run, PARTIAL), k)
 
 
 def top_k_dot(queries: DataFrame, candidates: DataFrame, k: int = 10, exclude_self: bool = False,
@@ -142,24 +222,35 @@ def top_k_dot(queries: DataFrame, candidates: DataFrame, k: int = 10, exclude_se
     """Exact top-k candidates per query by dot product; inputs are (id, v array<double>).
 
     Queries and candidates are hashed into blocks; every (query block,
-    candidate block) pair meets in one cogroup task that multiplies the two
-    matrices and keeps each query's best ``k`` (ties kept); a per-query
-    WindowGroupLimit merges the partial lists.  Each candidate row is shipped
-    once per query block and each query row once per candidate block; no pair
-    is ever a row.  Output: query_id, rank (1..k), neighbor_id, score.
+    candidate block) pair meets in one cogroup task that multiplies tiles of the two
+    matrices and keeps each query's best ``k``; a per-query WindowGroupLimit merges the
+    partial lists.  Each candidate row is shipped once per query block and each query row once
+    per candidate block; no pair is ever a row.  ``blocks`` defaults to as many as fill the
+    shuffle partitions with pairs (at any input size).  Output: query_id, rank (1..k),
+    neighbor_id, score.
     """
     if blocks is None:
-        blocks = (_blocks_for(queries), _blocks_for(candidates))
+        partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        side = max(2, math.isqrt(partitions))
+        blocks = (side, max(2, partitions // side))
     qb, cb = blocks
-    qx = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"),
-                        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
-    cx = candidates.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(cb)).alias("cb"),
-                           F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    partial = (qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb"))
-               .applyInPandas(_block_topk(k, exclude_self), "query_id long, neighbor_id long, score double"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("neighbor_id"))
-    return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id", "score"))
+    qx = _usable(queries).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"),
+                                 F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
+    cx = _usable(candidates).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(cb)).alias("cb"),
+                                    F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []})
+        return pd.DataFrame(dict(zip(("query_id", "neighbor_id", "score"), _best(
+            q["id"].to_numpy(), _matrix(list(q["v"]), 0), c["id"].to_numpy(), _matrix(list(c["v"]), 0), k, exclude_self))))
+
+    return _merge(qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb")).applyInPandas(run, PARTIAL), k)
+
+
+def _unit(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return vectors.select(F.col(id_col).alias("id"),
+                          l2_normalize(as_double_array(F.col(vec_col)), NORM_EPS).alias("v"))
 
 
 def cosine_top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -169,8 +260,14 @@ def cosine_top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_co
     ``queries`` (a frame with ``id_col``) defaults to every vector.  Vectors are
     normalized with +1e-9 as in the source, then ranked by ``top_k_dot``.
     """
-    unit = vectors.select(F.col(id_col).alias("id"),
-                          l2_normalize(as_double_array(F.col(vec_col)), NORM_EPS).alias("v"))
+    unit = _unit(vectors, id_col, vec_col)
     q = unit if queries is None else unit.join(
         queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     return top_k_dot(q, unit, k=k, exclude_self=True, blocks=blocks)
+
+
+def similar_pois(vectors: DataFrame, ids: Sequence[int], k: int = 10, id_col: str = "vec_id",
+                 vec_col: str = "embedding") -> DataFrame:
+    """L15 for requested pois: their best ``k`` others by cosine; an unknown id gives no row."""
+    unit = _unit(vectors, id_col, vec_col)
+    return top_k_requested(unit.where(F.col("id").isin(*ids)), unit, k, exclude_self=True)

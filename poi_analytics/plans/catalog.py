@@ -373,32 +373,34 @@ def _register_interactions() -> None:
         _interactions(spark, sf_dir), "poi_id", "item_idx")
 
     def neg_cf(spark, sf_dir):
-        pos, users, items = _cf_parts(spark, sf_dir)
-        return inter.negative_samples(pos, users, items, ratio=inter.CF_NEG_RATIO, seed=42)
+        pos, _, _ = _cf_parts(spark, sf_dir)
+        return inter.negative_samples(pos, ratio=inter.CF_NEG_RATIO, seed=42)
     QUERIES["negative_samples_cf"] = neg_cf
 
     def neg_ctr(spark, sf_dir):
-        _, pos, users, items = _ctr_parts(spark, sf_dir)
-        return inter.negative_samples(pos, users, items, ratio=inter.CTR_NEG_RATIO, seed=2024)
+        _, pos, _, _ = _ctr_parts(spark, sf_dir)
+        return inter.negative_samples(pos, ratio=inter.CTR_NEG_RATIO, seed=2024)
     QUERIES["negative_samples_ctr"] = neg_ctr
 
     def train_cf(spark, sf_dir):
-        pos, users, items = _cf_parts(spark, sf_dir)
-        return inter.training_set(pos, inter.negative_samples(pos, users, items, ratio=1, seed=42))
+        pos, _, _ = _cf_parts(spark, sf_dir)
+        return inter.training_set(pos, inter.negative_samples(pos, ratio=1, seed=42))
     QUERIES["training_set_cf"] = train_cf
     QUERIES["interactions_with_items"] = lambda spark, sf_dir: inter.interactions_with_items(
         _interactions(spark, sf_dir), fx.attractions(spark, sf_dir))
 
     def features(spark, sf_dir):
-        dwd, _, _, items = _ctr_parts(spark, sf_dir)
-        return inter.item_features(dwd, items)
+        # features need the item index only, not the indexed positives
+        dwd = fx.attractions(spark, sf_dir)
+        kept = inter.interactions_with_items(_interactions(spark, sf_dir), dwd)
+        return inter.item_features(dwd, inter.dense_index(kept, "poi_id", "item_idx"))
     QUERIES["item_features"] = features
     QUERIES["zscore_features"] = lambda spark, sf_dir: _round6(inter.zscore(features(spark, sf_dir)))
     QUERIES["district_index"] = lambda spark, sf_dir: inter.district_index(features(spark, sf_dir))
 
     def ctr_frame(spark, sf_dir):
-        dwd, pos, users, items = _ctr_parts(spark, sf_dir)
-        neg = inter.negative_samples(pos, users, items, ratio=inter.CTR_NEG_RATIO, seed=2024)
+        dwd, pos, _, items = _ctr_parts(spark, sf_dir)
+        neg = inter.negative_samples(pos, ratio=inter.CTR_NEG_RATIO, seed=2024)
         return _round6(inter.ctr_training_frame(inter.training_set(pos, neg), inter.item_features(dwd, items)))
     QUERIES["ctr_training_frame"] = ctr_frame
     QUERIES["cold_start_items"] = lambda spark, sf_dir: inter.cold_start_items(features(spark, sf_dir))
@@ -469,6 +471,9 @@ train AS (SELECT user_idx, item_idx, 1.0::DOUBLE AS label FROM pos
 SELECT tr.user_idx, tr.item_idx, d.district_idx, round(z.price, 6) AS price, round(z.heat, 6) AS heat,
   round(z.score, 6) AS score, tr.label
 FROM train tr JOIN zfeat z ON z.item_idx = tr.item_idx JOIN dist d ON d.district = z.district""",
+    "ctr_recommend_new_user": _I_CTE + _index_ctes("kept") + _FEATURES_CTE + """
+SELECT row_number() OVER (ORDER BY heat DESC, poi_id ASC) AS rank, poi_id FROM (
+  SELECT poi_id, heat FROM zfeat ORDER BY heat DESC, poi_id ASC LIMIT 10)""",
     "cold_start_items": _I_CTE + _index_ctes("kept") + _FEATURES_CTE + """
 SELECT row_number() OVER (ORDER BY heat DESC, poi_id ASC) AS rank, poi_id FROM (
   SELECT poi_id, heat FROM zfeat ORDER BY heat DESC, poi_id ASC LIMIT 10)""",
@@ -479,6 +484,27 @@ _register_interactions()
 
 # ---- content similarity and model pipelines -------------------------------------
 
+REQUESTED_POIS = [1, 7, 42, 123, 99_999_999]
+REQUESTED_USERS = [1, 7, 42, -5]
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.attractions(spark, sf_dir).select(
+        F.col("poiId").alias("poi_id"),
+        poi_text(F.col("poiName"), F.col("shortFeatures"), F.col("tagNameList")).alias("text"))
+
+
+def multimodal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unrounded vectors behind the registered query."""
+    images = read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("poi_id"), sim.as_double_array(F.col("embedding")).alias("image"))
+    return sim.multimodal_vectors(fx.attractions(spark, sf_dir), images, _texts(spark, sf_dir))
+
+
+def _rounded_vector(df: DataFrame) -> DataFrame:
+    return df.select("poi_id", F.transform("vector", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector"))
+
+
 def _register_similarity() -> None:
     def tags(spark, sf_dir):
         return _round6(sim.tag_hash_vector(fx.attractions(spark, sf_dir)))
@@ -488,28 +514,15 @@ def _register_similarity() -> None:
         return _round6(sim.cosine_top_k(read_table(spark, sf_dir, "embeddings"), k=10))
     QUERIES["cosine_top_k"] = cosine
 
-    def text(spark, sf_dir):
-        a = fx.attractions(spark, sf_dir)
-        return a.select(F.col("poiId").alias("poi_id"),
-                        poi_text(F.col("poiName"), F.col("shortFeatures"), F.col("tagNameList")).alias("text"))
+    text = _texts
     QUERIES["poi_text"] = text
 
-    def text_embeddings(spark, sf_dir):
-        return text(spark, sf_dir).select("poi_id", rec.embed_batch(F.col("text")).alias("vector"))
-    QUERIES["text_embeddings"] = text_embeddings
+    QUERIES["text_embeddings"] = lambda spark, sf_dir: _rounded_vector(
+        sim.text_vector_dense(text(spark, sf_dir), "poi_id", "text"))
 
-    def multimodal(spark, sf_dir):
-        a = fx.attractions(spark, sf_dir)
-        ids = a.select(F.col("poiId").alias("poi_id"))
-        emb = read_table(spark, sf_dir, "embeddings").select(
-            F.col("vec_id").alias("poi_id"), sim.as_double_array(F.col("embedding")).alias("image"))
-        txt = sim.dense_vector(sim.hashed_text_vector(text(spark, sf_dir), "poi_id", "text"), sim.TEXT_DIM, "text")
-        tagv = sim.dense_tag_vector(sim.tag_hash_vector(a))
-        j = ids.join(emb, "poi_id", "left").join(txt, "poi_id", "left").join(tagv, "poi_id", "left")
-        zeros = F.array_repeat(F.lit(0.0), sim.TEXT_DIM)
-        vec = sim.multimodal_vector(F.col("image"), F.coalesce(F.col("text"), zeros), F.col("tags"), 64)
-        return j.select("poi_id", F.transform(vec, lambda x: F.round(x, 6) + F.lit(0.0)).alias("vector"))
-    QUERIES["multimodal_vector"] = multimodal
+    QUERIES["similar_pois"] = lambda spark, sf_dir: _round6(
+        sim.similar_pois(read_table(spark, sf_dir, "embeddings"), REQUESTED_POIS, k=10))
+    QUERIES["multimodal_vector"] = lambda spark, sf_dir: _rounded_vector(multimodal_vectors(spark, sf_dir))
 
     def cf_recs(spark, sf_dir):
         pos, users, items = _cf_parts(spark, sf_dir)
@@ -517,17 +530,38 @@ def _register_similarity() -> None:
         return rec.cf_recommend(model, users, items, k=10)
     QUERIES["cf_recommend"] = cf_recs
 
-    def ctr_scores(spark, sf_dir):
+    def cf_user(spark, sf_dir):
+        pos, users, items = _cf_parts(spark, sf_dir)
+        return rec.cf_recommend_user(rec.cf_train(pos), users, items, REQUESTED_USERS, k=10)
+    QUERIES["cf_recommend_user"] = cf_user
+
+    def ctr_parts(spark, sf_dir):
+        """CTR model fitted on the rows that are not held out, and what scoring needs."""
         dwd, pos, users, items = _ctr_parts(spark, sf_dir)
-        neg = inter.negative_samples(pos, users, items, ratio=inter.CTR_NEG_RATIO, seed=2024)
+        neg = inter.negative_samples(pos, ratio=inter.CTR_NEG_RATIO, seed=2024)
         feats = inter.item_features(dwd, items)
         frame = inter.ctr_training_frame(inter.training_set(pos, neg), feats)
-        factors = rec.cf_train(pos)
+        kept = pos.where(~rec.held_out(pos))
+        factors = rec.cf_train(kept)
         n_d = inter.district_index(feats).count()
-        model = rec.ctr_train(frame, factors, int(n_d))
-        return rec.ctr_score(model, frame, factors)
+        model = rec.ctr_train(frame.where(~rec.held_out(frame)), factors, int(n_d))
+        return model, factors, frame, feats, users
+
+    def ctr_scores(spark, sf_dir):
+        model, factors, frame, _, _ = ctr_parts(spark, sf_dir)
+        return rec.ctr_score(model, frame.withColumn("held_out", rec.held_out(frame)), factors)
     QUERIES["ctr_scores"] = ctr_scores
 
+    def ctr_user(spark, sf_dir):
+        model, factors, _, feats, users = ctr_parts(spark, sf_dir)
+        return rec.ctr_recommend_user(model, factors, users, inter.ctr_item_features(feats), feats, REQUESTED_USERS[0])
+    QUERIES["ctr_recommend_user"] = ctr_user
+
+    def ctr_new_user(spark, sf_dir):
+        model, factors, _, feats, users = ctr_parts(spark, sf_dir)
+        return rec.ctr_recommend_user(model, factors, users, inter.ctr_item_features(feats), feats, -1)
+    QUERIES["ctr_recommend_new_user"] = ctr_new_user
+
     for name, sql in SIMILARITY_ORACLE.items():
         views = [v for v in ("attractions",) if v in sql]
         ORACLE[name] = fx.with_views(sql, *views) if views else sql
@@ -564,6 +598,27 @@ pairs AS (SELECT a.id AS query_id, b.id AS neighbor_id,
 SELECT query_id, rank, neighbor_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS rank FROM pairs)
 WHERE rank <= 10""",
+    "similar_pois": f"""
+WITH u AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+nn AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS nrm FROM u),
+pairs AS (SELECT a.id AS query_id, b.id AS neighbor_id,
+  list_inner_product(a.e, b.e) / ((a.nrm + 1e-9) * (b.nrm + 1e-9)) AS score
+  FROM nn a JOIN nn b ON a.id <> b.id WHERE a.id IN ({', '.join(map(str, REQUESTED_POIS))}))
+SELECT query_id, rank, neighbor_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS rank FROM pairs)
+WHERE rank <= 10""",
+    "text_embeddings": f"""
+WITH txt AS (SELECT poiId AS poi_id, trim(concat_ws('. ', coalesce(poiName, ''), {_TEXT_PART.format(c='shortFeatures')},
+  {_TEXT_PART.format(c='tagNameList')})) AS text FROM attractions),
+ttok AS (SELECT poi_id, unnest(string_split_regex(lower(text), '[ \t\n\r]+')) AS tok FROM txt),
+tcnt AS (SELECT poi_id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket,
+  sum(CASE WHEN ('0x' || substr(md5(tok), 9, 2))::BIGINT % 2 = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(-1.0 AS DOUBLE) END) AS n
+  FROM ttok WHERE tok <> '' GROUP BY 1, 2),
+tsp AS (SELECT poi_id, bucket, CASE WHEN nrm > 0 THEN n / nrm ELSE CAST(0.0 AS DOUBLE) END AS value
+  FROM (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY poi_id)) AS nrm FROM tcnt)),
+tden AS ({_dense_sql('tsp', 64)})
+SELECT x.poi_id, list_transform(coalesce(t.v, {_ZEROS64}), lambda x: round(x, 6) + 0.0) AS vector
+FROM txt x LEFT JOIN tden t ON t.poi_id = x.poi_id""",
     "multimodal_vector": f"""
 WITH txt AS (SELECT poiId AS poi_id, trim(concat_ws('. ', coalesce(poiName, ''), {_TEXT_PART.format(c='shortFeatures')},
   {_TEXT_PART.format(c='tagNameList')})) AS text FROM attractions),

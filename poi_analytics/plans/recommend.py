@@ -13,18 +13,20 @@ inputs train distributed Spark ML models:
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from ..operators.similarity import as_double_array, top_k_dot
+from ..operators.interactions import cold_start_items
+from ..operators.similarity import as_double_array, top_k_dot, top_k_requested
 from ..session import checkpoint_dir
 
 CF_RANK = 32
@@ -66,6 +68,18 @@ def cf_recommend(model: ALSModel, users: DataFrame, items: DataFrame, k: int = 1
             .select("user_id", "rank", "poi_id", "score"))
 
 
+def cf_recommend_user(model: ALSModel, users: DataFrame, items: DataFrame, user_ids: Sequence[int],
+                      k: int = 10) -> DataFrame:
+    """L6 for requested users: one scan of the item factors; an unknown user gets nothing."""
+    asked = users.where(F.col("user_id").isin(*user_ids))
+    uf = model.userFactors.join(asked.select(F.col("user_idx").cast("int").alias("id")), "id", "left_semi")
+    top = top_k_requested(uf.select("id", as_double_array(F.col("features")).alias("v")),
+                          model.itemFactors.select("id", as_double_array(F.col("features")).alias("v")), k)
+    return (top.join(asked, top["query_id"] == asked["user_idx"])
+            .join(items, top["neighbor_id"] == items["item_idx"])
+            .select("user_id", "rank", "poi_id", "score"))
+
+
 def ctr_features(frame: DataFrame, model: ALSModel) -> DataFrame:
     """Join user and item factors onto the CTR frame (both factor tables are keyed joins)."""
     uf = model.userFactors.select(F.col("id").alias("user_idx"), array_to_vector("features").alias("uvec"))
@@ -92,12 +106,25 @@ def ctr_score(model: PipelineModel, frame: DataFrame, factors: ALSModel) -> Data
     return out.select(*frame.columns, vector_to_array("probability")[1].alias("click_prob"))
 
 
-def ctr_rank(model: PipelineModel, candidates: DataFrame, factors: ALSModel, k: int = 10) -> DataFrame:
-    """Rank the given (user, item) candidates per user by click probability, top k."""
-    from pyspark.sql import Window
-    scored = ctr_score(model, candidates, factors)
-    w = Window.partitionBy("user_idx").orderBy(F.desc("click_prob"), F.asc("item_idx"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def ctr_recommend_user(model: PipelineModel, factors: ALSModel, users: DataFrame, item_features: DataFrame,
+                       features: DataFrame, user_id: int, k: int = 10) -> DataFrame:
+    """L12 for one requested user: (rank, poi_id) of the items most likely clicked.
+
+    Every item is scored once: the user's index is one value, so this is a projection over
+    the items and no join of pairs.  A user without an index gets the cold-start list (L13).
+    """
+    known = users.where(F.col("user_id") == F.lit(user_id)).select("user_idx").first()
+    if known is None:
+        return cold_start_items(features, k)
+    frame = item_features.withColumn("user_idx", F.lit(known["user_idx"]))
+    best = ctr_score(model, frame, factors).orderBy(F.desc("click_prob"), F.asc("poi_id")).limit(k)
+    rank = F.row_number().over(Window.orderBy(F.desc("click_prob"), F.asc("poi_id")))  # over k rows
+    return best.select(rank.cast("bigint").alias("rank"), "poi_id")
+
+
+def held_out(frame: DataFrame, share: int = 5) -> Column:
+    """A fixed share of the (user, item) pairs, by hash, that training does not see."""
+    return F.pmod(F.xxhash64("user_idx", "item_idx"), F.lit(share)) == 0
 
 
 def auc(scored: DataFrame) -> float:
@@ -107,35 +134,9 @@ def auc(scored: DataFrame) -> float:
 
 # ---- L17: batch embedding --------------------------------------------------------
 
-def hashing_text_encoder(dim: int = 64, max_tokens: int | None = None):
-    """Default model factory: signed feature hashing of lower-cased whitespace
-    tokens (md5 bucket and sign), L2-normalized - the same vectors as the
-    native ``similarity.hashed_text_vector``.  ``max_tokens`` mimics a model's
-    input window; None encodes the whole text."""
-    import hashlib
-    import re
-
-    split = re.compile(r"[ \t\n\r]+")
-
-    def predict(texts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        for r, t in enumerate(texts):
-            toks = [x for x in split.split(str(t).lower()) if x]
-            if max_tokens:
-                toks = toks[:max_tokens]
-            for tok in toks:
-                h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                out[r, int(h[:8], 16) % dim] += 1.0 if int(h[8:10], 16) % 2 == 0 else -1.0
-            n = np.linalg.norm(out[r])
-            if n > 0:
-                out[r] /= n
-        return out.astype(np.float32)
-    return predict
-
-
-def embed_batch(text: Column, make_model=None, dim: int = 64, batch_size: int = 256) -> Column:
-    """Model inference per row through ``predict_batch_udf`` (Arrow batches;
-    the model is built once per Python worker by ``make_model``)."""
-    factory = make_model or (lambda: hashing_text_encoder(dim))
-    udf = predict_batch_udf(factory, return_type=ArrayType(FloatType()), batch_size=batch_size)
+def embed_batch(text: Column, make_model, dim: int = 64, batch_size: int = 256) -> Column:
+    """L17 with a caller's model: inference per row through ``predict_batch_udf`` (Arrow batches;
+    ``make_model`` builds the model once per Python worker).  Without a model,
+    ``similarity.text_vector_dense`` gives hashed text vectors natively."""
+    udf = predict_batch_udf(make_model, return_type=ArrayType(FloatType()), batch_size=batch_size)
     return udf(text)
