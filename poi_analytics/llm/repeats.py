@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poi_analytics.llm.shared import drop_saved, ordered_id, row_key, runs, saved, texts_of
+from poi_analytics.llm.shared import drop_saved, ordered_id, row_key, rows_at_a_time, runs, saved, texts_of
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x94D049BB133111EB)
-BLOCK = 1 << 19  # symbols worked on at a time
+BLOCK = 1 << 18  # symbols worked on at a time
 
 SEGMENT = ("key long, gram long, seg long, oid long, doc long, at int, before int, after int, "
            "low int, high int, symbols binary")
@@ -47,10 +47,11 @@ class Search:
     earlier: bool
     symbols: Callable[[bytes], np.ndarray]
     stored: Callable[[bytes], bytes]
-    width: int
+    width: int  # bytes of a stored symbol
     match: Callable[[pa.Table], pa.Table]
     shard_symbols: int = 1 << 20
-    hot: int = 4096  # segments of one key that share a shard at most
+    halvings: int = 2  # times every segment is halved before it is indexed
+    hot: int = 4096    # segments of one key that share a shard at most
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -149,7 +150,7 @@ def anchor_table(docs: DataFrame, search: Search) -> DataFrame:
     w, g = search.window, search.gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 2048):
             oid, key = (batch.column(i).to_numpy() for i in (0, 1))
             for pieces, symbols in _blocks(texts_of(batch.column(2)), search.symbols, w):
                 number, low, length, first, stop = (np.array(c, np.int64) for c in zip(*pieces))
@@ -166,16 +167,20 @@ def anchor_table(docs: DataFrame, search: Search) -> DataFrame:
         run, "oid long, key long, at int, before int, after int, gram long, seg long")
 
 
+def segment_schema(more: list | None = None) -> pa.Schema:
+    return pa.schema([(c, pa.int64()) for c in ("key", "gram", "seg", "oid", "doc")]
+                     + [(c, pa.int32()) for c in ("at", "before", "after", "low", "high")]
+                     + [("symbols", pa.binary())] + (more or []))
+
+
 def _segments(docs: DataFrame, wanted: DataFrame, search: Search) -> DataFrame:
     """SEGMENT rows of the wanted anchors, with their symbols."""
     inside = search.window - search.gram
     lists = wanted.groupBy("oid", "key").agg(F.collect_list(F.struct("gram", "seg", "at", "before", "after")).alias("a"))
-    schema = pa.schema([(c, pa.int64()) for c in ("key", "gram", "seg", "oid", "doc")]
-                       + [(c, pa.int32()) for c in ("at", "before", "after", "low", "high")]
-                       + [("symbols", pa.binary())])
+    schema = segment_schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches):
             rows, size = [], 0
             for oid, key, text, found in zip(*(c.to_pylist() for c in batch.columns)):
                 data = search.stored((text or "").encode("utf-8", "surrogatepass"))
@@ -197,11 +202,12 @@ def _segments(docs: DataFrame, wanted: DataFrame, search: Search) -> DataFrame:
 
 
 def _halved(segments: DataFrame, search: Search) -> DataFrame:
-    """Each segment twice, for either half of its windows, keyed by what all windows of the half share."""
+    """Each segment twice, for either half of its windows, keyed by what all windows of the half
+    share; ``piece`` is the hash of the text of the windows it still has."""
     w, width = search.window, search.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 4096):
             rows = []
             for r in batch.to_pylist():
                 middle = (r["low"] + r["high"]) // 2
@@ -213,46 +219,62 @@ def _halved(segments: DataFrame, search: Search) -> DataFrame:
                     lead = r["before"] + a
                     part = r["symbols"][lead * width:(r["before"] + b + w) * width]
                     core = r["symbols"][(r["before"] + high) * width:(r["before"] + low + w) * width]
-                    key = xxhash.xxh3_64_intdigest(core, (r["key"] ^ high) & (1 << 64) - 1)
-                    rows.append(r | {"key": key - (1 << 64) if key >> 63 else key, "at": r["at"] + lead, "before": -a,
-                                     "after": b + w, "low": low, "high": high, "symbols": part})
-            yield pa.RecordBatch.from_pylist(rows, batch.schema)
+                    key = _signed(xxhash.xxh3_64_intdigest(core, (r["key"] ^ high) & (1 << 64) - 1))
+                    piece = _signed(xxhash.xxh3_64_intdigest(part, (a & 0xFFFF) << 16 | b & 0xFFFF))
+                    rows.append(r | {"key": key, "at": r["at"] + lead, "before": -a, "after": b + w,
+                                     "low": low, "high": high, "symbols": part, "piece": piece})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return segments.mapInArrow(run, SEGMENT)
+    schema = segment_schema([("piece", pa.int64())])
+    return segments.mapInArrow(run, SEGMENT + ", piece long")
 
 
-def _bounded(segments: DataFrame, search: Search) -> DataFrame:
-    """Segments under keys with at most ``hot`` of them each (blocks of a key at the last level).
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-    A key with more is halved into keys of longer shared texts until its segments differ or
-    a single window is left.  That window is the same in all of them, so any block of them needs
-    only one more: the one with the smallest id.
+
+def _halving(segments: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
+    """Halve segments and settle what is now equal as a whole.
+
+    Returns (gram, seg, spans) of the settled halves and the segments that still need an index: of
+    each piece its first one, where its key has other pieces as well.  Equal pieces, a passage
+    in thousands of documents say, are one row of a grouped minimum here.
+    """
+    halves = saved(_halved(segments, search), "halves")
+    place = F.struct("oid", "doc", "at")
+    pieces = halves.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    pieces = saved(pieces, "pieces")
+    several = saved(pieces.groupBy("key").agg(F.count("*").alias("pieces")).where("pieces > 1").select("key"), "keys")
+    equal = F.col("oid") > F.col("first.oid") if search.earlier else F.col("n") > 1
+    settled = (halves.drop("symbols").join(pieces, ["key", "piece"]).where(equal)
+               .select("gram", "seg", F.array(-F.col("before"), F.col("after")).alias("spans")))
+    stays = F.col("oid") == F.col("first.oid") if search.earlier else place == F.col("first")
+    open_ = (halves.join(pieces.join(several, "key", "left_semi"), ["key", "piece"]).where(stays)
+             .select(*segments.columns))
+    return saved(settled, "settled"), saved(open_, "open")
+
+
+def _bounded(segments: DataFrame, search: Search) -> tuple[DataFrame | None, DataFrame]:
+    """Settled spans, and the open segments under keys with at most ``hot`` of them each.
+
+    All segments are halved ``halvings`` times first, as most of those that share a gram differ a few
+    symbols further on.  Keys with more open segments are halved on, into keys of longer
+    shared texts, until their segments differ; those of a single window are equal and settled.
     """
-    done = None
-    for level in range(2 + math.ceil(math.log2(search.window - search.gram + 1))):
-        sizes = segments.groupBy("key").agg(F.count("*").alias("n"))
-        hot = saved(sizes.where(F.col("n") > search.hot), "hot")
-        whole = segments if level == 0 else segments.join(sizes.where("n > 1").select("key"), "key", "left_semi")
-        if hot.isEmpty():
-            return whole if done is None else done.unionByName(whole)
-        cold = whole.join(hot, "key", "left_anti")
-        done = cold if done is None else done.unionByName(cold)
-        here = segments.join(hot, "key")
-        last = here.where("low = high")
-        first = last.groupBy("key").agg(F.min_by(F.struct(*[F.col(c) for c in segments.columns]),
-                                                 F.struct("oid", "doc", "at")).alias("r"), F.max("n").alias("n"))
-        blocks = F.ceil(F.col("n") / search.hot)
-
-        def in_block(block):
-            return F.xxhash64("key", block.cast("long")).alias("key")
-
-        rest = [c for c in segments.columns if c != "key"]
-        members = last.select(in_block(F.pmod(F.xxhash64("gram", "seg"), blocks)), *rest)
-        guests = (first.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-                  .select("r.*", "block").select(in_block(F.col("block")), *rest))
-        done = done.unionByName(members.unionByName(guests).distinct())
-        segments = saved(_halved(here.where("low < high").select(*segments.columns), search), "halved")
-    return done
+    settled = done = None
+    for level in range(1 + math.ceil(math.log2(search.window - search.gram + 1))):
+        if level >= search.halvings:
+            hot = saved(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > search.hot)
+                        .select("key"), "hot")
+            if hot.isEmpty():
+                break
+            cold = segments.join(hot, "key", "left_anti")
+            done = cold if done is None else done.unionByName(cold)
+            segments = segments.join(hot, "key", "left_semi")
+        spans, segments = _halving(segments, search)
+        settled = spans if settled is None else settled.unionByName(spans)
+    return settled, segments if done is None else done.unionByName(segments)
 
 
 def covered(docs: DataFrame, search: Search) -> DataFrame:
@@ -272,12 +294,15 @@ def covered(docs: DataFrame, search: Search) -> DataFrame:
                                                    F.max("mixed").alias("mixed"), F.min(place).alias("place")), "segments")
     wanted = groups.where("mixed").select("gram", "seg", "place.*")
     segments = saved(_segments(docs, wanted, search), "symbols")
-    total = segments.agg(F.sum(F.length("symbols"))).first()[0] or 0
+    settled, open_ = _bounded(segments, search)
+    open_ = saved(open_, "indexed")
+    total = open_.agg(F.sum(F.length("symbols"))).first()[0] or 0
     shards = max(1, -(-total // (search.shard_symbols * search.width)))
-    matched = (_bounded(segments, search).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-               .groupBy("shard").applyInArrow(search.match, MATCHED)
-               .groupBy("gram", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    matched = saved(matched, "matched")
+    matched = (open_.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+               .groupBy("shard").applyInArrow(search.match, MATCHED))
+    if settled is not None:
+        matched = matched.unionByName(settled)
+    matched = saved(matched.groupBy("gram", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans")), "matched")
     own = F.col("oid") > F.col("first") if search.earlier else F.col("n") > 1
     pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int")), lambda i: F.struct(
         (F.col("at") + F.get("spans", (2 * i).cast("int"))).alias("first"),

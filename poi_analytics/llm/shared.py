@@ -70,7 +70,7 @@ def rows_at_a_time(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterat
 class WordHashes(dict):
     """Word -> its 64-bit hash as eight bytes, kept while there is room."""
 
-    KEEP, LONGEST = 500_000, 40
+    KEEP, LONGEST = 200_000, 40
 
     def __missing__(self, word: bytes) -> bytes:
         got = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
