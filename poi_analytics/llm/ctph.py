@@ -171,9 +171,9 @@ def in_ranges(docs: DataFrame, parts: int) -> DataFrame:
     order = F.struct((-F.col("oid")).alias("down"), "key")
     heads = saved(rows.groupBy("part").agg(F.min_by(F.struct("doc_id", "text", "oid", "key"), order).alias("h")), "heads")
     before = Window.orderBy("part")  # over one row per range
-    last = heads.agg(F.max("part").alias("last"))
-    guests = (heads.withColumn("before", F.lag("part").over(before)).join(F.broadcast(last))
-              .select("h.*", F.coalesce("before", "last").alias("part"), F.lit(True).alias("guest")))
+    last = heads.agg(F.max("part")).scalar()
+    guests = (heads.withColumn("before", F.lag("part").over(before))
+              .select("h.*", F.coalesce(F.col("before"), last).alias("part"), F.lit(True).alias("guest")))
     return (rows.withColumn("guest", F.lit(False)).unionByName(guests)
             .repartitionByRange(len(cuts) + 1, "part")
             .sortWithinPartitions("part", "guest", F.desc("oid"), "key")

@@ -173,6 +173,10 @@ def segment_schema(more: list | None = None) -> pa.Schema:
                      + [("symbols", pa.binary())] + (more or []))
 
 
+def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
 def _segments(docs: DataFrame, wanted: DataFrame, search: Search) -> DataFrame:
     """SEGMENT rows of the wanted anchors, with their symbols."""
     inside = search.window - search.gram
@@ -180,22 +184,17 @@ def _segments(docs: DataFrame, wanted: DataFrame, search: Search) -> DataFrame:
     schema = segment_schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_at_a_time(batches):
-            rows, size = [], 0
-            for oid, key, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-                data = search.stored((text or "").encode("utf-8", "surrogatepass"))
+        for batch in rows_at_a_time(batches, 256):
+            rows = []
+            for oid, key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                             texts_of(batch.column(2)), batch.column(3).to_pylist()):
+                data = search.stored(text)
                 for x in found:
-                    first = x["at"] - x["before"]
-                    part = data[first * search.width:(x["at"] + x["after"]) * search.width]
-                    rows.append({"key": x["gram"], "gram": x["gram"], "seg": x["seg"], "oid": oid, "doc": key ^ oid,
-                                 "at": first, "before": x["before"], "after": x["after"], "low": -inside, "high": 0,
-                                 "symbols": part})
-                    size += len(part)
-                if size >= 4 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, size = [], 0
+                    first, before, after = x["at"] - x["before"], x["before"], x["after"]
+                    rows.append((x["gram"], x["gram"], x["seg"], oid, key ^ oid, first, before, after, -inside, 0,
+                                 data[first * search.width:(first + before + after) * search.width]))
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield as_batch(rows, schema)
 
     # the lists are the small side: no sort of the texts
     return docs.select("oid", "key", "text").join(lists.hint("shuffle_hash"), ["oid", "key"]).mapInArrow(run, SEGMENT)
@@ -207,24 +206,25 @@ def _halved(segments: DataFrame, search: Search) -> DataFrame:
     w, width = search.window, search.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = xxhash.xxh3_64_intdigest
         for batch in rows_at_a_time(batches, 4096):
             rows = []
-            for r in batch.to_pylist():
-                middle = (r["low"] + r["high"]) // 2
-                for low, high in ((r["low"], middle), (middle + 1, r["high"])):
+            for old, gram, seg, oid, doc, at, before, after, first, last, symbols in zip(
+                    *(c.to_pylist() for c in batch.columns)):
+                middle = (first + last) // 2
+                for low, high in ((first, middle), (middle + 1, last)):
                     # windows are counted from the anchor; the segment has those from a to b
-                    a, b = max(low, -r["before"]), min(high, r["after"] - w)
+                    a, b = max(low, -before), min(high, after - w)
                     if low > high or a > b:
                         continue
-                    lead = r["before"] + a
-                    part = r["symbols"][lead * width:(r["before"] + b + w) * width]
-                    core = r["symbols"][(r["before"] + high) * width:(r["before"] + low + w) * width]
-                    key = _signed(xxhash.xxh3_64_intdigest(core, (r["key"] ^ high) & (1 << 64) - 1))
-                    piece = _signed(xxhash.xxh3_64_intdigest(part, (a & 0xFFFF) << 16 | b & 0xFFFF))
-                    rows.append(r | {"key": key, "at": r["at"] + lead, "before": -a, "after": b + w,
-                                     "low": low, "high": high, "symbols": part, "piece": piece})
+                    lead = before + a
+                    part = symbols[lead * width:(before + b + w) * width]
+                    core = symbols[(before + high) * width:(before + low + w) * width]
+                    key = _signed(hashed(core, (old ^ high) & (1 << 64) - 1))
+                    piece = _signed(hashed(part, (a & 0xFFFF) << 16 | b & 0xFFFF))
+                    rows.append((key, gram, seg, oid, doc, at + lead, -a, b + w, low, high, part, piece))
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield as_batch(rows, schema)
 
     schema = segment_schema([("piece", pa.int64())])
     return segments.mapInArrow(run, SEGMENT + ", piece long")
@@ -252,7 +252,9 @@ def _halving(segments: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]
     stays = F.col("oid") == F.col("first.oid") if search.earlier else place == F.col("first")
     open_ = (halves.join(pieces.join(several, "key", "left_semi"), ["key", "piece"]).where(stays)
              .select(*segments.columns))
-    return saved(settled, "settled"), saved(open_, "open")
+    settled, open_ = saved(settled, "settled"), saved(open_, "open")
+    drop_saved(halves, pieces, several)
+    return settled, open_
 
 
 def _bounded(segments: DataFrame, search: Search) -> tuple[DataFrame | None, DataFrame]:
@@ -287,14 +289,12 @@ def covered(docs: DataFrame, search: Search) -> DataFrame:
     grams = saved(table.groupBy("gram").agg(many.alias("many"), (F.min("seg") != F.max("seg")).alias("mixed"))
                   .where("many").select("gram", "mixed"), "grams")
     kept = saved(table.join(grams, "gram"), "kept")
-    drop_saved(table)
-    drop_saved(grams)
+    drop_saved(table, grams)
     place = F.struct("oid", "key", "at", "before", "after")
     groups = saved(kept.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min("oid").alias("first"),
                                                    F.max("mixed").alias("mixed"), F.min(place).alias("place")), "segments")
     wanted = groups.where("mixed").select("gram", "seg", "place.*")
-    segments = saved(_segments(docs, wanted, search), "symbols")
-    settled, open_ = _bounded(segments, search)
+    settled, open_ = _bounded(_segments(docs, wanted, search), search)
     open_ = saved(open_, "indexed")
     total = open_.agg(F.sum(F.length("symbols"))).first()[0] or 0
     shards = max(1, -(-total // (search.shard_symbols * search.width)))
@@ -312,7 +312,9 @@ def covered(docs: DataFrame, search: Search) -> DataFrame:
              .join(matched, ["gram", "seg"], "left").where(own | F.col("spans").isNotNull())
              .select("oid", "key", F.when(own, whole).otherwise(pairs).alias("spans")))
     # an anchor that fills in between its neighbours adds nothing: one list per document
-    return saved(found.groupBy("oid", "key").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    spans = saved(found.groupBy("oid", "key").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    drop_saved(kept, groups, matched, open_)
+    return spans
 
 
 def matched_table(rows: list[tuple[int, int, int, np.ndarray]], window: int) -> pa.Table:

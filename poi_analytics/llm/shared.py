@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poi_analytics.session import checkpoint_dir
+from poi_analytics.session import checkpoint_dir, remove
 
 #: Stands for a null doc_id wherever ids are ordered: such rows come last.
 NO_ID = 2**63 - 1
@@ -37,12 +38,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files of a table from :func:`saved` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`saved` that nothing reads any more.
+
+    Also lets the driver collect its garbage, so that Spark's cleaner removes the shuffle files of
+    the jobs that made them.
+    """
+    spark = tables[0].sparkSession
+    for path in {name.rsplit("/", 1)[0] for df in tables for name in df.inputFiles()}:
+        remove(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def ordered_id(column: str = "doc_id") -> Column:
