@@ -1,70 +1,39 @@
-"""Schema-time column helpers (C6, C7, C8, C16) and the bucket rule.
-
-Optional columns are resolved case-insensitively against ``df.columns``.
-"""
+"""Optional input columns (C6-C8, C16) and the bucket rule."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def resolve(df: DataFrame, name: str) -> str | None:
-    """The actual column name matching ``name`` (case-insensitive), or None."""
-    lower = name.lower()
-    for c in df.columns:
-        if c.lower() == lower:
-            return c
-    return None
-
-
-def has(df: DataFrame, name: str) -> bool:
-    return resolve(df, name) is not None
-
+def columns_of(df: DataFrame, candidates: Sequence[str]) -> list[str]:
+    """The columns of ``df`` that the candidates name, in the candidates' order (any letter case)."""
+    own = {c.lower(): c for c in reversed(df.columns)}
+    return [own[c.lower()] for c in candidates if c.lower() in own]
 
-def first_present(df: DataFrame, candidates: Sequence[str]) -> str | None:
-    """The first candidate that exists in ``df``."""
-    for c in candidates:
-        found = resolve(df, c)
-        if found:
-            return found
-    return None
 
+def pick(df: DataFrame, candidates: Sequence[str], dtype: str | None = None, default=None,
+         merge: bool = False, keep: Callable[[Column], Column] | None = None) -> Column:
+    """One value out of optional columns.
 
-def optional_col(df: DataFrame, alias: str, candidates: Sequence[str], default=None,
-                 dtype: str | None = None) -> Column:
-    """The first present candidate as ``alias``, else a typed literal default."""
-    found = first_present(df, candidates)
-    out = F.col(found) if found else F.lit(default)
-    if dtype:
-        out = out.cast(dtype)
-    return out.alias(alias)
-
-
-def ensure_column(df: DataFrame, name: str, default=None, dtype: str = "string") -> DataFrame:
-    """Add ``name`` with a typed default when it is missing."""
-    if has(df, name):
-        return df
-    return df.withColumn(name, F.lit(default).cast(dtype))
+    The first candidate that ``df`` has (C6), or with ``merge`` the first non-null among all it has
+    (C8); ``keep`` lets only values that pass it count (C16: links).  Without any, the ``default``.
+    """
+    found = [F.col(f"`{c}`") for c in columns_of(df, candidates)]
+    found = [F.when(keep(c), c) if keep else c for c in (found if merge or keep else found[:1])]
+    out = F.coalesce(*found) if found else F.lit(default)
+    return out.cast(dtype) if dtype else out
 
 
-def coalesce_present(df: DataFrame, candidates: Sequence[str], dtype: str = "string") -> Column:
-    """Coalesce over whichever candidates exist, else a typed null."""
-    present = [F.col(c) for c in (resolve(df, n) for n in candidates) if c]
-    if not present:
-        return F.lit(None).cast(dtype)
-    return F.coalesce(*present) if len(present) > 1 else present[0]
+def is_link(c: Column) -> Column:
+    return c.startswith("http")
 
 
-def first_http(df: DataFrame, candidates: Sequence[str]) -> Column:
-    """The first present column whose text starts with 'http'."""
-    present = [c for c in (resolve(df, n) for n in candidates) if c]
-    exprs = [F.when(F.col(c).startswith("http"), F.col(c)) for c in present]
-    if not exprs:
-        return F.lit(None).cast("string")
-    return F.coalesce(*exprs)
+def with_columns_present(df: DataFrame, **types: str) -> DataFrame:
+    """Add the named columns that are missing, as nulls of the given types."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if not columns_of(df, [c])})
 
 
 def bucketize(value: Column, rules: Sequence[tuple], default: str) -> Column:

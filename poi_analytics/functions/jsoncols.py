@@ -60,15 +60,17 @@ def distance_km(c: Column, legacy_units: bool = True) -> Column:
 
 
 def event_date(ts_millis: Column) -> Column:
-    """Epoch milliseconds -> calendar date (UTC, independent of the session zone)."""
-    return F.date_from_unix_date(F.floor(ts_millis / F.lit(86400000)).cast("int"))
+    """Epoch milliseconds -> calendar date in the session's time zone."""
+    return F.to_date(F.timestamp_millis(ts_millis.cast("bigint")))
 
 
 def _text_part(c: Column) -> Column:
-    arr = string_array(c)
+    # a list of texts is joined; a list with anything else in it, or no JSON, is taken as it is
+    arr, parsed = string_array(c), F.try_parse_json(c)
+    texts = ~F.exists(arr, lambda x: x.isNull()) & (F.to_json(arr) == F.to_json(parsed))
     return (F.when(c.isNull() | (c == ""), F.lit(""))
-            .when(arr.isNotNull(), F.array_join(arr, " "))
-            .when(F.try_parse_json(c).isNull(), c)
+            .when(arr.isNotNull(), F.when(texts, F.array_join(arr, " ")).otherwise(c))
+            .when(parsed.isNull(), c)
             .otherwise(F.lit("")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.columns import has, resolve
+from ..functions.columns import columns_of
 
 # The columns forced to a number type when present.
 NUMERIC_TYPES = {
@@ -36,20 +36,20 @@ def trim_strings(df: DataFrame) -> DataFrame:
 def to_number(c: Column, dtype: str) -> Column:
     """Malformed text -> null under any ANSI setting; '3.7' -> bigint 3."""
     if dtype == "bigint":
-        return c.try_cast("decimal(38,6)").try_cast("bigint")
+        return c.try_cast("decimal(38,18)").try_cast("bigint")
     return c.try_cast(dtype)
 
 
 def cast_numeric(df: DataFrame) -> DataFrame:
     """Cast whichever of the known numeric columns exist."""
-    targets = {resolve(df, k): t for k, t in NUMERIC_TYPES.items() if has(df, k)}
+    targets = {c: t for k, t in NUMERIC_TYPES.items() for c in columns_of(df, [k])}
     return df.select(*[to_number(F.col(c), targets[c]).alias(c) if c in targets else F.col(c)
                        for c in df.columns])
 
 
 def require_keys(df: DataFrame) -> DataFrame:
     """Keep rows whose poiId and poiName are both present."""
-    return df.dropna(subset=[c for c in REQUIRED if has(df, c)])
+    return df.dropna(subset=columns_of(df, REQUIRED))
 
 
 def dedupe_latest(df: DataFrame) -> DataFrame:
@@ -60,10 +60,10 @@ def dedupe_latest(df: DataFrame) -> DataFrame:
     WindowGroupLimit before the shuffle on poiId: a poi repeated a million
     times sends one row per map partition, not all of them.
     """
-    key = resolve(df, "poiId")
+    key = next(iter(columns_of(df, ["poiId"])), None)
     if key is None:
         return df
-    ts = resolve(df, "timestamp")
+    ts = next(iter(columns_of(df, ["timestamp"])), None)
     order = [F.desc_nulls_last(ts)] if ts else []
     order += [F.asc_nulls_last(c) for c in sorted(df.columns) if c not in (key, ts)
               and df.schema[c].dataType.typeName() not in ("map", "variant")]
@@ -75,9 +75,10 @@ def dedupe_latest(df: DataFrame) -> DataFrame:
 
 def discount_rate(df: DataFrame) -> DataFrame:
     """Price / marketPrice when marketPrice > 0 and price is present."""
-    if not (has(df, "price") and has(df, "marketPrice")):
+    both = [*columns_of(df, ["price"]), *columns_of(df, ["marketPrice"])]
+    if len(both) < 2:
         return df
-    p, m = F.col(resolve(df, "price")), F.col(resolve(df, "marketPrice"))
+    p, m = map(F.col, both)
     return df.withColumn("discount_rate", F.when((m > 0) & p.isNotNull(), p / m))
 
 

@@ -25,7 +25,7 @@ from ..sources import landing
 from ..streaming import ingest as stream
 from ..sources.tables import read_table
 from ..sources import fixtures as fx
-from . import home, pages, screen
+from . import home, jobs, pages, screen
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -680,9 +680,6 @@ def _register_landing() -> None:
         return landing.schema_union_append(old, new)
     QUERIES["schema_union_append"] = union_append
 
-    QUERIES["summary_home"] = lambda spark, sf_dir: writers.summary_document(
-        home.build_all(fx.attractions(spark, sf_dir)), generated_at="2024-06-01T00:00:00+00:00")
-
     def stream_ingest(spark, sf_dir):
         schema = read_table(spark, sf_dir, "events").schema
         src = stream.event_source(spark, sf_dir, "events.parquet", schema)
@@ -743,6 +740,13 @@ _register_landing()
 
 # ---- scans and options ------------------------------------------------------------
 
+def _sections(doc: DataFrame) -> DataFrame:
+    """A summary document as (section, body) rows, the body as JSON text."""
+    parts = [F.struct(F.lit(c).alias("section"), (F.col(c) if t == "string" else F.to_json(c, {"ignoreNullFields": "false"}))
+                      .alias("body")) for c, t in doc.dtypes]
+    return doc.select(F.inline(F.array(*parts)))
+
+
 def _register_scans() -> None:
     QUERIES["item_feature_scan"] = lambda spark, sf_dir: tables.item_feature_scan(fx.attractions(spark, sf_dir))
     QUERIES["content_scan"] = lambda spark, sf_dir: tables.content_scan(fx.attractions(spark, sf_dir))
@@ -751,10 +755,14 @@ def _register_scans() -> None:
         fx.attractions(spark, sf_dir), merge=True)
     QUERIES["pages_media_distance_metric"] = lambda spark, sf_dir: pages.pages_media_distance(
         pages.prepare(fx.attractions(spark, sf_dir), legacy_units=False))
-    QUERIES["summary_screen"] = lambda spark, sf_dir: writers.summary_document(
-        screen.build_all(fx.attractions(spark, sf_dir)), generated_at="2024-06-01T00:00:00+00:00")
-    QUERIES["summary_pages"] = lambda spark, sf_dir: writers.summary_rows(
-        pages.build_all(fx.attractions(spark, sf_dir)))
+    for family in jobs.FAMILIES:
+        def summary(spark, sf_dir, family=family):
+            doc = jobs.summary(jobs.shared_input(fx.attractions(spark, sf_dir), family), family,
+                               generated_at="2024-06-01T00:00:00+00:00")
+            return _sections(doc)
+        QUERIES[f"summary_{family}"] = summary
+    QUERIES["summary_rows_recent_trend"] = lambda spark, sf_dir: writers.summary_rows(
+        {"home_recent_trend": home.home_recent_trend(fx.attractions(spark, sf_dir))})
     for name, sql in SCAN_ORACLE.items():
         views = [v for v in ("attractions", "behaviors") if v in sql]
         ORACLE[name] = fx.with_views(sql, *views)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucketize, bucketize_sql, coalesce_present, first_present, optional_col, resolve
+from ..functions.columns import bucketize, bucketize_sql, columns_of, pick
 from ..functions.jsoncols import TAG_COLUMNS, event_date, tag_tokens
+from .schemas import needs
 
 # Home candidate columns and price buckets.
 HOME_IMAGE_COLUMNS = ["coverImageUrl", "dynamicCoverImageUrl", "imageUrl", "imgUrl", "image", "firstImage"]
 HOME_DETAIL_COLUMNS = ["detailUrl", "url", "wapUrl"]
 HOME_DESC_COLUMNS = ["shortDesc", "description", "shortFeatures"]
+CITY_COLUMNS = ["crawlDistrictName", "districtName"]
+CATEGORY_COLUMNS = ["categoryType", "tagName"]
 HOME_PRICE_BUCKETS = [("<=", 0, "免费"), ("<", 100, "0-99"), ("<", 200, "100-199"), ("<", 300, "200-299")]
 HOME_PRICE_DEFAULT = "300+"
 
@@ -27,10 +30,6 @@ PER_CITY = 5
 HOT_TAG_LIMIT = 60
 
 
-def city_column(df: DataFrame) -> str | None:
-    return first_present(df, ["crawlDistrictName", "districtName"])
-
-
 def home_cards(df: DataFrame) -> DataFrame:
     """distinct pois (a null id counts once), paid / free pois, mean price and heat.
 
@@ -59,28 +58,31 @@ def home_city_overview(df: DataFrame) -> DataFrame:
             .orderBy("bucket"))
 
 
+@needs(CATEGORY_COLUMNS)
 def home_category_matrix(df: DataFrame, limit: int = CATEGORY_LIMIT) -> DataFrame:
     """distinct pois per categoryType (else tagName), top ``limit``."""
-    col = first_present(df, ["categoryType", "tagName"])
-    if col is None:
-        return df.sparkSession.createDataFrame([], "category string, value bigint")
-    return (df.groupBy(F.col(col).alias("category"))
+    return (df.groupBy(pick(df, CATEGORY_COLUMNS).alias("category"))
             .agg(F.count_distinct("poiId").alias("value"))
             .orderBy(F.desc("value"), F.asc_nulls_first("category"))
             .limit(limit))
 
 
+@needs(["heatScore"])
 def home_price_trend(df: DataFrame, limit: int = TREND_LIMIT) -> DataFrame:
-    """mean heat and price per day, the earliest ``limit`` days (a null day sorts first)."""
-    ts = resolve(df, "timestamp")
-    day = event_date(F.col(ts)) if ts else F.current_date()
+    """mean heat and price per day, the earliest ``limit`` days (a null day sorts first).
+
+    Without a timestamp everything is today; without a price its mean is null.
+    """
+    day = event_date(pick(df, ["timestamp"])) if columns_of(df, ["timestamp"]) else F.current_date()
     return (df.groupBy(day.alias("d"))
-            .agg(F.round(F.avg("heatScore"), 2).alias("avgHeat"), F.round(F.avg("price"), 2).alias("avgPrice"))
+            .agg(F.round(F.avg("heatScore"), 2).alias("avgHeat"),
+                 F.round(F.avg(pick(df, ["price"], "double")), 2).alias("avgPrice"))
             .orderBy(F.asc_nulls_first("d"))
             .limit(limit)
             .select(F.coalesce(F.col("d").cast("string"), F.lit("")).alias("date"), "avgHeat", "avgPrice"))
 
 
+@needs(CITY_COLUMNS)
 def home_recent_trend(df: DataFrame, per_city: int = PER_CITY) -> DataFrame:
     """the best ``per_city`` pois per city by score (row_number, ties by poiId).
 
@@ -88,25 +90,21 @@ def home_recent_trend(df: DataFrame, per_city: int = PER_CITY) -> DataFrame:
     WindowGroupLimit before the shuffle: a hot city ships at most ``per_city``
     rows per input partition.
     """
-    city = city_column(df)
-    w = Window.partitionBy(city).orderBy(F.desc_nulls_last("commentScore"), F.asc_nulls_first("poiId"))
-    return (df.select(city, "poiId", "poiName", "commentScore",
-                      optional_col(df, "commentCount", ["commentCount"], dtype="bigint"),
-                      optional_col(df, "price", ["price"], dtype="double"))
-            .withColumn("rn", F.row_number().over(w))
-            .where(F.col("rn") <= per_city)
-            .select(F.col(city).alias("city"), "poiName", "commentScore",
-                    F.coalesce(F.col("commentCount"), F.lit(0)).cast("bigint").alias("commentCount"),
-                    "price"))
+    w = Window.partitionBy("city").orderBy(F.desc_nulls_last("commentScore"), F.asc_nulls_first("poiId"))
+    rows = df.select(pick(df, CITY_COLUMNS).alias("city"), pick(df, ["poiId"], "bigint").alias("poiId"), "poiName",
+                     "commentScore",
+                     F.coalesce(pick(df, ["commentCount"], "bigint"), F.lit(0)).cast("bigint").alias("commentCount"),
+                     pick(df, ["price"], "double").alias("price"))
+    return (rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_city)
+            .select("city", "poiName", "commentScore", "commentCount", "price"))
 
 
+@needs(TAG_COLUMNS)
 def home_hot_tags(df: DataFrame, limit: int = HOT_TAG_LIMIT) -> DataFrame:
     """tag counts (JSON list or comma split of the first tag column), top ``limit``."""
-    col = first_present(df, TAG_COLUMNS)
-    if col is None:
-        return df.sparkSession.createDataFrame([], "name string, value bigint")
-    return (df.where(F.col(col).isNotNull())
-            .select(F.explode(tag_tokens(F.col(col))).alias("name"))
+    tags = pick(df, TAG_COLUMNS)
+    return (df.where(tags.isNotNull())
+            .select(F.explode(tag_tokens(tags)).alias("name"))
             .groupBy("name").agg(F.count(F.lit(1)).alias("value"))
             .orderBy(F.desc("value"), F.asc_nulls_first("name"))
             .limit(limit))
@@ -114,16 +112,15 @@ def home_hot_tags(df: DataFrame, limit: int = HOT_TAG_LIMIT) -> DataFrame:
 
 def home_featured(df: DataFrame, limit: int = TOPN) -> DataFrame:
     """F16: the ``limit`` hottest pois with image, link, city and description."""
-    city = city_column(df)
     return (df.select(
         F.col("poiId").cast("bigint").alias("poiId"),
         F.col("poiName").alias("name"),
         F.col("commentScore").alias("score"),
         "price", "heatScore",
-        coalesce_present(df, HOME_IMAGE_COLUMNS).alias("imageUrl"),
-        coalesce_present(df, HOME_DETAIL_COLUMNS).alias("detailUrl"),
-        (F.col(city) if city else F.lit("")).alias("city"),
-        coalesce_present(df, HOME_DESC_COLUMNS).alias("desc"))
+        pick(df, HOME_IMAGE_COLUMNS, "string", merge=True).alias("imageUrl"),
+        pick(df, HOME_DETAIL_COLUMNS, "string", merge=True).alias("detailUrl"),
+        pick(df, CITY_COLUMNS, default="").alias("city"),
+        pick(df, HOME_DESC_COLUMNS, "string", merge=True).alias("desc"))
         .orderBy(F.desc_nulls_last("heatScore"), F.asc_nulls_first("poiId"))
         .limit(limit))
 

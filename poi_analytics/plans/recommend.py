@@ -83,8 +83,11 @@ def cf_recommend_user(model: ALSModel, users: DataFrame, items: DataFrame, user_
 def ctr_features(frame: DataFrame, model: ALSModel) -> DataFrame:
     """Join user and item factors onto the CTR frame (both factor tables are keyed joins)."""
     uf = model.userFactors.select(F.col("id").alias("user_idx"), array_to_vector("features").alias("uvec"))
-    itf = model.itemFactors.select(F.col("id").alias("item_idx"), array_to_vector("features").alias("ivec"))
-    return frame.join(uf, "user_idx").join(itf, "item_idx")
+    return frame.join(uf, "user_idx").join(_item_vectors(model), "item_idx")
+
+
+def _item_vectors(model: ALSModel) -> DataFrame:
+    return model.itemFactors.select(F.col("id").alias("item_idx"), array_to_vector("features").alias("ivec"))
 
 
 def ctr_train(frame: DataFrame, factors: ALSModel, n_districts: int, max_iter: int = CTR_ITERATIONS,
@@ -113,11 +116,14 @@ def ctr_recommend_user(model: PipelineModel, factors: ALSModel, users: DataFrame
     Every item is scored once: the user's index is one value, so this is a projection over
     the items and no join of pairs.  A user without an index gets the cold-start list (L13).
     """
-    known = users.where(F.col("user_id") == F.lit(user_id)).select("user_idx").first()
+    index = users.where(F.col("user_id") == F.lit(user_id)).select(F.col("user_idx").cast("int").alias("id"))
+    known = factors.userFactors.join(index, "id").first()  # one factor row
     if known is None:
         return cold_start_items(features, k)
-    frame = item_features.withColumn("user_idx", F.lit(known["user_idx"]))
-    best = ctr_score(model, frame, factors).orderBy(F.desc("click_prob"), F.asc("poi_id")).limit(k)
+    uvec = array_to_vector(F.array(*[F.lit(float(x)) for x in known["features"]]))
+    data = item_features.withColumn("uvec", uvec).join(_item_vectors(factors), "item_idx")
+    scored = model.transform(data).select("poi_id", vector_to_array("probability")[1].alias("click_prob"))
+    best = scored.orderBy(F.desc("click_prob"), F.asc("poi_id")).limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("click_prob"), F.asc("poi_id")))  # over k rows
     return best.select(rank.cast("bigint").alias("rank"), "poi_id")
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bucketize, bucketize_sql, coalesce_present, first_present, optional_col, resolve
+from ..functions.columns import bucketize, bucketize_sql, columns_of, pick, with_columns_present
 from ..functions.images import IMAGE_COLUMNS, IMAGE_JSON_COLUMNS, image_url, image_url_sql
 from ..functions.jsoncols import event_date
 from ..functions.regions import normalize_region, normalize_region_sql
+from .schemas import SCHEMAS, needs
 
 # Candidate columns, in priority order.
 DETAIL_COLUMNS = ["detailUrl", "url", "wapUrl", "jumpUrl", "detailLink"]
 CITY_COLUMNS = ["districtName", "crawlDistrictName", "cityName", "provinceName"]
 DESC_COLUMNS = ["shortDesc", "absDesc", "description", "tips", "summary", "intro"]
+HEAT_COLUMNS = ["heatScore", "commentCount"]
+CATEGORY_COLUMNS = ["categoryName", "categoryType", "tagName"]
 PRICE_COLUMNS = ["price", "marketPrice", "marketDiscountPrice", "discountPrice"]
 # Price buckets and score labels.
 SCREEN_PRICE_BUCKETS = [("<", 50, "0-49"), ("<", 100, "50-99"), ("<", 200, "100-199"), ("<", 500, "200-499")]
@@ -38,8 +41,12 @@ RECOMMEND_LIMIT = 6
 def screen_cards(df: DataFrame) -> DataFrame:
     """F1: distinct pois (null id counts once), mean score, total comments, high scorers.
 
-    Combined per poiId first (partial aggregation), then one global pass.
+    Combined per poiId first (partial aggregation), then one global pass.  Without poiId every row
+    counts; without scores or comment counts those figures are null or 0.
     """
+    df = with_columns_present(df, commentScore="double", commentCount="bigint")
+    if not columns_of(df, ["poiId"]):
+        df = df.withColumn("poiId", F.monotonically_increasing_id())
     per_poi = df.groupBy("poiId").agg(
         F.sum("commentScore").alias("ss"), F.count("commentScore").alias("cs"),
         F.sum("commentCount").alias("cc"),
@@ -51,16 +58,15 @@ def screen_cards(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("hi"), F.lit(0)).cast("bigint").alias("highScorePlaces"))
 
 
+@needs(["provinceName", "crawlDistrictName"])
 def screen_map_heat(df: DataFrame, limit: int = MAP_LIMIT, merge: bool = False) -> DataFrame:
     """distinct pois per province (else crawl district), top ``limit``.
 
     Names are normalized after grouping, as the source does, so two raw names
     may map to one province; ``merge=True`` groups by the normalized name.
     """
-    col = first_present(df, ["provinceName", "crawlDistrictName"])
-    if col is None:
-        return df.sparkSession.createDataFrame([], "name string, value bigint")
-    key = normalize_region(F.col(col)) if merge else F.col(col)
+    col = pick(df, ["provinceName", "crawlDistrictName"])
+    key = normalize_region(col) if merge else col
     top = (df.groupBy(key.alias("name"))
            .agg(F.count_distinct("poiId").alias("value"))
            .orderBy(F.desc("value"), F.asc_nulls_first("name"))
@@ -68,30 +74,31 @@ def screen_map_heat(df: DataFrame, limit: int = MAP_LIMIT, merge: bool = False)
     return top if merge else top.select(normalize_region(F.col("name")).alias("name"), "value")
 
 
+@needs(HEAT_COLUMNS, ["poiName"])
 def screen_word_cloud(df: DataFrame, limit: int = WORD_CLOUD_LIMIT) -> DataFrame:
     """the ``limit`` names with the highest heat (else comment count); null -> 0."""
-    col = first_present(df, ["heatScore", "commentCount"])
-    return (df.select(F.col("poiName").alias("name"), F.col(col).cast("double").alias("v"), "poiId")
+    return (df.select(F.col("poiName").alias("name"), pick(df, HEAT_COLUMNS, "double").alias("v"),
+                      pick(df, ["poiId"], "bigint").alias("poiId"))
             .orderBy(F.desc_nulls_last("v"), F.asc_nulls_first("poiId"))
             .limit(limit)
             .select("name", F.coalesce(F.col("v"), F.lit(0.0)).alias("value")))
 
 
+@needs(["timestamp"])
 def screen_score_trend(df: DataFrame, limit: int = TREND_LIMIT) -> DataFrame:
     """mean score per day, the earliest ``limit`` groups; the null day takes a slot, then is dropped."""
-    ts = resolve(df, "timestamp")
-    return (df.groupBy(event_date(F.col(ts)).alias("d"))
-            .agg(F.round(F.avg("commentScore"), 2).alias("avgScore"))
+    return (df.groupBy(event_date(pick(df, ["timestamp"])).alias("d"))
+            .agg(F.round(F.avg(pick(df, ["commentScore"], "double")), 2).alias("avgScore"))
             .orderBy(F.asc_nulls_first("d"))
             .limit(limit)
             .where(F.col("d").isNotNull())
             .select(F.col("d").cast("string").alias("date"), "avgScore"))
 
 
+@needs(CATEGORY_COLUMNS)
 def screen_category(df: DataFrame, limit: int = CATEGORY_LIMIT) -> DataFrame:
     """distinct pois per categoryName / categoryType / tagName, top ``limit``."""
-    col = first_present(df, ["categoryName", "categoryType", "tagName"])
-    return (df.groupBy(F.col(col).alias("name"))
+    return (df.groupBy(pick(df, CATEGORY_COLUMNS).alias("name"))
             .agg(F.count_distinct("poiId").alias("value"))
             .orderBy(F.desc("value"), F.asc_nulls_first("name"))
             .limit(limit))
@@ -104,61 +111,53 @@ def score_bucket(score):
             .otherwise(F.concat(fl.cast("int").cast("string"), F.lit("-"), (fl + 1).cast("int").cast("string"))))
 
 
+@needs(["commentScore"])
 def screen_score_distribution(df: DataFrame) -> DataFrame:
     """count per score bucket."""
     return df.groupBy(score_bucket(F.col("commentScore")).alias("bucket")).agg(F.count(F.lit(1)).alias("value"))
 
 
+@needs(["price"])
 def screen_price_range(df: DataFrame) -> DataFrame:
     """count per price bucket (null price -> '500+')."""
     b = bucketize(F.col("price"), SCREEN_PRICE_BUCKETS, SCREEN_PRICE_DEFAULT)
     return df.groupBy(b.alias("priceBucket")).agg(F.count(F.lit(1)).alias("value")).orderBy("priceBucket")
 
 
-def _image_inputs(df: DataFrame):
-    return (coalesce_present(df, IMAGE_COLUMNS).alias("primaryImage"),
-            coalesce_present(df, IMAGE_JSON_COLUMNS).alias("primaryImageJson"))
+# What a listing shows: (published name, candidate columns, type).
+LISTED = [
+    ("commentScore", ["commentScore"], "double"), ("commentCount", ["commentCount"], "bigint"),
+    ("score", HEAT_COLUMNS[:1], "double"), ("price", PRICE_COLUMNS, "double"),
+    ("detailUrl", DETAIL_COLUMNS, "string"), ("city", CITY_COLUMNS, "string"), ("description", DESC_COLUMNS, "string"),
+]
 
 
-def screen_top_table(df: DataFrame, limit: int = TOPN) -> DataFrame:
-    """F8: the ``limit`` best-scored pois with price, link, city, description, image.
+def top_listing(df: DataFrame, by: str, limit: int) -> DataFrame:
+    """The ``limit`` rows with the largest ``by`` (nulls last, ties by poiId), with every listed field.
 
-    The image JSON is parsed only for the ``limit`` rows left after the top-k.
+    ``imageUrl`` is worked out for the rows left after the top-k only; the single partition
+    above the limit keeps the top-k operator below the image step.
     """
-    top = (df.select(
-        "poiId", "poiName",
-        optional_col(df, "commentScore", ["commentScore"], dtype="double"),
-        optional_col(df, "commentCount", ["commentCount"], dtype="bigint"),
-        optional_col(df, "price", PRICE_COLUMNS, dtype="double"),
-        optional_col(df, "detailUrl", DETAIL_COLUMNS, dtype="string"),
-        optional_col(df, "city", CITY_COLUMNS, dtype="string"),
-        optional_col(df, "description", DESC_COLUMNS, dtype="string"),
-        *_image_inputs(df))
-        .orderBy(F.desc_nulls_last("commentScore"), F.asc_nulls_first("poiId"))
-        .limit(limit)
-        .coalesce(1))  # keeps the top-k as TakeOrderedAndProject below the UDF
-    return top.select("poiName", "commentScore", "commentCount", "price", "city", "description",
-                      image_url(F.col("primaryImage"), F.col("primaryImageJson")).alias("imageUrl"),
-                      "detailUrl")
+    fields = [pick(df, names, dtype).alias(name) for name, names, dtype in LISTED]
+    images = [pick(df, IMAGE_COLUMNS, "string", merge=True).alias("_image"),
+              pick(df, IMAGE_JSON_COLUMNS, "string", merge=True).alias("_images")]
+    top = (df.select(pick(df, ["poiId"], "bigint").alias("poiId"), pick(df, ["poiName"], "string").alias("poiName"),
+                     *fields, *images)
+           .orderBy(F.desc_nulls_last(by), F.asc_nulls_first("poiId")).limit(limit).coalesce(1))
+    return top.withColumn("imageUrl", image_url(F.col("_image"), F.col("_images")))
+
+
+def screen_top_table(df: DataFrame, limit: int = TOPN) -> DataFrame:
+    """F8: the ``limit`` best-scored pois."""
+    return top_listing(df, "commentScore", limit).select(*SCHEMAS["screen_top_table"].names)
 
 
+@needs(["heatScore"], ["poiName"])
 def screen_recommendations(df: DataFrame, limit: int = RECOMMEND_LIMIT) -> DataFrame:
     """the ``limit`` hottest pois; rows with a null id are dropped after the limit."""
-    top = (df.select(
-        F.col("poiId").cast("bigint").alias("poiId"), F.col("poiName").alias("name"),
-        optional_col(df, "score", ["heatScore", "commentScore"], dtype="double"),
-        optional_col(df, "detailUrl", DETAIL_COLUMNS, dtype="string"),
-        optional_col(df, "city", CITY_COLUMNS, dtype="string"),
-        optional_col(df, "price", PRICE_COLUMNS, dtype="double"),
-        optional_col(df, "description", DESC_COLUMNS, dtype="string"),
-        *_image_inputs(df))
-        .orderBy(F.desc_nulls_last("score"), F.asc_nulls_first("poiId"))
-        .limit(limit)
-        .coalesce(1)  # keeps the top-k as TakeOrderedAndProject below the UDF
-        .where(F.col("poiId").isNotNull()))
-    return top.select("poiId", "name", F.round("score", 2).alias("score"),
-                      image_url(F.col("primaryImage"), F.col("primaryImageJson")).alias("imageUrl"),
-                      "detailUrl", "city", "price", "description")
+    top = top_listing(df, "score", limit).where(F.col("poiId").isNotNull())
+    return (top.withColumns({"name": F.col("poiName"), "score": F.round("score", 2)})
+            .select(*SCHEMAS["screen_recommendations"].names))
 
 
 BUILDERS = {

@@ -4,9 +4,9 @@ executors; nothing is collected."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,7 +42,7 @@ def write_mart(df: DataFrame, target: str, schema: StructType | None = None, as_
     """B2: overwrite a mart with its declared schema; an empty result still
     produces an empty table with that schema."""
     out = conform(df, schema) if schema is not None else df
-    w = out.coalesce(1).write.mode("overwrite").format("parquet")
+    w = out.write.mode("overwrite").format("parquet")
     if as_table:
         w.saveAsTable(target)
     else:
@@ -50,40 +50,48 @@ def write_mart(df: DataFrame, target: str, schema: StructType | None = None, as_
 
 
 def summary_rows(marts: Mapping[str, DataFrame]) -> DataFrame:
-    """B3, distributed form: one (mart, row) line per mart row, the row as JSON.
+    """B3 as rows: one (mart, row) line per mart row, the row as JSON.
 
     Nothing is folded, so it holds for marts of any size.
     """
     out = None
     for key, df in marts.items():
-        rows = df.select(F.lit(key).alias("mart"), F.to_json(F.struct(*df.columns)).alias("row"))
+        rows = df.select(F.lit(key).alias("mart"), F.to_json(F.struct(*df.columns), _KEEP_NULLS).alias("row"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def summary_document(marts: Mapping[str, DataFrame], generated_at=None) -> DataFrame:
-    """One row: ``generatedAt`` plus every mart as a JSON array under its key.
+_KEEP_NULLS = {"ignoreNullFields": "false"}
 
-    Each mart is folded into one JSON array inside one task, so this form is
-    for the marts' bounded outputs (top-k limits, bucket labels, small
-    categorical groups); ``summary_rows`` is the form for anything larger.
-    The folded rows are unioned and folded again into one map - no cross
-    join, no driver round trip.
+
+def summary_document(sections: Mapping, single: Sequence[str] = (), generated_at=None) -> DataFrame:
+    """One row, ``generatedAt`` and a column per section.
+
+    ``sections`` maps a published key to a mart, or to a mapping of them (a group).  A mart becomes a
+    sorted array of its rows; the keys in ``single`` (the cards) are one object.  Each array
+    is folded in one task, so this is for marts of bounded size; unbounded ones are
+    published as rows (``summary_rows``).
     """
-    parts = None
-    for key, df in marts.items():
-        row = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("json")) \
-                .select(F.lit(key).alias("key"), F.coalesce(F.col("json"), F.lit("[]")).alias("json"))
-        parts = row if parts is None else parts.unionByName(row)
+    def folded(key: str, df: DataFrame) -> Column:
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        agg = F.first(row) if key in single else F.sort_array(F.collect_list(row))
+        return df.agg(agg.alias(key)).scalar().alias(key)
+
+    def column(key: str, value) -> Column:
+        if isinstance(value, Mapping):
+            return F.struct(*[folded(k, v) for k, v in value.items()]).alias(key)
+        return folded(key, value)
+
+    some = next(iter(sections.values()))
+    some = next(iter(some.values())) if isinstance(some, Mapping) else some
     ts = F.lit(generated_at) if generated_at is not None else F.date_format(
         F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    return parts.agg(F.map_from_entries(F.collect_list(F.struct("key", "json"))).alias("marts")) \
-        .select(ts.alias("generatedAt"), "marts")
+    return some.sparkSession.range(1).select(ts.alias("generatedAt"), *[column(k, v) for k, v in sections.items()])
 
 
 def write_summary(doc: DataFrame, path: str) -> None:
-    """The summary document as one JSON file."""
-    doc.coalesce(1).write.mode("overwrite").json(path)
+    """The summary document as one JSON file (it has one row)."""
+    doc.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_landing(df: DataFrame, path: str, overwrite: bool = False, fmt: str = "csv") -> None:

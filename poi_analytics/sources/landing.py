@@ -7,19 +7,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
-def read_landing_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_landing_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A1: header CSV, every column read as text, '"' as the escape character.
 
-    Values stay strings here and are typed by the cleaning step (C2), so no
-    inference pass over the input is needed.  ``multiline=True`` keeps quoted
-    newlines inside one record (the source split them); pass False for
-    splittable plain files.
+    Values stay strings here and are typed by the cleaning step (C2).  Files with another
+    header than the first one are an error, not misread (``enforceSchema`` off).  Large files are
+    split; ``multiline=True`` keeps quoted newlines inside one record, a file a task.
     """
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("escape", '"').option("multiLine", multiline).option("encoding", "UTF-8")
-            .csv(path))
+    reader = spark.read.option("header", True).option("escape", '"').option("encoding", "UTF-8")
+    names = reader.csv(path).columns
+    return (reader.option("multiLine", multiline).option("enforceSchema", False)
+            .schema(StructType([StructField(n, StringType()) for n in names])).csv(path))
 
 
 def card_body(raw: Column) -> Column:

@@ -29,8 +29,10 @@ CONTENT_COLUMNS = ["poiId", "poiName", "shortFeatures", "tagNameList", "coverIma
 
 
 def item_feature_scan(dwd: DataFrame) -> DataFrame:
-    """A3: the ranking features per poi; the DWD table is already one row per poiId."""
-    return dwd.select(*ITEM_FEATURE_COLUMNS)
+    """A3: the ranking features, one row per poiId (of several the largest values)."""
+    rest = [c for c in ITEM_FEATURE_COLUMNS if c != "poiId"]
+    best = dwd.groupBy("poiId").agg(F.max(F.struct(*rest)).alias("f"))
+    return best.select("poiId", *[F.col(f"f.{c}").alias(c) for c in rest])
 
 
 def content_scan(dwd: DataFrame, limit: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from poi_analytics.functions.columns import bucketize, coalesce_present, first_http, first_present, optional_col
+from poi_analytics.functions.columns import bucketize, columns_of, is_link, pick, with_columns_present
 from poi_analytics.functions.images import find_image_url, image_url
 from poi_analytics.functions.jsoncols import distance_km, poi_text, tag_tokens, tag_tokens_trimmed
 from poi_analytics.functions.regions import normalize_region
@@ -86,11 +86,40 @@ def test_poi_text(spark):
 
 def test_presence_helpers(spark):
     df = spark.createDataFrame([("http://x", None, "y")], "CoverImageUrl string, imageUrl string, other string")
-    assert first_present(df, ["coverimageurl", "imageUrl"]) == "CoverImageUrl"
-    row = df.select(coalesce_present(df, ["missing", "imageUrl", "other"]).alias("c"),
-                    first_http(df, ["other", "coverImageUrl"]).alias("h"),
-                    optional_col(df, "d", ["nope"], default="zz")).first()
-    assert (row.c, row.h, row.d) == ("y", "http://x", "zz")
+    assert columns_of(df, ["nope", "coverimageurl", "imageUrl"]) == ["CoverImageUrl", "imageUrl"]
+    row = df.select(pick(df, ["missing", "imageUrl", "other"], merge=True).alias("c"),
+                    pick(df, ["imageUrl", "other"]).alias("f"),
+                    pick(df, ["other", "coverImageUrl"], keep=is_link).alias("h"),
+                    pick(df, ["nope"], default="zz").alias("d")).first()
+    assert (row.c, row.f, row.h, row.d) == ("y", None, "http://x", "zz")
+    more = with_columns_present(df, other="string", price="double")
+    assert more.columns == [*df.columns, "price"] and dict(more.dtypes)["price"] == "double"
+
+
+def test_numbers_truncate(spark):
+    from poi_analytics.operators.clean import to_number
+    got = _col(spark, ["3.9999999", "-3.9999999", "9223372036854775807", "x", None], "string",
+               lambda c: to_number(c, "bigint"))
+    assert got == [3, -3, 9223372036854775807, None, None]
+
+
+def test_event_date_follows_the_session_zone(spark):
+    from poi_analytics.functions.jsoncols import event_date
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        days = {}
+        for zone in ("UTC", "Asia/Shanghai"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            days[zone] = str(_col(spark, [1704124800000], "long", event_date)[0])  # 2024-01-01 16:00 UTC
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert days == {"UTC": "2024-01-01", "Asia/Shanghai": "2024-01-02"}
+
+
+def test_poi_text_of_mixed_lists(spark):
+    df = spark.createDataFrame([('["中", "b\\"c"]',), ('["a", 1]',), ('["a", null]',), ("[]",)], "f string")
+    got = [r[0] for r in df.select(poi_text(F.lit("N"), F.col("f"), F.lit(None).cast("string"))).collect()]
+    assert got == ['N. 中 b"c.', 'N. ["a", 1].', 'N. ["a", null].', "N. ."]
 
 
 from hypothesis import given, settings  # noqa: E402
