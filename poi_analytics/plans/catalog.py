@@ -558,8 +558,10 @@ def _register_similarity() -> None:
     QUERIES["ctr_recommend_user"] = ctr_user
 
     def ctr_new_user(spark, sf_dir):
-        model, factors, _, feats, users = ctr_parts(spark, sf_dir)
-        return rec.ctr_recommend_user(model, factors, users, inter.ctr_item_features(feats), feats, -1)
+        # no user has this id, so neither model is asked
+        dwd, _, users, items = _ctr_parts(spark, sf_dir)
+        feats = inter.item_features(dwd, items)
+        return rec.ctr_recommend_user(None, None, users, inter.ctr_item_features(feats), feats, -1)
     QUERIES["ctr_recommend_new_user"] = ctr_new_user
 
     for name, sql in SIMILARITY_ORACLE.items():

@@ -116,8 +116,8 @@ def ctr_recommend_user(model: PipelineModel, factors: ALSModel, users: DataFrame
     Every item is scored once: the user's index is one value, so this is a projection over
     the items and no join of pairs.  A user without an index gets the cold-start list (L13).
     """
-    index = users.where(F.col("user_id") == F.lit(user_id)).select(F.col("user_idx").cast("int").alias("id"))
-    known = factors.userFactors.join(index, "id").first()  # one factor row
+    index = users.where(F.col("user_id") == F.lit(user_id)).select("user_idx").first()
+    known = factors.userFactors.where(F.col("id") == F.lit(index["user_idx"])).first() if index else None
     if known is None:
         return cold_start_items(features, k)
     uvec = array_to_vector(F.array(*[F.lit(float(x)) for x in known["features"]]))

@@ -446,7 +446,7 @@ def test_stream_ingest_resumes_from_checkpoint(spark, sf_dir):
 def test_no_cross_joins_or_row_udfs_in_any_plan(spark, sf_dir):
     jvm = spark._jvm
     bad = []
-    for name, q in sorted(queries().items()):
+    for name, q in sorted(catalog.QUERIES.items()):
         text = jvm.PythonSQLUtils.explainString(q(spark, sf_dir)._jdf.queryExecution(), "formatted")
         hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if k in text]
         if hits:
