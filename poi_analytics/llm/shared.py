@@ -33,24 +33,25 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage: a lost executor re-reads files.  The planner also knows the
     true size of what it reads, so it decides on broadcasts by measured size.
     """
-    path = scratch(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(*tables: DataFrame) -> None:
-    """Delete the files of tables from :func:`saved` that nothing reads any more.
-
-    Also lets the driver collect its garbage, so that Spark's cleaner removes the shuffle files of
-    the jobs that made them.
-    """
-    spark = tables[0].sparkSession
-    for path in {name.rsplit("/", 1)[0] for df in tables for name in df.inputFiles()}:
-        remove(spark, path)
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark removes the shuffle files of finished jobs."""
     gc.collect()
     spark._jvm.System.gc()
 
 
+def drop_saved(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`saved` that nothing reads any more."""
+    for path in {name.rsplit("/", 1)[0] for df in tables for name in df.inputFiles()}:
+        remove(tables[0].sparkSession, path)
+
+
 def ordered_id(column: str = "doc_id") -> Column:
     """The id as bigint, null as the largest value."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))

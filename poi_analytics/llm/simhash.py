@@ -161,7 +161,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int =
     stay = saved(stay.withColumnsRenamed({"oid": "stay_oid", "key": "stay_key", "n": "stay_n"}), "stay")
     same = (ordered_id() == F.col("stay_oid")) & (row_key() == F.col("stay_key"))
     once, many = stay.where("stay_n = 1"), stay.where("stay_n > 1")
-    kept = docs.join(once, same, "left_semi")
+    kept = docs.join(once.hint("shuffle_hash"), same, "left_semi")  # the ids are the small side: no sort of the texts
     if many.isEmpty():
         return kept
     packed = docs.join(many, same, "left_semi").select(
