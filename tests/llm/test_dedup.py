@@ -58,14 +58,14 @@ def brute_bytes(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("change, block", [({}, 1 << 19), ({"hot": 2, "shard_symbols": 300}, 700)])
+@pytest.mark.parametrize("change, block", [({}, 1 << 18), ({"hot": 2, "shard_symbols": 300}, 700), ({"halvings": 0}, 1 << 18)])
 def test_words_match_brute_force(spark, monkeypatch, change, block):
     monkeypatch.setattr(repeats, "BLOCK", block)
     got = fm_index.digest(fm_index.remove_repeats(awkward(spark), replace(fm_index.SEARCH, **change))).collect()
     assert Counter(map(tuple, got)) == brute_words([r[:2] for r in awkward_rows()])
 
 
-@pytest.mark.parametrize("change, block", [({}, 1 << 19), ({"hot": 2, "shard_symbols": 900}, 1500)])
+@pytest.mark.parametrize("change, block", [({}, 1 << 18), ({"hot": 2, "shard_symbols": 900, "halvings": 1}, 1500)])
 def test_bytes_match_brute_force(spark, monkeypatch, change, block):
     monkeypatch.setattr(repeats, "BLOCK", block)
     got = suffix_array.digest(suffix_array.remove_repeats(awkward(spark), replace(suffix_array.SEARCH, **change))).collect()
