@@ -186,7 +186,7 @@ def _symbols(text: bytes) -> np.ndarray:
 
 
 SEARCH = Search(window=WINDOW, gram=GRAM, earlier=True, symbols=_symbols, stored=_words.of, width=8,
-                match=match_shard, shard_symbols=1 << 20)
+                match=match_shard, shard_symbols=1 << 18)
 
 def remove_repeats(docs: DataFrame, search: Search = SEARCH, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry`` of every row of ``docs`` with n_words, n_removed and kept, the words left

@@ -25,7 +25,7 @@ from poi_analytics.llm.shared import drop_saved, ordered_id, row_key, rows_at_a_
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x94D049BB133111EB)
-BLOCK = 1 << 18  # symbols worked on at a time
+BLOCK = 1 << 17  # symbols worked on at a time
 
 SEGMENT = ("key long, gram long, seg long, oid long, doc long, at int, before int, after int, "
            "low int, high int, symbols binary")
@@ -49,7 +49,7 @@ class Search:
     stored: Callable[[bytes], bytes]
     width: int  # bytes of a stored symbol
     match: Callable[[pa.Table], pa.Table]
-    shard_symbols: int = 1 << 20
+    shard_symbols: int = 1 << 18  # what a task indexes at a time; an index takes some hundred bytes a symbol
     halvings: int = 2  # times every segment is halved before it is indexed
     hot: int = 4096    # segments of one key that share a shard at most
 
@@ -68,7 +68,7 @@ class RangeHash:
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
         if len(RangeHash._up) <= n:
-            size = max(2 * n, BLOCK)
+            size = max(n + n // 4, BLOCK) + 1
             RangeHash._up, RangeHash._down = powers(_BASE, size), powers(_BACK, size)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(symbols * RangeHash._up[:n], out=self.sums[1:])
