@@ -177,11 +177,12 @@ def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, search: Search) -> DataFrame:
-    """SEGMENT rows of the wanted anchors, with their symbols."""
-    inside = search.window - search.gram
-    lists = wanted.groupBy("oid", "key").agg(F.collect_list(F.struct("gram", "seg", "at", "before", "after")).alias("a"))
-    schema = segment_schema()
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _cut(search: Search) -> Step:
+    """Batches of (oid, key, text, anchors) to segments with their symbols."""
+    inside, schema = search.window - search.gram, segment_schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches, 256):
@@ -196,14 +197,14 @@ def _segments(docs: DataFrame, wanted: DataFrame, search: Search) -> DataFrame:
             if rows:
                 yield as_batch(rows, schema)
 
-    # the lists are the small side: no sort of the texts
-    return docs.select("oid", "key", "text").join(lists.hint("shuffle_hash"), ["oid", "key"]).mapInArrow(run, SEGMENT)
+    return run
 
 
-def _halved(segments: DataFrame, search: Search) -> DataFrame:
-    """Each segment twice, for either half of its windows, keyed by what all windows of the half
+def _halve(search: Search) -> Step:
+    """Segments to their halves: either half of the windows, keyed by what all windows of the half
     share; ``piece`` is the hash of the text of the windows it still has."""
     w, width = search.window, search.width
+    schema = segment_schema([("piece", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh3_64_intdigest
@@ -226,22 +227,31 @@ def _halved(segments: DataFrame, search: Search) -> DataFrame:
             if rows:
                 yield as_batch(rows, schema)
 
-    schema = segment_schema([("piece", pa.int64())])
-    return segments.mapInArrow(run, SEGMENT + ", piece long")
+    return run
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _halving(segments: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
-    """Halve segments and settle what is now equal as a whole.
+def _through(rows: DataFrame, steps: list[Step], schema: str) -> DataFrame:
+    """The steps one after the other in the same Python worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return rows.mapInArrow(run, schema) if steps else rows
+
+
+def _halving(rows: DataFrame, steps: list[Step], search: Search) -> tuple[DataFrame, DataFrame]:
+    """Halve segments (``rows`` after the steps that make them) and settle what is now equal as a whole.
 
     Returns (gram, seg, spans) of the settled halves and the segments that still need an index: of
     each piece its first one, where its key has other pieces as well.  Equal pieces, a passage
     in thousands of documents say, are one row of a grouped minimum here.
     """
-    halves = saved(_halved(segments, search), "halves")
+    halves = saved(_through(rows, [*steps, _halve(search)], SEGMENT + ", piece long"), "halves")
     place = F.struct("oid", "doc", "at")
     pieces = halves.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     pieces = saved(pieces, "pieces")
@@ -251,14 +261,14 @@ def _halving(segments: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]
                .select("gram", "seg", F.array(-F.col("before"), F.col("after")).alias("spans")))
     stays = F.col("oid") == F.col("first.oid") if search.earlier else place == F.col("first")
     open_ = (halves.join(pieces.join(several, "key", "left_semi"), ["key", "piece"]).where(stays)
-             .select(*segments.columns))
+             .select(*segment_schema().names))
     settled, open_ = saved(settled, "settled"), saved(open_, "open")
     drop_saved(halves, pieces, several)
     return settled, open_
 
 
-def _bounded(segments: DataFrame, search: Search) -> tuple[DataFrame | None, DataFrame]:
-    """Settled spans, and the open segments under keys with at most ``hot`` of them each.
+def _bounded(segments: DataFrame, steps: list[Step], search: Search) -> tuple[DataFrame | None, DataFrame]:
+    """Settled spans of the segments (rows that ``steps`` make into segments), and the open segments under keys with at most ``hot`` of them each.
 
     All segments are halved ``halvings`` times first, as most of those that share a gram differ a few
     symbols further on.  Keys with more open segments are halved on, into keys of longer
@@ -267,6 +277,7 @@ def _bounded(segments: DataFrame, search: Search) -> tuple[DataFrame | None, Dat
     settled = done = None
     for level in range(1 + math.ceil(math.log2(search.window - search.gram + 1))):
         if level >= search.halvings:
+            segments, steps = _through(segments, steps, SEGMENT), []
             hot = saved(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > search.hot)
                         .select("key"), "hot")
             if hot.isEmpty():
@@ -274,7 +285,8 @@ def _bounded(segments: DataFrame, search: Search) -> tuple[DataFrame | None, Dat
             cold = segments.join(hot, "key", "left_anti")
             done = cold if done is None else done.unionByName(cold)
             segments = segments.join(hot, "key", "left_semi")
-        spans, segments = _halving(segments, search)
+        spans, segments = _halving(segments, steps, search)
+        steps = []
         settled = spans if settled is None else settled.unionByName(spans)
     return settled, segments if done is None else done.unionByName(segments)
 
@@ -294,7 +306,10 @@ def covered(docs: DataFrame, search: Search) -> DataFrame:
     groups = saved(kept.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min("oid").alias("first"),
                                                    F.max("mixed").alias("mixed"), F.min(place).alias("place")), "segments")
     wanted = groups.where("mixed").select("gram", "seg", "place.*")
-    settled, open_ = _bounded(_segments(docs, wanted, search), search)
+    lists = wanted.groupBy("oid", "key").agg(F.collect_list(F.struct("gram", "seg", "at", "before", "after")).alias("a"))
+    # the lists are the small side: no sort of the texts
+    texts = docs.select("oid", "key", "text").join(lists.hint("shuffle_hash"), ["oid", "key"])
+    settled, open_ = _bounded(texts, [_cut(search)], search)
     open_ = saved(open_, "indexed")
     total = open_.agg(F.sum(F.length("symbols"))).first()[0] or 0
     shards = max(1, -(-total // (search.shard_symbols * search.width)))
