@@ -8,6 +8,7 @@ rounds, and scores every document with the state carried from its first to its l
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,8 @@ class Settings:
     """The network's size and its training; counts and scores always cover all documents.
 
     ``train_share``: each round trains on the training documents of one hash class out of so
-    many, in every batch, so what is learned from grows with the input.
+    many, in every batch, the next round on the next class.  There are as many rounds as classes
+    at least, so every training document is learned from.
     """
 
     words: int = 4096          # most frequent training tokens with outputs of their own
@@ -39,7 +41,7 @@ class Settings:
     window: int = 32           # steps of truncated backpropagation
     lanes: int = 64            # documents trained side by side
     rounds: int = 2
-    train_share: int = 16
+    train_share: int = 2
     rate: float = 0.01
     smoothing: float = 0.1
     batch_docs: int = 4096
@@ -201,10 +203,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    x -= np.log(np.exp(x).sum(-1, keepdims=True))
-    return x
+def _softmax_at(x: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row of ``x`` the log-softmax at one column; the exponentials, in place of ``x``, and their sums."""
+    x -= x.max(-1, keepdims=True)
+    picked = x[np.arange(len(x)), column].astype(np.float64)
+    np.exp(x, out=x)
+    total = x.sum(-1, keepdims=True)
+    return picked - np.log(total[:, 0]), x, total
 
 
 class Network:
@@ -236,20 +241,31 @@ class Network:
             "Wc": np.zeros((h, self.classes + 1)), "bc": np.log(np.append(inside.sum(1), rest) / v.mass),
             "Ww": np.zeros((self.classes, h, m)),
         }
-        self.p = {k: a.astype(np.float32) for k, a in shapes.items()}
         # log share in the class; minus infinity past the last word
         self.word_bias = np.maximum(word_bias, -1e9).astype(np.float32)
-        self.bw = np.zeros_like(self.word_bias)  # trained on top of the shares
-        self.p["bw"] = self.bw
+        shapes["bw"] = np.zeros_like(self.word_bias)  # trained on top of the shares
+        self.shapes = {k: a.shape for k, a in shapes.items()}
+        self.flat = np.concatenate([a.ravel() for a in shapes.values()]).astype(np.float32)
+        self.p = self.views(self.flat)
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that the next call of this name uses again; fresh memory costs more than the sums in it."""
+        size = int(np.prod(shape))
+        if name not in self.rooms or self.rooms[name].size < size:
+            self.rooms[name] = np.empty(size, np.float32)
+        return self.rooms[name][:size].reshape(shape)
+
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The named parts of a parameter vector, without copies."""
+        ends = np.cumsum([int(np.prod(shape)) for shape in self.shapes.values()])
+        return {k: a.reshape(shape) for (k, shape), a in zip(self.shapes.items(), np.split(flat, ends[:-1]))}
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for a in self.p.values()])
+        return self.flat.copy()
 
     def load(self, flat: np.ndarray) -> Network:
-        at = 0
-        for k, a in self.p.items():
-            self.p[k] = flat[at:at + a.size].reshape(a.shape).astype(np.float32)
-            at += a.size
+        self.flat[:] = flat
         return self
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -265,32 +281,37 @@ class Network:
         """Natural-log probabilities of the targets (a word, or the class of other tokens), and
         the gradient of their negative sum with respect to the states if ``grads`` is given."""
         m, p = self.s.class_words, self.p
-        rows = np.arange(len(target))
-        known = target < self.n
-        cls = np.where(known, target // m, self.classes)
-        lp = _log_softmax(states @ p["Wc"] + p["bc"])
-        out = lp[rows, cls].astype(np.float64)
-        back = np.zeros_like(states)
-        if grads is not None:
-            d = np.exp(lp)
-            d[rows, cls] -= 1
-            grads["Wc"] += states.T @ d
-            grads["bc"] += d.sum(0)
-            back += d @ p["Wc"].T
+        cls = np.where(target < self.n, target // m, self.classes).astype(np.min_scalar_type(self.classes))
         order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            own = order[cut[k]:cut[k + 1]]
-            h, word = states[own], target[own] % m
-            lw = _log_softmax(h @ p["Ww"][k] + (self.word_bias[k] + p["bw"][k]))
-            at = np.arange(len(own))
-            out[own] += lw[at, word]
-            if grads is not None:
-                d = np.exp(lw)
-                d[at, word] -= 1
-                grads["Ww"][k] += h.T @ d
-                grads["bw"][k] += d.sum(0)
-                back[own] += d @ p["Ww"][k].T
+        cls, word, size = cls[order].astype(np.int64), target[order] % m, len(target)
+        h = np.take(states, order, 0, self.room("sorted", *states.shape), "clip")
+        cut = np.searchsorted(cls, np.arange(self.classes + 1))
+        blocks = [(k, slice(cut[k], cut[k + 1])) for k in np.flatnonzero(np.diff(cut))]
+        known = cut[-1]
+        x = np.matmul(h, p["Wc"], out=self.room("classes", size, self.classes + 1))
+        x += p["bc"]
+        lp, d, total = _softmax_at(x, cls)
+        x, bias = self.room("words", known, m), self.word_bias + p["bw"]
+        for k, own in blocks:
+            np.matmul(h[own], p["Ww"][k], out=x[own])
+            x[own] += bias[k]
+        lw, dw, total_w = _softmax_at(x, word[:known])
+        lp[:known] += lw
+        out, back = np.empty(size), np.zeros_like(states)
+        out[order] = lp
+        if grads is not None:
+            d /= total
+            d[np.arange(size), cls] -= 1
+            dw /= total_w
+            dw[np.arange(known), word[:known]] -= 1
+            grads["Wc"] += h.T @ d
+            grads["bc"] += np.ones(size, np.float32) @ d
+            flow = np.matmul(d, p["Wc"].T, out=self.room("flow", *states.shape))
+            for k, own in blocks:
+                grads["Ww"][k] += h[own].T @ dw[own]
+                grads["bw"][k] += dw[own].sum(0)
+                flow[own] += dw[own] @ p["Ww"][k].T
+            back[order] = flow
         return out, back
 
     def inputs(self) -> np.ndarray:
@@ -299,72 +320,114 @@ class Network:
     def train(self, docs: list[np.ndarray]) -> int:
         """One pass over documents (word numbers), by Adam; returns the tokens seen.
 
-        Documents of like length run side by side; windows of a document follow each other
-        with the state carried on, and gradients stop at the window's start.
+        Every lane reads documents one after the other, each from the zero state to its last
+        token; the state is carried from window to window, and gradients stop at the window's
+        start.  The longest documents are dealt first, so the lanes end at about the same time; a
+        window with fewer live tokens moves the parameters by as much less.
         """
         s = self.s
-        first = {k: np.zeros_like(a) for k, a in self.p.items()}
-        second = {k: np.zeros_like(a) for k, a in self.p.items()}
         docs = sorted((d for d in docs if len(d)), key=len, reverse=True)
-        groups = [docs[i:i + s.lanes] for i in range(0, len(docs), s.lanes)]
-        seen = updates = 0
-        for g in np.random.default_rng(11).permutation(len(groups)):
-            group = groups[g]
-            lengths = np.array([len(d) for d in group])
-            h = np.zeros((len(group), s.hidden), np.float32)
-            for t0 in range(0, int(lengths[0]), s.window):
-                active = int((lengths > t0).sum())
-                stop = min(t0 + s.window, int(lengths[0]))
-                grid = np.full((active, stop - t0 + 1), -1)
-                for i, d in enumerate(group[:active]):
-                    part = d[max(t0 - 1, 0):stop]
-                    grid[i, (t0 == 0):(t0 == 0) + len(part)] = part
-                grid[:, 0] = np.where(t0 == 0, self.n + 1, grid[:, 0])
-                h = self._window(grid, h[:active], first, second, updates)
-                updates += 1
-                seen += int((grid[:, 1:] >= 0).sum())
-        return seen
-
-    def _window(self, grid: np.ndarray, h: np.ndarray, first: dict, second: dict, updates: int) -> np.ndarray:
+        if not docs:
+            return 0
+        lanes: list[list[np.ndarray]] = [[] for _ in range(min(s.lanes, len(docs)))]
+        ends = [(0, i) for i in range(len(lanes))]
+        for d in docs:
+            size, i = heapq.heappop(ends)
+            lanes[i].append(d)
+            heapq.heappush(ends, (size + len(d), i))
+        lanes.sort(key=lambda lane: -sum(map(len, lane)))
+        rng = np.random.default_rng(11)
+        lanes = [[lane[i] for i in rng.permutation(len(lane))] for lane in lanes]
+        targets = np.concatenate([d for lane in lanes for d in lane])
+        lengths = np.array([sum(map(len, lane)) for lane in lanes])
+        starts = np.cumsum(lengths) - lengths
+        fresh = np.zeros(len(targets), bool)  # first tokens of documents
+        fresh[np.cumsum([0, *(len(d) for lane in lanes for d in lane)])[:-1]] = True
+        before = np.where(fresh, self.n + 1, np.roll(targets, 1))
+
+        first, second, g, change = (np.zeros_like(self.flat) for _ in range(4))
+        grads = self.views(g)
+        h = np.zeros((len(lanes), s.hidden), np.float32)
+        updates = 0
+        for t0 in range(0, int(lengths[0]), s.window):
+            active = int((lengths > t0).sum())
+            at = np.arange(t0, min(t0 + s.window, int(lengths[0])))[:, None]
+            live = at < lengths[:active]
+            at = np.where(live, at, 0) + starts[:active]
+            g[:] = 0
+            h = self._window(before[at], targets[at], live, ~fresh[at], h[:active], grads)
+            seen, updates = int(live.sum()), updates + 1
+            norm = float(np.sqrt(g @ g)) / seen
+            g *= np.float32(min(1.0, 5.0 / (norm + 1e-12)) / seen)
+            np.subtract(g, first, out=change)
+            change *= np.float32(0.1)
+            first += change
+            g *= g
+            g -= second
+            g *= np.float32(0.01)
+            second += g
+            np.sqrt(second, out=g)
+            g *= np.float32((1 - 0.99 ** updates) ** -0.5)
+            g += np.float32(1e-6)
+            np.divide(first, g, out=g)
+            g *= np.float32(s.rate / (1 - 0.9 ** updates) * seen / (len(lanes) * s.window))
+            self.flat -= g
+        return len(targets)
+
+    def _window(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, carried: np.ndarray, h: np.ndarray,
+                grads: dict) -> np.ndarray:
+        """Adds the gradients of one window (steps x lanes) to ``grads``; returns the last states.
+
+        Positions not ``live`` lie past a lane's end; where not ``carried`` a document starts.
+        """
         p, n = self.p, self.s.hidden
-        grads = {k: np.zeros_like(a) for k, a in p.items()}
-        table, kept, states = self.inputs(), [], []
-        steps = grid.shape[1] - 1
-        for t in range(steps):
-            h, cache = self.step(table[np.maximum(grid[:, t], 0)], h)
-            kept.append(cache)
-            states.append(h)
-        live = grid[:, 1:].T >= 0
-        stacked = np.stack(states)
-        _, back = self.outputs(stacked[live], grid[:, 1:].T[live], grads)
-        flow = np.zeros_like(stacked)
-        flow[live] = back
+        projected = np.take(self.inputs(), x, 0, self.room("projected", *x.shape, 3 * n), "clip")
+        carried = carried[:, :, None].astype(np.float32)
+        states, before, z, r, un, c = self.room("kept", 6, *x.shape, n)
+        for t in range(len(x)):
+            h, (before[t], z[t], r[t], un[t], c[t]) = self.step(projected[t], h * carried[t])
+            states[t] = h
+        last, own = h, slice(None) if live.all() else live.ravel()
+        flow = self.room("flows", *x.shape, n)
+        flow[:] = 0
+        flow.reshape(-1, n)[own] = self.outputs(states.reshape(-1, n)[own], target.ravel()[own], grads)[1]
+        # slopes of the gates' inputs: by the new state for z and c, by c's own slope for r
+        to_z, to_r, to_c, spare = self.room("slopes", 4, *x.shape, n)
+        np.subtract(before, c, out=to_z)
+        to_z *= z
+        np.subtract(1, z, out=spare)
+        to_z *= spare
+        np.multiply(c, c, out=to_c)
+        np.subtract(1, to_c, out=to_c)
+        to_c *= spare
+        np.subtract(1, r, out=to_r)
+        to_r *= r
+        to_r *= un
         dh = np.zeros_like(h)
-        dx_all = np.empty((steps, len(h), 3 * n), np.float32)
-        for t in reversed(range(steps)):
-            before, z, r, un, c = kept[t]
-            dh = dh + flow[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * un * r * (1 - r)
-            dx = np.concatenate([dz, dr, dc], 1)
-            du = np.concatenate([dz, dr, dc * r], 1)
-            grads["U"] += before.T @ du
-            dx_all[t] = dx
-            dh = dh * z + du @ p["U"].T
-        flat, used = dx_all.reshape(-1, 3 * n), np.maximum(grid[:, :-1].T.ravel(), 0)
-        grads["b"] += flat.sum(0)
-        grads["W"] += p["E"][used].T @ flat
-        np.add.at(grads["E"], used, flat @ p["W"].T)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        scale = min(1.0, 5.0 / (norm / max(live.sum(), 1) + 1e-12)) / max(live.sum(), 1)
-        for k, g in grads.items():
-            g = g * np.float32(scale)
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            fixed = first[k] / (1 - 0.9 ** (updates + 1)), second[k] / (1 - 0.99 ** (updates + 1))
-            p[k] -= (self.s.rate * fixed[0] / (np.sqrt(fixed[1]) + 1e-6)).astype(np.float32)
-        return h
+        dx, du = self.room("gates", 2, *x.shape, 3 * n)
+        back = p["U"].T.copy()
+        for t in reversed(range(len(x))):
+            dh += flow[t]
+            np.multiply(dh, to_z[t], out=dx[t, :, :n])
+            dc = dh * to_c[t]
+            np.multiply(dc, to_r[t], out=dx[t, :, n:2 * n])
+            dx[t, :, 2 * n:] = dc
+            du[t] = dx[t]
+            du[t, :, 2 * n:] *= r[t]
+            dh *= z[t]
+            dh += du[t] @ back
+            dh *= carried[t]
+        grads["U"] += before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+        used = x.ravel()
+        order = np.argsort(used)
+        used = used[order]
+        flat = np.take(dx.reshape(-1, 3 * n), order, 0, du.reshape(-1, 3 * n), "clip")
+        cut = np.flatnonzero(np.diff(used, prepend=-1))
+        by_word, words = np.add.reduceat(flat, cut), used[cut]
+        grads["b"] += by_word.sum(0)
+        grads["W"] += p["E"][words].T @ by_word
+        grads["E"][words] += by_word @ p["W"].T
+        return last
 
     def score(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Per document the natural-log probability of its tokens, other tokens as their class.
@@ -407,9 +470,9 @@ def _documents(words: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
 
 
 def fit(batches: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:
-    """Parameters averaged over all batches, ``rounds`` times.
+    """Parameters averaged over all batches, ``rounds`` times and once for every hash class at least.
 
-    Every round each batch trains from the same parameters on its own training documents of
+    Every round each batch trains from the last averages on its own training documents of
     that round's hash class; the averages, weighted by tokens, are added up per task and then
     in two more steps, so one vector at a time is in memory anywhere.
     """
@@ -427,7 +490,7 @@ def fit(batches: DataFrame, v: Vocabulary, s: Settings) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight])],
                                              ["vector", "weight"])
 
-    for turn in range(s.rounds):
+    for turn in range(max(s.rounds, s.train_share)):
         shipped = sc.broadcast(flat)
 
         def local(rows: Iterator[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:

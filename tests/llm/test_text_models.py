@@ -178,6 +178,16 @@ def test_network_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_network_learns_from_training_documents_of_all_hash_classes(spark):
+    """Two languages, held by fourteen of sixteen hash classes; the other two hold one word only."""
+    rows = [(i, "x " * 60 if crc(i) % 10 and crc(i) // 10 % 16 < 2 else prose(1000 + i, 60, "en" if i % 2 else "fr"))
+            for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for s in language_model.Settings(), language_model.Settings(train_share=5):
+        got = [r for r in language_model.score_documents(docs, s).collect() if r.held_out]
+        assert sum(r.score for r in got) > 0.98 * sum(r.base_score for r in got)
+
+
 def network(n=20):
     v = language_model.Vocabulary(100, 30, np.arange(n, dtype=np.uint64), np.arange(n), np.linspace(9, 2, n), 0.1)
     return language_model.Network(v, language_model.Settings(class_words=6, hidden=5, window=4, lanes=3)), v
