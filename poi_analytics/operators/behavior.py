@@ -108,6 +108,22 @@ def image_list_json(requests: DataFrame) -> Column:
     return F.coalesce(*texts, F.lit("[]"))
 
 
+def event_time(r: DataFrame, now: Column) -> Column:
+    """The request's own time when given, else ``now``."""
+    if "occurred_at" not in r.columns:
+        return now
+    return F.coalesce(F.col("occurred_at"), now.cast(r.schema["occurred_at"].dataType))
+
+
+def request_value(r: DataFrame, c: str, kind: str) -> Column:
+    """K1-K4: what an event of ``kind`` stores in column ``c``: the request's value, else the default."""
+    if c == "image_urls":
+        return image_list_json(r)
+    d, typ = DEFAULTS[kind].get(c), EXTRA_TYPES.get(c, "string")
+    v = F.col(c).cast(typ) if c in r.columns else F.lit(None).cast(typ)
+    return F.coalesce(v, F.lit(d).cast(typ)) if d is not None else v
+
+
 def ingest(requests: DataFrame, profiles: DataFrame, kind: str,
            ingest_time: Column | None = None) -> DataFrame:
     """K1-K4: validate and default event requests of one kind.
@@ -124,19 +140,8 @@ def ingest(requests: DataFrame, profiles: DataFrame, kind: str,
     out = [F.col("id") if "id" in present else F.lit(None).cast("bigint").alias("id"),
            F.col("profile_id").alias("user_id"),
            F.col("poi_id").cast("bigint").alias("poi_id")]
-    for c in ["scene", "device"] + EXTRAS[kind]:
-        d = DEFAULTS[kind].get(c)
-        typ = EXTRA_TYPES.get(c, "string")
-        if c == "image_urls":
-            out.append(image_list_json(r).alias(c))
-            continue
-        v = F.col(c).cast(typ) if c in present else F.lit(None).cast(typ)
-        out.append((F.coalesce(v, F.lit(d).cast(typ)) if d is not None else v).alias(c))
-    if "occurred_at" in present:
-        ts_type = r.schema["occurred_at"].dataType
-        out.append(F.coalesce(F.col("occurred_at"), now.cast(ts_type)).alias("occurred_at"))
-    else:
-        out.append(now.alias("occurred_at"))
+    out += [request_value(r, c, kind).alias(c) for c in ["scene", "device"] + EXTRAS[kind]]
+    out.append(event_time(r, now).alias("occurred_at"))
     reason = (F.when(~truthy_id(F.col("poi_id")), F.lit("missing_poi_id"))
               .otherwise(F.col("resolve_error")))
     out += [reason.isNull().alias("accepted"), reason.alias("reject_reason")]

@@ -662,6 +662,12 @@ _register_similarity()
 _CARD_FIELDS = ["poiId", "poiName", "price", "hasVideo", "tagNameList", "districtName", "geo"]
 
 
+_INGESTS = {"click": "ingest_click", "detail": "ingest_detail_view",
+            "favorite": "ingest_favorite", "comment": "ingest_comment"}
+STREAM_REQUESTS_ORACLE = "\nUNION ALL BY NAME\n".join(
+    f"SELECT '{kind}' AS kind, * FROM ({BEHAVIOR_ORACLE[name]})" for kind, name in _INGESTS.items())
+
+
 def _register_landing() -> None:
     def cards(spark, sf_dir):
         a = fx.attractions(spark, sf_dir)
@@ -688,9 +694,22 @@ def _register_landing() -> None:
         out = stream.ingest_events(stream.events_to_requests(src), fx.profiles(spark, sf_dir))
         path = stream.scratch_path(spark, "stream-ingest")
         stream.run_append(out, path + "/out", path + "/checkpoint")
-        return spark.read.parquet(path + "/out")
+        # the generic log has none of the kinds' own fields
+        own = [c for kind in behavior.KINDS for c in behavior.EXTRAS[kind]]
+        return spark.read.parquet(path + "/out").drop(*own)
     QUERIES["stream_ingest_events"] = stream_ingest
 
+    def stream_requests(spark, sf_dir):
+        path = stream.scratch_path(spark, "stream-requests")
+        images = F.from_json(F.nullif(F.col("image_urls"), F.lit("")), "array<string>")
+        (fx.view(spark, sf_dir, "requests").withColumn("images", images).drop("image_urls")
+         .write.parquet(path + "/in"))
+        src = stream.event_source(spark, path + "/in", "*.parquet", spark.read.parquet(path + "/in").schema)
+        out = stream.ingest_events(src, fx.profiles(spark, sf_dir), ingest_time=F.lit(INGEST_TIME))
+        stream.run_append(out, path + "/out", path + "/checkpoint")
+        return spark.read.parquet(path + "/out")
+    QUERIES["stream_ingest_requests"] = stream_requests
+
     def stream_favorites(spark, sf_dir):
         path = stream.scratch_path(spark, "stream-favorites")
         fav = _events(spark, sf_dir, "favorite")
@@ -703,6 +722,7 @@ def _register_landing() -> None:
     for name, sql in LANDING_ORACLE.items():
         views = [v for v in ("attractions", "ods_attractions", "behaviors", "profiles") if v in sql]
         ORACLE[name] = fx.with_views(sql, *views) if views else sql
+    ORACLE["stream_ingest_requests"] = fx.with_views(STREAM_REQUESTS_ORACLE, "requests", "profiles")
 
 
 _STREAM_REASON = """CASE WHEN kind IS NULL THEN 'unknown_kind'

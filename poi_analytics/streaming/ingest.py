@@ -47,29 +47,30 @@ def events_to_requests(events: DataFrame) -> DataFrame:
         F.col("ts").alias("occurred_at"))
 
 
-def _default_scene(kind: Column) -> Column:
-    out = None
-    for k in behavior.KINDS:
-        cond = kind == k
-        v = F.lit(behavior.DEFAULTS[k]["scene"])
-        out = F.when(cond, v) if out is None else out.when(cond, v)
-    return out
+def ingest_events(requests: DataFrame, profiles: DataFrame, ingest_time: Column | None = None) -> DataFrame:
+    """K1-K4 over a mixed request stream: kind, poi and user checks plus each kind's defaults.
 
+    The columns of all kinds are kept, filled by the rules of ``behavior.ingest``; a column of
+    another kind is null, and so are all of them for an unknown kind.  Works on batch and streaming
+    frames alike (the profile look-up is a stream-static join)."""
+    r = behavior.resolve_profile(requests, profiles)
 
-def ingest_events(requests: DataFrame, profiles: DataFrame) -> DataFrame:
-    """K1-K4 over a mixed request stream: kind, poi and user checks plus defaults.
+    def by_kind(c: str, kinds: tuple[str, ...]) -> Column:
+        return F.coalesce(*[F.when(F.col("kind") == k, behavior.request_value(r, c, k)) for k in kinds])
 
-    Works on batch and streaming frames alike (the profile look-up is a
-    stream-static join)."""
-    r = behavior.resolve_profile(requests, profiles)
-    scene = F.coalesce(F.col("scene"), _default_scene(F.col("kind"))) if "scene" in requests.columns \
-        else _default_scene(F.col("kind"))
+    scene = by_kind("scene", behavior.KINDS)
+    if "scene" in requests.columns:
+        scene = F.coalesce(F.col("scene"), scene)
     device = F.coalesce(F.col("device"), F.lit("web")) if "device" in requests.columns else F.lit("web")
-    reason = (F.when(F.col("kind").isNull(), F.lit("unknown_kind"))
+    extras = [by_kind(c, (k,)).alias(c) for k in behavior.KINDS for c in behavior.EXTRAS[k]]
+    now = ingest_time if ingest_time is not None else F.current_timestamp()
+    known = F.coalesce(F.col("kind").isin(*behavior.KINDS), F.lit(False))
+    reason = (F.when(~known, F.lit("unknown_kind"))
               .when(~truthy_id(F.col("poi_id")), F.lit("missing_poi_id"))
               .otherwise(F.col("resolve_error")))
-    return r.select("id", "kind", F.col("profile_id").alias("user_id"), "poi_id", scene.alias("scene"),
-                    device.alias("device"), "occurred_at", reason.isNull().alias("accepted"),
+    return r.select("id", "kind", F.col("profile_id").alias("user_id"), F.col("poi_id").cast("bigint").alias("poi_id"),
+                    scene.alias("scene"), device.alias("device"), *extras,
+                    behavior.event_time(r, now).alias("occurred_at"), reason.isNull().alias("accepted"),
                     reason.alias("reject_reason"))
 
 

@@ -443,6 +443,30 @@ def test_stream_ingest_resumes_from_checkpoint(spark, sf_dir):
     assert total.count() == ev.count() and total.select("id").distinct().count() == ev.count()
 
 
+def test_streamed_requests_of_all_kinds_keep_their_columns(spark):
+    from poi_analytics.streaming import ingest as stream
+    base = stream.scratch_path(spark, "all-kinds")
+    prof = spark.createDataFrame([(4, "u4", "n")], "id long, username string, nickname string")
+    spark.createDataFrame(
+        [(1, "favorite", 7, False, None, None, None, None, None), (2, "favorite", 7, None, None, None, None, None, None),
+         (3, "comment", 7, None, 5, "good", ["a"], None, None), (4, "comment", 7, None, None, None, None, None, None),
+         (5, "detail", 7, None, None, None, None, 30, 9), (6, "click", 7, True, 3, "x", ["b"], 1, 1),
+         (7, "share", 7, True, 3, "x", ["b"], 1, 1), (8, None, 7, None, None, None, None, None, None)],
+        "id long, kind string, poi_id long, is_favorite boolean, rating int, content string, images array<string>, "
+        "stay_seconds int, from_click_id long").withColumn("user_id", F.lit(4)).write.parquet(base + "/in")
+    src = stream.event_source(spark, base + "/in", "*.parquet", spark.read.parquet(base + "/in").schema)
+    stream.run_append(stream.ingest_events(src, prof), base + "/out", base + "/ck")
+    rows = {r.id: r for r in spark.read.parquet(base + "/out").collect()}
+    own = ["is_favorite", "rating", "content", "image_urls", "stay_seconds", "from_click_id", "exposure_id"]
+    assert {i: tuple(r[c] for c in own) for i, r in rows.items()} == {
+        1: (False, None, None, None, None, None, None), 2: (True, None, None, None, None, None, None),
+        3: (None, 5, "good", '["a"]', None, None, None), 4: (None, 0, "", "[]", None, None, None),
+        5: (None, None, None, None, 30, 9, None), 6: (None, None, None, None, None, None, ""),
+        7: (None,) * 7, 8: (None,) * 7}
+    assert [rows[i].reject_reason for i in range(1, 9)] == [None] * 6 + ["unknown_kind"] * 2
+    assert all(r.occurred_at is not None for r in rows.values())
+
+
 def test_no_cross_joins_or_row_udfs_in_any_plan(spark, sf_dir):
     jvm = spark._jvm
     bad = []
