@@ -233,9 +233,12 @@ def with_language(docs: DataFrame, settings: Settings = Settings(), above_chance
     """The rows of ``docs``, all columns, whose language is known.
 
     Learned from the rows not held out.  A row is rejected if it has no letter, or if its best
-    label's calibrated probability is less than ``above_chance`` above that of a guess.
+    label's calibrated probability is less than ``above_chance`` above that of a guess.  When no
+    label could be learned, only rows without a letter are rejected.
     """
     model = train(docs.where(~held_out()), settings)
+    if not model.labels:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     found = predictions(docs.select(row, F.col("text").cast("string").alias("text")), model)
     least = min(1 / max(len(model.labels), 1) + above_chance, 1.0 - 1e-9) if len(model.labels) > 1 else 0.0

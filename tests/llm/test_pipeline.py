@@ -136,6 +136,15 @@ def test_pipeline_on_an_empty_table(spark, sf_dir):
     assert [s.count() for s in stages(spark, empty(spark), sf_dir)] == [0] * 6
 
 
+def test_documents_stay_when_no_language_can_be_learned(spark):
+    texts = ["un deux", "one two", "12 !!", "", None]
+    unlabelled = [(i, t, None) for i, t in enumerate(texts)]
+    held_out = [(None, t, "en") for t in texts]
+    for rows in unlabelled, held_out:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert sorted(r.text for r in langid.with_language(docs).collect()) == ["one two", "un deux"]
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "near_dedup", "substring_dedup", "decontamination", "best_fit_packing"]
