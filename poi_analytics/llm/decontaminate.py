@@ -67,6 +67,10 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WORDS,
     null, other columns are ignored; with either table empty the result is empty.
     Every document shingle that could meet a sketch is looked up, whole texts included; only
     candidate documents are compared exactly, on the shingles themselves.
+
+    Not found: an item of fewer words than ``width`` inside a document of at least ``width`` words,
+    as the item is one shorter shingle and the document has none of that length.  Text without
+    spaces is one word.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
