@@ -10,9 +10,12 @@ from poi_analytics.llm import (
     ctph,
     decontaminate,
     fm_index,
+    importance,
     langid,
     language_model,
+    multi_index,
     packing,
+    piece_table,
     simhash,
     suffix_array,
     token_counts,
@@ -61,6 +64,18 @@ def recurrent_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table.fill_in_middle(table(spark, sf_dir, "documents"), digests_only=True)
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_warc_archives": warc_archives,
     "op2_substring_dedup": substring_dedup,
@@ -72,5 +87,11 @@ QUERIES = {
     "op8_best_fit_packing": best_fit_packing,
     "op9_suffix_array_dedup": byte_dedup,
     "op10_lm_scores": recurrent_lm_scores,
+    "op11_multi_index_neighbours": multi_index_neighbours,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_importance_resampling": importance_resampling,
+}
+ORACLE: dict[str, str] = {
+    "op12_fill_in_middle": piece_table.ORACLE,
+    "op13_importance_resampling": importance.ORACLE,
 }
-ORACLE: dict[str, str] = {}
