@@ -11,8 +11,7 @@ ever emitted as a row and no cross join is planned.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,6 +24,8 @@ TOKEN_SPLIT = r"[ \t\n\r]+"
 UNKNOWN_TAG = "unknown"
 NORM_EPS = 1e-9
 QUERY_TILE, CANDIDATE_TILE = 1_000, 8_192
+#: Rows of a block of queries and of candidates that meet in one task, at any size of the tables.
+QUERY_BLOCK, CANDIDATE_BLOCK = 4_096, 16_384
 
 
 def as_double_array(c: Column) -> Column:
@@ -217,35 +218,53 @@ def top_k_requested(queries: DataFrame, candidates: DataFrame, k: int = 10, excl
     return _merge(_usable(candidates).mapInPandas(run, PARTIAL), k)
 
 
-def top_k_dot(queries: DataFrame, candidates: DataFrame, k: int = 10, exclude_self: bool = False,
-              blocks: tuple[int, int] | None = None) -> DataFrame:
-    """Exact top-k candidates per query by dot product; inputs are (id, v array<double>).
+def blocks_of(df: DataFrame, rows: int) -> Column:
+    """How many blocks of about ``rows`` rows the table fills (a scalar subquery: one count, no driver look-up)."""
+    return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).cast("int").alias("blocks")).scalar()
+
 
-    Queries and candidates are hashed into blocks; every (query block,
-    candidate block) pair meets in one cogroup task that multiplies tiles of the two
-    matrices and keeps each query's best ``k``; a per-query WindowGroupLimit merges the
-    partial lists.  Each candidate row is shipped once per query block and each query row once
-    per candidate block; no pair is ever a row.  ``blocks`` defaults to as many as fill the
-    shuffle partitions with pairs (at any input size).  Output: query_id, rank (1..k),
-    neighbor_id, score.
+Best = Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def top_k_blocks(queries: DataFrame, candidates: DataFrame, best: Best, k: int,
+                 blocks: tuple[int, int] | None = None) -> DataFrame:
+    """Exact top-k candidates per query, where ``best`` gives each query's best ``k`` of one block pair.
+
+    Both tables have an ``id``; queries and candidates are hashed into blocks of a bounded number of
+    rows (QUERY_BLOCK, CANDIDATE_BLOCK, from their counts) and every (query block, candidate block) pair
+    meets in one cogroup task.  Each candidate row is shipped once per query block and each query row once per
+    candidate block; no pair is ever a row, and a per-query WindowGroupLimit merges the partial lists.
     """
-    if blocks is None:
-        partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        side = max(2, math.isqrt(partitions))
-        blocks = (side, max(2, partitions // side))
-    qb, cb = blocks
-    qx = _usable(queries).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"),
-                                 F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("cb"))
-    cx = _usable(candidates).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(cb)).alias("cb"),
-                                    F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    qb, cb = (F.lit(n) for n in blocks) if blocks else (blocks_of(queries, QUERY_BLOCK), blocks_of(candidates, CANDIDATE_BLOCK))
+    qx = queries.withColumns({"qb": F.pmod(F.xxhash64("id"), qb), "cb": F.explode(F.sequence(F.lit(0), cb - 1))})
+    candidates = candidates.select(*[F.col(c).alias(c) for c in candidates.columns])  # may be the same table
+    cx = candidates.withColumns({"cb": F.pmod(F.xxhash64("id"), cb), "qb": F.explode(F.sequence(F.lit(0), qb - 1))})
+    cast = {c: F.col(c).cast("long") for c in ("qb", "cb")}
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": [], "neighbor_id": [], "score": []})
-        return pd.DataFrame(dict(zip(("query_id", "neighbor_id", "score"), _best(
-            q["id"].to_numpy(), _matrix(list(q["v"]), 0), c["id"].to_numpy(), _matrix(list(c["v"]), 0), k, exclude_self))))
+        return pd.DataFrame(dict(zip(("query_id", "neighbor_id", "score"), best(q, c))))
+
+    pairs = qx.withColumns(cast).groupBy("qb", "cb").cogroup(cx.withColumns(cast).groupBy("qb", "cb"))
+    return _merge(pairs.applyInPandas(run, PARTIAL), k)
 
-    return _merge(qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb")).applyInPandas(run, PARTIAL), k)
+
+def best_dot(k: int, exclude_self: bool = False) -> Best:
+    """The best ``k`` by dot product of the vectors ``v``."""
+    def best(q: pd.DataFrame, c: pd.DataFrame):
+        return _best(q["id"].to_numpy(), _matrix(list(q["v"]), 0), c["id"].to_numpy(), _matrix(list(c["v"]), 0), k, exclude_self)
+    return best
+
+
+def top_k_dot(queries: DataFrame, candidates: DataFrame, k: int = 10, exclude_self: bool = False,
+              blocks: tuple[int, int] | None = None) -> DataFrame:
+    """Exact top-k candidates per query by dot product; inputs are (id, v array<double>).
+
+    ``top_k_blocks`` with tiles of two matrices multiplied in each task.  Output: query_id, rank
+    (1..k), neighbor_id, score.
+    """
+    return top_k_blocks(_usable(queries), _usable(candidates), best_dot(k, exclude_self), k, blocks)
 
 
 def _unit(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import bucketize_sql, round_doubles
 from ..functions.regions import normalize_region_sql
 from ..sources import tables
-from ..operators import behavior, clean, search
+from ..operators import behavior, clean, lsh, ranking, search
 from ..operators import interactions as inter
 from ..operators import similarity as sim
 from ..functions.jsoncols import poi_text
@@ -514,6 +514,11 @@ def _register_similarity() -> None:
         return _round6(sim.cosine_top_k(read_table(spark, sf_dir, "embeddings"), k=10))
     QUERIES["cosine_top_k"] = cosine
 
+    def cosine_lsh(spark, sf_dir):
+        vectors = read_table(spark, sf_dir, "embeddings")
+        return _round6(lsh.cosine_top_k_lsh(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=10))
+    QUERIES["cosine_top_k_lsh"] = cosine_lsh
+
     text = _texts
     QUERIES["poi_text"] = text
 
@@ -600,6 +605,25 @@ pairs AS (SELECT a.id AS query_id, b.id AS neighbor_id,
 SELECT query_id, rank, neighbor_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS rank FROM pairs)
 WHERE rank <= 10""",
+    "cosine_top_k_lsh": f"""
+WITH u AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+nn AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS nrm FROM u),
+planes AS (SELECT t, b, list(CASE WHEN ('0x' || substr(md5(t || ':' || b || ':' || d), 1, 2))::BIGINT % 2 = 1
+    THEN CAST(-1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END ORDER BY d) AS p
+  FROM range({lsh.TABLES}) a(t), range({lsh.BITS}) c(b), (SELECT unnest(range((SELECT max(len(e)) FROM u))) AS d) GROUP BY t, b),
+keys AS (SELECT id, t, CAST(sum(CASE WHEN list_inner_product(e, p) >= 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS key
+  FROM nn, planes GROUP BY id, t),
+met AS (SELECT DISTINCT a.id AS query_id, b.id AS neighbor_id FROM keys a JOIN keys b ON a.t = b.t
+  WHERE a.id % 20 = 0 AND a.id <> b.id AND bit_count(xor(a.key, b.key)) <= 1),
+pairs AS (SELECT a.id AS query_id, b.id AS neighbor_id,
+  list_inner_product(a.e, b.e) / ((a.nrm + 1e-9) * (b.nrm + 1e-9)) AS score
+  FROM nn a JOIN nn b ON a.id <> b.id WHERE a.id % 20 = 0),
+exact AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) <= 10),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id ASC) AS rank
+  FROM pairs JOIN met USING (query_id, neighbor_id))
+SELECT query_id, rank, neighbor_id, round(score, 6) AS score,
+  round((SELECT count(*) FROM exact SEMI JOIN found USING (query_id, neighbor_id)) / (SELECT count(*) FROM exact)::DOUBLE, 6) AS recall
+FROM found WHERE rank <= 10""",
     "similar_pois": f"""
 WITH u AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 nn AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS nrm FROM u),
@@ -813,3 +837,16 @@ FROM (SELECT {_METRIC_DIST} AS km, heatScore FROM attractions) WHERE km IS NOT N
 }
 
 _register_scans()
+
+
+#: Registered queries that DuckDB cannot state, and why.
+NO_ORACLE = {
+    "cf_recommend": "the factors come from a fitted ALS model",
+    "cf_recommend_user": "the factors come from a fitted ALS model",
+    "ctr_scores": "the scores come from a fitted network",
+    "ctr_recommend_user": "the scores come from a fitted network",
+    "summary_home": "one JSON document of all marts, compared with them in tests",
+    "summary_screen": "one JSON document of all marts, compared with them in tests",
+    "summary_pages": "one JSON document of all marts, compared with them in tests",
+    "summary_rows_recent_trend": "JSON text of a mart that has its own oracle",
+}
