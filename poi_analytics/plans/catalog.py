@@ -20,7 +20,8 @@ from ..operators import interactions as inter
 from ..operators import similarity as sim
 from ..functions.jsoncols import poi_text
 from . import recommend as rec
-from ..sinks import writers
+from ..session import materialized, shared_path
+from ..sinks import models, writers
 from ..sources import landing
 from ..streaming import ingest as stream
 from ..sources.tables import read_table
@@ -484,6 +485,8 @@ _register_interactions()
 
 # ---- content similarity and model pipelines -------------------------------------
 
+#: The interactions that a recommendation list is to find: an eighth of them.
+_LATER = "event_id % 8 = 0"
 REQUESTED_POIS = [1, 7, 42, 123, 99_999_999]
 REQUESTED_USERS = [1, 7, 42, -5]
 
@@ -540,23 +543,73 @@ def _register_similarity() -> None:
         return rec.cf_recommend_user(rec.cf_train(pos), users, items, REQUESTED_USERS, k=10)
     QUERIES["cf_recommend_user"] = cf_user
 
-    def ctr_parts(spark, sf_dir):
-        """CTR model fitted on the rows that are not held out, and what scoring needs."""
+    def ctr_frame(spark, sf_dir):
+        """The training frame, written once, and what its models need."""
         dwd, pos, users, items = _ctr_parts(spark, sf_dir)
         neg = inter.negative_samples(pos, ratio=inter.CTR_NEG_RATIO, seed=2024)
         feats = inter.item_features(dwd, items)
-        frame = inter.ctr_training_frame(inter.training_set(pos, neg), feats)
-        kept = pos.where(~rec.held_out(pos))
-        factors = rec.cf_train(kept)
-        n_d = inter.district_index(feats).count()
-        model = rec.ctr_train(frame.where(~rec.held_out(frame)), factors, int(n_d))
-        return model, factors, frame, feats, users
+        frame = materialized(inter.ctr_training_frame(inter.training_set(pos, neg), feats), "ctr-frame")
+        return frame.withColumn("held_out", rec.held_out(frame)), pos, feats, users
+
+    def ctr_parts(spark, sf_dir):
+        """CTR model fitted on the rows that are not held out, and what scoring needs."""
+        frame, pos, feats, users = ctr_frame(spark, sf_dir)
+        factors = rec.cf_train(pos.where(~rec.held_out(pos)))
+        return rec.ctr_train(frame.where("not held_out"), factors), factors, frame, feats, users
 
     def ctr_scores(spark, sf_dir):
         model, factors, frame, _, _ = ctr_parts(spark, sf_dir)
-        return rec.ctr_score(model, frame.withColumn("held_out", rec.held_out(frame)), factors)
+        return rec.ctr_score(model, frame, factors)
     QUERIES["ctr_scores"] = ctr_scores
 
+    def fm_scores(spark, sf_dir):
+        frame, _, _, _ = ctr_frame(spark, sf_dir)
+        return rec.fm_score(rec.fm_train(frame.where("not held_out")), frame)
+    QUERIES["fm_scores"] = fm_scores
+
+    def ctr_users(spark, sf_dir):
+        model, factors, _, feats, users = ctr_parts(spark, sf_dir)
+        return rec.ctr_recommend_users(model, factors, users, inter.ctr_item_features(feats), feats)
+    QUERIES["ctr_recommend_users"] = ctr_users
+
+    def ctr_auc(spark, sf_dir):
+        # a fixed score: the item's heat
+        frame, _, _, _ = ctr_frame(spark, sf_dir)
+        return _round6(ranking.auc(frame, score="heat"))
+    QUERIES["ctr_auc_heat"] = ctr_auc
+
+    def cold_hits(spark, sf_dir):
+        dwd, pos, _, items = _ctr_parts(spark, sf_dir)
+        return _round6(ranking.hit_rate_common(inter.cold_start_items(inter.item_features(dwd, items), 100),
+                                               pos.where(_LATER), k=100))
+    QUERIES["cold_start_hit_rate"] = cold_hits
+
+    def given_factors(spark, sf_dir):
+        """User and item factor tables, as a model would have them: vectors of odd and even ids."""
+        vectors = read_table(spark, sf_dir, "embeddings").select(
+            F.col("vec_id").alias("id"), sim.as_double_array(F.col("embedding")).alias("v"))
+        return vectors.where("id % 2 = 1"), vectors.where("id % 2 = 0")
+
+    def factors_query(spark, sf_dir):
+        uf, itf = given_factors(spark, sf_dir)
+        users = uf.select((F.col("id") + 1000).alias("user_id"), F.col("id").alias("user_idx"))
+        items = itf.select((F.col("id") * 3).alias("poi_id"), F.col("id").alias("item_idx"))
+        return _round6(rec.cf_recommend_factors(uf, itf, users, items, k=10))
+    QUERIES["cf_recommend_factors"] = factors_query
+
+    def saved(spark, sf_dir):
+        """Per user: how many recommendations the loaded model gives, and how many differ from the fitted one's."""
+        pos, users, items = _cf_parts(spark, sf_dir)
+        model, root = rec.cf_train(pos), shared_path(spark, "cf-model")
+        models.save_version(model, root, spark)
+        fitted = rec.cf_recommend(model, users, items, k=10)
+        loaded = rec.cf_recommend(models.load_version(spark, root), users, items, k=10)
+        key = ["user_id", "rank", "poi_id"]
+        both = (loaded.withColumn("side", F.lit(1)).unionByName(fitted.withColumn("side", F.lit(-1)))
+                .groupBy(*key, F.round("score", 9).alias("score")).agg(F.sum("side").alias("balance"), F.count_if(F.col("side") > 0).alias("n")))
+        return both.groupBy("user_id").agg(F.sum("n").alias("recommended"), F.count_if(F.col("balance") != 0).alias("differing"))
+    QUERIES["cf_saved_model"] = saved
+
     def ctr_user(spark, sf_dir):
         model, factors, _, feats, users = ctr_parts(spark, sf_dir)
         return rec.ctr_recommend_user(model, factors, users, inter.ctr_item_features(feats), feats, REQUESTED_USERS[0])
@@ -570,7 +623,7 @@ def _register_similarity() -> None:
     QUERIES["ctr_recommend_new_user"] = ctr_new_user
 
     for name, sql in SIMILARITY_ORACLE.items():
-        views = [v for v in ("attractions",) if v in sql]
+        views = [v for v in ("behaviors", "attractions") if v in sql]
         ORACLE[name] = fx.with_views(sql, *views) if views else sql
 
 
@@ -591,6 +644,28 @@ def _dense_sql(src: str, size: int) -> str:
 
 
 SIMILARITY_ORACLE = {
+    "ctr_auc_heat": _I_CTE + _index_ctes("kept") + _neg_cte(2, 2024) + _FEATURES_CTE + """,
+train AS (SELECT item_idx, 1 AS label FROM pos UNION ALL SELECT item_idx, 0 FROM neg),
+counts AS (SELECT f.heat, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n
+  FROM train JOIN feat f USING (item_idx) GROUP BY f.heat),
+below AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY heat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM counts)
+SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives,
+  round(CAST(sum(p * (less + n / 2.0::DOUBLE)) AS DOUBLE) / (CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS DOUBLE)), 6) AS auc FROM below""",
+    "cold_start_hit_rate": _I_CTE + _index_ctes("kept") + _FEATURES_CTE + """,
+top AS (SELECT poi_id FROM zfeat ORDER BY heat DESC, poi_id ASC LIMIT 100),
+later AS (SELECT DISTINCT user_id, poi_id FROM kept WHERE event_id % 8 = 0),
+per_user AS (SELECT user_id, count(*) AS pairs, count(*) FILTER (poi_id IN (SELECT poi_id FROM top)) AS hits FROM later GROUP BY user_id)
+SELECT count(*) AS users, count(*) FILTER (hits > 0) AS hit_users, CAST(sum(hits) AS BIGINT) AS hits,
+  round(count(*) FILTER (hits > 0) / count(*)::DOUBLE, 6) AS hit_rate, round(sum(hits)::DOUBLE / sum(pairs)::DOUBLE, 6) AS recall
+FROM per_user""",
+    "cf_recommend_factors": """
+WITH u AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+scored AS (SELECT a.id AS user_idx, b.id AS item_idx, list_inner_product(a.e, b.e) AS score
+  FROM u a JOIN u b ON a.id % 2 = 1 AND b.id % 2 = 0)
+SELECT user_idx + 1000 AS user_id, rank, item_idx * 3 AS poi_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, item_idx ASC) AS rank FROM scored) WHERE rank <= 10""",
+    "cf_saved_model": _I_CTE + _index_ctes("interactions") + """
+SELECT user_id, CAST(least(10, (SELECT count(*) FROM items)) AS BIGINT) AS recommended, CAST(0 AS BIGINT) AS differing FROM users""",
     "tag_hash_vector": f"""
 WITH toks AS (SELECT poiId AS poi_id, unnest({_TAG_LIST}) AS t FROM attractions),
 counts AS (SELECT poi_id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % 512 AS INTEGER) AS bucket,
@@ -845,6 +920,8 @@ NO_ORACLE = {
     "cf_recommend_user": "the factors come from a fitted ALS model",
     "ctr_scores": "the scores come from a fitted network",
     "ctr_recommend_user": "the scores come from a fitted network",
+    "ctr_recommend_users": "the scores come from a fitted network",
+    "fm_scores": "the scores come from a fitted factorization machine",
     "summary_home": "one JSON document of all marts, compared with them in tests",
     "summary_screen": "one JSON document of all marts, compared with them in tests",
     "summary_pages": "one JSON document of all marts, compared with them in tests",

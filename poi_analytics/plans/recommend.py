@@ -8,17 +8,23 @@ inputs train distributed Spark ML models:
   objective from a sigmoid dot-product network, so scores are not comparable
   numerically, only in behaviour (a planted-structure test checks hit rates).
 * CTR ranking -> MultilayerPerceptronClassifier over user/item factors,
-  district one-hot and the three z-scored item features.
+  district one-hot and the three z-scored item features, or a factorization machine
+  (FMClassifier) over hashed ids, district and features, which needs no factors.
+
+Fitting reads at most about ``CTR_FIT_ROWS`` rows of the frame, drawn by hash; scoring reads all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import FMClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, Window
@@ -26,13 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..operators.interactions import cold_start_items
-from ..operators.similarity import as_double_array, top_k_dot, top_k_requested
-from ..session import checkpoint_dir
+from ..operators.similarity import Best, as_double_array, top_k_blocks, top_k_dot, top_k_requested
+from ..session import checkpoint_dir, materialized
 
 CF_RANK = 32
 CF_ITERATIONS = 5
 CTR_HIDDEN = (64, 32)
 CTR_ITERATIONS = 20
+#: Rows of the frame that a click model is fitted on, about (a bounded sample; more rows only cost time).
+CTR_FIT_ROWS = 200_000
+FM_BUCKETS, FM_FACTORS, FM_ITERATIONS, FM_STEP = 1 << 14, 8, 40, 0.05
 SEED = 42
 
 
@@ -56,13 +65,20 @@ def cf_recommend(model: ALSModel, users: DataFrame, items: DataFrame, k: int = 1
 
     ``users`` holds (user_id, user_idx) of the requested known users; unknown
     users have no index and so get nothing.  Seen items are not excluded.
-    Scored with the blocked ``top_k_dot`` over the factor tables (exact, like
-    ALS's own recommendForUserSubset, but without its cross join of blocks).
     """
-    uf = model.userFactors.join(users.select(F.col("user_idx").alias("id")).distinct(), "id", "left_semi")
-    q = uf.select("id", as_double_array(F.col("features")).alias("v"))
-    c = model.itemFactors.select("id", as_double_array(F.col("features")).alias("v"))
-    top = top_k_dot(q, c, k=k)
+    return cf_recommend_factors(*[f.select("id", as_double_array(F.col("features")).alias("v"))
+                                  for f in (model.userFactors, model.itemFactors)], users, items, k)
+
+
+def cf_recommend_factors(user_factors: DataFrame, item_factors: DataFrame, users: DataFrame, items: DataFrame,
+                         k: int = 10) -> DataFrame:
+    """L6 on factor tables (id, v array<double>), from a model or from files.
+
+    Scored with the blocked ``top_k_dot`` (exact, like ALS's own recommendForUserSubset, but
+    without its cross join of blocks).
+    """
+    uf = user_factors.join(users.select(F.col("user_idx").alias("id")).distinct(), "id", "left_semi")
+    top = top_k_dot(uf, item_factors, k=k)
     return (top.join(users, top["query_id"] == users["user_idx"])
             .join(items, top["neighbor_id"] == items["item_idx"])
             .select("user_id", "rank", "poi_id", "score"))
@@ -90,18 +106,165 @@ def _item_vectors(model: ALSModel) -> DataFrame:
     return model.itemFactors.select(F.col("id").alias("item_idx"), array_to_vector("features").alias("ivec"))
 
 
-def ctr_train(frame: DataFrame, factors: ALSModel, n_districts: int, max_iter: int = CTR_ITERATIONS,
-              seed: int = SEED) -> PipelineModel:
-    """MLP over [user factors, item factors, district one-hot, price, heat, score]."""
-    data = ctr_features(frame, factors)
-    enc = OneHotEncoder(inputCols=["district_idx"], outputCols=["district_vec"], dropLast=False)
-    asm = VectorAssembler(inputCols=["uvec", "ivec", "district_vec", "price", "heat", "score"],
-                          outputCol="features")
-    width = factors.rank * 2 + n_districts + 3
-    mlp = MultilayerPerceptronClassifier(layers=[width, *CTR_HIDDEN, 2], maxIter=max_iter, seed=seed,
-                                         labelCol="label", featuresCol="features")
-    return Pipeline(stages=[enc, asm, mlp]).fit(data)
+def fit_rows(frame: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows of the frame by hash of their pair (all, when it has no more).
+
+    One pair's rows go in or stay out together, so a pair that many rows repeat can exceed the bound by them.
+    """
+    n = frame.count()
+    part = min(1 << 30, (most << 30) // max(n, 1))
+    return frame.where(F.pmod(F.xxhash64("item_idx", "user_idx", F.lit("fit")), F.lit(1 << 30)) < part)
+
+
+def ctr_train(frame: DataFrame, factors: ALSModel, max_iter: int = CTR_ITERATIONS, seed: int = SEED,
+              most: int = CTR_FIT_ROWS) -> PipelineModel:
+    """MLP over [user factors, item factors, district one-hot, price, heat, score].
+
+    The one-hot width comes from the whole frame, the network is fitted on ``fit_rows``, assembled once.
+    """
+    enc = OneHotEncoder(inputCols=["district_idx"], outputCols=["district_vec"], dropLast=False).fit(frame)
+    asm = VectorAssembler(inputCols=["uvec", "ivec", "district_vec", "price", "heat", "score"], outputCol="features")
+    data = asm.transform(enc.transform(ctr_features(fit_rows(frame, most), factors)))
+    mlp = MultilayerPerceptronClassifier(layers=[factors.rank * 2 + enc.categorySizes[0] + 3, *CTR_HIDDEN, 2],
+                                         maxIter=max_iter, seed=seed, labelCol="label", featuresCol="features")
+    return PipelineModel([enc, asm, mlp.fit(materialized(data.select("features", "label"), "ctr-fit"))])
+
+
+# ---- L12 for a table of users: the network over blocks -------------------------------
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
+
+
+@dataclass(frozen=True)
+class CtrNetwork:
+    """The fitted weights, the first layer cut into what a user, an item and its features contribute."""
+
+    user: np.ndarray
+    item: np.ndarray
+    district: np.ndarray
+    numbers: np.ndarray
+    bias: np.ndarray
+    hidden: tuple[np.ndarray, np.ndarray]
+    out: tuple[np.ndarray, np.ndarray]
+
+    #: Users and items of one tile of scores.
+    USERS, ITEMS = 32, 2_048
+
+    @classmethod
+    def of(cls, model: PipelineModel, rank: int) -> CtrNetwork:
+        mlp = model.stages[-1]
+        weights, sizes, layers = mlp.weights.toArray(), mlp.getLayers(), []
+        for n_in, n_out in zip(sizes, sizes[1:]):
+            cut = n_in * n_out
+            layers.append((weights[:cut].reshape(n_in, n_out), weights[cut:cut + n_out]))
+            weights = weights[cut + n_out:]
+        first, bias = layers[0]
+        n = len(first) - 3
+        return cls(first[:rank], first[rank:2 * rank], first[2 * rank:n], first[n:], bias, *layers[1:])
+
+    def of_users(self, factors: np.ndarray) -> np.ndarray:
+        return factors @ self.user
+
+    def of_items(self, factors: np.ndarray, district: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        return factors @ self.item + self.district[district] + numbers @ self.numbers + self.bias
+
+    def logit(self, first: np.ndarray) -> np.ndarray:
+        """Log odds of a click from the first layer's sums (last axis)."""
+        kind = first.dtype
+        z = _sigmoid(_sigmoid(first) @ self.hidden[0].astype(kind) + self.hidden[1].astype(kind))
+        return z @ (self.out[0][:, 1] - self.out[0][:, 0]).astype(kind) + kind.type(self.out[1][1] - self.out[1][0])
+
+    def best(self, k: int) -> Best:
+        """Each user's best ``k`` items of a block pair by click probability, ties to the smaller item.
+
+        Tiles are screened in single precision; whatever comes within its error of the k-th score is
+        scored again in double, so the choice is that of the double-precision network.
+        """
+        margin = 1e-4 * (1 + float(np.abs(self.out[0]).sum()))
+
+        def run(q: pd.DataFrame, c: pd.DataFrame):
+            qid, cid = q["id"].to_numpy(), c["id"].to_numpy()
+            u, i = np.vstack(list(q["h"])), np.vstack(list(c["h"]))
+            u32, i32 = u.astype(np.float32), i.astype(np.float32)
+            found = []
+            for a in range(0, len(u), self.USERS):
+                rough = np.concatenate([self.logit(u32[a:a + self.USERS, None] + i32[None, b:b + self.ITEMS])
+                                        for b in range(0, len(i), self.ITEMS)], axis=1)
+                n = rough.shape[1]
+                kth = np.partition(rough, n - min(k, n), axis=1)[:, [n - min(k, n)]]
+                rows, cols = np.nonzero(rough >= kth - margin)
+                score = _sigmoid(self.logit(u[a + rows] + i[cols]))
+                order = np.lexsort((cid[cols], -score, rows))
+                rows, cols, score = rows[order], cols[order], score[order]
+                keep = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
+                found.append((qid[a + rows[keep]], cid[cols[keep]], score[keep]))
+            return tuple(np.concatenate(x) for x in zip(*found))
+        return run
+
+
+def ctr_recommend_users(model: PipelineModel, factors: ALSModel, users: DataFrame, item_features: DataFrame,
+                        features: DataFrame, k: int = 10) -> DataFrame:
+    """L12 for a table of users (user_id, user_idx): (user_id, rank, poi_id, click_prob), the k likeliest clicks.
+
+    The first layer is linear, so its user and item parts are computed once per user and per
+    item; blocks of users and items of a bounded number of rows meet in one task each and only
+    ``k`` rows a user come out of it.  Users without factors get the cold-start list (no click_prob).
+    """
+    net = CtrNetwork.of(model, factors.rank)
+
+    def user_part(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "h": list(net.of_users(np.vstack([*pdf["features"], np.zeros((0, factors_rank))])))})
+
+    def item_part(batches):
+        for pdf in batches:
+            h = net.of_items(np.vstack([*pdf["features"], np.zeros((0, factors_rank))]), pdf["district_idx"].to_numpy(),
+                             pdf[["price", "heat", "score"]].to_numpy())
+            yield pd.DataFrame({"id": pdf["item_idx"], "h": list(h)})
+
+    factors_rank, schema = factors.rank, "id long, h array<double>"
+    known = users.join(factors.userFactors.select(F.col("id").cast("long").alias("user_idx"), "features"), "user_idx")
+    uh = known.select(F.col("user_idx").alias("id"), "features").mapInPandas(user_part, schema)
+    ih = (item_features.join(factors.itemFactors.select(F.col("id").cast("long").alias("item_idx"), "features"), "item_idx")
+          .select("item_idx", "district_idx", "price", "heat", "score", "features").mapInPandas(item_part, schema))
+    top = top_k_blocks(materialized(uh, "ctr-users"), materialized(ih, "ctr-items"), net.best(k), k)
+    scored = (top.join(known.select("user_id", "user_idx"), top["query_id"] == known["user_idx"])
+              .join(item_features.select("item_idx", "poi_id"), top["neighbor_id"] == item_features["item_idx"])
+              .select("user_id", "rank", "poi_id", F.col("score").alias("click_prob")))
+    cold = cold_start_items(features, k).agg(F.collect_list(F.struct("rank", "poi_id"))).scalar()  # k rows
+    new = users.join(factors.userFactors.select(F.col("id").cast("long").alias("user_idx")), "user_idx", "left_anti")
+    return scored.unionByName(new.select("user_id", F.inline(cold)).withColumn("click_prob", F.lit(None).cast("double")))
+
+
+# ---- L11 as a factorization machine ---------------------------------------------------
+
+def fm_features(frame: DataFrame, buckets: int = FM_BUCKETS) -> DataFrame:
+    """Sparse ``features`` of a frame: one-hot user, item and district and the three numbers, hashed.
+
+    Hashing bounds the model by ``buckets``, however many ids there are.
+    """
+    return FeatureHasher(inputCols=["user_idx", "item_idx", "district_idx", "price", "heat", "score"], numFeatures=buckets,
+                         categoricalCols=["user_idx", "item_idx", "district_idx"], outputCol="features").transform(frame)
+
+
+def fm_train(frame: DataFrame, buckets: int = FM_BUCKETS, factors: int = FM_FACTORS, max_iter: int = FM_ITERATIONS,
+             step: float = FM_STEP, seed: int = SEED, most: int = CTR_FIT_ROWS):
+    """A factorization machine over hashed ids; the pairwise factors play the part of user and item factors."""
+    data = materialized(fm_features(fit_rows(frame, most), buckets).select("features", "label"), "fm-fit")
+    fm = FMClassifier(factorSize=factors, maxIter=max_iter, stepSize=step, regParam=1e-4, seed=seed,
+                      labelCol="label", featuresCol="features")
+    return fm.fit(data)
+
+
+def fm_score(model, frame: DataFrame) -> DataFrame:
+    """L12 by the factorization machine: click probability of each row of ``frame``."""
+    out = model.transform(fm_features(frame, model.numFeatures))
+    return out.select(*frame.columns, vector_to_array("probability")[1].alias("click_prob"))
+
 
+# ---- scoring by the network -------------------------------------------------------------
 
 def ctr_score(model: PipelineModel, frame: DataFrame, factors: ALSModel) -> DataFrame:
     """Click probability of each (user, item) row of ``frame``."""
