@@ -7,6 +7,7 @@ Mart queries read the ``attractions`` view (DWD-shaped, derived from ``part``).
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +21,14 @@ from ..operators import interactions as inter
 from ..operators import similarity as sim
 from ..functions.jsoncols import poi_text
 from . import recommend as rec
-from ..session import materialized, shared_path
-from ..sinks import models, writers
+from ..session import materialized, remove, shared_path
+from ..sinks import models, profile_store, writers
 from ..sources import landing
 from ..streaming import ingest as stream
 from ..sources.tables import read_table
 from ..sources import fixtures as fx
-from . import home, jobs, pages, screen
+from . import home, jobs, layers, pages, screen
+from .schemas import SCHEMAS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -868,6 +870,130 @@ def _sections(doc: DataFrame) -> DataFrame:
     return doc.select(F.inline(F.array(*parts)))
 
 
+def _digest_model():
+    """A fixed two-input model whose vectors SQL can state: token and byte counts, image size and byte sum."""
+    import numpy as np
+
+    def predict(texts, images):
+        return np.array([[len(t.split()), len(t.encode()), len(i), sum(i) % 997] for t, i in zip(texts, images)], np.float32)
+    return predict
+
+
+def _register_stored() -> None:
+    def typed_csv(spark, sf_dir):
+        path = shared_path(spark, "landing")
+        a = fx.attractions(spark, sf_dir)
+        name = F.when(F.col("poiId") % 3 == 0, F.concat("poiName", F.lit('\n"second", line'))).otherwise(F.col("poiName"))
+        writers.write_landing(a.select("poiId", name.alias("poiName"), "price", "tagNameList"), f"{path}/good")
+        # lines that no schema fits: text where numbers belong
+        bad = read_table(spark, sf_dir, "supplier").select(
+            F.concat(F.lit("x"), "s_suppkey").alias("poiId"), F.col("s_name").alias("poiName"), F.lit("free").alias("price"),
+            F.lit(None).cast("string").alias("tagNameList"))
+        writers.write_landing(bad, f"{path}/bad")
+        schema = a.select("poiId", "poiName", "price", "tagNameList").schema
+        scan = landing.read_typed_csv(spark, [f"{path}/good", f"{path}/bad"], schema, multiline=True)
+        return scan.withColumn(landing.REFUSED, F.rtrim(F.col(landing.REFUSED), F.lit("\r\n")))
+    QUERIES["csv_landing_typed"] = typed_csv
+    QUERIES["csv_landing_refused"] = lambda spark, sf_dir: landing.refused_lines(materialized(typed_csv(spark, sf_dir), "landing"))
+
+    def catalog_tables(spark, *names):
+        """Names of new external tables in the shared folder, and what drops them."""
+        made = {n: (f"poi_{n}_{uuid.uuid4().hex}", shared_path(spark, n)) for n in names}
+
+        def drop():
+            for table, path in made.values():
+                spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+                remove(spark, path)
+        return made, drop
+
+    def dwd_catalog(spark, sf_dir):
+        made, drop = catalog_tables(spark, "typed", "dwd")
+        (typed, typed_path), (dwd, dwd_path) = made["typed"], made["dwd"]
+        ods = fx.ods_attractions(spark, sf_dir)
+        newest = F.coalesce(F.col("poiName").contains(" v2"), F.lit(False))
+        layers.stage_typed(ods.where(~newest), typed, buckets=_BUCKETS, path=typed_path)
+        layers.stage_typed(ods.where(newest), typed, "append", buckets=_BUCKETS, path=typed_path)
+        layers.build_dwd_table(spark, "default", typed, dwd, _BUCKETS, dwd_path)
+        out = materialized(tables.table_scan(spark, "default", dwd), "dwd-result")
+        drop()
+        return out
+    QUERIES["dwd_catalog"] = dwd_catalog
+
+    def interactions_catalog(spark, sf_dir):
+        made, drop = catalog_tables(spark, "events", "pois")
+        (events, events_path), (pois, pois_path) = made["events"], made["pois"]
+        writers.write_bucketed(_interactions(spark, sf_dir), events, "poi_id", _BUCKETS, path=events_path)
+        writers.write_bucketed(fx.attractions(spark, sf_dir), pois, "poiId", _BUCKETS, path=pois_path)
+        out = materialized(layers.known_interactions(spark, "default", events, pois), "known-interactions")
+        drop()
+        return out
+    QUERIES["interactions_catalog"] = interactions_catalog
+
+    def mart_catalog(spark, sf_dir):
+        made, drop = catalog_tables(spark, "mart")
+        table, path = made["mart"]
+        mart = home.home_city_overview(fx.attractions(spark, sf_dir))
+        writers.write_mart(mart, table, SCHEMAS["home_city_overview"], as_table=True, path=path)
+        out = materialized(tables.table_scan(spark, "default", table), "mart-result")
+        drop()
+        return out
+    QUERIES["mart_catalog"] = mart_catalog
+
+    def store_update(spark, sf_dir):
+        path = shared_path(spark, "profiles")
+        profile_store.create_store(fx.profiles(spark, sf_dir), path, width=500)
+        segment = read_table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' OR c_mktsegment = 'MACHINERY'")
+        updates = segment.select(F.col("c_name").alias("username"), F.lit(None).cast("string").alias("nickname"),
+                                 F.lower("c_mktsegment").alias("city"))
+        profile_store.apply_updates(spark, path, updates.where("city = 'building'"), partial=True)
+        profile_store.apply_updates(spark, path, updates.where("city = 'machinery'"), partial=False)
+        return profile_store.read_store(spark, path)
+    QUERIES["profile_store_update"] = store_update
+
+    def model_vectors(spark, sf_dir):
+        text = _texts(spark, sf_dir).join(read_table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("poi_id"), F.col("text").alias("about")), "poi_id")
+        image = fx.attractions(spark, sf_dir).select(F.col("poiId").alias("poi_id"), F.encode("coverImageUrl", "UTF-8").alias("image"))
+        j = text.join(image, "poi_id", "left")
+        both = F.concat_ws(" ", "text", "about")
+        vector = rec.embed_text_and_image(both, F.col("image"), _digest_model, dim=4)
+        return j.select("poi_id", F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    QUERIES["model_embeddings"] = model_vectors
+
+    for name, sql in STORED_ORACLE.items():
+        views = [v for v in ("attractions", "ods_attractions", "behaviors", "profiles") if re.search(rf"\b{v}\b", sql)]
+        ORACLE[name] = fx.with_views(sql, *views)
+
+
+_BUCKETS = 16  # of the registered queries' small tables
+_LANDING_SQL = """
+WITH good AS (SELECT poiId, CASE WHEN poiId % 3 = 0 THEN poiName || chr(10) || '"second", line' ELSE poiName END AS poiName, price, tagNameList,
+  CAST(NULL AS VARCHAR) AS _refused FROM attractions),
+lines AS (SELECT * FROM good UNION ALL
+  SELECT NULL, s_name, NULL, NULL, 'x' || s_suppkey || ',' || s_name || ',free,' FROM supplier)"""
+STORED_ORACLE = {
+    "csv_landing_typed": _LANDING_SQL + "\nSELECT * FROM lines",
+    "csv_landing_refused": _LANDING_SQL + "\nSELECT count(*) AS lines, count(_refused) AS refused FROM lines",
+    "dwd_catalog": clean.ORACLE["dwd_clean"],
+    "interactions_catalog": INTERACTION_ORACLE["interactions_with_items"],
+    "mart_catalog": home.ORACLE["home_city_overview"],
+    "profile_store_update": """
+SELECT p.id, p.external_id, p.username, CASE WHEN c.c_mktsegment = 'MACHINERY' THEN '' ELSE p.nickname END AS nickname,
+  p.email, p.gender, coalesce(lower(c.c_mktsegment), p.city) AS city
+FROM profiles p LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) c ON c.c_name = p.username""",
+    "model_embeddings": """
+WITH txt AS (SELECT poiId AS poi_id, concat_ws(' ', trim(concat_ws('. ', coalesce(poiName, ''), """ + _TEXT_PART.format(c="shortFeatures") + """,
+    """ + _TEXT_PART.format(c="tagNameList") + """)), d.text) AS t, coalesce(coverImageUrl, '') AS i
+  FROM attractions a JOIN documents d ON d.doc_id = a.poiId),
+cut AS (SELECT poi_id, i, list_slice(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> ''), 1, 77) AS toks FROM txt)
+SELECT poi_id, [CAST(len(toks) AS DOUBLE), CAST(strlen(array_to_string(toks, ' ')) AS DOUBLE), CAST(strlen(i) AS DOUBLE),
+  CAST(coalesce(list_sum(list_transform(range(1, strlen(i) + 1), lambda k: ('0x' || substr(hex(i), CAST(2 * k - 1 AS BIGINT), 2))::BIGINT)), 0) % 997 AS DOUBLE)] AS vector
+FROM cut""",
+}
+
+_register_stored()
+
+
 def _register_scans() -> None:
     QUERIES["item_feature_scan"] = lambda spark, sf_dir: tables.item_feature_scan(fx.attractions(spark, sf_dir))
     QUERIES["content_scan"] = lambda spark, sf_dir: tables.content_scan(fx.attractions(spark, sf_dir))

@@ -15,7 +15,7 @@ from ..functions.columns import columns_of
 from ..operators import clean, similarity
 from ..operators import interactions as inter
 from ..session import materialized, remove
-from ..sinks import writers
+from ..sinks import models, writers
 from ..sources import landing
 from . import home, pages, recommend, screen
 from .schemas import SCHEMAS
@@ -111,16 +111,16 @@ def run_summary(dwd: DataFrame, family: str, path: str, topn: int | None = None)
 
 
 def train_recommenders(interactions: DataFrame, dwd: DataFrame, out_dir: str) -> None:
-    """L1-L11 + B5: fit both models and write factors, indexes and item features under ``out_dir``."""
+    """L1-L11 + B5: fit both models, publish them as new versions and write indexes and item features under ``out_dir``."""
     pos, users, items = inter.indexed_positives(inter.interactions_with_items(interactions, dwd))
     features = inter.item_features(dwd, items)
     frame = inter.ctr_training_frame(inter.training_set(pos, inter.negative_samples(
         pos, ratio=inter.CTR_NEG_RATIO, seed=recommend.SEED)), features)
     factors = recommend.cf_train(pos)
-    ranker = recommend.ctr_train(frame, factors, inter.district_index(features).count())
+    ranker = recommend.ctr_train(materialized(frame, "ctr-frame"), factors)
     out = out_dir.rstrip("/")
-    writers.save_model(factors, f"{out}/cf")
-    writers.save_model(ranker, f"{out}/ctr")
+    for name, model in (("cf", factors), ("ctr", ranker)):
+        models.save_version(model, f"{out}/{name}", dwd.sparkSession)
     for name, df in (("users", users), ("items", items), ("item_features", inter.ctr_item_features(features))):
         writers.write_factors(df, f"{out}/{name}")
 

@@ -116,14 +116,17 @@ def fit_rows(frame: DataFrame, most: int) -> DataFrame:
     return frame.where(F.pmod(F.xxhash64("item_idx", "user_idx", F.lit("fit")), F.lit(1 << 30)) < part)
 
 
-def ctr_train(frame: DataFrame, factors: ALSModel, max_iter: int = CTR_ITERATIONS, seed: int = SEED,
-              most: int = CTR_FIT_ROWS) -> PipelineModel:
+def ctr_train(frame: DataFrame, factors: ALSModel, n_districts: int | None = None, max_iter: int = CTR_ITERATIONS,
+              seed: int = SEED, most: int = CTR_FIT_ROWS) -> PipelineModel:
     """MLP over [user factors, item factors, district one-hot, price, heat, score].
 
-    The one-hot width comes from the whole frame, the network is fitted on ``fit_rows``, assembled once.
+    The one-hot width is that of the whole frame (``n_districts``, when given, must agree); the network is
+    fitted on ``fit_rows``, assembled once.
     """
     enc = OneHotEncoder(inputCols=["district_idx"], outputCols=["district_vec"], dropLast=False).fit(frame)
     asm = VectorAssembler(inputCols=["uvec", "ivec", "district_vec", "price", "heat", "score"], outputCol="features")
+    if n_districts not in (None, enc.categorySizes[0]):
+        raise ValueError(f"the frame has {enc.categorySizes[0]} districts, not {n_districts}")
     data = asm.transform(enc.transform(ctr_features(fit_rows(frame, most), factors)))
     mlp = MultilayerPerceptronClassifier(layers=[factors.rank * 2 + enc.categorySizes[0] + 3, *CTR_HIDDEN, 2],
                                          maxIter=max_iter, seed=seed, labelCol="label", featuresCol="features")
@@ -243,10 +246,12 @@ def ctr_recommend_users(model: PipelineModel, factors: ALSModel, users: DataFram
 def fm_features(frame: DataFrame, buckets: int = FM_BUCKETS) -> DataFrame:
     """Sparse ``features`` of a frame: one-hot user, item and district and the three numbers, hashed.
 
-    Hashing bounds the model by ``buckets``, however many ids there are.
+    Hashing bounds the model by ``buckets``, however many ids there are.  The assembler drops zeros that the
+    hasher stores, which the machine's gradient does not expect.
     """
-    return FeatureHasher(inputCols=["user_idx", "item_idx", "district_idx", "price", "heat", "score"], numFeatures=buckets,
-                         categoricalCols=["user_idx", "item_idx", "district_idx"], outputCol="features").transform(frame)
+    hasher = FeatureHasher(inputCols=["user_idx", "item_idx", "district_idx", "price", "heat", "score"], numFeatures=buckets,
+                           categoricalCols=["user_idx", "item_idx", "district_idx"], outputCol="hashed")
+    return VectorAssembler(inputCols=["hashed"], outputCol="features").transform(hasher.transform(frame)).drop("hashed")
 
 
 def fm_train(frame: DataFrame, buckets: int = FM_BUCKETS, factors: int = FM_FACTORS, max_iter: int = FM_ITERATIONS,
@@ -309,3 +314,24 @@ def embed_batch(text: Column, make_model, dim: int = 64, batch_size: int = 256)
     ``similarity.text_vector_dense`` gives hashed text vectors natively."""
     udf = predict_batch_udf(make_model, return_type=ArrayType(FloatType()), batch_size=batch_size)
     return udf(text)
+
+
+#: Tokens (runs of anything but white space) of a text that a model gets to see.
+MAX_TOKENS = 77
+
+
+def first_tokens(text: Column, most: int = MAX_TOKENS) -> Column:
+    """The first ``most`` tokens of a text, one space apart; null is empty."""
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    return F.array_join(F.slice(tokens, 1, most), " ")
+
+
+def embed_text_and_image(text: Column, image: Column, make_model, dim: int = 64, batch_size: int = 256,
+                         most: int = MAX_TOKENS) -> Column:
+    """L17 with a caller's two-input model: (texts cut at ``most`` tokens, image bytes) -> vectors of ``dim``.
+
+    ``make_model`` builds the model once per Python worker and gets both inputs as arrays of a batch; a
+    missing image is empty bytes.
+    """
+    udf = predict_batch_udf(make_model, return_type=ArrayType(FloatType()), batch_size=batch_size)
+    return udf(first_tokens(text, most), F.coalesce(image, F.lit(bytearray())))

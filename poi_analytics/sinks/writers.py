@@ -30,6 +30,21 @@ def write_layer(df: DataFrame, target: str, mode: str = "overwrite", repartition
         w.save(target)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite", path: str | None = None,
+                   spread: bool = True) -> None:
+    """B1 as a catalog table bucketed and sorted by ``key``: readers group and join on it without a shuffle.
+
+    ``spread`` deals the rows out by bucket before writing, so that a bucket is one file per write;
+    False when they are so already.  ``append`` must name the table's own key and buckets.  With ``path`` the
+    table is external.
+    """
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode must be overwrite or append, not {mode!r}")
+    out = df.repartition(buckets, key) if spread else df
+    w = out.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+    (w.option("path", path) if path else w).saveAsTable(table)
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Project and cast ``df`` to a declared schema; absent columns become nulls."""
     have = {c.lower(): c for c in df.columns}
@@ -38,13 +53,14 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
         for f in schema.fields])
 
 
-def write_mart(df: DataFrame, target: str, schema: StructType | None = None, as_table: bool = False) -> None:
+def write_mart(df: DataFrame, target: str, schema: StructType | None = None, as_table: bool = False,
+               path: str | None = None) -> None:
     """B2: overwrite a mart with its declared schema; an empty result still
-    produces an empty table with that schema."""
+    produces an empty table with that schema.  With ``path`` the table is external."""
     out = conform(df, schema) if schema is not None else df
     w = out.write.mode("overwrite").format("parquet")
     if as_table:
-        w.saveAsTable(target)
+        (w.option("path", path) if path else w).saveAsTable(target)
     else:
         w.save(target)
 
@@ -108,5 +124,5 @@ def write_factors(df: DataFrame, path: str) -> None:
 
 
 def save_model(model, path: str) -> None:
-    """A fitted Spark ML model (ALS / pipeline)."""
+    """A fitted Spark ML model (ALS / pipeline) at a path of its own; ``sinks.models`` keeps versions."""
     model.write().overwrite().save(path)

@@ -23,6 +23,26 @@ def read_landing_csv(spark: SparkSession, path: str, multiline: bool = False) ->
             .schema(StructType([StructField(n, StringType()) for n in names])).csv(path))
 
 
+#: The column that holds the text of a refused line.
+REFUSED = "_refused"
+
+
+def read_typed_csv(spark: SparkSession, path: str, schema: StructType, multiline: bool = False) -> DataFrame:
+    """A1 with types: header CSV read by ``schema``; a line that does not fit is kept, its text in ``_refused``.
+
+    Of a refused line the fields that do fit have their values, the others are null.  Select other
+    columns beside ``_refused``, as the reader only looks for faults in the columns it parses.
+    """
+    wide = StructType([*schema.fields, StructField(REFUSED, StringType())])
+    return (spark.read.option("header", True).option("escape", '"').option("encoding", "UTF-8").option("mode", "PERMISSIVE")
+            .option("multiLine", multiline).option("columnNameOfCorruptRecord", REFUSED).schema(wide).csv(path))
+
+
+def refused_lines(scan: DataFrame) -> DataFrame:
+    """One row (lines, refused) over a written typed scan."""
+    return scan.agg(F.count(F.lit(1)).alias("lines"), F.count(REFUSED).alias("refused"))
+
+
 def card_body(raw: Column) -> Column:
     """The object under a top-level "card" key when there is one, else the record itself."""
     return F.coalesce(F.get_json_object(raw, "$.card"), raw)
