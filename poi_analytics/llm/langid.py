@@ -5,19 +5,20 @@ Trained with FTRL-proximal (L1 and L2 penalties), calibrated with one temperatur
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from poi_analytics.llm.shared import row_key, saved
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"  # Unicode letters; number signs such as U+00B2, U+00BD, U+2460 or U+2167 are none
+_LETTER = regex.compile(LETTER)
 
 
 @dataclass(frozen=True)
@@ -159,23 +160,25 @@ def train(rows: DataFrame, settings: Settings = Settings()) -> Model:
 
     Rows without a label or without any letter are left out.  Document frequencies
     come from every row.  The weights are fitted in one task on a bounded sample: per label
-    the ``sample_per_label`` rows with the smallest hashes, so that a hot label does
-    not displace a rare one.  What returns to the driver is the weight matrix
+    the ``sample_per_label`` distinct texts with the smallest hashes, so that a hot label does
+    not displace a rare one nor a text with thousands of copies the other texts of its label.  What returns to the driver is the weight matrix
     (2^bits x labels).  No usable rows give a model that answers ``und``.
     """
     s = settings
     rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     n_rows, df = _document_frequencies(rows, s)
     idf = np.log((1.0 + n_rows) / (1.0 + df)) + 1.0
     if not n_rows:
         return Model([], np.zeros((1 << s.bits, 0)), idf, 1.0, s)
-    # rows with small hashes, about twice as many per label as wanted, then exactly the smallest
-    sizes = saved(rows.groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("n")), "labels")
+    # texts with small hashes, about twice as many per label as wanted, then exactly the smallest
+    keyed = rows.withColumn("k", F.xxhash64(row_key(), "lang"))
+    sizes = saved(keyed.groupBy("lang", "k").agg(F.lit(1).alias("one")).groupBy(F.col("lang").alias("label"))
+                  .agg(F.count("*").alias("n")), "labels")
     share = F.least(F.lit(1.0), (2.0 * s.sample_per_label + 100) / F.col("n"))
-    sample = (rows.withColumn("k", F.xxhash64(row_key(), "lang"))
-              .join(sizes, F.col("lang") == F.col("label"))
+    sample = (keyed.join(sizes, F.col("lang") == F.col("label"))
               .where(F.pmod(F.col("k"), F.lit(1 << 30)) < share * (1 << 30))
+              .groupBy("lang", "k").agg(F.min("text").alias("text"))
               .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("k", "text")))
               .where(F.col("rank") <= s.sample_per_label).select("k", "text", "lang"))
 
@@ -238,7 +241,7 @@ def with_language(docs: DataFrame, settings: Settings = Settings(), above_chance
     """
     model = train(docs.where(~held_out()), settings)
     if not model.labels:
-        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+        return docs.where(F.col("text").cast("string").rlike(LETTER))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     found = predictions(docs.select(row, F.col("text").cast("string").alias("text")), model)
     least = min(1 / max(len(model.labels), 1) + above_chance, 1.0 - 1e-9) if len(model.labels) > 1 else 0.0

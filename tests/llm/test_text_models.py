@@ -26,13 +26,34 @@ def crc(i) -> int:
 def test_language_of_awkward_rows(spark):
     got = langid.identify(awkward(spark)).collect()
     assert len(got) == len(awkward_rows())
-    for (i, text, *_), r in zip(sorted(awkward_rows(), key=lambda r: str(r[:2])), sorted(got, key=lambda r: str(r.doc_id))):
-        assert r.held_out == (i is None or crc(i) % 5 == 0) or i != r.doc_id
+    assert Counter((r.doc_id, r.held_out) for r in got) == Counter((i, i is None or crc(i) % 5 == 0) for i, *_ in awkward_rows())
     none = [r for r in got if r.doc_id in (6, 7, 8, 9)]
     assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)] * 4
     assert {r.lang_pred for r in got} <= {"en", "fr", "und"} and all(0 <= r.score <= 1 for r in got)
 
 
+def test_only_letters_are_letters(spark):
+    """Number signs, marks and digits of any script are no letters; letters of any script are."""
+    none = ["\u00b2\u00bd", "\u2460\u2167", "\u0663", "_ 12", "\u0301", "\u20ac\u00a9"]
+    some = ["\u00b2a", "\u00aa", "\u02b0", "日", "ß\u00b2"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(none + some)], "doc_id long, text string, lang string")
+    extra = awkward(spark).select((langid.F.col("doc_id") + 100).alias("doc_id"), "text", "lang")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs.unionByName(extra)).collect()}
+    assert [got[i] for i in range(len(none))] == ["und"] * len(none)
+    assert "und" not in [got[len(none) + i] for i in range(len(some))]
+    kept = {r.doc_id for r in docs.where(langid.F.col("text").rlike(langid.LETTER)).collect()}
+    assert kept == set(range(len(none), len(none) + len(some)))
+
+
+def test_copies_take_one_place_of_the_sample(spark):
+    """A text with hundreds of copies neither fills its label's places nor starves the label."""
+    rows = [(i, "le eau que " * 5, "fr") for i in range(2_000)] + [(3_000 + i, prose(i, 40, "fr"), "fr") for i in range(60)]
+    rows += [(5_000 + i, prose(i, 40), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.Settings(sample_per_label=30)).collect()}
+    assert sum(got[i].lang_pred == lang for i, _, lang in rows if got[i].held_out) >= 0.97 * sum(r.held_out for r in got.values())
+
+
 def test_language_without_training_rows(spark):
     assert langid.identify(empty(spark)).collect() == []
     docs = spark.createDataFrame([(1, "the text", None)], "doc_id long, text string, lang string")
