@@ -68,17 +68,28 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WORDS,
     Every document shingle that could meet a sketch is looked up, whole texts included; only
     candidate documents are compared exactly, on the shingles themselves.
 
-    Not found: an item of fewer words than ``width`` inside a document of at least ``width`` words,
-    as the item is one shorter shingle and the document has none of that length.  Text without
-    spaces is one word.
+    An item of fewer words than ``width`` is one shingle of its own width and is looked for
+    among document shingles of that width, so it is found wherever its words follow each other;
+    only widths that occur among the items are made.  Text without spaces is one word.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    items = saved(items.withColumn("width", F.least(F.size(words()), F.lit(width))).where("width > 0"), "wanted")
+    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``width`` numbers
+    keyed = own.withColumn("oid", ordered_id()).withColumn("key", row_key())
+    found = None
+    for each in widths or [width]:
+        part = _contained(keyed, items.where(F.col("width") == each), each, containment)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _contained(keyed: DataFrame, items: DataFrame, width: int, containment: float) -> DataFrame:
+    """:func:`contained_items` for items of at least ``width`` words."""
     sketches = saved(item_sketches(items, width, containment), "sketches")
     # one number per size partition: no hash above it is in the partition's sketches
     tops = [r[0] for r in sketches.groupBy("partition").agg(F.max("h")).select("max(h)").collect()]
     top = max(tops, default=0)
-    keyed = own.withColumn("oid", ordered_id()).withColumn("key", row_key())
     probes = keyed.select("oid", "key", F.explode(
         F.filter(hashed_shingles(width=width), lambda h: h <= F.lit(top))).alias("h"))
     candidates = saved(probes.join(sketches.select("h").distinct(), "h", "left_semi")

@@ -159,11 +159,15 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int =
     stay = (rows.join(group, rows.fp == group.k).groupBy("component")
             .agg(F.min(F.struct("oid", "key", "n")).alias("s")).select("s.*"))
     stay = saved(stay.withColumnsRenamed({"oid": "stay_oid", "key": "stay_key", "n": "stay_n"}), "stay")
-    same = (ordered_id() == F.col("stay_oid")) & (row_key() == F.col("stay_key"))
-    once, many = stay.where("stay_n = 1"), stay.where("stay_n > 1")
-    kept = docs.join(once.hint("shuffle_hash"), same, "left_semi")  # the ids are the small side: no sort of the texts
+
+    def among(some: DataFrame) -> DataFrame:
+        # named through their table: ``docs`` may have columns of any name
+        same = (ordered_id() == some["stay_oid"]) & (row_key() == some["stay_key"])
+        return docs.join(some.hint("shuffle_hash"), same, "left_semi")  # the ids are the small side: no sort of the texts
+
+    kept, many = among(stay.where("stay_n = 1")), stay.where("stay_n > 1")
     if many.isEmpty():
         return kept
-    packed = docs.join(many, same, "left_semi").select(
+    packed = among(many).select(
         ordered_id().alias("oid"), row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return kept.unionByName(packed.dropDuplicates(["oid", "key"]).select("row.*"))

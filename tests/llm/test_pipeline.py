@@ -12,15 +12,22 @@ from .cases import awkward, awkward_rows, empty, prose
 WORD = re.compile(r"[^\W_]+")
 
 
-def shingles(text):
+def runs_of(text, n):
     w = WORD.findall((text or "").lower())
-    return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
 
 
 def brute_leaks(rows, items):
-    sets = [(i, shingles(t)) for i, t in items]
-    return {(d, i, len(s), len(s & own)) for d, t in rows for own in [shingles(t)] for i, s in sets
-            if s and len(s & own) >= 0.8 * len(s) - 1e-9}
+    """Runs of five words, of an item with fewer words the whole item."""
+    out = set()
+    for i, t in items:
+        n = min(5, len(WORD.findall((t or "").lower())))
+        wanted = runs_of(t, n) if n else set()
+        for d, text in rows:
+            shared = len(wanted & runs_of(text, n)) if n else 0
+            if wanted and shared >= 0.8 * len(wanted) - 1e-9:
+                out.add((d, i, len(wanted), shared))
+    return out
 
 
 def as_items(spark, items):
@@ -58,6 +65,27 @@ def test_partial_passages(spark):
     assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got.collect()} == want and len(want) > 40
 
 
+def test_short_items_are_found_in_long_documents(spark):
+    docs = [(1, prose(1, 400) + " the quick, Brown fox " + prose(2, 300)), (2, "Quick brown"), (3, "quick"), (4, "quick fox brown fox " * 9),
+            (5, prose(3, 50) + "。今日は良い天気です。" + prose(4, 50)), (6, "fox " * 200 + "the end"), (7, None), (8, "")]
+    items = [(1, "quick"), (2, "Quick brown!"), (3, "quick brown fox"), (4, "The quick brown fox"), (5, "今日は良い天気です"), (6, "fox fox"),
+             (7, "absent"), (8, "the quick brown fox " + " ".join(prose(2, 300).split()[:3])), (9, "..."), (10, None), (11, "the end")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in decontaminate.contained_items(frame, as_items(spark, items)).collect()}
+    assert got == brute_leaks(docs, items)
+    assert {(1, 1), (1, 2), (1, 3), (1, 4), (1, 8), (2, 1), (2, 2), (3, 1), (4, 1), (5, 5), (6, 6), (6, 11)} <= {g[:2] for g in got}
+    left = decontaminate.without_items(frame, as_items(spark, items)).collect()
+    assert sorted(r.doc_id for r in left) == sorted({d for d, _ in docs} - {g[0] for g in got})
+
+
+def test_one_of_each_with_columns_of_its_own_names(spark):
+    rows = [(1, "a b c d", 5, 6, 7), (2, "a b c d", 8, 9, 1), (2, "a b c d", 8, 9, 1), (3, "x y z w q", 0, 0, 0), (3, "x y z w q", 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stay_oid long, stay_key long, stay_n long")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[3]]
+
+
 def test_leaks_of_the_table(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     got = QUERIES["op5_decontamination"](spark, sf_dir).collect()
