@@ -38,6 +38,8 @@ SAMPLE, CALIBRATION = 16_384, 256
 RECALL = 0.97
 #: Rows of an index block and queries that meet it in one task.
 BLOCK_ROWS, QUERY_ROWS = 16_384, 8_192
+#: Queries whose walks are one task's work (a walk costs far more than its row's bytes suggest).
+WALKS = 128
 ROUNDS = 12
 
 
@@ -322,8 +324,9 @@ def search(queries: DataFrame, index: MultiIndex) -> DataFrame:
     QUERY_ROWS queries, and sends ``k`` + 1 rows a query.  ``seen`` is how many entries were reranked.
     """
     k, dim, size = index.k + 1, index.dim, index.books.size
-    pieces = max(1, -(-queries.count() // QUERY_ROWS))
-    q = _walks(queries, index).withColumn("piece", F.pmod(F.xxhash64("rep"), F.lit(pieces)))
+    n = queries.count()
+    pieces = max(1, -(-n // QUERY_ROWS))
+    q = _walks(queries.repartition(max(1, -(-n // WALKS)), "rep"), index).withColumn("piece", F.pmod(F.xxhash64("rep"), F.lit(pieces)))
     e = _in_blocks(index).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
 
     def run(q: pa.Table, e: pa.Table) -> pa.Table:
