@@ -16,6 +16,7 @@ from poi_analytics.llm.shared import NO_ID, ordered_id, row_key, saved, texts_of
 
 SEED = 42
 PARTS, PART_BITS = 4, 16  # population counts are taken of four 16-bit parts
+TOGETHER = 64  # pieces of one cell that meet a tile under one key
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -88,22 +89,30 @@ def links(fps: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
     population counts of their four 16-bit parts.  Two fingerprints within the radius
     have part counts whose differences add up to at most the radius, so only such tile
     pairs meet, and every other pair is skipped without loss.  Large tiles are cut by
-    hash into pieces of about ``tile`` fingerprints.  Of the pairs found in a tile pair a
+    hash into pieces of about ``tile`` fingerprints, which meet pair by pair, so the pairs of
+    one large tile are spread over tasks.  Of the pairs found in a tile pair a
     spanning set is emitted (same components, no quadratic output).
     """
     counts = [F.bit_count(F.shiftrightunsigned("fp", PART_BITS * i).bitwiseAND((1 << PART_BITS) - 1))
               for i in range(PARTS)]
     cells = fps.select("fp", F.array(*counts).alias("cell"))
     # at most 17^4 cells exist, whatever the input
-    pieces = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("pieces")))
-    tiles = saved(cells.join(pieces, "cell")
+    pieces = saved(cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("pieces")), "cells")
+    most = pieces.agg(F.max("pieces")).first()[0] or 1
+    tiles = saved(cells.join(F.broadcast(pieces), "cell")
                   .groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("pieces")).alias("piece"))
                   .agg(F.collect_list("fp").alias("fps")), "tiles")
     near = F.array(*[F.array(*map(F.lit, d)) for d in _near_cells(radius)])
     left = (tiles.select("fps", F.col("piece").alias("p"), F.col("cell").alias("own"), F.explode(near).alias("d"))
-            .select("fps", "p", "own", F.zip_with("own", "d", lambda x, y: x + y).alias("cell")))
-    pairs = (left.join(tiles.select("cell", "piece", F.col("fps").alias("others")), "cell")
-             .where("own != cell or p <= piece").select("fps", "others"))
+            .select("fps", "p", "own", F.zip_with("own", "d", lambda x, y: x + y).alias("cell"))
+            .join(F.broadcast(pieces), "cell")
+            .select("fps", "p", "own", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+            .where("own != cell or p <= piece"))
+    # a key has one tile and at most TOGETHER pieces of each cell near it
+    right = tiles.select("cell", "piece", F.col("fps").alias("others"),
+                         F.explode(F.sequence(F.lit(0), F.lit((most - 1) // TOGETHER))).alias("turn"))
+    pairs = (left.withColumn("turn", F.floor(F.col("p") / TOGETHER).cast("int"))
+             .join(right, ["cell", "piece", "turn"]).select("fps", "others"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
