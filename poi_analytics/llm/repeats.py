@@ -20,7 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poi_analytics.llm.shared import drop_saved, ordered_id, row_key, rows_at_a_time, runs, saved, texts_of
+from poi_analytics.llm.shared import (drop_saved, ordered_id, release, row_key, rows_at_a_time, runs, saved, scratch,
+                                      texts_of)
+from poi_analytics.session import remove
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -244,51 +246,66 @@ def _through(rows: DataFrame, steps: list[Step], schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema) if steps else rows
 
 
-def _halving(rows: DataFrame, steps: list[Step], search: Search) -> tuple[DataFrame, DataFrame]:
+def _halving(rows: DataFrame, steps: list[Step], search: Search) -> tuple[DataFrame, DataFrame, str]:
     """Halve segments (``rows`` after the steps that make them) and settle what is now equal as a whole.
 
-    Returns (gram, seg, spans) of the settled halves and the segments that still need an index: of
-    each piece its first one, where its key has other pieces as well.  Equal pieces, a passage
-    in thousands of documents say, are one row of a grouped minimum here.
+    Returns (gram, seg, spans) of the settled halves, the segments that still need an index, and the
+    path that holds both, by ``kind`` (0 and 1).  Open are: of each piece one, where its key has
+    other pieces as well.  Equal pieces, a passage in thousands of documents say, are one row of a
+    grouped minimum here.
     """
+    spark = rows.sparkSession
     halves = saved(_through(rows, [*steps, _halve(search)], SEGMENT + ", piece long"), "halves")
-    place = F.struct("oid", "doc", "at")
-    pieces = halves.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    pieces = saved(pieces, "pieces")
-    several = saved(pieces.groupBy("key").agg(F.count("*").alias("pieces")).where("pieces > 1").select("key"), "keys")
-    equal = F.col("oid") > F.col("first.oid") if search.earlier else F.col("n") > 1
-    settled = (halves.drop("symbols").join(pieces, ["key", "piece"]).where(equal)
-               .select("gram", "seg", F.array(-F.col("before"), F.col("after")).alias("spans")))
-    stays = F.col("oid") == F.col("first.oid") if search.earlier else place == F.col("first")
-    open_ = (halves.join(pieces.join(several, "key", "left_semi"), ["key", "piece"]).where(stays)
-             .select(*segment_schema().names))
-    settled, open_ = saved(settled, "settled"), saved(open_, "open")
-    drop_saved(halves, pieces, several)
-    return settled, open_
-
-
-def _bounded(segments: DataFrame, steps: list[Step], search: Search) -> tuple[DataFrame | None, DataFrame]:
-    """Settled spans of the segments (rows that ``steps`` make into segments), and the open segments under keys with at most ``hot`` of them each.
+    # one number, so that the minimum is combined by hash and not by sorting
+    place = F.col("oid") if search.earlier else F.xxhash64("oid", "doc", "at")
+    pieces = saved(halves.groupBy("key", "piece").agg(F.count("*").alias("n"), F.min(place).alias("first")), "pieces")
+    several = saved(pieces.groupBy("key").agg((F.count("*") > 1).alias("several")).where("several"), "keys")
+    judged = saved(pieces.join(several, "key", "left").where("several or n > 1"), "judged")
+    equal = F.col("oid") > F.col("first") if search.earlier else F.col("n") > 1
+    kinds = F.array_compact(F.array(F.when(equal, 0), F.when(F.col("several") & (place == F.col("first")), 1)))
+    names = segment_schema().names
+    both = (halves.join(judged, ["key", "piece"]).select(*names, F.explode(kinds).alias("kind"))
+            .withColumn("symbols", F.when(F.col("kind") == 1, F.col("symbols"))))
+    path = scratch(spark, "halved")
+    both.write.partitionBy("kind").parquet(path)
+    release(spark)
+    drop_saved(halves, pieces, several, judged)
+    table = spark.read.schema(SEGMENT + ", kind int").parquet(path)
+    settled = table.where("kind = 0").select("gram", "seg", F.array(-F.col("before"), F.col("after")).alias("spans"))
+    return settled, table.where("kind = 1").select(*names), path
+
+
+def _bounded(segments: DataFrame, steps: list[Step],
+             search: Search) -> tuple[DataFrame | None, DataFrame, list[str], list[DataFrame]]:
+    """Settled spans of the segments (rows that ``steps`` make into segments), and the open segments
+    under keys with at most ``hot`` of them each; the paths and tables both are read from.
 
     All segments are halved ``halvings`` times first, as most of those that share a gram differ a few
     symbols further on.  Keys with more open segments are halved on, into keys of longer
     shared texts, until their segments differ; those of a single window are equal and settled.
     """
     settled = done = None
+    paths, tables = [], []
     for level in range(1 + math.ceil(math.log2(search.window - search.gram + 1))):
         if level >= search.halvings:
-            segments, steps = _through(segments, steps, SEGMENT), []
+            if steps:
+                segments, steps = saved(_through(segments, steps, SEGMENT), "cut"), []
+                tables.append(segments)
             hot = saved(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > search.hot)
                         .select("key"), "hot")
+            tables.append(hot)
             if hot.isEmpty():
                 break
             cold = segments.join(hot, "key", "left_anti")
             done = cold if done is None else done.unionByName(cold)
             segments = segments.join(hot, "key", "left_semi")
-        spans, segments = _halving(segments, steps, search)
+        spans, segments, path = _halving(segments, steps, search)
+        if paths and level < search.halvings:  # nothing reads the segments before this halving any more
+            remove(segments.sparkSession, f"{paths[-1]}/kind=1")
         steps = []
+        paths.append(path)
         settled = spans if settled is None else settled.unionByName(spans)
-    return settled, segments if done is None else done.unionByName(segments)
+    return settled, segments if done is None else done.unionByName(segments), paths, tables
 
 
 def covered(docs: DataFrame, search: Search) -> DataFrame:
@@ -309,26 +326,30 @@ def covered(docs: DataFrame, search: Search) -> DataFrame:
     lists = wanted.groupBy("oid", "key").agg(F.collect_list(F.struct("gram", "seg", "at", "before", "after")).alias("a"))
     # the lists are the small side: no sort of the texts
     texts = docs.select("oid", "key", "text").join(lists.hint("shuffle_hash"), ["oid", "key"])
-    settled, open_ = _bounded(texts, [_cut(search)], search)
-    open_ = saved(open_, "indexed")
-    total = open_.agg(F.sum(F.length("symbols"))).first()[0] or 0
-    shards = max(1, -(-total // (search.shard_symbols * search.width)))
+    settled, open_, paths, tables = _bounded(texts, [_cut(search)], search)
+    total = open_.agg(F.sum(F.col("before") + F.col("after"))).first()[0] or 0
+    shards = max(1, -(-total // search.shard_symbols))
     matched = (open_.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
                .groupBy("shard").applyInArrow(search.match, MATCHED))
     if settled is not None:
         matched = matched.unionByName(settled)
-    matched = saved(matched.groupBy("gram", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans")), "matched")
+    matched = matched.groupBy("gram", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # a table of its own: a join of two tables is one that Spark can split at a hot segment
+    decided = saved(groups.select("gram", "seg", "n", "first").join(matched, ["gram", "seg"], "left")
+                    .where("n > 1 or spans is not null"), "decided")
+    for path in paths:
+        remove(docs.sparkSession, path)
+    drop_saved(groups, *tables)
     own = F.col("oid") > F.col("first") if search.earlier else F.col("n") > 1
     pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int")), lambda i: F.struct(
         (F.col("at") + F.get("spans", (2 * i).cast("int"))).alias("first"),
         (F.col("at") + F.get("spans", (2 * i + 1).cast("int"))).alias("stop")))
     whole = F.array(F.struct((F.col("at") - F.col("before")).alias("first"), (F.col("at") + F.col("after")).alias("stop")))
-    found = (kept.join(groups.select("gram", "seg", "n", "first"), ["gram", "seg"])
-             .join(matched, ["gram", "seg"], "left").where(own | F.col("spans").isNotNull())
+    found = (kept.join(decided, ["gram", "seg"]).where(own | F.col("spans").isNotNull())
              .select("oid", "key", F.when(own, whole).otherwise(pairs).alias("spans")))
     # an anchor that fills in between its neighbours adds nothing: one list per document
     spans = saved(found.groupBy("oid", "key").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
-    drop_saved(kept, groups, matched, open_)
+    drop_saved(kept, decided)
     return spans
 
 

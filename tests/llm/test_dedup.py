@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from poi_analytics.llm import fm_index, repeats, simhash, suffix_array
 from poi_analytics.llm.components import components
@@ -194,6 +195,43 @@ def test_tiles_lose_no_link(spark, tile):
     assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+@pytest.mark.parametrize("together", [4, 64])
+def test_one_large_cell_is_many_tasks(spark, monkeypatch, together):
+    """Fingerprints whose four parts have eight bits each lie in one cell, here in some 50 pieces."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    r = np.random.default_rng(2)
+    base = {int("".join(map(str, np.concatenate([r.permutation([0, 1] * 8) for _ in range(4)]))), 2) for _ in range(60)}
+    fps = set(base)
+    for b in base:  # swaps of neighbouring differing bits of one part stay in the cell, two bits away
+        for i in range(15):
+            if b >> i & 3 in (1, 2):
+                fps.add(b ^ 3 << i)
+    fps = sorted(fps)[:400]
+    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        links = simhash.links(table, 2, 8)
+        got = {r.node: r.component for r in components(links).collect()}
+        spread = links.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set(setting, before)
+    assert spread > 1
+    label = np.arange(len(fps))
+    a = np.array(fps, np.uint64)
+    i, j = np.nonzero(np.bitwise_count(a[:, None] ^ a[None]) <= 2)
+    for _ in range(40):
+        np.minimum.at(label, i, label[j])
+    signed = a.view(np.int64).tolist()
+    want, found = {}, {}
+    for f, k in zip(signed, label.tolist()):
+        want.setdefault(k, set()).add(f)
+    for f, k in got.items():
+        found.setdefault(k, set()).add(f)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
