@@ -199,17 +199,27 @@ def vocabulary(counted: DataFrame, s: Settings) -> Vocabulary:
 
 # --- the network -------------------------------------------------------------------------------
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _one_over(x: np.ndarray, top: float) -> np.ndarray:
+    """top / (1 + exp(x)), in place: of -x the sigmoid (top 1), of -2x the tanh and one (top 2).
+
+    Exponentials take a third of the time of numpy's tanh.
+    """
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.divide(np.float32(top), x, out=x)
 
 
-def _softmax_at(x: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row of ``x`` the log-softmax at one column; the exponentials, in place of ``x``, and their sums."""
-    x -= x.max(-1, keepdims=True)
+def _softmax_at(x: np.ndarray, column: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row of ``x`` the log-softmax at one column; the exponentials, in place of ``x``, and their sums.
+
+    ``small``: no sum of exponentials leaves the range of single precision, so rows need no shift.
+    """
+    if not small:
+        x -= x.max(-1, keepdims=True)
     picked = x[np.arange(len(x)), column].astype(np.float64)
     np.exp(x, out=x)
-    total = x.sum(-1, keepdims=True)
-    return picked - np.log(total[:, 0]), x, total
+    total = x @ np.ones(x.shape[1], np.float32)
+    return picked - np.log(total), x, total
 
 
 class Network:
@@ -238,12 +248,11 @@ class Network:
             word_bias = np.log(inside / np.maximum(inside.sum(1, keepdims=True), 1e-300))
         shapes = {
             "E": small(n + 2, h), "W": small(h, 3 * h), "U": small(h, 3 * h), "b": np.zeros(3 * h),
-            "Wc": np.zeros((h, self.classes + 1)), "bc": np.log(np.append(inside.sum(1), rest) / v.mass),
-            "Ww": np.zeros((self.classes, h, m)),
+            "C": np.vstack([np.zeros((h, self.classes + 1)), np.log(np.append(inside.sum(1), rest) / v.mass)]),
+            "B": np.zeros((self.classes, h + 1, m)),  # trained on top of the shares
         }
         # log share in the class; minus infinity past the last word
         self.word_bias = np.maximum(word_bias, -1e9).astype(np.float32)
-        shapes["bw"] = np.zeros_like(self.word_bias)  # trained on top of the shares
         self.shapes = {k: a.shape for k, a in shapes.items()}
         self.flat = np.concatenate([a.ravel() for a in shapes.values()]).astype(np.float32)
         self.p = self.views(self.flat)
@@ -257,9 +266,13 @@ class Network:
         return self.rooms[name][:size].reshape(shape)
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
-        """The named parts of a parameter vector, without copies."""
-        ends = np.cumsum([int(np.prod(shape)) for shape in self.shapes.values()])
-        return {k: a.reshape(shape) for (k, shape), a in zip(self.shapes.items(), np.split(flat, ends[:-1]))}
+        """The named parts of a parameter vector, without copies.
+
+        The last row of the output weights (C of classes, B of words) is their bias.
+        """
+        ends, h = np.cumsum([int(np.prod(shape)) for shape in self.shapes.values()]), self.s.hidden
+        p = {k: a.reshape(shape) for (k, shape), a in zip(self.shapes.items(), np.split(flat, ends[:-1]))}
+        return p | {"Wc": p["C"][:h], "bc": p["C"][h], "Ww": p["B"][:, :h], "bw": p["B"][:, h]}
 
     def vector(self) -> np.ndarray:
         return self.flat.copy()
@@ -268,49 +281,60 @@ class Network:
         self.flat[:] = flat
         return self
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """New state from projected inputs; what the backward pass needs."""
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """New state from projected inputs."""
         n = self.s.hidden
         u = h @ self.p["U"]
-        zr = _sigmoid(x[:, :2 * n] + u[:, :2 * n])
-        z, r, un = zr[:, :n], zr[:, n:], u[:, 2 * n:]
-        c = np.tanh(x[:, 2 * n:] + r * un)
-        return c + z * (h - c), (h, z, r, un, c)
+        zr = x[:, :2 * n] + u[:, :2 * n]
+        _one_over(np.negative(zr, out=zr), 1)
+        c = u[:, 2 * n:] * zr[:, n:]
+        c += x[:, 2 * n:]
+        c *= np.float32(-2)
+        _one_over(c, 2)
+        c -= np.float32(1)
+        out = h - c
+        out *= zr[:, :n]
+        out += c
+        return out
 
     def outputs(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural-log probabilities of the targets (a word, or the class of other tokens), and
         the gradient of their negative sum with respect to the states if ``grads`` is given."""
-        m, p = self.s.class_words, self.p
+        m, n, p = self.s.class_words, self.s.hidden, self.p
         cls = np.where(target < self.n, target // m, self.classes).astype(np.min_scalar_type(self.classes))
         order = np.argsort(cls, kind="stable")
         cls, word, size = cls[order].astype(np.int64), target[order] % m, len(target)
-        h = np.take(states, order, 0, self.room("sorted", *states.shape), "clip")
+        h = self.room("sorted", size, n + 1)
+        h[:, :n] = states[order]
+        h[:, n] = 1
         cut = np.searchsorted(cls, np.arange(self.classes + 1))
         blocks = [(k, slice(cut[k], cut[k + 1])) for k in np.flatnonzero(np.diff(cut))]
         known = cut[-1]
-        x = np.matmul(h, p["Wc"], out=self.room("classes", size, self.classes + 1))
-        x += p["bc"]
-        lp, d, total = _softmax_at(x, cls)
-        x, bias = self.room("words", known, m), self.word_bias + p["bw"]
+        # shares sum to one, so these bound the logarithms of both sums
+        reach = max(1.0, float(np.abs(states).max(initial=0)))
+        x = np.matmul(h, p["C"], out=self.room("classes", size, self.classes + 1))
+        lp, d, total = _softmax_at(x, cls, reach * np.abs(p["C"]).sum(0).max() < 60)
+        x, weights = self.room("words", known, m), p["B"].copy()
+        weights[:, n] += self.word_bias
         for k, own in blocks:
-            np.matmul(h[own], p["Ww"][k], out=x[own])
-            x[own] += bias[k]
-        lw, dw, total_w = _softmax_at(x, word[:known])
+            np.matmul(h[own], weights[k], out=x[own])
+        lw, dw, total_w = _softmax_at(x, word[:known], reach * np.abs(p["B"]).sum(1).max(initial=0) < 60)
         lp[:known] += lw
         out, back = np.empty(size), np.zeros_like(states)
         out[order] = lp
         if grads is not None:
-            d /= total
+            d *= (1 / total)[:, None]
             d[np.arange(size), cls] -= 1
-            dw /= total_w
+            dw *= (1 / total_w)[:, None]
             dw[np.arange(known), word[:known]] -= 1
-            grads["Wc"] += h.T @ d
-            grads["bc"] += np.ones(size, np.float32) @ d
+            grads["C"] += h.T @ d
             flow = np.matmul(d, p["Wc"].T, out=self.room("flow", *states.shape))
+            through = self.room("through", known, n + 1)
             for k, own in blocks:
-                grads["Ww"][k] += h[own].T @ dw[own]
-                grads["bw"][k] += dw[own].sum(0)
-                flow[own] += dw[own] @ p["Ww"][k].T
+                rows = dw[own]
+                grads["B"][k] += h[own].T @ rows
+                np.matmul(rows, p["B"][k].T, out=through[own])
+            flow[:known] += through[:, :n]
             back[order] = flow
         return out, back
 
@@ -358,19 +382,19 @@ class Network:
             h = self._window(before[at], targets[at], live, ~fresh[at], h[:active], grads)
             seen, updates = int(live.sum()), updates + 1
             norm = float(np.sqrt(g @ g)) / seen
-            g *= np.float32(min(1.0, 5.0 / (norm + 1e-12)) / seen)
-            np.subtract(g, first, out=change)
-            change *= np.float32(0.1)
+            scale = min(1.0, 5.0 / (norm + 1e-12)) / seen
+            np.multiply(g, np.float32(0.1 * scale), out=change)
+            first *= np.float32(0.9)
             first += change
             g *= g
-            g -= second
-            g *= np.float32(0.01)
+            g *= np.float32(0.01 * scale * scale)
+            second *= np.float32(0.99)
             second += g
+            correction = (1 - 0.99 ** updates) ** 0.5
             np.sqrt(second, out=g)
-            g *= np.float32((1 - 0.99 ** updates) ** -0.5)
-            g += np.float32(1e-6)
+            g += np.float32(1e-6 * correction)
             np.divide(first, g, out=g)
-            g *= np.float32(s.rate / (1 - 0.9 ** updates) * seen / (len(lanes) * s.window))
+            g *= np.float32(s.rate * correction / (1 - 0.9 ** updates) * seen / (len(lanes) * s.window))
             self.flat -= g
         return len(targets)
 
@@ -380,19 +404,44 @@ class Network:
 
         Positions not ``live`` lie past a lane's end; where not ``carried`` a document starts.
         """
-        p, n = self.p, self.s.hidden
-        projected = np.take(self.inputs(), x, 0, self.room("projected", *x.shape, 3 * n), "clip")
-        carried = carried[:, :, None].astype(np.float32)
-        states, before, z, r, un, c = self.room("kept", 6, *x.shape, n)
-        for t in range(len(x)):
-            h, (before[t], z[t], r[t], un[t], c[t]) = self.step(projected[t], h * carried[t])
-            states[t] = h
-        last, own = h, slice(None) if live.all() else live.ravel()
-        flow = self.room("flows", *x.shape, n)
-        flow[:] = 0
-        flow.reshape(-1, n)[own] = self.outputs(states.reshape(-1, n)[own], target.ravel()[own], grads)[1]
+        p, n, (steps, lanes) = self.p, self.s.hidden, x.shape
+        inputs = np.take(p["E"], x.ravel(), 0, self.room("inputs", x.size, n), "clip")
+        projected = np.matmul(inputs, p["W"], out=self.room("projected", x.size, 3 * n))
+        projected += p["b"]
+        # a lane a column: the gates of all lanes lie together; scaled as _one_over takes them
+        across, u = self.room("across", 2, steps, 3 * n, lanes)
+        across[:] = projected.reshape(steps, lanes, 3 * n).transpose(0, 2, 1)
+        scale = np.repeat(np.float32([-1, -2]), [2 * n, n])[:, None]
+        across *= scale
+        turn = p["U"].T * scale
+        zr = self.room("gates", steps, 2 * n, lanes)
+        states, before, c = self.room("kept", 3, steps, n, lanes)
+        z, r, un = zr[:, :n], zr[:, n:], u[:, 2 * n:]
+        whole, carried = carried.all(1).tolist(), carried.astype(np.float32)
+        h, one = h.T, np.float32(1)
+        for t in range(steps):
+            start, gates, cand, new = before[t], zr[t], c[t], states[t]
+            np.multiply(h, carried[t], out=start)
+            np.matmul(turn, start, out=u[t])
+            np.add(u[t, :2 * n], across[t, :2 * n], out=gates)
+            _one_over(gates, 1)
+            np.multiply(gates[n:], un[t], out=cand)
+            cand += across[t, 2 * n:]
+            _one_over(cand, 2)
+            cand -= one
+            np.subtract(start, cand, out=new)
+            new *= gates[:n]
+            new += cand
+            h = new
+        last, own = h.T.copy(), slice(None) if live.all() else live.ravel()
+        rows = self.room("rows", steps, lanes, n)
+        rows[:] = states.transpose(0, 2, 1)
+        back = self.outputs(rows.reshape(-1, n)[own], target.ravel()[own], grads)[1]
+        rows[:] = 0
+        rows.reshape(-1, n)[own] = back
+        flow, to_z, to_r, to_c, spare = self.room("slopes", 5, steps, n, lanes)
+        flow[:] = rows.transpose(0, 2, 1)
         # slopes of the gates' inputs: by the new state for z and c, by c's own slope for r
-        to_z, to_r, to_c, spare = self.room("slopes", 4, *x.shape, n)
         np.subtract(before, c, out=to_z)
         to_z *= z
         np.subtract(1, z, out=spare)
@@ -403,30 +452,33 @@ class Network:
         np.subtract(1, r, out=to_r)
         to_r *= r
         to_r *= un
-        dh = np.zeros_like(h)
-        dx, du = self.room("gates", 2, *x.shape, 3 * n)
-        back = p["U"].T.copy()
-        for t in reversed(range(len(x))):
+        to_r *= np.float32(-0.5)
+        dh = np.zeros((n, lanes), np.float32)
+        d = self.room("gate slopes", steps, 4 * n, lanes)  # of z, r, the state's part of c, c
+        for t in range(steps - 1, -1, -1):
+            at = d[t]
+            dc = at[3 * n:]
             dh += flow[t]
-            np.multiply(dh, to_z[t], out=dx[t, :, :n])
-            dc = dh * to_c[t]
-            np.multiply(dc, to_r[t], out=dx[t, :, n:2 * n])
-            dx[t, :, 2 * n:] = dc
-            du[t] = dx[t]
-            du[t, :, 2 * n:] *= r[t]
+            np.multiply(dh, to_z[t], out=at[:n])
+            np.multiply(dh, to_c[t], out=dc)
+            np.multiply(dc, to_r[t], out=at[n:2 * n])
+            np.multiply(dc, r[t], out=at[2 * n:3 * n])
             dh *= z[t]
-            dh += du[t] @ back
-            dh *= carried[t]
-        grads["U"] += before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+            dh += p["U"] @ at[:3 * n]
+            if not whole[t]:
+                dh *= carried[t]
+        grads["U"] += np.matmul(before, d[:, :3 * n].transpose(0, 2, 1)).sum(0)
+        dx = projected.reshape(steps, lanes, 3 * n)
+        dx[:, :, :2 * n] = d[:, :2 * n].transpose(0, 2, 1)
+        dx[:, :, 2 * n:] = d[:, 3 * n:].transpose(0, 2, 1)
+        grads["b"] += np.ones(x.size, np.float32) @ projected
+        grads["W"] += inputs.T @ projected
+        by_place = np.matmul(projected, p["W"].T, out=inputs)
         used = x.ravel()
         order = np.argsort(used)
         used = used[order]
-        flat = np.take(dx.reshape(-1, 3 * n), order, 0, du.reshape(-1, 3 * n), "clip")
         cut = np.flatnonzero(np.diff(used, prepend=-1))
-        by_word, words = np.add.reduceat(flat, cut), used[cut]
-        grads["b"] += by_word.sum(0)
-        grads["W"] += p["E"][words].T @ by_word
-        grads["E"][words] += by_word @ p["W"].T
+        grads["E"][used[cut]] += np.add.reduceat(by_place[order], cut)
         return last
 
     def score(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -447,7 +499,7 @@ class Network:
         for t in range(int(sizes.max(initial=0))):
             while sizes[live - 1] <= t:
                 live -= 1
-            h, _ = self.step(table[x[:live]], h[:live])
+            h = self.step(table[x[:live]], h[:live])
             x = words[starts[:live] + t]
             held.append(h)
             targets.append(x)

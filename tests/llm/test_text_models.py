@@ -245,3 +245,33 @@ def test_state_runs_through_whole_documents():
     one, two = np.array([1, 2, 3, 20, 5] * 4), np.array([7, 8])
     both = net.score(np.concatenate([two, one]), np.array([2, 20]))
     assert np.allclose(both, [net.score(two, np.array([2]))[0], net.score(one, np.array([20]))[0]], atol=1e-4)
+
+
+def test_gradients_of_the_recurrent_part():
+    """Two lanes over three steps, one document starting inside a window and one lane ending early."""
+    net, _ = network()
+    rng = np.random.default_rng(3)
+    net.flat += rng.normal(0, 0.2, net.flat.shape).astype(np.float32)
+    x, target = np.array([[1, 2], [3, 21], [1, 4]]), np.array([[3, 5], [1, 4], [20, 9]])
+    live, carried = np.array([[1, 1], [1, 1], [1, 0]], bool), np.array([[1, 1], [1, 0], [1, 1]], bool)
+    h = rng.normal(0, 0.5, (2, 5)).astype(np.float32)
+
+    def loss():
+        table, state, total = net.inputs(), h, 0.0
+        for t in range(3):
+            state = net.step(table[x[t]], state * carried[t][:, None])
+            total -= net.outputs(state, target[t])[0][live[t]].sum()
+        return total
+
+    grads = net.views(np.zeros_like(net.flat))
+    last = net._window(x, target, live, carried, h, grads)
+    assert np.allclose(last[0], net._window(x, target, live, carried, h, net.views(np.zeros_like(net.flat)))[0])
+    for name in ("E", "W", "U", "b", "Wc", "bc", "Ww", "bw"):
+        place = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
+        was = net.p[name][place]
+        sides = []
+        for move in (1e-2, -1e-2):
+            net.p[name][place] = was + move
+            sides.append(loss())
+        net.p[name][place] = was
+        assert abs((sides[0] - sides[1]) / 2e-2 - grads[name][place]) < 2e-2 * max(1, abs(grads[name][place])), name
