@@ -14,8 +14,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,11 +55,11 @@ class Settings:
 # --- token batches -----------------------------------------------------------------------------
 
 def _packed(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
 BATCH = ("batch string, docs int, entries long, trained long, doc_ids array<long>, held_out array<boolean>, "
@@ -65,14 +67,14 @@ BATCH = ("batch string, docs int, entries long, trained long, doc_ids array<long
 
 
 def token_batches(docs: DataFrame, s: Settings) -> DataFrame:
-    """A row per batch of documents: its distinct token hashes (sorted) with their counts in the
+    """A row per batch of documents: its distinct token hashes (as they occur) with their counts in the
     batch's training documents, and every document's tokens as indexes into them."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % s.held_out == 0, F.lit(True))
     end = END.to_bytes(8, "little")
 
     def batch_row(part: str, n: int, ids: list, held: list, hashed: list[bytes]) -> pa.RecordBatch:
         lengths = np.array([len(h) // 8 for h in hashed], np.int64)
-        distinct, tokens = np.unique(np.frombuffer(b"".join(hashed), "<u8"), return_inverse=True)
+        tokens, distinct = pd.factorize(np.frombuffer(b"".join(hashed), "<u8"))
         training = np.repeat(~np.array(held, bool), lengths)
         counts = np.bincount(tokens[training], minlength=len(distinct))
         values = [[f"{part}-{n}"], [len(ids)], [len(distinct)], [int(training.sum())], [ids], [held],
@@ -107,12 +109,19 @@ def token_batches(docs: DataFrame, s: Settings) -> DataFrame:
 COUNTED = "kind int, batch string, bucket long, data binary, tokens long, distinct_tokens long"
 
 
-def corpus_counts(batches: DataFrame, s: Settings) -> DataFrame:
-    """Counts of every token over all training documents, by batch and by bucket.
+def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the hashes, and the order that puts those of a bucket together, the first bucket first."""
+    own = hashes % np.uint64(buckets)
+    return own, np.argsort(own, kind="stable")
 
-    Kind 0: for a batch and bucket, the corpus counts of the batch's hashes of that bucket, in
-    hash order.  Kind 1: for a bucket, its tokens, distinct tokens and its most frequent
-    hashes with counts.  A word crosses the network once per batch at most, however frequent.
+
+def corpus_counts(batches: DataFrame, s: Settings) -> tuple[DataFrame, int]:
+    """Counts of every token over all training documents, by batch and by bucket; the number of buckets.
+
+    Kind 0: for a batch and a bucket that it has hashes of, their corpus counts, in the batch's
+    order.  Kind 1: for a bucket, its tokens, distinct tokens and its most frequent
+    hashes with counts.  A word crosses the network once per batch at most, however frequent, and no
+    row is sent without a word: rows and bytes grow with the batches' distinct words.
     """
     entries = batches.agg(F.sum("entries")).first()[0] or 0
     buckets = max(1, -(-entries // s.bucket_entries))
@@ -121,12 +130,11 @@ def corpus_counts(batches: DataFrame, s: Settings) -> DataFrame:
         for r in rows:
             for batch, hashes, counts in zip(*(c.to_pylist() for c in r.columns)):
                 hashes, counts = _unpacked(hashes, "<u8"), _unpacked(counts, "<u4")
-                own = hashes % np.uint64(buckets)
-                order = np.argsort(own, kind="stable")
-                cut = np.searchsorted(own[order], np.arange(buckets + 1, dtype=np.uint64))
-                pieces = [order[a:b] for a, b in zip(cut, cut[1:])]
+                own, order = _by_bucket(hashes, buckets)
+                used, first = np.unique(own[order], return_index=True)
+                pieces = np.split(order, first[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(buckets)), pa.array([batch] * buckets),
+                    [pa.array(used.astype(np.int64)), pa.array([batch] * len(used)),
                      pa.array([hashes[p].tobytes() for p in pieces], pa.binary()),
                      pa.array([counts[p].tobytes() for p in pieces], pa.binary())],
                     ["bucket", "batch", "hashes", "counts"])
@@ -151,7 +159,7 @@ def corpus_counts(batches: DataFrame, s: Settings) -> DataFrame:
 
     return saved(batches.select("batch", "hashes", "counts")
                  .mapInArrow(spread, "bucket long, batch string, hashes binary, counts binary")
-                 .groupBy("bucket").applyInArrow(total, COUNTED), "counts")
+                 .groupBy("bucket").applyInArrow(total, COUNTED), "counts"), buckets
 
 
 @dataclass(frozen=True)
@@ -587,7 +595,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """
     s = settings
     batches = token_batches(docs, s)
-    counted = corpus_counts(batches, s)
+    counted, buckets = corpus_counts(batches, s)
     v = vocabulary(counted, s)
     flat = fit(batches, v, s)
     shipped = docs.sparkSession.sparkContext.broadcast((v, flat))
@@ -601,10 +609,8 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             row = r.to_pylist()[0]
             hashes, tokens = _unpacked(row["hashes"], "<u8"), _unpacked(row["tokens"], "<u4")
             lengths = _unpacked(row["lengths"], "<i8")
-            own = hashes % np.uint64(len(row["parts"]))
             counts = np.empty(len(hashes))
-            for part in row["parts"]:
-                counts[own == np.uint64(part["bucket"])] = _unpacked(part["data"], "<i8")
+            counts[_by_bucket(hashes, buckets)[1]] = np.concatenate([_unpacked(p["data"], "<i8") for p in row["parts"]])
             words = v.numbers(hashes)
             base = np.log((counts + v.smoothing) / v.mass)
             # other tokens: their share of the class on top of the network's class probability

@@ -275,3 +275,12 @@ def test_gradients_of_the_recurrent_part():
             sides.append(loss())
         net.p[name][place] = was
         assert abs((sides[0] - sides[1]) / 2e-2 - grads[name][place]) < 2e-2 * max(1, abs(grads[name][place])), name
+
+
+def test_words_are_counted_across_many_buckets(spark):
+    """More buckets than a batch has words: the counts still come back to their words."""
+    rows = [(i, prose(500 + i, 4)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small = language_model.Settings(words=16, class_words=4, batch_docs=2, bucket_entries=1, hidden=4)
+    got = language_model.score_documents(docs, small).collect()
+    assert Counter((*r[:5], round(r.base_score, 5)) for r in got) == brute_base(rows)
