@@ -91,7 +91,8 @@ def indexed_positives(interactions: DataFrame) -> tuple[DataFrame, DataFrame, Da
 
 
 def _hash_mod(seed: Column, salt: str, n: Column) -> Column:
-    h = F.conv(F.substring(F.md5(F.concat(seed, F.lit(salt))), 1, 8), 16, 10).cast("bigint")
+    """60 hash bits modulo ``n``: every index can be drawn and the draw is even far beyond 2^32 of them."""
+    h = F.conv(F.substring(F.md5(F.concat(seed, F.lit(salt))), 1, 15), 16, 10).cast("bigint")
     return F.pmod(h, n)
 
 

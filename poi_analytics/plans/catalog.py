@@ -430,7 +430,7 @@ pos AS (SELECT i.*, u.user_idx, t.item_idx FROM {src} i JOIN users u USING (user
 
 def _neg_cte(ratio: int, seed: int) -> str:
     def h(salt):
-        return (f"('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':' || CAST(k AS VARCHAR) || ':{seed}{salt}'), 1, 8))"
+        return (f"('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':' || CAST(k AS VARCHAR) || ':{seed}{salt}'), 1, 15))"
                 f"::BIGINT")
     return f""",
 draws AS (SELECT event_id, CAST(unnest(range(0, {ratio})) AS INTEGER) AS k FROM pos),

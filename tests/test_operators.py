@@ -492,3 +492,15 @@ def test_favorite_state_stream_updates_across_batches(spark, sf_dir):
     want = sorted(map(tuple, behavior.favorite_state(fav).collect()))
     assert got == want
     fav.unpersist()
+
+
+def test_negative_draws_reach_indexes_beyond_32_bits(spark):
+    from pyspark.sql import functions as F
+
+    from poi_analytics.operators.interactions import negative_samples
+    largest = 1 << 40
+    pos = spark.range(2000).select(F.col("id").alias("event_id"), F.lit(largest).alias("user_idx"), F.lit(3).alias("item_idx"),
+                                   F.lit(1.0).alias("weight"))
+    drawn = [r.user_idx for r in negative_samples(pos).select("user_idx").collect()]
+    assert sum(d > largest // 2 for d in drawn) in range(800, 1200)
+    assert max(drawn) <= largest
