@@ -73,6 +73,43 @@ def test_blocks_follow_row_counts(spark, monkeypatch):
     assert sorted(map(tuple, similarity.top_k_dot(vectors, vectors, 4, True).select(key).collect())) == whole
 
 
+def by_sorting(qid, qv, cid, cv, k):
+    """Each query's best ``k`` others, all scores sorted."""
+    out = []
+    for i, v in zip(qid, qv):
+        s = np.where(cid == i, -np.inf, np.einsum("id,jd->ij", v[None], cv)[0])
+        order = np.lexsort((cid, -s))[:k]
+        out += [(i, cid[j], s[j]) for j in order if s[j] > -np.inf]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["normal", "zeros", "copies", "near", "mixed", "big", "few"])
+def test_screened_tiles_choose_as_sorting_does(kind):
+    r = np.random.default_rng(4)
+    q, c = r.normal(size=(300, 8)), r.normal(size=(5_000, 8))
+    q, c = {"normal": (q, c), "zeros": (q * 0, c * 0), "copies": (np.repeat(q[:3], 100, 0), np.repeat(c[:5], 1_000, 0)),
+            "near": (1 + 1e-9 * q, 1 + 1e-9 * c), "mixed": (np.exp(20 * q), np.exp(20 * c)), "big": (1e30 * q, 1e30 * c),
+            "few": (q[:7], c[:5])}[kind]
+    qid, cid = np.arange(len(q)), r.permutation(len(c))
+    got, want = list(zip(*similarity._best(qid, q, cid, c, 10, True))), by_sorting(qid, q, cid, c, 10)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-12)
+
+
+def test_blocks_are_large_and_bounded_in_bytes(spark):
+    # 900,000 users against 1,200,000 items: rows shipped to block pairs (330 million with blocks of 4,096 and 16,384)
+    n, m = 900_000, 1_200_000
+    assert -(-n // similarity.QUERY_BLOCK) * m + -(-m // similarity.CANDIDATE_BLOCK) * n < 60e6
+    wide = spark.range(100).select("id", F.array_repeat(F.lit(1.0), 640).alias("v"))
+    assert spark.range(1).select(similarity.blocks_of(wide, 100)).first()[0] == 10  # as long as 1,000 rows of 64 numbers
+
+
+def test_factors_of_floats_score_as_doubles(spark):
+    vectors = similarity._unit(clustered(spark, 200), "vec_id", "embedding").select("id", F.col("v").cast("array<float>").alias("v"))
+    doubles = vectors.select("id", similarity.as_double_array(F.col("v")).alias("v"))
+    assert sorted(similarity.top_k_dot(vectors, vectors, 3).collect()) == sorted(similarity.top_k_dot(doubles, doubles, 3).collect())
+
+
 # ---- click models ----------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
