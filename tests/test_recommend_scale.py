@@ -110,6 +110,23 @@ def test_factors_of_floats_score_as_doubles(spark):
     assert sorted(similarity.top_k_dot(vectors, vectors, 3).collect()) == sorted(similarity.top_k_dot(doubles, doubles, 3).collect())
 
 
+@pytest.mark.parametrize("name", ["text_embeddings", "multimodal_vector"])
+def test_vectors_are_not_broadcast(spark, sf_dir, name):
+    # the planner takes them for as small as the compressed table they come from
+    plan = plan_of(spark, queries()[name](spark, sf_dir))
+    assert plan.count("SortMergeJoin") == {"text_embeddings": 1, "multimodal_vector": 2}[name]
+
+
+def test_multimodal_vector_without_text_or_image(spark):
+    pois = spark.createDataFrame([(1, '["a"]'), (2, None), (3, '["a","b"]')], "poiId long, tagNameList string")
+    images = spark.createDataFrame([(1, [3.0, 4.0])], "poi_id long, image array<double>")
+    texts = spark.createDataFrame([(1, "x y"), (2, " "), (2, "")], "poi_id long, text string")
+    got = {r.poi_id: r.vector for r in similarity.multimodal_vectors(pois, images, texts, 2).collect()}
+    assert set(got) == {1, 2, 3} and all(len(v) == 2 + 2 + similarity.TAG_BUCKETS for v in got.values())
+    assert all(sum(x * x for x in v) == pytest.approx(1) for v in got.values())
+    assert got[2][:4] == got[3][:4] == [0.0] * 4 and got[1][0] / got[1][1] == pytest.approx(0.75)
+
+
 # ---- click models ----------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
