@@ -174,6 +174,16 @@ def test_block_scores_equal_the_model_on_every_pair(spark, planted, monkeypatch,
             assert prob == pytest.approx(probs[poi], abs=1e-9) and prob == pytest.approx(-best, abs=1e-9)
 
 
+def test_large_first_layer_parts_are_screened_too(planted):
+    net, r = recommend.CtrNetwork.of(planted[0], 8), np.random.default_rng(3)
+    for scale in (1, 10, 30):  # the last is beyond what the product of exponentials holds
+        u, i = scale * r.normal(size=(20, 64)), scale * r.normal(size=(700, 64))
+        q, c = (recommend.pd.DataFrame({"id": range(len(x)), "h": list(x)}) for x in (u, i))
+        got = list(zip(*net.best(5)(q, c)))
+        every = recommend._sigmoid(net.logit(u[:, None] + i[None]))
+        assert [x[:2] for x in got] == [(a, b) for a in range(20) for b in np.lexsort((np.arange(700), -every[a]))[:5]]
+
+
 def test_users_without_factors_get_the_cold_start_list(spark, planted):
     model, factors, _, feats, _, _ = planted
     new = spark.createDataFrame([(999, 5_000)], "user_id long, user_idx long")
