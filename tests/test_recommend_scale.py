@@ -184,6 +184,22 @@ def test_large_first_layer_parts_are_screened_too(planted):
         assert [x[:2] for x in got] == [(a, b) for a in range(20) for b in np.lexsort((np.arange(700), -every[a]))[:5]]
 
 
+@pytest.mark.parametrize("most", [2_000_000, 100, 7])
+def test_cells_score_every_row_as_the_model_does(spark, planted, monkeypatch, most):
+    model, factors, frame, *_ = planted
+    monkeypatch.setattr(recommend, "CELL_ROWS", most)
+    strange = frame.limit(3).withColumn("user_idx", F.lit(10_000).cast("long"))  # no factors, so no score
+    key = ["user_idx", "item_idx", "label"]
+    out = model.transform(recommend.ctr_features(frame, factors)).select(*key, recommend.vector_to_array("probability")[1].alias("p"))
+    want, got = sorted(out.collect()), recommend.ctr_score(model, frame.unionByName(strange), factors)
+    assert got.columns == [*frame.columns, "click_prob"]
+    got = sorted(got.select(*key, "click_prob").collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-12)
+    plan = plan_of(spark, recommend.ctr_score(model, frame, factors))
+    assert "SortMergeJoin" not in plan  # no factor is joined to a row
+
+
 def test_users_without_factors_get_the_cold_start_list(spark, planted):
     model, factors, _, feats, _, _ = planted
     new = spark.createDataFrame([(999, 5_000)], "user_id long, user_idx long")
