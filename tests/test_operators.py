@@ -504,3 +504,23 @@ def test_negative_draws_reach_indexes_beyond_32_bits(spark):
     drawn = [r.user_idx for r in negative_samples(pos).select("user_idx").collect()]
     assert sum(d > largest // 2 for d in drawn) in range(800, 1200)
     assert max(drawn) <= largest
+
+
+def test_event_log_is_cut_into_bounded_partitions(spark, sf_dir, monkeypatch):
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    names = ["behaviors", "requests", "bad_behaviors"]
+    want = {n: rows(fx.view(spark, sf_dir, n)) for n in names}
+    monkeypatch.setattr(fx, "ORDER_ROWS", 500)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    for n in names:
+        got = fx.view(spark, sf_dir, n)
+        plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+        assert f", {-(-lines // 500)}), REPARTITION_BY_NUM" in plan
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        assert rows(got) == want[n]
+
+
+def test_no_log_is_sorted_for_a_look_up(spark, sf_dir):
+    for name in ("ingest_detail_view", "set_null_on_delete"):
+        plan = spark._jvm.PythonSQLUtils.explainString(queries()[name](spark, sf_dir)._jdf.queryExecution(), "simple")
+        assert "ShuffledHashJoin" in plan, name
