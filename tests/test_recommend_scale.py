@@ -101,7 +101,7 @@ def test_blocks_are_large_and_bounded_in_bytes(spark):
     n, m = 900_000, 1_200_000
     assert -(-n // similarity.QUERY_BLOCK) * m + -(-m // similarity.CANDIDATE_BLOCK) * n < 60e6
     wide = spark.range(100).select("id", F.array_repeat(F.lit(1.0), 640).alias("v"))
-    assert spark.range(1).select(similarity.blocks_of(wide, 100)).first()[0] == 10  # as long as 1,000 rows of 64 numbers
+    assert spark.range(1).select(similarity.blocks_of(wide, 100)).first()[0] == 20  # as long as 2,000 rows of 32 numbers
 
 
 def test_factors_of_floats_score_as_doubles(spark):
