@@ -374,3 +374,20 @@ def test_refused_lines_are_kept(spark):
     assert rows[3][0] == 4 and not rows[3][3]
     scan.write.parquet(d + "/out")
     assert tuple(landing.refused_lines(spark.read.parquet(d + "/out")).first()) == (4, 2)
+
+
+# ---- what factor models are fitted on --------------------------------------------------
+
+def test_factor_models_read_no_event_ids_and_ship_few_blocks(spark, sf_dir):
+    from poi_analytics.plans import catalog
+
+    plan = plan_of(spark, catalog._interactions(spark, sf_dir).drop("event_id"))
+    assert "Window" not in plan and "l_extendedprice" not in plan
+    (pos, users, items), (whole, _, _) = catalog._cf_ratings(spark, sf_dir), catalog._cf_parts(spark, sf_dir)
+    assert pos.columns == ["user_idx", "item_idx", "weight"]
+    summed = [sorted(map(tuple, p.groupBy("user_idx", "item_idx").agg(F.round(F.sum("weight"), 6), F.count("*")).collect()))
+              for p in (pos, whole)]
+    assert summed[0] == summed[1] and summed[0]
+    model = recommend.cf_train(pos)
+    assert model.userFactors.rdd.getNumPartitions() == model.itemFactors.rdd.getNumPartitions() == recommend.CF_BLOCKS < 10
+    assert (model.userFactors.count(), model.itemFactors.count()) == (users.count(), items.count())
