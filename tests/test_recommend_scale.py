@@ -391,3 +391,21 @@ def test_factor_models_read_no_event_ids_and_ship_few_blocks(spark, sf_dir):
     model = recommend.cf_train(pos)
     assert model.userFactors.rdd.getNumPartitions() == model.itemFactors.rdd.getNumPartitions() == recommend.CF_BLOCKS < 10
     assert (model.userFactors.count(), model.itemFactors.count()) == (users.count(), items.count())
+
+
+def test_factorization_machine_scores_rows_as_hashed(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    frame = spark.range(300).select(
+        F.col("id").alias("user_idx"), (F.col("id") % 7).alias("item_idx"), (F.col("id") % 3).alias("district_idx"),
+        (F.col("id") % 2).cast("double").alias("price"), F.lit(0.0).alias("heat"), (F.col("id") % 5 - 2.0).alias("score"),
+        (F.col("id") % 7 < 3).cast("double").alias("label"))
+    model = recommend.fm_train(frame, buckets=256, factors=4, max_iter=3)
+    assembled = VectorAssembler(inputCols=["hashed"], outputCol="features").transform(
+        recommend.fm_features(frame, 256).withColumnRenamed("features", "hashed"))
+    expected = model.transform(assembled).select("user_idx", recommend.vector_to_array("probability")[1].alias("p"))
+    got = recommend.fm_score(model, frame)
+    assert got.columns == [*frame.columns, "click_prob"]
+    assert {r.user_idx: r.click_prob for r in got.collect()} == {r.user_idx: r.p for r in expected.collect()}
+    # a row passes the hasher and the machine, not the assembler
+    assert "hashed" not in plan_of(spark, got)
