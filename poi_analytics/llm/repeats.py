@@ -78,6 +78,10 @@ class RangeHash:
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mixed((self.sums[stop] - self.sums[start]) * RangeHash._down[start])
 
+    def same(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+        """Whether the ranges of ``size`` symbols from ``a`` and from ``b`` have equal hashes."""
+        return (self.sums[a + size] - self.sums[a]) * RangeHash._down[a] == (self.sums[b + size] - self.sums[b]) * RangeHash._down[b]
+
     def every(self, size: int) -> np.ndarray:
         """Hashes of all ranges of ``size`` symbols, by start."""
         n = len(self.sums) - size

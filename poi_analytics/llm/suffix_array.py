@@ -10,6 +10,7 @@ memory budget lie on disk.
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poi_analytics.llm.repeats import RangeHash, Search, cover, matched_table, with_spans
+from poi_analytics.llm.repeats import RangeHash, Search, cover, with_spans
 from poi_analytics.llm.shared import rows_at_a_time, runs, texts_of
 
 WINDOW, GRAM = 200, 24
@@ -79,20 +80,21 @@ class _RangeMinimum:
     """Minimum of any range of a byte array (a table of doubling spans)."""
 
     def __init__(self, values: np.ndarray):
-        self.rows = [values]
-        while 2 << len(self.rows) - 1 <= len(values):
-            last, span = self.rows[-1], 1 << len(self.rows) - 1
-            self.rows.append(np.minimum(last[:-span], last[span:]))
+        self.n = n = len(values)
+        self.table = np.empty((max(1, n.bit_length()), n), np.uint8)
+        self.table[0] = values
+        for k in range(1, len(self.table)):
+            span, last = 1 << k - 1, self.table[k - 1]
+            np.minimum(last[:n - 2 * span + 1], last[span:n - span + 1], out=self.table[k, :n - 2 * span + 1])
 
     def of(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """For ranges first:stop, CAP where empty."""
-        out = np.full(len(first), CAP, np.uint8)
         width = stop - first
         level = np.frexp(np.maximum(width, 1))[1] - 1
-        for k in np.unique(level[width > 0]):
-            own = (level == k) & (width > 0)
-            row = self.rows[k]
-            out[own] = np.minimum(row[first[own]], row[stop[own] - (1 << k)])
+        row = level.astype(np.int64) * self.n
+        flat = self.table.ravel()
+        out = np.minimum(flat.take(row + first, mode="clip"), flat.take(row + stop - (1 << level), mode="clip"))
+        out[width <= 0] = CAP
         return out
 
 
@@ -116,7 +118,8 @@ class _Scan:
         ok &= wanted(symbol, self.text[place])
         source = np.flatnonzero(ok)
         target = symbol[source].astype(np.int64)
-        order = np.argsort(target, kind="stable")
+        # numpy sorts numbers of 16 bits by radix
+        order = np.argsort(target.astype(np.uint16) if len(self.since) <= 1 << 16 else target, kind="stable")
         source, target = source[order], target[order]
         least = _RangeMinimum(lcp)
         if len(source):
@@ -162,7 +165,7 @@ def _direct(text: np.ndarray) -> np.ndarray:
     zero = text == 0
     rank = np.where(zero, np.cumsum(zero) - 1, text + int(zero.sum())).astype(np.int64)
     size = 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)  # equal ones get the same rank, in whichever order they come
     while True:
         ordered = rank[order]
         fresh = np.diff(ordered, prepend=ordered[:1]) != 0
@@ -173,7 +176,7 @@ def _direct(text: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[:-size] = dense[size:] + 1
         rank = dense * (n + 2) + after
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         size *= 2
 
 
@@ -197,7 +200,7 @@ def _names(text: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, bool]:
             place = stars[open_] + i
             inside = place < stops[open_]
             key = key << bits | np.where(inside, text[np.minimum(place, len(text) - 1)], beyond)
-        order = np.lexsort((key, rank[open_]))
+        order = np.lexsort((key, rank[open_])) if at else np.argsort(key)
         r, k = rank[open_][order], key[order]
         same_rank = np.diff(r, prepend=-1) == 0
         fresh = ~same_rank | (np.diff(k, prepend=-1) != 0)
@@ -214,7 +217,7 @@ def _names(text: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, bool]:
         open_ = np.sort(still[stars[still] + at < stops[still]])
     # equal ones that end in a symbol 0: by place
     closed = text[stops - 1] == 0
-    order = np.lexsort((np.arange(m), rank))
+    order = np.argsort(rank, kind="stable")
     r = rank[order]
     places = np.arange(m)
     same = np.diff(r, prepend=-1) == 0
@@ -265,14 +268,12 @@ def _common(text: np.ndarray, order: np.ndarray, hashed: RangeHash | None) -> np
     a, b = order[:-1], order[1:]
     longest = np.minimum(np.minimum(left[:-1], left[1:]), CAP)
     low = np.zeros(n - 1, np.int64)
-    step = 256
+    step = 1 << int(longest.max()).bit_length()
     while step > 1:
         step //= 2
-        more = low + step
-        ok = more <= longest
-        x, y = np.where(ok, a + low, 0), np.where(ok, b + low, 0)
-        size = np.where(ok, step, 0)
-        low += np.where(ok & (hashed.of(x, x + size) == hashed.of(y, y + size)), step, 0)
+        fits = np.flatnonzero(low + step <= longest)
+        x, y = a[fits] + low[fits], b[fits] + low[fits]
+        low[fits[hashed.same(x, y, step)]] += step
     out[1:] = low
     return out
 
@@ -347,34 +348,59 @@ def _symbols(text: bytes) -> np.ndarray:
     return _SYMBOLS[np.frombuffer(text, np.uint8)]
 
 
-def match_shard(table: pa.Table) -> pa.Table:
-    """Windows of a shard's segments that also start at another place of the corpus."""
-    rows = table.select(["gram", "seg", "doc", "at", "before", "symbols"]).to_pydict()
-    lengths = np.array([len(s) for s in rows["symbols"]], np.int64)
-    flat = np.frombuffer(b"".join(rows["symbols"]), np.uint8)
+def _cored(symbols: list[bytes], left: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Segments' texts end to end, each closed by 0, with the core's name in place of the core.
+
+    A core is ``core`` symbols from ``left``, which all windows of the segment hold.  Its name, its
+    number among the different cores, is two symbols that occur nowhere else, so that names meet
+    only names.  Returns the text, where each segment ends in it and how many symbols there are.
+    """
+    names: dict[bytes, int] = {}
+    number, parts = np.empty(len(symbols), np.int64), []
+    for i, (s, a, b) in enumerate(zip(symbols, left.tolist(), (left + core).tolist())):
+        number[i] = names.setdefault(s[a:b], len(names))
+        parts += (s[:a], b"\0\0", s[b:], b"\0")
+    flat = np.frombuffer(b"".join(parts), np.uint8)
+    lengths = np.fromiter(map(len, symbols), np.int64, len(symbols)) - core + 2
     ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    inside = np.ones(len(flat) + len(lengths), bool)
-    inside[ends] = False
-    text = np.zeros(len(inside), np.int32)
-    text[inside] = flat.astype(np.int32) + 1
-    marks = np.zeros(len(inside), np.uint64)
-    marks[inside] = _SYMBOLS[flat]
-    order, lcp = suffix_array(text, RangeHash(marks))
-    segment = np.repeat(np.arange(len(lengths)), lengths + 1)[order]
+    text = flat.astype(np.int32) + 1
+    base = math.isqrt(len(names)) + 1
+    at = ends - lengths + left
+    text[at], text[at + 1] = 257 + number // base, 257 + number % base
+    text[ends] = 0
+    return text, ends, 257 + base
+
+
+def match_shard(table: pa.Table) -> pa.Table:
+    """Windows of a shard's segments that also start at another place of the corpus.
+
+    A window begins at its segment's core or before and holds the whole core, so windows are equal if
+    they are equal with the cores' names in place of the cores: only these shorter texts are sorted.
+    """
+    low, high, before, doc, at = (table[c].to_numpy().astype(np.int64) for c in ("low", "high", "before", "doc", "at"))
+    text, ends, symbols = _cored(table["symbols"].to_pylist(), before + high, WINDOW - (high - low))
+    starts = np.append(0, ends[:-1] + 1)
+    marks = np.random.default_rng(7).integers(1, 2**63, symbols, np.uint64)
+    order, lcp = suffix_array(text, RangeHash(marks[text]))
+    segment = np.repeat(np.arange(len(ends)), ends - starts + 1)[order]
     # a group: suffixes that share a window; it counts if it holds two different places
-    head = np.append(lcp[0:0], lcp < WINDOW)
+    head = lcp < (high - low + 2)[segment]
     head[0] = True
     heads = np.flatnonzero(head)
-    doc = np.array(rows["doc"], np.int64)[segment]
-    at = np.array(rows["at"], np.int64)[segment] + order - starts[segment]
     several = np.zeros(len(heads), bool)
-    for x in (doc, at):
+    for x in (doc[segment], at[segment] + order - starts[segment]):
         several |= np.minimum.reduceat(x, heads) != np.maximum.reduceat(x, heads)
     found = np.zeros(len(text), bool)
     found[order] = several[np.cumsum(head) - 1]
-    return matched_table([(g, s, b, found[start:stop]) for g, s, b, start, stop in
-                          zip(rows["gram"], rows["seg"], rows["before"], starts, ends)], WINDOW)
+    # no run goes beyond its segment: nothing is found after a core's first symbol
+    first, stop = runs(found)
+    segment = np.searchsorted(ends, first)
+    offset = before[segment] + starts[segment]
+    spans = np.stack([first - offset, stop - 1 + WINDOW - offset], 1).ravel().astype(np.int32)
+    own, places = np.unique(segment, return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(2 * places, len(spans)), pa.int32()), pa.array(spans))
+    return pa.Table.from_arrays([*(table[c].combine_chunks().take(pa.array(own)) for c in ("gram", "seg")), lists],
+                                ["gram", "seg", "spans"])
 
 
 SEARCH = Search(window=WINDOW, gram=GRAM, earlier=False, symbols=_symbols, stored=bytes, width=1,

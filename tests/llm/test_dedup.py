@@ -5,6 +5,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -236,3 +237,27 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def test_shards_sort_flanks_and_names_of_cores(monkeypatch):
+    """The text that is sorted holds what differs between a key's segments, not the cores that they share."""
+    rng = np.random.default_rng(1)
+    cores = [bytes(rng.integers(97, 123, 157, np.uint8)) for _ in range(60)]
+    rows = []
+    for i in range(240):  # segments of 44 windows: flanks of 43 symbols from few different ones, some cut short
+        left = [b"x" * 43, b"xy" * 21 + b"x", b"z" * 20 + b"x" * 23][i % 3][i % 5:]
+        right = [b"r" * 43, b"r" * 30 + b"s" * 13][i % 2][:43 - i % 4]
+        rows.append((i // 4, i // 4, i, i, i, 7 * i, len(left), 157 + len(right), -43, 0, left + cores[i // 4] + right))
+    table = pa.Table.from_batches([repeats.as_batch(rows, repeats.segment_schema())])
+    sorted_, build = [], suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda text, *a: (sorted_.append(len(text)), build(text, *a))[1])
+    got = {(r["gram"], r["seg"]): r["spans"] for r in suffix_array.match_shard(table).to_pylist()}
+    assert sum(sorted_) <= len(rows) * (2 * 43 + 3)
+    windows = Counter(r[-1][a:a + 200] for r in rows for a in range(len(r[-1]) - 199))
+    want = {}
+    for r in rows:
+        flags = np.array([windows[r[-1][a:a + 200]] > 1 for a in range(len(r[-1]) - 199)])
+        if flags.any():
+            first, stop = repeats.runs(flags)
+            want[r[1], r[2]] = np.stack([first - r[6], stop - 1 + 200 - r[6]], 1).ravel().tolist()
+    assert got == want and 0 < len(want) < len(rows)
