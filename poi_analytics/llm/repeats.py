@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,16 +193,20 @@ def _cut(search: Search) -> Step:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches, 256):
-            rows = []
-            for oid, key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                             texts_of(batch.column(2)), batch.column(3).to_pylist()):
-                data = search.stored(text)
-                for x in found:
-                    first, before, after = x["at"] - x["before"], x["before"], x["after"]
-                    rows.append((x["gram"], x["gram"], x["seg"], oid, key ^ oid, first, before, after, -inside, 0,
-                                 data[first * search.width:(first + before + after) * search.width]))
-            if rows:
-                yield as_batch(rows, schema)
+            found = batch.column(3)
+            counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(counts)), counts)
+            if not len(row):
+                continue
+            gram, seg, at, before, after = (found.flatten().field(c).to_numpy(zero_copy_only=False)
+                                            for c in ("gram", "seg", "at", "before", "after"))
+            oid, key = (batch.column(i).to_numpy()[row] for i in (0, 1))
+            first, texts = (at - before).astype(np.int64), [search.stored(text) for text in texts_of(batch.column(2))]
+            stop = (first + before + after) * search.width
+            parts = [texts[i][x:y] for i, x, y in zip(row.tolist(), (first * search.width).tolist(), stop.tolist())]
+            low, high = np.full(len(row), -inside, np.int32), np.zeros(len(row), np.int32)
+            columns = [gram, gram, seg, oid, key ^ oid, first.astype(np.int32), before, after, low, high]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
@@ -215,31 +220,37 @@ def _halve(search: Search) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = xxhash.xxh3_64_intdigest
         for batch in rows_at_a_time(batches, 4096):
-            rows = []
-            for old, gram, seg, oid, doc, at, before, after, first, last, symbols in zip(
-                    *(c.to_pylist() for c in batch.columns)):
-                middle = (first + last) // 2
-                for low, high in ((first, middle), (middle + 1, last)):
-                    # windows are counted from the anchor; the segment has those from a to b
-                    a, b = max(low, -before), min(high, after - w)
-                    if low > high or a > b:
-                        continue
-                    lead = before + a
-                    part = symbols[lead * width:(before + b + w) * width]
-                    core = symbols[(before + high) * width:(before + low + w) * width]
-                    key = _signed(hashed(core, (old ^ high) & (1 << 64) - 1))
-                    piece = _signed(hashed(part, (a & 0xFFFF) << 16 | b & 0xFFFF))
-                    rows.append((key, gram, seg, oid, doc, at + lead, -a, b + w, low, high, part, piece))
-            if rows:
-                yield as_batch(rows, schema)
+            old, gram, seg, oid, doc, at, before, after, first, last = (
+                np.repeat(c.to_numpy(), 2).astype(np.int64) for c in batch.columns[:10])
+            second = np.arange(len(old)) % 2 == 1
+            middle = (first + last) // 2
+            low, high = np.where(second, middle + 1, first), np.where(second, last, middle)
+            # windows are counted from the anchor; the segment has those from a to b
+            a, b = np.maximum(low, -before), np.minimum(high, after - w)
+            half = np.flatnonzero((low <= high) & (a <= b))
+            if not len(half):
+                continue
+            old, gram, seg, oid, doc, at, before, low, high, a, b = (
+                x[half] for x in (old, gram, seg, oid, doc, at, before, low, high, a, b))
+            lead = before + a
+            seeds = [(old ^ high).view(np.uint64), ((a & 0xFFFF) << 16 | b & 0xFFFF).view(np.uint64)]
+            texts, parts, keys, pieces = batch.column(10).to_pylist(), [], [], []
+            cuts = (x.tolist() for x in (half // 2, lead * width, (before + b + w) * width, (before + high) * width,
+                                         (before + low + w) * width, *seeds))
+            for i, start, stop, core, end, by, within in zip(*cuts):
+                symbols = texts[i]
+                part = symbols[start:stop]
+                parts.append(part)
+                keys.append(hashed(symbols[core:end], by))
+                pieces.append(hashed(part, within))
+            numbers = [np.array(keys, np.uint64).view(np.int64), gram, seg, oid, doc,
+                       *(x.astype(np.int32) for x in (at + lead, -a, b + w, low, high))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(parts, pa.binary()),
+                                              pa.array(np.array(pieces, np.uint64).view(np.int64))], schema=schema)
 
     return run
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _through(rows: DataFrame, steps: list[Step], schema: str) -> DataFrame:
     """The steps one after the other in the same Python worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poi_analytics.llm.repeats import RangeHash, Search, cover, with_spans
+from poi_analytics.llm.repeats import RangeHash, Search, with_spans
 from poi_analytics.llm.shared import rows_at_a_time, runs, texts_of
 
 WINDOW, GRAM = 200, 24
@@ -406,6 +407,20 @@ def match_shard(table: pa.Table) -> pa.Table:
 SEARCH = Search(window=WINDOW, gram=GRAM, earlier=False, symbols=_symbols, stored=bytes, width=1,
                 match=match_shard, shard_symbols=1 << 20)
 
+def _covered(spans: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, stop) of the maximal runs that each row's spans cover, in order."""
+    counts = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    base = np.cumsum(sizes + 1) - sizes - 1  # one place between rows: runs do not join across them
+    own, flat = np.repeat(base, counts), spans.flatten()
+    first, stop = (flat.field(c).to_numpy(zero_copy_only=False) + own for c in ("first", "stop"))
+    order = np.argsort(first)
+    first, reach = first[order], np.maximum.accumulate(stop[order])
+    head = np.append(True, first[1:] > reach[:-1])[:len(first)]
+    first, stop = first[head], reach[np.append(head[1:], True)[:len(head)]]
+    row = np.searchsorted(base, first, "right") - 1
+    return row, first - base[row], stop - base[row]
+
+
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -421,17 +436,17 @@ def remove_repeats(docs: DataFrame, search: Search = SEARCH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches):
-            out = []
-            for text, spans in zip(texts_of(batch.column(1)), batch.column(2).to_pylist()):
-                if spans:
-                    gone = cover(spans, len(text))
-                    out.append((len(text), int(gone.sum()), len(runs(gone)[0]),
-                                np.frombuffer(text, np.uint8)[~gone].tobytes()))
-                else:
-                    out.append((len(text), 0, 0, text))
-            *numbers, kept = zip(*out)
+            texts = texts_of(batch.column(1))
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            row, first, stop = _covered(batch.column(2), sizes)
+            gone, n_runs = np.zeros(len(texts), np.int64), np.bincount(row, minlength=len(texts))
+            np.add.at(gone, row, stop - first)
+            kept, bounds = list(texts), np.searchsorted(row, np.arange(len(texts) + 1))
+            for i in np.flatnonzero(n_runs).tolist():
+                own = slice(bounds[i], bounds[i + 1])
+                kept[i] = b"".join(texts[i][x:y] for x, y in zip([0, *stop[own].tolist()], [*first[own].tolist(), None]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(kept, pa.binary())],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, gone, n_runs)), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return with_spans(rows, search).select("doc_id", "text", "spans").mapInArrow(run, REMOVED)

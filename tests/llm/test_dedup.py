@@ -261,3 +261,15 @@ def test_shards_sort_flanks_and_names_of_cores(monkeypatch):
             first, stop = repeats.runs(flags)
             want[r[1], r[2]] = np.stack([first - r[6], stop - 1 + 200 - r[6]], 1).ravel().tolist()
     assert got == want and 0 < len(want) < len(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 8), st.integers(1, 4)), max_size=5) | st.none(), min_size=1, max_size=6))
+def test_covered_runs_of_a_batch(rows):
+    """Runs of a whole batch are those of each row: they do not join across rows."""
+    spans = [None if r is None else [{"first": a, "stop": a + n} for a, n in r] for r in rows]
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
+    row, first, stop = suffix_array._covered(pa.array([[{"first": 0, "stop": 1}], *spans], kind).slice(1), np.full(len(rows), 12))
+    for i, r in enumerate(spans):
+        want = repeats.runs(repeats.cover(r, 12))
+        assert (first[row == i].tolist(), stop[row == i].tolist()) == tuple(x.tolist() for x in want)
