@@ -393,6 +393,36 @@ def test_factor_models_read_no_event_ids_and_ship_few_blocks(spark, sf_dir):
     assert (model.userFactors.count(), model.itemFactors.count()) == (users.count(), items.count())
 
 
+def test_click_lists_fit_on_summed_pairs_the_same_rows(spark, sf_dir):
+    from poi_analytics.plans import catalog
+
+    dwd, pos, users, items = catalog._ctr_parts(spark, sf_dir)
+    (pairs, neg, feats, found), all_neg = catalog._ctr_pairs(spark, sf_dir), inter.negative_samples(pos, ratio=2, seed=2024)
+    pair, rows = ["user_idx", "item_idx"], lambda df: sorted(map(tuple, df.collect()))
+    assert rows(found) == rows(users) and rows(neg) == rows(all_neg) and neg.columns == all_neg.columns
+    assert rows(inter.repeated_pairs(pairs)) == rows(pos.select(*pair)) and pairs.count() == pos.select(*pair).distinct().count()
+    assert rows(pairs.select(*pair, F.round("weight", 6))) == rows(pos.groupBy(*pair).agg(F.round(F.sum("weight"), 6)))
+
+    train = inter.training_set(inter.repeated_pairs(pairs), neg)
+    frame = inter.ctr_training_frame(inter.training_set(pos, all_neg), inter.item_features(dwd, items))
+    assert rows(catalog._round6(inter.ctr_training_frame(train, feats))) == rows(catalog._round6(frame))
+    factors = recommend.cf_fit(pairs, rank=4, max_iter=1, blocks=recommend.CTR_LIST_BLOCKS)
+    assert factors.userFactors.rdd.getNumPartitions() == recommend.CTR_LIST_BLOCKS < recommend.CF_BLOCKS
+    late, early = (recommend.ctr_train(f, factors, max_iter=2, features=x) for f, x in ((train, feats), (frame, None)))
+    assert late.stages[0].categorySizes == early.stages[0].categorySizes
+    # each partition's last stack of rows weighs as much as a full one, so the gradient depends a little on the partitions
+    assert np.allclose(late.stages[-1].weights.toArray(), early.stages[-1].weights.toArray(), rtol=1e-2, atol=1e-3)
+
+
+def test_factor_vectors_have_a_size(spark):
+    factors = recommend.cf_fit(spark.range(40).selectExpr("id % 8 AS user_idx", "id % 5 AS item_idx", "1.0D AS weight"), rank=4, max_iter=1)
+    data = recommend.ctr_features(spark.range(40).selectExpr("id % 8 AS user_idx", "id % 5 AS item_idx"), factors)
+    for name in ("uvec", "ivec"):  # without a size, an assembler runs the plan to see one
+        assert data.schema[name].metadata["ml_attr"]["num_attrs"] == 4
+    known = {r.id: list(r.features) for r in factors.itemFactors.collect()}
+    assert all(r.ivec.toArray().tolist() == known[r.item_idx] for r in data.collect()) and data.count() == 40
+
+
 def test_factorization_machine_scores_rows_as_hashed(spark):
     from pyspark.ml.feature import VectorAssembler
 
