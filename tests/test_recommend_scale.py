@@ -439,3 +439,45 @@ def test_factorization_machine_scores_rows_as_hashed(spark):
     assert {r.user_idx: r.click_prob for r in got.collect()} == {r.user_idx: r.p for r in expected.collect()}
     # a row passes the hasher and the machine, not the assembler
     assert "hashed" not in plan_of(spark, got)
+
+
+def click_rows(spark, n):
+    """``n`` rows of a click frame, whose item decides its features, and factors for its users and items."""
+    ids = spark.range(n).select((F.col("id") % 997).alias("user_idx"), (F.col("id") * 7 % 83).alias("item_idx"), "id")
+    feats = spark.range(83).selectExpr("id AS poi_id", "id AS item_idx", "id % 5 * 1.0D AS price", "id % 7 * 1.0D AS heat",
+                                       "id % 3 * 1.0D AS score", "concat('d', id % 4) AS district")
+    train = ids.select("user_idx", "item_idx", F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < F.col("item_idx") % 10, 1.0).otherwise(0.0).alias("label"))
+    factors = recommend.cf_fit(ids.where("id % 5 = 0").groupBy("user_idx", "item_idx").agg(F.count("*").alias("weight")), rank=4, max_iter=1)
+    return train, feats, factors
+
+
+@pytest.mark.parametrize("at_items", [True, False])
+def test_click_model_is_fitted_on_every_row(spark, at_items, monkeypatch):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    train, feats, factors = click_rows(spark, 230_000)  # more rows than were once drawn for fitting
+    frame = inter.ctr_training_frame(train, feats)
+    seen = []
+    inner = recommend.network.fit
+    monkeypatch.setattr(recommend.network, "fit", lambda grid, *a: seen.append(
+        grid.cells.map(lambda c: len(c["u"])).sum()) or inner(grid, *a))
+    model = recommend.ctr_train(*((train, factors) if at_items else (frame, factors)), max_iter=3, features=feats if at_items else None)
+    data = recommend.ctr_features(frame, factors)
+    assert seen == [data.count()] and seen[0] > 200_000
+    # Spark's own fit of the same rows; stacks of one row weigh alike
+    for stage in model.stages[:2]:
+        data = stage.transform(data)
+    own = MultilayerPerceptronClassifier(layers=model.stages[-1].getLayers(), maxIter=3, seed=recommend.SEED, blockSize=1).fit(data.coalesce(4))
+    assert np.allclose(model.stages[-1].weights.toArray(), own.weights.toArray(), atol=1e-4)
+
+
+def test_cells_keep_rows_users_and_items_together(spark):
+    train, _, factors = click_rows(spark, 3_000)
+    strange = train.limit(2).withColumn("user_idx", F.lit(5_000).cast("long"))  # no factors
+    for side in (1, 3):
+        grid = recommend.Grid.of(train.unionByName(strange), factors.userFactors, factors.itemFactors, side)
+        assert grid.cells.getNumPartitions() == side * side
+        got = grid.map(lambda c, u, i: list(zip(u["id"][c["u"]].tolist(), i["id"][c["i"]].tolist(), c["label"].tolist()))).collect()
+        known = train.join(factors.userFactors, F.col("user_idx") == F.col("id"), "left_semi").join(
+            factors.itemFactors, F.col("item_idx") == F.col("id"), "left_semi")
+        assert sorted(x for cell in got for x in cell) == sorted(map(tuple, known.collect()))
