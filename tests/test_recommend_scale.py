@@ -481,3 +481,20 @@ def test_cells_keep_rows_users_and_items_together(spark):
         known = train.join(factors.userFactors, F.col("user_idx") == F.col("id"), "left_semi").join(
             factors.itemFactors, F.col("item_idx") == F.col("id"), "left_semi")
         assert sorted(x for cell in got for x in cell) == sorted(map(tuple, known.collect()))
+
+
+@pytest.mark.parametrize("buckets", [64, 1 << 14])  # few buckets, so that users share theirs with items
+def test_factorization_machine_is_fitted_on_every_row(spark, buckets, monkeypatch):
+    n = 210_000 if buckets > 64 else 5_000  # the first is more than was once drawn for fitting
+    train, feats, _ = click_rows(spark, n)
+    frame = inter.ctr_training_frame(train, feats)
+    seen = []
+    inner = recommend.machine.fit
+    monkeypatch.setattr(recommend.machine, "fit", lambda grid, *a: seen.append(
+        grid.cells.map(lambda c: len(c["u"])).sum()) or inner(grid, *a))
+    got = recommend.fm_train(frame, buckets=buckets, factors=3, max_iter=4, features=feats)
+    own = recommend.fm_train(frame, buckets=buckets, factors=3, max_iter=4)  # Spark's own fit of a vector a row
+    assert seen == [n]
+    assert np.allclose(got.factors.toArray(), own.factors.toArray(), atol=1e-6)
+    assert np.allclose(got.linear.toArray(), own.linear.toArray(), atol=1e-6) and got.intercept == pytest.approx(own.intercept, abs=1e-6)
+    assert recommend.fm_score(got, frame).count() == n
