@@ -498,3 +498,11 @@ def test_factorization_machine_is_fitted_on_every_row(spark, buckets, monkeypatc
     assert np.allclose(got.factors.toArray(), own.factors.toArray(), atol=1e-6)
     assert np.allclose(got.linear.toArray(), own.linear.toArray(), atol=1e-6) and got.intercept == pytest.approx(own.intercept, abs=1e-6)
     assert recommend.fm_score(got, frame).count() == n
+
+
+def test_top_k_ships_no_block(spark):
+    vectors = similarity._unit(clustered(spark), "vec_id", "embedding")
+    got = similarity.top_k_dot(vectors, vectors, 4, True, (3, 5))
+    assert "CoGroup" not in plan_of(spark, got)
+    key = ["query_id", "rank", "neighbor_id"]
+    assert sorted(got.select(key).collect()) == sorted(similarity.top_k_dot(vectors, vectors, 4, True, (1, 1)).select(key).collect())
